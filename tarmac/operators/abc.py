@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.functions.columns import money
+from tarmac.functions.columns import money_double, money_total
 from tarmac.operators.bi import filter_sales
 from tarmac.operators.scale import BROADCAST_ROWS, bounded, running_total
 from tarmac.schema import ABC_A_LIMIT, ABC_B_LIMIT
@@ -30,13 +30,13 @@ CLASSES = ["A", "B", "C"]
 def product_revenue(sales: DataFrame) -> DataFrame:
     return (sales.filter(F.col("Product_Name").isNotNull())
             .groupBy(F.col("Product_Name").alias("name"))
-            .agg(F.sum(money("Revenue")).alias("_rev")))
+            .agg(money_total("Revenue").alias("_rev")))
 
 
 def _cumulative(prod: DataFrame, small: bool) -> DataFrame:
     order = [F.col("_rev").desc(), F.col("name").asc()]
     run = running_total(prod, order, "_rev", "_cum", "_tot", small=small)
-    return run.withColumn("_share", F.col("_cum").cast("double") / F.col("_tot").cast("double"))
+    return run.withColumn("_share", money_double("_cum") / money_double("_tot"))
 
 
 def abc_products(sales: DataFrame, year=None) -> DataFrame:
@@ -47,7 +47,7 @@ def abc_products(sales: DataFrame, year=None) -> DataFrame:
     cls = F.when(pct <= ABC_A_LIMIT, "A").when(pct <= ABC_B_LIMIT, "B").otherwise("C")
     return run.select(
         "name",
-        F.round(F.col("_rev").cast("double"), 2).alias("revenue"),
+        F.round(money_double("_rev"), 2).alias("revenue"),
         pct.alias("cumulative_pct"),
         cls.alias("abc"),
     ).orderBy(F.desc("revenue"), "name")

@@ -16,7 +16,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.functions.columns import money_sum, money_total, month_key, ratio
+from tarmac.functions.columns import money_double, money_sum, money_total, month_key, ratio
 
 
 def _given(v) -> bool:
@@ -112,9 +112,9 @@ def revenue_share(sales: DataFrame, key: str, year=None, category=None, region=N
     total = F.sum("_rev").over(Window.partitionBy())
     return grp.select(
         "name",
-        F.round(F.col("_rev").cast("double"), 2).alias("revenue"),
+        F.round(money_double("_rev"), 2).alias("revenue"),
         "units",
-        F.round(ratio("_rev", total) * 100, 1).alias("pct"),
+        F.round(ratio(money_double("_rev"), money_double(total)) * 100, 1).alias("pct"),
     ).orderBy(F.desc("revenue"), "name")
 
 

@@ -110,31 +110,34 @@ def _interp(points: dict[int, float], n: int, q: float) -> float:
     return a + (h - lo) * (b - a)
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
+def exact_quantiles(df: DataFrame, probs: dict[str, list[float]],
                     small: bool | None = None) -> dict[str, list[float]]:
-    """Linear-interpolation quantiles (numpy's default) of each column.
+    """Linear-interpolation quantiles (numpy's default) per column: ``{col: probs}``.
 
     Under the size bound one ``percentile`` aggregate computes all of them in a
     single job; above it each column is ranked with ``ordered_row_id`` and only
     the 2 x len(probs) rows at the needed positions come back to the driver.
     """
+    probs = {c: p for c, p in probs.items() if p}
+    if not probs:
+        return {}
     if small is None:
         small = bounded(df)
     if small:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
-                       .alias(c) for c in cols]).first()
-        return {c: [float(v) for v in row[c]] if row[c] is not None else [] for c in cols}
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(q)) for q in ps]))
+                       .alias(c) for c, ps in probs.items()]).first()
+        return {c: [float(v) for v in row[c]] if row[c] is not None else [] for c in probs}
     result = {}
-    for c in cols:
+    for c, ps in probs.items():
         vals = df.select(F.col(c).cast("double").alias("v")).filter(F.col("v").isNotNull())
         n = vals.count()
         if n == 0:
             result[c] = []
             continue
-        wanted = sorted({p for q in probs for p in (math.floor((n - 1) * q), math.ceil((n - 1) * q))})
+        wanted = sorted({p for q in ps for p in (math.floor((n - 1) * q), math.ceil((n - 1) * q))})
         ranked = ordered_row_id(vals, [F.col("v").asc()], "pos", start=0, small=False)
         picked = {r["pos"]: r["v"] for r in ranked.filter(F.col("pos").isin(wanted)).select("pos", "v").collect()}
-        result[c] = [_interp(picked, n, q) for q in probs]
+        result[c] = [_interp(picked, n, q) for q in ps]
     return result
 
 
