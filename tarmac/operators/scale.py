@@ -62,20 +62,20 @@ def running_total(df: DataFrame, order: list[Column], value: str, out: str,
             res = res.withColumn(total_out, F.sum(value).over(Window.partitionBy()))
         return res
     ranged = _ranged(df, order)
-    local = ranged.withColumn("_pid", F.spark_partition_id())
-    w_local = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = local.withColumn("_local", F.sum(value).over(w_local))
-    totals = ranged.groupBy(F.spark_partition_id().alias("_pid")).agg(F.sum(value).alias("_ptot"))
-    w_off = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("__rt_pid", F.spark_partition_id())
+    w_local = Window.partitionBy("__rt_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = local.withColumn("__rt_local", F.sum(value).over(w_local))
+    totals = ranged.groupBy(F.spark_partition_id().alias("__rt_pid")).agg(F.sum(value).alias("__rt_ptot"))
+    w_off = Window.orderBy("__rt_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_pid",
-        F.coalesce(F.sum("_ptot").over(w_off), F.lit(0).cast(totals.schema["_ptot"].dataType)).alias("_off"),
-        F.sum("_ptot").over(Window.partitionBy()).alias("_grand"),
+        "__rt_pid",
+        F.coalesce(F.sum("__rt_ptot").over(w_off), F.lit(0).cast(totals.schema["__rt_ptot"].dataType)).alias("__rt_off"),
+        F.sum("__rt_ptot").over(Window.partitionBy()).alias("__rt_grand"),
     )
-    res = local.join(F.broadcast(offsets), "_pid").withColumn(out, F.col("_off") + F.col("_local"))
+    res = local.join(F.broadcast(offsets), "__rt_pid").withColumn(out, F.col("__rt_off") + F.col("__rt_local"))
     if total_out:
-        res = res.withColumn(total_out, F.col("_grand"))
-    return res.drop("_pid", "_local", "_off", "_grand")
+        res = res.withColumn(total_out, F.col("__rt_grand"))
+    return res.drop("__rt_pid", "__rt_local", "__rt_off", "__rt_grand")
 
 
 def ordered_row_id(df: DataFrame, order: list[Column] | None, out: str = "row_id",
@@ -93,14 +93,14 @@ def ordered_row_id(df: DataFrame, order: list[Column] | None, out: str = "row_id
     else:
         ensure_checkpoint_dir(df.sparkSession)
         fixed = df.checkpoint(eager=True)
-    local = fixed.withColumn("_pid", F.spark_partition_id()) \
-        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_BITS)))
-    counts = fixed.groupBy(F.spark_partition_id().alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    w_off = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    return (local.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, F.col("_off") + F.col("_pos") + F.lit(start))
-            .drop("_pid", "_pos", "_off"))
+    local = fixed.withColumn("__rt_pid", F.spark_partition_id()) \
+        .withColumn("__rt_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_BITS)))
+    counts = fixed.groupBy(F.spark_partition_id().alias("__rt_pid")).agg(F.count(F.lit(1)).alias("__rt_n"))
+    w_off = Window.orderBy("__rt_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__rt_pid", F.coalesce(F.sum("__rt_n").over(w_off), F.lit(0)).alias("__rt_off"))
+    return (local.join(F.broadcast(offsets), "__rt_pid")
+            .withColumn(out, F.col("__rt_off") + F.col("__rt_pos") + F.lit(start))
+            .drop("__rt_pid", "__rt_pos", "__rt_off"))
 
 
 def _interp(points: dict[int, float], n: int, q: float) -> float:

@@ -1 +1,147 @@
-"""Registered queries: ingest_queries."""
+"""Ingest, validation, star schema and export queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tarmac.operators import abc
+from tarmac.plans.bi_queries import ABC_CTES
+from tarmac.plans.registry import register
+from tarmac.sources import ingest, sinks, star
+from tarmac.sources.tables import read_table, sales_view
+
+
+def raw_sales(spark, d):
+    """The sales view under raw alias names, plus one unknown column."""
+    s = sales_view(spark, d)
+    return s.select(F.col("Transaction_ID").alias("txn_id"), F.col("Date").alias("transaction_date"),
+                    F.col("Product_Name").alias("product"), F.col("Category").alias("category"),
+                    F.col("Region").alias("region"), F.col("Customer").alias("client"),
+                    F.col("Units_Sold").alias("quantity"), F.col("Unit_Price").alias("price"),
+                    F.col("Month_Name").alias("note"))
+
+
+@register("map_columns", """
+SELECT Transaction_ID, Date, Product_Name, Category, Region, Customer, Units_Sold, Unit_Price, Month_Name AS note
+FROM sales""")
+def q_map_columns(spark, d):
+    return ingest.map_columns(raw_sales(spark, d))
+
+
+def _raw_lineitem(spark, d):
+    """A raw file with only date, product, category and quantity (read order = file order)."""
+    li = read_table(spark, d, "lineitem")
+    return li.select(F.col("l_shipdate").alias("date"),
+                     F.format_string("Part %d", "l_partkey").alias("product"),
+                     F.col("l_returnflag").alias("category"),
+                     F.col("l_quantity").alias("quantity"))
+
+
+@register("fill_defaults", """
+SELECT printf('TXN-%05d', row_number() OVER ()) AS Transaction_ID,
+       CAST(l_shipdate AS DATE) AS Date, CAST(year(l_shipdate) AS INTEGER) AS Year,
+       CAST(month(l_shipdate) AS INTEGER) AS Month, strftime(CAST(l_shipdate AS DATE), '%b') AS Month_Name,
+       'Q' || CAST(quarter(l_shipdate) AS VARCHAR) AS Quarter, printf('Part %d', l_partkey) AS Product_Name,
+       l_returnflag AS Category, 'Other' AS Region, 'Unknown Customer' AS Customer,
+       CAST(l_quantity AS INTEGER) AS Units_Sold,
+       coalesce(CASE l_returnflag WHEN 'Engine' THEN 12000.0 WHEN 'Avionics' THEN 8000.0 WHEN 'Airframe' THEN 6000.0
+                WHEN 'Landing Gear' THEN 5000.0 WHEN 'Cabin' THEN 3000.0 WHEN 'Other' THEN 4000.0 END, 38000.0 / 6) AS Unit_Price,
+       l_quantity * coalesce(CASE l_returnflag WHEN 'Engine' THEN 12000.0 WHEN 'Avionics' THEN 8000.0
+                WHEN 'Airframe' THEN 6000.0 WHEN 'Landing Gear' THEN 5000.0 WHEN 'Cabin' THEN 3000.0
+                WHEN 'Other' THEN 4000.0 END, 38000.0 / 6) AS Revenue,
+       CAST(NULL AS VARCHAR) AS ABC_Class
+FROM lineitem""")
+def q_fill_defaults(spark, d):
+    return ingest.conform(_raw_lineitem(spark, d))
+
+
+@register("validate_batch", """
+SELECT * FROM (VALUES ('required_columns', 0)) t(rule, violations)
+UNION ALL SELECT 'revenue_positive', count_if(NOT coalesce(Revenue > 0, false)) FROM sales
+UNION ALL SELECT 'units_at_least_one', count_if(NOT coalesce(Units_Sold >= 1, false)) FROM sales
+UNION ALL SELECT 'unique_transaction_id', COUNT(*) - COUNT(DISTINCT Transaction_ID) FROM sales
+UNION ALL SELECT 'revenue_matches', count_if(NOT coalesce(abs(Revenue - Unit_Price * Units_Sold) < 1, false)) FROM sales""")
+def q_validate_batch(spark, d):
+    return ingest.validate_batch(sales_view(spark, d)).drop("passed")
+
+
+_DIM_CTES = """
+fp AS (SELECT Product_Name AS product_name, min(strftime(Date, '%Y%m%d') || '|' || Transaction_ID) AS k,
+              arg_min(Category, strftime(Date, '%Y%m%d') || '|' || Transaction_ID) AS category,
+              arg_min(ABC_Class, strftime(Date, '%Y%m%d') || '|' || Transaction_ID) AS abc_class
+       FROM sales_abc WHERE Product_Name IS NOT NULL GROUP BY 1),
+dp AS (SELECT CAST(row_number() OVER (ORDER BY k, product_name) AS BIGINT) AS product_id, product_name, category,
+              0.0 AS base_price, abc_class FROM fp),
+fc AS (SELECT Customer AS customer_name, min(strftime(Date, '%Y%m%d') || '|' || Transaction_ID) AS k,
+              arg_min(Region, strftime(Date, '%Y%m%d') || '|' || Transaction_ID) AS region
+       FROM sales WHERE Customer IS NOT NULL GROUP BY 1),
+dc AS (SELECT CAST(row_number() OVER (ORDER BY k, customer_name) AS BIGINT) AS customer_id, customer_name, region FROM fc)"""
+
+
+@register("dim_product", "SELECT * FROM dp", ABC_CTES + "," + _DIM_CTES)
+def q_dim_product(spark, d):
+    return star.dim_product(abc.with_abc_class(sales_view(spark, d)))
+
+
+@register("dim_customer", "SELECT * FROM dc", ABC_CTES + "," + _DIM_CTES)
+def q_dim_customer(spark, d):
+    return star.dim_customer(sales_view(spark, d))
+
+
+@register("dim_date", """
+SELECT DISTINCT CAST(strftime(Date, '%Y%m%d') AS INTEGER) AS date_id, Date AS date, CAST(year(Date) AS INTEGER) AS year,
+       CAST(month(Date) AS INTEGER) AS month, 'Q' || CAST(quarter(Date) AS VARCHAR) AS quarter,
+       strftime(Date, '%b') AS month_name
+FROM sales WHERE Date IS NOT NULL""")
+def q_dim_date(spark, d):
+    return star.dim_date(sales_view(spark, d))
+
+
+# Customers first seen up to 1998 are stored; a later load inserts only the absent ones.
+_INSERT_CTES = """
+old AS (SELECT * FROM sales WHERE Year <= 1998),
+fo AS (SELECT Customer AS customer_name, min(strftime(Date, '%Y%m%d') || '|' || Transaction_ID) AS k,
+              arg_min(Region, strftime(Date, '%Y%m%d') || '|' || Transaction_ID) AS region
+       FROM old WHERE Customer IS NOT NULL GROUP BY 1),
+dold AS (SELECT CAST(row_number() OVER (ORDER BY k, customer_name) AS BIGINT) AS customer_id, customer_name, region FROM fo),
+fn AS (SELECT Customer AS customer_name, min(strftime(Date, '%Y%m%d') || '|' || Transaction_ID) AS k,
+              arg_min(Region, strftime(Date, '%Y%m%d') || '|' || Transaction_ID) AS region
+       FROM sales WHERE Customer IS NOT NULL AND Customer NOT IN (SELECT customer_name FROM dold) GROUP BY 1),
+dnew AS (SELECT CAST((SELECT max(customer_id) FROM dold) + row_number() OVER (ORDER BY k, customer_name) AS BIGINT)
+                AS customer_id, customer_name, region FROM fn)"""
+
+
+@register("dim_insert_absent", "SELECT * FROM dold UNION ALL SELECT * FROM dnew", _INSERT_CTES)
+def q_dim_insert_absent(spark, d):
+    s = sales_view(spark, d)
+    old = star.dim_customer(s.filter(F.col("Year") <= 1998))
+    return star.dim_customer(s, existing=old)
+
+
+@register("star_flat", """
+SELECT Transaction_ID, Date, Year, Month, Month_Name, Quarter, Product_Name, Category, ABC_Class, Customer, Region,
+       Units_Sold, Unit_Price, Revenue FROM sales_abc""", ABC_CTES)
+def q_star_flat(spark, d):
+    return star.star_flat(star.build_star(abc.with_abc_class(sales_view(spark, d))))
+
+
+@register("star_fact_keys", """
+SELECT COUNT(*) AS rows, COUNT(DISTINCT txn_code) AS codes, min(txn_id) AS min_id, max(txn_id) AS max_id
+FROM (SELECT Transaction_ID AS txn_code, row_number() OVER (ORDER BY Date, Transaction_ID) AS txn_id FROM sales) f""")
+def q_star_fact_keys(spark, d):
+    f = star.build_star(abc.with_abc_class(sales_view(spark, d)))["fact_sales"]
+    return f.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("txn_code").alias("codes"),
+                 F.min("txn_id").alias("min_id"), F.max("txn_id").alias("max_id"))
+
+
+@register("kpi_export", f"""
+SELECT * FROM (
+  SELECT 1 AS position, 'Total Revenue' AS Metric, printf('$%.1fM', r / 1e6) AS Value FROM k
+  UNION ALL SELECT 2, 'Total Units', format('{{:,}}', u) FROM k
+  UNION ALL SELECT 3, 'Transactions', format('{{:,}}', n) FROM k
+  UNION ALL SELECT 4, 'Avg Order Value', '$' || format('{{:,.0f}}', r / n) FROM k
+  UNION ALL SELECT 5, 'Customers', CAST(c AS VARCHAR) FROM k)""",
+          """k AS (SELECT CAST(SUM(CAST(Revenue AS DECIMAL(18,2))) AS DOUBLE) AS r, CAST(SUM(Units_Sold) AS BIGINT) AS u,
+                  COUNT(*) AS n, COUNT(DISTINCT Customer) AS c FROM sales)""")
+def q_kpi_export(spark, d):
+    return sinks.kpi_export(sales_view(spark, d))
