@@ -1 +1,164 @@
 """Registered queries: model_queries."""
+
+from tarmac.operators import elasticity as el
+from tarmac.plans.registry import register
+from tarmac.sources.tables import sales_view
+
+_EL_CTES = """
+mo AS (SELECT Category, date_trunc('month', Date) AS month, avg(Unit_Price) AS avg_price,
+              CAST(SUM(Units_Sold) AS BIGINT) AS total_units
+       FROM sales WHERE Category IS NOT NULL AND Date IS NOT NULL GROUP BY 1, 2),
+fit AS (SELECT Category, COUNT(*) AS months,
+               regr_slope(ln(greatest(CAST(total_units AS DOUBLE), 1.0)), ln(avg_price)) AS slope,
+               regr_r2(ln(greatest(CAST(total_units AS DOUBLE), 1.0)), ln(avg_price)) AS r2
+        FROM mo GROUP BY Category HAVING COUNT(*) >= 6),
+el AS (SELECT Category AS category, round(slope, 3) AS elasticity, round(r2, 3) AS r_squared, months,
+              CASE WHEN slope > -0.5 THEN 'Highly inelastic' WHEN slope > -1.0 THEN 'Inelastic'
+                   WHEN slope > -1.5 THEN 'Unit elastic' ELSE 'Elastic' END AS interpretation,
+              CASE WHEN slope > -0.5 THEN printf('A 10%% price increase reduces demand by only %.1f%% — strong pricing power.', abs(slope * 10))
+                   WHEN slope > -1.0 THEN printf('A 10%% price increase reduces demand by %.1f%% — moderate sensitivity.', abs(slope * 10))
+                   ELSE printf('A 10%% price increase reduces demand by %.1f%% — price-sensitive segment.', abs(slope * 10)) END AS insight
+       FROM fit),
+pts AS (SELECT mo.Category AS category, strftime(month, '%Y-%m') AS month, round(avg_price, 0) AS price,
+               total_units AS units FROM mo JOIN fit USING (Category))"""
+
+
+@register("elasticity", "SELECT * FROM el", _EL_CTES)
+def q_elasticity(spark, d):
+    return el.elasticity(sales_view(spark, d))
+
+
+@register("elasticity_points", "SELECT * FROM pts", _EL_CTES)
+def q_elasticity_points(spark, d):
+    return el.elasticity_points(sales_view(spark, d))
+
+
+@register("elasticity_points_one", """
+SELECT * FROM pts WHERE category = (SELECT category FROM el ORDER BY elasticity DESC, category LIMIT 1)""", _EL_CTES)
+def q_elasticity_points_one(spark, d):
+    return el.elasticity_points_for(sales_view(spark, d))
+
+
+@register("elasticity_pvalue")
+def q_elasticity_pvalue(spark, d):
+    return el.elasticity_pvalue(sales_view(spark, d))
+
+from tarmac.operators import anomaly as an  # noqa: E402
+
+
+@register("anomaly")
+def q_anomaly(spark, d):
+    return an.monthly_anomalies(sales_view(spark, d))
+
+
+@register("anomaly_flagged")
+def q_anomaly_flagged(spark, d):
+    return an.flagged(an.monthly_anomalies(sales_view(spark, d)))
+
+
+@register("anomaly_summary")
+def q_anomaly_summary(spark, d):
+    return an.anomaly_summary(an.monthly_anomalies(sales_view(spark, d)))
+
+from tarmac.operators import churn as ch  # noqa: E402
+from tarmac.operators import customers as cu  # noqa: E402
+from tarmac.plans.customer_queries import SNAPSHOT, _RFM_BASE  # noqa: E402
+
+# Trees of the registered churn queries (the library default is the reference's 200).
+CHURN_TREES = 200
+
+
+_TRAINED: dict = {}
+
+
+def _churn(spark, d):
+    """One fit per session and data folder, shared by the churn queries (the
+    model is the expensive part; results are persisted DataFrames)."""
+    key = ("churn", id(spark), d, CHURN_TREES)
+    if key not in _TRAINED:
+        rfm_table = cu.rfm_scores(cu.rfm_base(sales_view(spark, d), SNAPSHOT))
+        _TRAINED[key] = ch.train_churn(rfm_table, max_iter=CHURN_TREES)
+    return _TRAINED[key]
+
+
+@register("churn_label", """
+SELECT Customer, Recency, CAST(Recency > (SELECT quantile_cont(Recency, 0.6) FROM base) AS DOUBLE) AS label FROM base""",
+          _RFM_BASE)
+def q_churn_label(spark, d):
+    labelled, _ = ch.churn_label(cu.rfm_base(sales_view(spark, d), SNAPSHOT))
+    return labelled.select("Customer", "Recency", "label")
+
+
+@register("churn")
+def q_churn(spark, d):
+    return ch.churn_table(_churn(spark, d)["scores"])
+
+
+@register("churn_attribution")
+def q_churn_attribution(spark, d):
+    return ch.attribution_table(_churn(spark, d)["attribution"])
+
+
+@register("churn_importance")
+def q_churn_importance(spark, d):
+    return ch.importance_table(_churn(spark, d)["importance"])
+
+
+@register("churn_histogram")
+def q_churn_histogram(spark, d):
+    return ch.probability_histogram(ch.churn_table(_churn(spark, d)["scores"]))
+
+
+@register("churn_risk_counts")
+def q_churn_risk_counts(spark, d):
+    return ch.risk_counts(ch.churn_table(_churn(spark, d)["scores"]))
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from tarmac.operators import recommend as rc  # noqa: E402
+
+
+def _recommender(spark, d):
+    key = ("als", id(spark), d)
+    if key not in _TRAINED:
+        _TRAINED[key] = rc.train_recommender(sales_view(spark, d))
+    return _TRAINED[key]
+
+
+@register("interactions", """
+SELECT Customer AS customer, Product_Name AS product, round(ln(1 + CAST(SUM(CAST(Revenue AS DECIMAL(18,2))) AS DOUBLE)), 6) AS rating
+FROM sales WHERE Customer IS NOT NULL AND Product_Name IS NOT NULL GROUP BY 1, 2""")
+def q_interactions(spark, d):
+    return rc.interactions(sales_view(spark, d)).withColumn("rating", F.round("rating", 6))
+
+
+@register("entity_index", """
+SELECT 'customer' AS kind, customer AS name, CAST(row_number() OVER (ORDER BY customer) - 1 AS INTEGER) AS idx
+FROM (SELECT DISTINCT Customer AS customer FROM sales WHERE Customer IS NOT NULL)
+UNION ALL
+SELECT 'product', product, CAST(row_number() OVER (ORDER BY product) - 1 AS INTEGER)
+FROM (SELECT DISTINCT Product_Name AS product FROM sales WHERE Product_Name IS NOT NULL)""")
+def q_entity_index(spark, d):
+    inter = rc.interactions(sales_view(spark, d))
+    users = rc.entity_index(inter, "customer", "idx").select(F.lit("customer").alias("kind"),
+                                                             F.col("customer").alias("name"), "idx")
+    items = rc.entity_index(inter, "product", "idx").select(F.lit("product").alias("kind"),
+                                                            F.col("product").alias("name"), "idx")
+    return users.unionByName(items)
+
+
+@register("customer_list", "SELECT DISTINCT Customer AS customer FROM sales WHERE Customer IS NOT NULL")
+def q_customer_list(spark, d):
+    return rc.customer_list(sales_view(spark, d))
+
+
+@register("recommend")
+def q_recommend(spark, d):
+    return rc.recommend(_recommender(spark, d), n=5)
+
+
+@register("recommend_customer")
+def q_recommend_customer(spark, d):
+    trained = _recommender(spark, d)
+    first = trained["users"].orderBy("user").select("customer").first()
+    return rc.recommend_for(trained, first["customer"] if first else "", n=5)
