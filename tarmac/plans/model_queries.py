@@ -162,3 +162,40 @@ def q_recommend_customer(spark, d):
     trained = _recommender(spark, d)
     first = trained["users"].orderBy("user").select("customer").first()
     return rc.recommend_for(trained, first["customer"] if first else "", n=5)
+
+from tarmac.operators import forecast as fc  # noqa: E402
+from tarmac.plans.bi_queries import _trend_sql  # noqa: E402
+
+
+@register("forecast_history", f"SELECT 'total' AS series, month, revenue FROM ({_trend_sql('TRUE')}) t")
+def q_forecast_history(spark, d):
+    return fc.history(sales_view(spark, d))
+
+
+@register("forecast_calendar", """
+SELECT 'total' AS series, strftime(m, '%Y-%m') AS month
+FROM (SELECT unnest(generate_series(CAST(date_trunc('month', max(Date)) AS DATE) + INTERVAL 1 MONTH,
+                                    CAST(date_trunc('month', max(Date)) AS DATE) + INTERVAL 12 MONTH,
+                                    INTERVAL 1 MONTH)) AS m FROM sales)""")
+def q_forecast_calendar(spark, d):
+    return fc.calendar(sales_view(spark, d), 12)
+
+
+@register("forecast")
+def q_forecast(spark, d):
+    return fc.forecast(sales_view(spark, d), 12)
+
+
+@register("forecast_by_category")
+def q_forecast_by_category(spark, d):
+    return fc.forecast(sales_view(spark, d), 12, by="Category")
+
+
+@register("forecast_changepoints")
+def q_forecast_changepoints(spark, d):
+    return fc.changepoints(sales_view(spark, d))
+
+
+@register("forecast_combined")
+def q_forecast_combined(spark, d):
+    return fc.combined(sales_view(spark, d), 12)
