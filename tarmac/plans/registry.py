@@ -44,4 +44,6 @@ def msum(c: str = "Revenue") -> str:
 
 def load_all() -> None:
     """Import every plan module so its queries register."""
-    from tarmac.plans import bi_queries, customer_queries, ingest_queries, model_queries, sql_queries  # noqa: F401
+    from tarmac.plans import (  # noqa: F401
+        bi_queries, customer_queries, ingest_queries, model_queries, sql_queries, stream_queries,
+    )
