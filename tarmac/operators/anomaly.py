@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.functions.columns import money_sum, month_key
+from tarmac.functions.columns import money_sum, month_key, month_start
 from tarmac.operators.scale import exact_quantiles
 
 EULER_GAMMA = 0.5772156649015329
@@ -151,8 +151,9 @@ def isolation_forest(features: DataFrame, key: str, cols: list[str], n_trees: in
 def monthly_features(sales: DataFrame) -> DataFrame:
     """Revenue and units per month (the anomaly features)."""
     return (sales.filter(F.col("Date").isNotNull())
-            .groupBy(month_key("Date").alias("month"))
-            .agg(money_sum("Revenue").alias("revenue"), F.sum(F.col("Units_Sold").cast("long")).alias("units")))
+            .groupBy(month_start("Date").alias("_m"))
+            .agg(money_sum("Revenue").alias("revenue"), F.sum(F.col("Units_Sold").cast("long")).alias("units"))
+            .select(month_key("_m").alias("month"), "revenue", "units"))
 
 
 def monthly_anomalies(sales: DataFrame, contamination: float = 0.10, seed: int = 42,

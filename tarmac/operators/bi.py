@@ -16,7 +16,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.functions.columns import money_double, money_sum, money_total, month_key, ratio
+from tarmac.functions.columns import money_double, money_sum, money_total, month_key, month_start, ratio
 
 
 def _given(v) -> bool:
@@ -121,9 +121,12 @@ def revenue_share(sales: DataFrame, key: str, year=None, category=None, region=N
 def trend_monthly(sales: DataFrame, category=None, region=None) -> DataFrame:
     """A5: revenue and units per month ``YYYY-MM``, ascending."""
     d = filter_sales(sales, None, category, region)
-    return (d.groupBy(month_key("Date").alias("month"))
+    # group on the month start (cheap per row); format only the grouped rows
+    return (d.groupBy(month_start("Date").alias("_m"))
             .agg(F.round(money_sum("Revenue"), 2).alias("revenue"),
                  F.sum(F.col("Units_Sold").cast("long")).alias("units"))
+            .filter(F.col("_m").isNotNull())
+            .select(month_key("_m").alias("month"), "revenue", "units")
             .orderBy("month"))
 
 
@@ -244,7 +247,9 @@ def popular_by_region(sales: DataFrame, n: int = 5) -> DataFrame:
 def yoy_by_month(sales: DataFrame, category=None, region=None, years: list[int] | None = None) -> DataFrame:
     """Month (``MM``) x year pivot of revenue in millions (2 digits)."""
     d = filter_sales(sales, None, category, region)
-    monthly = d.groupBy(F.date_format("Date", "MM").alias("month"), F.col("Year").alias("year")) \
-        .agg(money_sum("Revenue").alias("_rev"))
+    monthly = d.groupBy(F.month("Date").alias("_mo"), F.col("Year").alias("year")) \
+        .agg(money_sum("Revenue").alias("_rev")) \
+        .filter(F.col("_mo").isNotNull()) \
+        .select(F.lpad(F.col("_mo").cast("string"), 2, "0").alias("month"), "year", "_rev")
     piv = monthly.groupBy("month").pivot("year", years).agg(F.first(in_millions("_rev")))
     return piv.orderBy("month")
