@@ -253,3 +253,15 @@ def yoy_by_month(sales: DataFrame, category=None, region=None, years: list[int]
         .select(F.lpad(F.col("_mo").cast("string"), 2, "0").alias("month"), "year", "_rev")
     piv = monthly.groupBy("month").pivot("year", years).agg(F.first(in_millions("_rev")))
     return piv.orderBy("month")
+
+
+def top_customers(sales: DataFrame, n: int = 10, year=None, region=None) -> DataFrame:
+    """The first ``n`` rows of the customer table (revenue descending)."""
+    return customers_table(sales, year, region).limit(n)
+
+
+def schema_listing(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, type) rows for the given tables (metadata only, no job)."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(t, f.name, f.dataType.simpleString()) for t, df in tables.items() for f in df.schema.fields]
+    return spark.createDataFrame(rows, "table string, column string, type string")

@@ -237,3 +237,12 @@ PIVOT (SELECT strftime(Date, '%m') AS month, Year AS year, round(CAST(SUM(CAST(R
 ON year USING first(m) GROUP BY month""")
 def q_yoy_by_month(spark, d):
     return bi.yoy_by_month(_sales(spark, d))
+
+
+@register("customers_top10", f"""
+SELECT Customer AS customer, Region AS region, round({msum()}, 2) AS revenue, COUNT(*) AS transactions,
+       CAST(SUM(Units_Sold) AS BIGINT) AS units
+FROM sales WHERE Customer IS NOT NULL AND Region IS NOT NULL GROUP BY 1, 2
+ORDER BY revenue DESC, customer LIMIT 10""")
+def q_customers_top10(spark, d):
+    return bi.top_customers(_sales(spark, d), 10)

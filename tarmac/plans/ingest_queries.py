@@ -145,3 +145,20 @@ SELECT * FROM (
                   COUNT(*) AS n, COUNT(DISTINCT Customer) AS c FROM sales)""")
 def q_kpi_export(spark, d):
     return sinks.kpi_export(sales_view(spark, d))
+
+
+@register("export_customers", """
+SELECT Customer, Region, round(CAST(SUM(CAST(Revenue AS DECIMAL(18,2))) AS DOUBLE), 2) AS Revenue,
+       COUNT(*) AS Transactions FROM sales WHERE Year = 2000 GROUP BY 1, 2""")
+def q_export_customers(spark, d):
+    from tarmac.operators.bi import filter_sales
+    return sinks.export_sheet("customers", filter_sales(sales_view(spark, d), year=2000))
+
+
+@register("export_products", """
+SELECT Product_Name, Category, ABC_Class, round(CAST(SUM(CAST(Revenue AS DECIMAL(18,2))) AS DOUBLE), 2) AS Revenue,
+       CAST(SUM(Units_Sold) AS BIGINT) AS Units, round(avg(Unit_Price), 4) AS AvgPrice
+FROM sales_abc GROUP BY 1, 2, 3""", ABC_CTES)
+def q_export_products(spark, d):
+    sheet = sinks.export_sheet("products", abc.with_abc_class(sales_view(spark, d)))
+    return sheet.withColumn("AvgPrice", F.round("AvgPrice", 4))

@@ -199,3 +199,15 @@ def q_forecast_changepoints(spark, d):
 @register("forecast_combined")
 def q_forecast_combined(spark, d):
     return fc.combined(sales_view(spark, d), 12)
+
+
+@register("churn_high_risk")
+def q_churn_high_risk(spark, d):
+    return ch.filter_risk(ch.churn_table(_churn(spark, d)["scores"]), "High")
+
+
+@register("churn_customer_attribution")
+def q_churn_customer_attribution(spark, d):
+    res = _churn(spark, d)
+    first = res["attribution"].agg(F.min("Customer")).first()[0]
+    return ch.attribution_table(res["attribution"], first)
