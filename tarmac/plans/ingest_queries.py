@@ -162,3 +162,14 @@ FROM sales_abc GROUP BY 1, 2, 3""", ABC_CTES)
 def q_export_products(spark, d):
     sheet = sinks.export_sheet("products", abc.with_abc_class(sales_view(spark, d)))
     return sheet.withColumn("AvgPrice", F.round("AvgPrice", 4))
+
+
+@register("fact_roundtrip", """
+SELECT Transaction_ID, Date, Year, Month, Month_Name, Quarter, Product_Name, Category, Region, Customer,
+       Units_Sold, Unit_Price, Revenue, ABC_Class FROM sales_abc""", ABC_CTES)
+def q_fact_roundtrip(spark, d):
+    from tarmac.session import scratch_path
+    from tarmac.sources.fact import materialize_fact, read_fact
+    path = scratch_path(spark, "fact")
+    materialize_fact(sales_view(spark, d), path)
+    return read_fact(spark, path)
