@@ -173,3 +173,23 @@ def q_fact_roundtrip(spark, d):
     path = scratch_path(spark, "fact")
     materialize_fact(sales_view(spark, d), path)
     return read_fact(spark, path)
+
+
+@register("csv_ingest", """
+SELECT Transaction_ID, Date, Year, Month, Month_Name, Quarter, Product_Name, Category, Region, Customer,
+       Units_Sold, Unit_Price, Units_Sold * Unit_Price AS Revenue, ABC_Class, Month_Name AS note
+FROM sales_abc""", ABC_CTES)
+def q_csv_ingest(spark, d):
+    """S9 -> S2/S3 -> S4-S7 -> S6: raw-named sales written as CSV, read back with inferred
+    types, conformed and classed (the file has no revenue column, so Revenue = units x price)."""
+    from tarmac.session import scratch_path
+    path = scratch_path(spark, "raw-csv")
+    sinks.write_csv(raw_sales(spark, d), path)
+    return ingest.load_raw_sales(spark, path)
+
+
+@register("star_schema")
+def q_star_schema(spark, d):
+    """(table, column, type) of the star tables built from the given tables."""
+    from tarmac.operators.bi import schema_listing
+    return schema_listing(star.build_star(abc.with_abc_class(sales_view(spark, d))))
