@@ -81,20 +81,31 @@ def make_batch_handler(target: str, quarantine: str, reports: str):
 
 
 def start_ingest(spark: SparkSession, source: str, target: str, quarantine: str, reports: str,
-                 checkpoint: str, available_now: bool = True):
-    """ST1: start the incremental ingest stream; returns the StreamingQuery."""
+                 checkpoint: str, available_now: bool = True, clean_source: str = "off",
+                 archive_dir: str | None = None):
+    """ST1: start the incremental ingest stream; returns the StreamingQuery.
+
+    ``clean_source`` = "delete" removes a batch file once its micro-batch is
+    committed, "archive" moves it to ``archive_dir`` (S15: the batch is removed
+    afterwards); "off" keeps it.
+    """
     schema = T.StructType(SALES_SCHEMA.fields + [T.StructField("batch", T.StringType())])
-    stream = (spark.readStream.schema(schema)
-              .option("maxFilesPerTrigger", 1).parquet(source))
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    if clean_source != "off":
+        reader = reader.option("cleanSource", clean_source)
+        if clean_source == "archive":
+            reader = reader.option("sourceArchiveDir", archive_dir)
+    stream = reader.parquet(source)
     writer = (stream.writeStream.foreachBatch(make_batch_handler(target, quarantine, reports))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
 
-def run_ingest_once(spark: SparkSession, source: str, base: str) -> dict[str, str]:
+def run_ingest_once(spark: SparkSession, source: str, base: str, clean_source: str = "off") -> dict[str, str]:
     """Run the stream over everything present in ``source`` and stop; returns the folders."""
-    paths = {k: f"{base}/{k}" for k in ["fact", "quarantine", "reports", "checkpoint"]}
-    q = start_ingest(spark, source, paths["fact"], paths["quarantine"], paths["reports"], paths["checkpoint"])
+    paths = {k: f"{base}/{k}" for k in ["fact", "quarantine", "reports", "checkpoint", "archive"]}
+    q = start_ingest(spark, source, paths["fact"], paths["quarantine"], paths["reports"], paths["checkpoint"],
+                     clean_source=clean_source, archive_dir=paths["archive"])
     q.awaitTermination()
     return paths

@@ -30,3 +30,16 @@ def test_ingest_validates_and_is_idempotent(spark):
     handler(_batch(spark, "2024-01-01", 30).withColumn("batch", F.lit("2024-01-01")), 99)
     assert spark.read.parquet(paths["fact"]).count() == 55
     assert fact.select("Transaction_ID").distinct().count() == 55
+
+
+def test_ingest_archives_processed_batches(spark):
+    import glob
+    base = scratch_path(spark, "test-ingest-archive")
+    landing = f"{base}/landing"
+    st.write_daily_batches(_batch(spark, "2024-02-01", 10).unionByName(_batch(spark, "2024-02-02", 12)), landing)
+    paths = st.run_ingest_once(spark, landing, base, clean_source="archive")
+    assert spark.read.parquet(paths["fact"]).count() == 22
+    local = landing[len("file:"):] if landing.startswith("file:") else landing
+    remaining = glob.glob(f"{local}/batch=*/*.parquet")
+    # the file source archives a file once a later micro-batch has committed
+    assert len(remaining) <= 1
