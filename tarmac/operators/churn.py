@@ -136,8 +136,10 @@ def train_churn(rfm_table: DataFrame, max_iter: int = 200, max_depth: int = 4, s
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
     gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step_size, subsamplingRate=subsampling, seed=seed)
-    # training data is one row per customer; keep few partitions so the per-tree jobs stay cheap
-    train = labelled.coalesce(max(1, min(labelled.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)))
+    # one row per customer; spread it over at least one partition per core (the
+    # customer aggregate may have been coalesced to a single partition by AQE)
+    cores = spark.sparkContext.defaultParallelism
+    train = labelled if labelled.rdd.getNumPartitions() >= cores else labelled.repartition(cores)
     model = Pipeline(stages=[assembler, scaler, gbt]).fit(train)
     scored = model.transform(labelled).withColumn("churn_prob", vector_to_array("probability")[1])
 

@@ -193,3 +193,17 @@ def q_star_schema(spark, d):
     """(table, column, type) of the star tables built from the given tables."""
     from tarmac.operators.bi import schema_listing
     return schema_listing(star.build_star(abc.with_abc_class(sales_view(spark, d))))
+
+
+@register("price_proxy", """
+SELECT Category, coalesce(CASE Category WHEN 'Engine' THEN 12000.0 WHEN 'Avionics' THEN 8000.0
+              WHEN 'Airframe' THEN 6000.0 WHEN 'Landing Gear' THEN 5000.0 WHEN 'Cabin' THEN 3000.0
+              WHEN 'Other' THEN 4000.0 END, 38000.0 / 6) AS Unit_Price, COUNT(*) AS rows
+FROM sales GROUP BY 1""")
+def q_price_proxy(spark, d):
+    """S5f: a raw file without prices gets the category's table price per row (the
+    mean of the table for unknown categories)."""
+    raw = sales_view(spark, d).select(F.col("Date").alias("date"), F.col("Product_Name").alias("product"),
+                                      F.col("Category").alias("category"), F.col("Units_Sold").alias("quantity"))
+    conformed = ingest.conform(raw)
+    return conformed.groupBy("Category", "Unit_Price").agg(F.count(F.lit(1)).alias("rows"))
