@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions.columns import money_double, money_total
 from tarmac.operators.bi import filter_sales
-from tarmac.operators.scale import BROADCAST_ROWS, bounded, running_total
+from tarmac.operators.scale import bounded, fits_broadcast, running_total
 from tarmac.schema import ABC_A_LIMIT, ABC_B_LIMIT
 
 CLASSES = ["A", "B", "C"]
@@ -76,7 +76,7 @@ def abc_summary(sales: DataFrame, year=None) -> DataFrame:
 def product_classes(sales: DataFrame) -> tuple[DataFrame, bool]:
     """S6 class per product from the unrounded share; returns (table, is_small)."""
     prod = product_revenue(sales).persist()
-    small = bounded(prod, BROADCAST_ROWS)
+    small = fits_broadcast(prod)
     run = _cumulative(prod, small)
     cls = F.when(F.col("_share") <= ABC_A_LIMIT / 100, "A") \
         .when(F.col("_share") <= ABC_B_LIMIT / 100, "B").otherwise("C")

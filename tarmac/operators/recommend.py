@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.columns import money_sum
-from tarmac.operators.scale import BROADCAST_ROWS, bounded, ordered_row_id
+from tarmac.operators.scale import bounded, maybe_broadcast, ordered_row_id
 
 
 def interactions(sales: DataFrame) -> DataFrame:
@@ -37,17 +37,13 @@ def entity_index(names: DataFrame, name_col: str, id_col: str) -> DataFrame:
         .select(name_col, F.col(id_col).cast("int").alias(id_col))
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if bounded(df, BROADCAST_ROWS) else df
-
-
 def train_recommender(sales: DataFrame, rank: int = 32, reg: float = 0.1, iterations: int = 30,
                       seed: int = 42) -> dict:
     """Fit ALS; returns the model, index maps and the rated pairs."""
     inter = interactions(sales).persist()
     users = entity_index(inter, "customer", "user").persist()
     items = entity_index(inter, "product", "item").persist()
-    data = inter.join(_maybe_broadcast(users), "customer").join(_maybe_broadcast(items), "product") \
+    data = inter.join(maybe_broadcast(users), "customer").join(maybe_broadcast(items), "product") \
         .select("user", "item", "rating", "customer", "product").persist()
     spark = sales.sparkSession
     blocks = max(1, min(10, spark.sparkContext.defaultParallelism))
@@ -75,7 +71,7 @@ def recommend(trained: dict, n: int = 5, customers: DataFrame | None = None) ->
     unseen = flat.join(rated.select("user", "item"), ["user", "item"], "left_anti")  # J7
     w = Window.partitionBy("user").orderBy(F.desc("score"), "item")
     top = unseen.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-    return (top.join(_maybe_broadcast(users), "user").join(_maybe_broadcast(items), "item")
+    return (top.join(maybe_broadcast(users), "user").join(maybe_broadcast(items), "item")
             .select("customer", "product", F.round(F.col("score").cast("double"), 4).alias("score"), "rank")
             .orderBy("customer", "rank"))
 

@@ -31,11 +31,32 @@ BROADCAST_ROWS = 250_000
 _POS_BITS = (1 << 33) - 1  # low bits of monotonically_increasing_id = position in partition
 
 
-def bounded(df: DataFrame, limit: int = SMALL_ROWS) -> bool:
+def small_rows(spark) -> int:
+    """Row bound for single-task windows / exact percentile maps (``spark.tarmac.smallRows``)."""
+    return int(spark.conf.get("spark.tarmac.smallRows", str(SMALL_ROWS)))
+
+
+def broadcast_rows(spark) -> int:
+    """Row bound for broadcasting a lookup table (``spark.tarmac.broadcastRows``)."""
+    return int(spark.conf.get("spark.tarmac.broadcastRows", str(BROADCAST_ROWS)))
+
+
+def bounded(df: DataFrame, limit: int | None = None) -> bool:
     """True when ``df`` has at most ``limit`` rows (stops counting after limit + 1)."""
+    if limit is None:
+        limit = small_rows(df.sparkSession)
     return df.limit(limit + 1).count() <= limit
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    return bounded(df, broadcast_rows(df.sparkSession))
+
+
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint when its checked size allows, else unchanged (shuffle join)."""
+    return F.broadcast(df) if fits_broadcast(df) else df
+
+
 def _parts(df: DataFrame) -> int:
     spark = df.sparkSession
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -15,10 +15,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tarmac.operators.abc import product_classes
-from tarmac.operators.scale import BROADCAST_ROWS, bounded
+from tarmac.operators.scale import maybe_broadcast
 from tarmac.schema import SALES_COLUMNS, SALES_SCHEMA
 
 CLASSES_DIR = "_abc_classes"
@@ -48,6 +47,6 @@ def read_fact(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import types as T
     fact = spark.read.schema(T.StructType(schema_wo_class)).parquet(_fact_dir(path))
     classes = spark.read.parquet(_classes_dir(path))
-    right = F.broadcast(classes) if bounded(classes, BROADCAST_ROWS) else classes
+    right = maybe_broadcast(classes)
     joined = fact.join(right, fact.Product_Name == right._pname, "left")
     return joined.select(*SALES_COLUMNS)

@@ -8,7 +8,7 @@ dimension). Keys come from ``scale.ordered_row_id``: a single window under the
 size bound, two-phase range-partitioned ids above it.
 
 Joins: dimension sides are broadcast only when the dimension is within
-``BROADCAST_ROWS`` (checked with a bounded count); otherwise Spark sort-merge
+``spark.tarmac.broadcastRows`` (checked with a bounded count); otherwise Spark sort-merge
 joins them (AQE splits skewed keys). ``dim_date`` is bounded by the calendar
 (one row per day), so it is always broadcast.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.functions.columns import quarter_label
-from tarmac.operators.scale import BROADCAST_ROWS, bounded, ordered_row_id
+from tarmac.operators.scale import maybe_broadcast, ordered_row_id
 
 STAR_TABLES = ["dim_product", "dim_customer", "dim_date", "fact_sales"]
 
@@ -76,15 +76,11 @@ def dim_date(sales: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     return new if existing is None else existing.unionByName(new)
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if bounded(df, BROADCAST_ROWS) else df
-
-
 def fact_sales(sales: DataFrame, products: DataFrame, customers: DataFrame,
                start_id: int = 1) -> DataFrame:
     """S10 + J5: fact rows with foreign keys; txn_id dense in (Date, Transaction_ID) order."""
-    p = _maybe_broadcast(products.select(F.col("product_name").alias("Product_Name"), "product_id"))
-    c = _maybe_broadcast(customers.select(F.col("customer_name").alias("Customer"), "customer_id"))
+    p = maybe_broadcast(products.select(F.col("product_name").alias("Product_Name"), "product_id"))
+    c = maybe_broadcast(customers.select(F.col("customer_name").alias("Customer"), "customer_id"))
     f = sales.join(p, "Product_Name").join(c, "Customer")
     f = f.select(F.col("Transaction_ID").alias("txn_code"), date_key("Date").alias("date_id"),
                  "product_id", "customer_id", F.col("Units_Sold").alias("units_sold"),
@@ -143,8 +139,8 @@ def star_flat(star: dict[str, DataFrame]) -> DataFrame:
     """S12 + J1: the flat fact from the star (three inner equi-joins)."""
     f = star["fact_sales"]
     d = F.broadcast(star["dim_date"])  # one row per calendar day
-    p = _maybe_broadcast(star["dim_product"])
-    c = _maybe_broadcast(star["dim_customer"])
+    p = maybe_broadcast(star["dim_product"])
+    c = maybe_broadcast(star["dim_customer"])
     j = f.join(d, "date_id").join(p, "product_id").join(c, "customer_id")
     return j.select(
         F.col("txn_code").alias("Transaction_ID"), F.col("date").alias("Date"), F.col("year").alias("Year"),

@@ -52,17 +52,20 @@ def rows_key(cols, rows, tol):
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--conf", action="append", default=[], help="extra Spark conf key=value")
+    ap.add_argument("--oracle-only", action="store_true", help="only queries with oracle SQL")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
 
     from tarmac.plans import ORACLE, QUERIES, load_all
     from tarmac.session import get_spark
     load_all()
-    spark = get_spark("local[8]", 8)
+    extra = dict(kv.split("=", 1) for kv in a.conf)
+    spark = get_spark("local[8]", 8, extra=extra)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{a.sf}/{t}.parquet')")
-    names = a.names or list(QUERIES)
+    names = a.names or [n for n in QUERIES if not a.oracle_only or n in ORACLE]
     bad = 0
     for name in names:
         t0 = time.time()
