@@ -56,11 +56,12 @@ def q_fill_defaults(spark, d):
 
 
 @register("validate_batch", """
-SELECT * FROM (VALUES ('required_columns', 0)) t(rule, violations)
-UNION ALL SELECT 'revenue_positive', count_if(NOT coalesce(Revenue > 0, false)) FROM sales
-UNION ALL SELECT 'units_at_least_one', count_if(NOT coalesce(Units_Sold >= 1, false)) FROM sales
-UNION ALL SELECT 'unique_transaction_id', COUNT(*) - COUNT(DISTINCT Transaction_ID) FROM sales
-UNION ALL SELECT 'revenue_matches', count_if(NOT coalesce(abs(Revenue - Unit_Price * Units_Sold) < 1, false)) FROM sales""")
+SELECT rule, CAST(violations AS BIGINT) AS violations FROM (
+  SELECT * FROM (VALUES ('required_columns', 0)) t(rule, violations)
+  UNION ALL SELECT 'revenue_positive', count_if(NOT coalesce(Revenue > 0, false)) FROM sales
+  UNION ALL SELECT 'units_at_least_one', count_if(NOT coalesce(Units_Sold >= 1, false)) FROM sales
+  UNION ALL SELECT 'unique_transaction_id', COUNT(*) - COUNT(DISTINCT Transaction_ID) FROM sales
+  UNION ALL SELECT 'revenue_matches', count_if(NOT coalesce(abs(Revenue - Unit_Price * Units_Sold) < 1, false)) FROM sales)""")
 def q_validate_batch(spark, d):
     return ingest.validate_batch(sales_view(spark, d)).drop("passed")
 
@@ -71,7 +72,7 @@ fp AS (SELECT Product_Name AS product_name, min(strftime(Date, '%Y%m%d') || '|'
               arg_min(ABC_Class, strftime(Date, '%Y%m%d') || '|' || Transaction_ID) AS abc_class
        FROM sales_abc WHERE Product_Name IS NOT NULL GROUP BY 1),
 dp AS (SELECT CAST(row_number() OVER (ORDER BY k, product_name) AS BIGINT) AS product_id, product_name, category,
-              0.0 AS base_price, abc_class FROM fp),
+              CAST(0.0 AS DOUBLE) AS base_price, abc_class FROM fp),
 fc AS (SELECT Customer AS customer_name, min(strftime(Date, '%Y%m%d') || '|' || Transaction_ID) AS k,
               arg_min(Region, strftime(Date, '%Y%m%d') || '|' || Transaction_ID) AS region
        FROM sales WHERE Customer IS NOT NULL GROUP BY 1),

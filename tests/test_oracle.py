@@ -15,6 +15,10 @@ from conftest import SF_SMALL
 
 load_all()
 
+# Spark simple type -> DuckDB type name
+TYPE_FAMILY = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+               "boolean": "BOOLEAN"}
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -28,9 +32,13 @@ def con():
 def test_matches_oracle(spark, con, name):
     sdf = QUERIES[name](spark, SF_SMALL)
     srows = [tuple(r) for r in sdf.collect()]
+    rel = con.sql(ORACLE[name])
+    dtypes = dict(zip(rel.columns, [str(t) for t in rel.types]))
     res = con.execute(ORACLE[name])
     drows = res.fetchall()
     dcols = [c[0] for c in res.description]
     assert sorted(sdf.columns) == sorted(dcols)
+    for f in sdf.schema.fields:
+        assert TYPE_FAMILY.get(f.dataType.simpleString()) == dtypes[f.name], (f.name, f.dataType, dtypes[f.name])
     assert len(srows) == len(drows)
     assert rows_key(sdf.columns, srows, False) == rows_key(dcols, drows, False)
