@@ -3,7 +3,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarmac.operators import scale
