@@ -101,20 +101,22 @@ def kpis(sales: DataFrame, year=None, category=None, region=None,
 def revenue_share(sales: DataFrame, key: str, year=None, category=None, region=None) -> DataFrame:
     """A3/A4 (+W7, T3): revenue and units per ``key`` with % of the total, 1 digit.
 
-    ``key`` is a dimension attribute (Category, Region): the share window runs
-    over that small grouped result.
+    Safe for any key cardinality: the grouped table is persisted, its grand
+    total comes back as one scalar, and the share is a plain projection (no
+    window that would pull the groups into one task).
     """
     d = filter_sales(sales, year, category, region)
     grp = d.groupBy(F.col(key).alias("name")).agg(
         money_total("Revenue").alias("_rev"),
         F.sum(F.col("Units_Sold").cast("long")).alias("units"),
-    ).filter(F.col("name").isNotNull())
-    total = F.sum("_rev").over(Window.partitionBy())
+    ).filter(F.col("name").isNotNull()).persist()
+    total = grp.agg(F.sum("_rev")).first()[0]
+    total_lit = F.lit(total).cast("decimal(38,0)") if total is not None else F.lit(None).cast("decimal(38,0)")
     return grp.select(
         "name",
         F.round(money_double("_rev"), 2).alias("revenue"),
         "units",
-        F.round(ratio(money_double("_rev"), money_double(total)) * 100, 1).alias("pct"),
+        F.round(ratio(money_double("_rev"), money_double(total_lit)) * 100, 1).alias("pct"),
     ).orderBy(F.desc("revenue"), "name")
 
 

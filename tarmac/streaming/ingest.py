@@ -49,14 +49,22 @@ def write_daily_batches(sales: DataFrame, folder: str) -> None:
 
 
 def _stored_ids(spark: SparkSession, target: str, batch: DataFrame) -> DataFrame | None:
+    """Transaction ids already stored for the batch's own days.
+
+    The days of a micro-batch are few (a nightly batch has one), so they come
+    back as a list: Year prunes partitions and the Date filter is pushed into
+    the Parquet scan, where row-group statistics skip other days' files.
+    """
     try:
         stored = spark.read.schema(SALES_SCHEMA).parquet(target)
     except AnalysisException:
         return None
-    days = batch.select("Year", "Date").distinct()  # a few days per micro-batch
-    years = [r["Year"] for r in days.select("Year").distinct().collect()]
-    return (stored.filter(F.col("Year").isin(years))
-            .join(F.broadcast(days), ["Year", "Date"], "left_semi")
+    days = batch.select("Year", "Date").distinct().collect()
+    if not days:
+        return None
+    years = sorted({r["Year"] for r in days})
+    dates = sorted({r["Date"] for r in days})
+    return (stored.filter(F.col("Year").isin(years) & F.col("Date").isin(dates))
             .select("Transaction_ID"))
 
 
