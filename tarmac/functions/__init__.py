@@ -1,5 +1,5 @@
 """Column-expression helpers (JVM-side, codegen-friendly)."""
 
 from tarmac.functions.columns import (  # noqa: F401
-    cents, money, money_double, money_sum, money_total, ratio, month_key, month_start, months_between_starts, round_money, quarter_label,
+    cents, money, money_double, money_sum, money_total, ratio, month_key, month_start, months_between_starts, round_money, quarter_label, truncate_label,
 )

@@ -71,3 +71,9 @@ def months_between_starts(later, earlier) -> Column:
 
 def quarter_label(c) -> Column:
     return F.concat(F.lit("Q"), F.quarter(_c(c)).cast("string"))
+
+
+def truncate_label(c, max_len: int, keep: int) -> Column:
+    """Text longer than ``max_len`` cut to ``keep`` characters plus an ellipsis."""
+    col = _c(c)
+    return F.when(F.length(col) > max_len, F.concat(F.substring(col, 1, keep), F.lit("…"))).otherwise(col)

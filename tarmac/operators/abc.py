@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.functions.columns import money_double, money_total
+from tarmac.functions.columns import money_double, money_total, truncate_label
 from tarmac.operators.bi import filter_sales
 from tarmac.operators.scale import bounded, fits_broadcast, running_total
 from tarmac.schema import ABC_A_LIMIT, ABC_B_LIMIT
@@ -94,3 +94,11 @@ def with_abc_class(sales: DataFrame) -> DataFrame:
     base = sales.drop("ABC_Class") if "ABC_Class" in sales.columns else sales
     out = base.join(right, base.Product_Name == right._pname, "left").drop("_pname")
     return out
+
+
+def pareto_chart(products: DataFrame) -> DataFrame:
+    """Chart rows of ``abc_products``: name cut to 16 characters + ellipsis beyond 18,
+    revenue in millions (2 digits), cumulative % and class."""
+    return products.select(truncate_label("name", 18, 16).alias("name"),
+                           F.round(F.col("revenue") / 1e6, 2).alias("revenue"),
+                           F.col("cumulative_pct").alias("cumulative"), "abc")

@@ -16,7 +16,9 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.functions.columns import money_double, money_sum, money_total, month_key, month_start, ratio
+from tarmac.functions.columns import (
+    money_double, money_sum, money_total, month_key, month_start, ratio, truncate_label,
+)
 
 
 def _given(v) -> bool:
@@ -271,3 +273,10 @@ def schema_listing(tables: dict[str, DataFrame]) -> DataFrame:
     spark = next(iter(tables.values())).sparkSession
     rows = [(t, f.name, f.dataType.simpleString()) for t, df in tables.items() for f in df.schema.fields]
     return spark.createDataFrame(rows, "table string, column string, type string")
+
+
+def top_customers_chart(sales: DataFrame, n: int = 10, year=None, region=None) -> DataFrame:
+    """T6 chart rows: the first ``n`` customers, name cut to 20 characters + ellipsis
+    beyond 22, revenue in millions (2 digits)."""
+    return top_customers(sales, n, year, region).select(
+        truncate_label("customer", 22, 20).alias("name"), in_millions("revenue").alias("revenue"))

@@ -149,3 +149,12 @@ def cohort_recent(retention: DataFrame, cohorts: int = 16, max_age: int = 12) ->
     recent = retention.select("cohort").distinct().orderBy(F.desc("cohort")).limit(cohorts)
     return (retention.join(F.broadcast(recent), "cohort", "left_semi")
             .filter(F.col("age") <= max_age).orderBy("cohort", "age"))
+
+
+def cohort_matrix(retention: DataFrame) -> DataFrame:
+    """A12 as a nested map: one row per cohort with ``age -> retention``
+    (``map_from_entries`` over the cohort's at most (months) entries)."""
+    return (retention.groupBy("cohort")
+            .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("age", "retention")))).alias("matrix"),
+                 F.max("age").alias("max_age"))
+            .orderBy("cohort"))

@@ -246,3 +246,21 @@ FROM sales WHERE Customer IS NOT NULL AND Region IS NOT NULL GROUP BY 1, 2
 ORDER BY revenue DESC, customer LIMIT 10""")
 def q_customers_top10(spark, d):
     return bi.top_customers(_sales(spark, d), 10)
+
+
+@register("abc_pareto", """
+SELECT CASE WHEN length(name) > 18 THEN substring(name, 1, 16) || '…' ELSE name END AS name,
+       round(revenue / 1e6, 2) AS revenue, cumulative_pct AS cumulative, abc FROM w1""",
+          _ABC_PRODUCTS_SQL.format(where="TRUE"))
+def q_abc_pareto(spark, d):
+    return abc.pareto_chart(abc.abc_products(_sales(spark, d)))
+
+
+@register("customers_top10_chart", f"""
+SELECT CASE WHEN length(customer) > 22 THEN substring(customer, 1, 20) || '…' ELSE customer END AS name,
+       round(revenue / 1e6, 2) AS revenue
+FROM (SELECT Customer AS customer, round({msum()}, 2) AS revenue FROM sales
+      WHERE Customer IS NOT NULL AND Region IS NOT NULL GROUP BY Customer, Region
+      ORDER BY revenue DESC, customer LIMIT 10) t""")
+def q_customers_top10_chart(spark, d):
+    return bi.top_customers_chart(_sales(spark, d), 10)

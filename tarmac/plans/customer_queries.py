@@ -103,3 +103,8 @@ SELECT * FROM retention WHERE age <= 12
 AND cohort IN (SELECT DISTINCT cohort FROM retention ORDER BY cohort DESC LIMIT 16)""", _COHORT_CTES)
 def q_cohort_recent(spark, d):
     return cu.cohort_recent(cu.cohort_retention(sales_view(spark, d)), 16, 12)
+
+
+@register("cohort_matrix")
+def q_cohort_matrix(spark, d):
+    return cu.cohort_matrix(cu.cohort_retention(sales_view(spark, d)))
