@@ -41,4 +41,4 @@ def q_ingest_quarantine(spark, d):
         q = spark.read.parquet(paths["quarantine"])
     except Exception:  # noqa: BLE001 -- no batch failed
         return spark.range(1).select(F.lit(0).cast("long").alias("batches"), F.lit(0).cast("long").alias("rows"))
-    return q.agg(F.count_distinct("batch_id").alias("batches"), F.count(F.lit(1)).alias("rows"))
+    return q.agg(F.count_distinct("batch").alias("batches"), F.count(F.lit(1)).alias("rows"))

@@ -177,5 +177,26 @@ def validate_batch(df: DataFrame, required: list[str] = BATCH_REQUIRED) -> DataF
     return out.withColumn("passed", F.col("violations") == 0)
 
 
+def validate_batches(df: DataFrame, key: str, required: list[str] = BATCH_REQUIRED) -> DataFrame:
+    """S14 per batch: the five rules for every value of ``key`` (one batch file each)
+    in one grouped aggregate -> rows (key, rule, violations, passed)."""
+    missing = [c for c in required if c not in df.columns]
+    if missing:
+        return (df.select(key).distinct()
+                .select(key, F.lit("required_columns").alias("rule"), F.lit(len(missing)).cast("long").alias("violations"))
+                .withColumn("passed", F.lit(False)))
+    rev, units, price, tid = F.col("Revenue"), F.col("Units_Sold"), F.col("Unit_Price"), F.col("Transaction_ID")
+    agg = df.groupBy(key).agg(
+        F.count_if(~F.coalesce(rev > 0, F.lit(False))).alias("revenue_positive"),
+        F.count_if(~F.coalesce(units >= 1, F.lit(False))).alias("units_at_least_one"),
+        (F.count(F.lit(1)) - F.count_distinct(tid)).alias("unique_transaction_id"),
+        F.count_if(~F.coalesce(F.abs(rev - price * units) < 1, F.lit(False))).alias("revenue_matches"),
+    )
+    cols = ["revenue_positive", "units_at_least_one", "unique_transaction_id", "revenue_matches"]
+    rules = F.array(F.struct(F.lit("required_columns").alias("rule"), F.lit(0).cast("long").alias("violations")),
+                    *[F.struct(F.lit(c).alias("rule"), F.col(c).cast("long").alias("violations")) for c in cols])
+    return agg.select(key, F.inline(rules)).withColumn("passed", F.col("violations") == 0)
+
+
 def batch_passed(report: DataFrame) -> bool:
     return report.filter(~F.col("passed")).limit(1).count() == 0

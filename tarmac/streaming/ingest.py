@@ -1,11 +1,13 @@
 """Incremental batch ingest with Structured Streaming (ST1, ST2, S14, S15).
 
-New batch files landing in a folder are picked up by a file-source stream
-(``maxFilesPerTrigger=1``: one batch file per micro-batch, so a batch is
-validated as a unit). In ``foreachBatch`` each micro-batch is validated with the
-five batch rules (one aggregate); a passing batch is appended to the stored
-fact (partitioned by Year), a failing one is diverted to a quarantine folder
-with its micro-batch id, and every report is appended to a report table.
+New batch files landing in a folder are picked up by a file-source stream; each
+file is one batch (its ``batch`` partition value). In ``foreachBatch`` every
+batch of the micro-batch is validated as a unit with the five batch rules (one
+grouped aggregate for all of them); passing batches are appended to the stored
+fact (partitioned by Year), failing ones are diverted whole to a quarantine
+folder with the micro-batch id, and the per-batch reports are appended to a
+report table. A trigger may take many files (``max_files``), so a backlog costs
+one commit, not one per file.
 
 Exactly-once: a replayed micro-batch (after a lost executor or driver restart)
 anti-joins its Transaction_IDs against the stored rows of the batch's own dates
@@ -16,14 +18,14 @@ enforces id uniqueness across batches). Progress lives in the checkpoint folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tarmac.functions.columns import quarter_label
 from tarmac.schema import SALES_COLUMNS, SALES_SCHEMA
-from tarmac.sources.ingest import batch_passed, validate_batch
+from tarmac.sources.ingest import validate_batches
 from tarmac.sources.tables import read_table
 
 
@@ -69,18 +71,30 @@ def _stored_ids(spark: SparkSession, target: str, batch: DataFrame) -> DataFrame
 
 
 def make_batch_handler(target: str, quarantine: str, reports: str):
-    """The ``foreachBatch`` function: validate, then append or divert."""
+    """The ``foreachBatch`` function: validate every batch, then append or divert."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.select(*SALES_COLUMNS).persist()
-        report = validate_batch(batch).withColumn("batch_id", F.lit(batch_id)).persist()
-        if batch_passed(report):
-            ids = _stored_ids(spark, target, batch)
-            new = batch if ids is None else batch.join(ids, "Transaction_ID", "left_anti")
+        if "batch" not in batch.columns:
+            batch = batch.withColumn("batch", F.lit(str(batch_id)))
+        batch = batch.select(*SALES_COLUMNS, "batch").persist()
+        report = validate_batches(batch, "batch").withColumn("batch_id", F.lit(batch_id)).persist()
+        # one row per batch file in this trigger
+        status = report.groupBy("batch").agg(F.min(F.col("passed").cast("int")).alias("ok")).collect()
+        good = [r["batch"] for r in status if r["ok"] == 1]
+        bad = [r["batch"] for r in status if r["ok"] != 1]
+        if good:
+            rows = batch.filter(F.col("batch").isin(good))
+            # ids are unique inside a passing batch; across the batches of one trigger
+            # the earliest batch wins, as if the files were ingested one by one (ST2)
+            first = Window.partitionBy("Transaction_ID").orderBy("batch")
+            rows = rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") == 1).drop("_n", "batch")
+            ids = _stored_ids(spark, target, rows)
+            new = rows if ids is None else rows.join(ids, "Transaction_ID", "left_anti")
             new.write.mode("append").partitionBy("Year").parquet(target)
-        else:
-            batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(quarantine)
+        if bad:
+            batch.filter(F.col("batch").isin(bad)).withColumn("batch_id", F.lit(batch_id)) \
+                .write.mode("append").parquet(quarantine)
         report.write.mode("append").parquet(reports)
         report.unpersist()
         batch.unpersist()
@@ -90,7 +104,7 @@ def make_batch_handler(target: str, quarantine: str, reports: str):
 
 def start_ingest(spark: SparkSession, source: str, target: str, quarantine: str, reports: str,
                  checkpoint: str, available_now: bool = True, clean_source: str = "off",
-                 archive_dir: str | None = None):
+                 archive_dir: str | None = None, max_files: int | None = None):
     """ST1: start the incremental ingest stream; returns the StreamingQuery.
 
     ``clean_source`` = "delete" removes a batch file once its micro-batch is
@@ -98,7 +112,9 @@ def start_ingest(spark: SparkSession, source: str, target: str, quarantine: str,
     afterwards); "off" keeps it.
     """
     schema = T.StructType(SALES_SCHEMA.fields + [T.StructField("batch", T.StringType())])
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if clean_source != "off":
         reader = reader.option("cleanSource", clean_source)
         if clean_source == "archive":
@@ -110,10 +126,11 @@ def start_ingest(spark: SparkSession, source: str, target: str, quarantine: str,
     return writer.start()
 
 
-def run_ingest_once(spark: SparkSession, source: str, base: str, clean_source: str = "off") -> dict[str, str]:
+def run_ingest_once(spark: SparkSession, source: str, base: str, clean_source: str = "off",
+                    max_files: int | None = None) -> dict[str, str]:
     """Run the stream over everything present in ``source`` and stop; returns the folders."""
     paths = {k: f"{base}/{k}" for k in ["fact", "quarantine", "reports", "checkpoint", "archive"]}
     q = start_ingest(spark, source, paths["fact"], paths["quarantine"], paths["reports"], paths["checkpoint"],
-                     clean_source=clean_source, archive_dir=paths["archive"])
+                     clean_source=clean_source, archive_dir=paths["archive"], max_files=max_files)
     q.awaitTermination()
     return paths

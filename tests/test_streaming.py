@@ -28,6 +28,8 @@ def test_ingest_validates_and_is_idempotent(spark):
     # replaying a batch (as after a failure) appends nothing new
     handler = st.make_batch_handler(paths["fact"], paths["quarantine"], paths["reports"])
     handler(_batch(spark, "2024-01-01", 30).withColumn("batch", F.lit("2024-01-01")), 99)
+    # one trigger over several files validates each file on its own
+    assert spark.read.parquet(paths["reports"]).select("batch").distinct().count() == 3
     assert spark.read.parquet(paths["fact"]).count() == 55
     assert fact.select("Transaction_ID").distinct().count() == 55
 
@@ -37,9 +39,26 @@ def test_ingest_archives_processed_batches(spark):
     base = scratch_path(spark, "test-ingest-archive")
     landing = f"{base}/landing"
     st.write_daily_batches(_batch(spark, "2024-02-01", 10).unionByName(_batch(spark, "2024-02-02", 12)), landing)
-    paths = st.run_ingest_once(spark, landing, base, clean_source="archive")
+    paths = st.run_ingest_once(spark, landing, base, clean_source="archive", max_files=1)
     assert spark.read.parquet(paths["fact"]).count() == 22
     local = landing[len("file:"):] if landing.startswith("file:") else landing
     remaining = glob.glob(f"{local}/batch=*/*.parquet")
     # the file source archives a file once a later micro-batch has committed
     assert len(remaining) <= 1
+
+
+def test_duplicate_ids_across_batches_of_one_trigger(spark):
+    base = scratch_path(spark, "test-ingest-dup")
+    landing = f"{base}/landing"
+    a = _batch(spark, "2024-03-01", 5)
+    # the next day's file repeats two ids of the first day
+    b = _batch(spark, "2024-03-02", 5).withColumn(
+        "Transaction_ID", F.when(F.col("Transaction_ID").endswith("000"), F.lit("TXN-2024-03-01-000"))
+        .when(F.col("Transaction_ID").endswith("001"), F.lit("TXN-2024-03-01-001")).otherwise(F.col("Transaction_ID")))
+    st.write_daily_batches(a.unionByName(b), landing)
+    paths = st.run_ingest_once(spark, landing, base)
+    fact = spark.read.parquet(paths["fact"])
+    assert fact.count() == 8
+    assert fact.select("Transaction_ID").distinct().count() == 8
+    kept = {r["Transaction_ID"]: str(r["Date"]) for r in fact.collect()}
+    assert kept["TXN-2024-03-01-000"] == "2024-03-01"
