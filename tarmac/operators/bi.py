@@ -1,6 +1,7 @@
 """Dashboard aggregates over the sales fact: filters, KPIs, shares, trends,
 product/customer tables, top-n, pivots.
 
+Result columns are renamed per result (P9: ``name``, ``revenue``, ``units``, ...).
 All functions take the sales DataFrame and return a DataFrame; nothing is
 collected. Group-bys run with map-side partial aggregation, so a hot customer,
 product or region is combined before the shuffle. Windows are only used on

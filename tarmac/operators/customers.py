@@ -129,8 +129,8 @@ def cohort_activity(sales: DataFrame) -> DataFrame:
 
 
 def cohort_retention(sales: DataFrame) -> DataFrame:
-    """A10-A12 (+J3): active customers per (cohort, age), cohort size, retention %
-    (1 digit) and the largest age.
+    """A10 (active per cohort and age), A11 (cohort size), A12 (retention %, 1 digit,
+    and the largest age), with J3 (size per cohort).
     """
     act = cohort_activity(sales)
     grid = act.groupBy("cohort", "age").agg(F.count(F.lit(1)).alias("active"))

@@ -101,7 +101,7 @@ def running_total(df: DataFrame, order: list[Column], value: str, out: str,
 
 def ordered_row_id(df: DataFrame, order: list[Column] | None, out: str = "row_id",
                    start: int = 1, small: bool | None = None) -> DataFrame:
-    """Dense consecutive ids ``start, start+1, ...`` in ``order`` (a total order).
+    """Dense consecutive ids ``start, start+1, ...`` in ``order`` (a total order).
 
     With ``order=None`` the ids follow the current partition order of ``df``.
     """
@@ -133,7 +133,7 @@ def _interp(points: dict[int, float], n: int, q: float) -> float:
 
 def exact_quantiles(df: DataFrame, probs: dict[str, list[float]],
                     small: bool | None = None) -> dict[str, list[float]]:
-    """Linear-interpolation quantiles (numpy's default) per column: ``{col: probs}``.
+    """Linear-interpolation quantiles (numpy's default) per column: ``{col: probs}``.
 
     Under the size bound one ``percentile`` aggregate computes all of them in a
     single job; above it each column is ranked with ``ordered_row_id`` and only

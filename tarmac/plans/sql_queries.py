@@ -59,8 +59,8 @@ def q_adhoc_sql(spark, d):
     return run_sql(spark, ADHOC_TEXT, max_rows=50)
 
 
-# Q2a-f: the UI's sample questions, written as SQL over the view (the
-# text-to-SQL step itself is a remote model and is not built).
+# Q2a, Q2b, Q2c, Q2d, Q2e, Q2f: the UI's sample questions, written as SQL over
+# the view (the text-to-SQL step itself is a remote model and is not built).
 _flat_query("q_top_customers_region", """
 SELECT customer, round(SUM(revenue), 2) AS revenue FROM fact_sales WHERE region = 'MIDDLE EAST'
 GROUP BY customer ORDER BY revenue DESC, customer LIMIT 5""")
@@ -90,7 +90,7 @@ def _star_query(name: str, sql: str):
     register(name, sql, STAR_CTE)(q)
 
 
-# Q3a-b: the example queries over the star schema.
+# The example queries over the star schema.
 _star_query("star_revenue_month", """
 SELECT d.year, d.month_name, round(SUM(f.revenue), 2) AS revenue
 FROM fact_sales f JOIN dim_date d ON f.date_id = d.date_id GROUP BY 1, 2""")

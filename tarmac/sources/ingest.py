@@ -70,9 +70,11 @@ def price_table(spark: SparkSession) -> DataFrame:
 
 def fill_defaults(df: DataFrame) -> DataFrame:
     """Add missing canonical columns, in canonical order, each derived from
-    the ones before it. Positional defaults (Transaction_ID, Date) use a dense
-    distributed row id in read order; the price lookup is per row (broadcast of
-    the six-row price table).
+    the ones before it: S5a Transaction_ID ``TXN-%05d`` and S5b Date (first
+    default date + position) from a dense distributed row id in read order (W8);
+    S5c Year/Month/Month_Name/Quarter from Date; S5d text defaults; S5e units 1;
+    S5f per-row price lookup (broadcast of the six-row price table, mean of the
+    table otherwise); S5g Revenue = units x price; S5h ABC_Class null.
     """
     out = df
     have = set(df.columns)
