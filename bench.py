@@ -21,6 +21,14 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
+def _ingest(spark, sf_dir, stream, scratch_path):
+    """Daily purchase batches from ``events`` through the validating stream; the stored fact."""
+    base = scratch_path(spark, "bench-ingest")
+    stream.write_daily_batches(stream.events_as_sales(spark, sf_dir), f"{base}/landing")
+    paths = stream.run_ingest_once(spark, f"{base}/landing", base)
+    return spark.read.parquet(paths["fact"]).groupBy("Year").count()
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -32,7 +40,8 @@ def main() -> None:
 
     from tarmac.operators import abc, anomaly, bi, customers, elasticity, forecast
     from tarmac.session import scratch_path
-    from tarmac.sources import ingest
+    from tarmac.sources import ingest, star
+    from tarmac.streaming import ingest as stream
     from tarmac.sources.fact import materialize_fact, read_fact
     from tarmac.sources.tables import sales_view
 
@@ -71,6 +80,8 @@ def main() -> None:
         "anomaly": lambda: anomaly.monthly_anomalies(sales),
         "forecast": lambda: forecast.forecast(sales, 12),
         "trend_from_tables": lambda: bi.trend_monthly(sales_view(spark, sf_dir)),
+        "star_roundtrip": lambda: star.star_flat(star.build_star(sales)).groupBy("Year").count(),
+        "incremental_ingest": lambda: _ingest(spark, sf_dir, stream, scratch_path),
     }
     timings = {}
     for name, build in plans.items():
