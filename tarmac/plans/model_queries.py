@@ -1,7 +1,7 @@
 """Registered queries: model_queries."""
 
 from tarmac.operators import elasticity as el
-from tarmac.plans.registry import register
+from tarmac.plans.registry import msum, register
 from tarmac.sources.tables import sales_view
 
 _EL_CTES = """
@@ -211,3 +211,22 @@ def q_churn_customer_attribution(spark, d):
     res = _churn(spark, d)
     first = res["attribution"].agg(F.min("Customer")).first()[0]
     return ch.attribution_table(res["attribution"], first)
+
+
+@register("anomaly_features", f"""
+SELECT strftime(Date, '%Y-%m') AS month, round({msum()}, 2) AS revenue, CAST(SUM(Units_Sold) AS BIGINT) AS units
+FROM sales WHERE Date IS NOT NULL GROUP BY 1""")
+def q_anomaly_features(spark, d):
+    """The month series the forest is grown on."""
+    return an.monthly_features(sales_view(spark, d)).withColumn("revenue", F.round("revenue", 2))
+
+
+@register("elasticity_t_stat", """
+SELECT Category AS category, months, round(r * sqrt((months - 2) / (1 - r * r)), 6) AS t_stat
+FROM (SELECT Category, COUNT(*) AS months,
+             corr(ln(greatest(CAST(total_units AS DOUBLE), 1.0)), ln(avg_price)) AS r
+      FROM mo GROUP BY Category HAVING COUNT(*) >= 6) f""", _EL_CTES)
+def q_elasticity_t_stat(spark, d):
+    """The t statistic of each slope (its p-value is the rows-only ``elasticity_pvalue``)."""
+    fit = el.elasticity_fit(sales_view(spark, d))
+    return fit.select(F.col("Category").alias("category"), "months", F.round("t_stat", 6).alias("t_stat"))
