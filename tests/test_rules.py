@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tarmac.functions.stats import t_two_sided_p
 from tarmac.operators import abc, bi, customers, elasticity
 from tarmac.schema import SALES_SCHEMA
 from tarmac.sources import ingest
@@ -111,7 +112,7 @@ def test_t_pvalue_matches_integration(spark):
 
     cases = [(2.228, 10), (1.5, 3), (0.7, 4), (3.1, 7), (4.303, 2), (1.0, 1), (2.0, 28)]
     df = spark.createDataFrame(cases, "t double, nu int")
-    got = df.select(elasticity.t_two_sided_p(F.col("t"), F.col("nu")).alias("p")).collect()
+    got = df.select(t_two_sided_p(F.col("t"), F.col("nu")).alias("p")).collect()
     for (t, nu), r in zip(cases, got):
         assert r["p"] == pytest.approx(p_numeric(t, nu), abs=2e-5)
 
