@@ -109,6 +109,10 @@ def ordered_row_id(df: DataFrame, order: list[Column] | None, out: str = "row_id
         small = bounded(df)
     if small and order:
         return df.withColumn(out, F.row_number().over(Window.orderBy(*order)) + F.lit(start - 1))
+    if small:  # read order = (partition, position), captured before the single-task window
+        mid = df.withColumn("__rt_mid", F.monotonically_increasing_id())
+        return (mid.withColumn(out, F.row_number().over(Window.orderBy("__rt_mid")) + F.lit(start - 1))
+                .drop("__rt_mid"))
     if order:
         fixed = _ranged(df, order)
     else:
