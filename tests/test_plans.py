@@ -34,3 +34,18 @@ def test_bi_has_no_python(sales):
 
 def test_nation_region_broadcast(view):
     assert "BroadcastHashJoin" in plan_text(bi.revenue_share(view, "Region"))
+
+
+PY_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
+MODEL_OR_STREAM = ("churn", "anomaly", "forecast", "recommend", "incremental_ingest", "ingest_quarantine")
+
+
+def test_no_python_in_sql_checkable_queries(spark):
+    """Every oracle-checked query except the model/stream ones plans without any Python operator."""
+    from tarmac.plans import ORACLE, QUERIES, load_all
+    load_all()
+    for name in sorted(ORACLE):
+        if name.startswith(MODEL_OR_STREAM):
+            continue
+        text = plan_text(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert not any(p in text for p in PY_NODES), name
