@@ -63,3 +63,18 @@ def test_run_sql_cleans_caps_and_reports_errors(spark, sales):
     assert run_sql(spark, "```sql SELECT * FROM fact_sales```").count() == 50
     err = run_sql(spark, "SELECT nope FROM fact_sales").first()
     assert err["error"] and "nope" in err["error"]
+
+
+def test_star_write_read_roundtrip(spark, sales):
+    from tarmac.sources import star
+    fact = abc.with_abc_class(sales)
+    built = star.build_star(fact)
+    base = scratch_path(spark, "t-star")
+    star.write_star(built, base)
+    back = star.read_star(spark, base)
+    assert set(back) == set(star.STAR_TABLES)
+    flat = star.star_flat(back)
+    assert flat.count() == sales.count()
+    assert sorted(flat.columns) == sorted(fact.columns)
+    ids = back["fact_sales"].agg(F.min("txn_id"), F.max("txn_id"), F.count_distinct("txn_id")).first()
+    assert (ids[0], ids[1], ids[2]) == (1, sales.count(), sales.count())
