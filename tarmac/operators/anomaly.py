@@ -179,3 +179,18 @@ def anomaly_summary(anomalies: DataFrame) -> DataFrame:
         F.round(F.coalesce(F.avg(F.when(F.col("is_anomaly"), F.col("anomaly_score"))), F.lit(0.0)), 4)
         .alias("mean_flagged_score"),
     )
+
+
+def customer_month_anomalies(sales: DataFrame, contamination: float = 0.10, seed: int = 42,
+                             n_trees: int = 100) -> DataFrame:
+    """M4 on a feature table that grows with the data: revenue and units per
+    (customer, month). Trees see psi = 256 hashed samples each; every row is scored."""
+    feats = (sales.filter(F.col("Date").isNotNull() & F.col("Customer").isNotNull())
+             .groupBy("Customer", month_start("Date").alias("_m"))
+             .agg(money_sum("Revenue").alias("revenue"), F.sum(F.col("Units_Sold").cast("long")).alias("units"))
+             .select(F.concat_ws("|", "Customer", month_key("_m")).alias("key"),
+                     F.col("Customer").alias("customer"), month_key("_m").alias("month"), "revenue", "units"))
+    res = isolation_forest(feats, "key", ["revenue", "units"], n_trees=n_trees,
+                           contamination=contamination, seed=seed)
+    return res.select("customer", "month", F.round("revenue", 2).alias("revenue"), "units", "is_anomaly",
+                      F.round("anomaly_score", 4).alias("anomaly_score"))

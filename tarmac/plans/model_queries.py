@@ -230,3 +230,8 @@ def q_elasticity_t_stat(spark, d):
     """The t statistic of each slope (its p-value is the rows-only ``elasticity_pvalue``)."""
     fit = el.elasticity_fit(sales_view(spark, d))
     return fit.select(F.col("Category").alias("category"), "months", F.round("t_stat", 6).alias("t_stat"))
+
+
+@register("anomaly_customer_months")
+def q_anomaly_customer_months(spark, d):
+    return an.customer_month_anomalies(sales_view(spark, d))
