@@ -3,7 +3,8 @@
 Runs on ``local[$BENCH_CPUS]`` over ``$BENCH_SF_DIR`` (default sf0.1) and prints
 ONE JSON line. Mirrors how the analyses are served: the canonical sales fact is
 conformed once from the given tables (joins + ABC classes) and written as
-Parquet partitioned by Year (``load_fact``, timed); every analysis then reads
+Parquet partitioned by Year, then cached (``load_fact``: timed after one
+untimed warm-up load, like every query); every analysis then reads
 that fact (ABC classes are stored once per product and joined at read time).
 ``trend_from_tables`` times one analysis straight from the given
 tables (joins included) for comparison. Each query: one warm-up, then the
@@ -46,6 +47,8 @@ def main() -> None:
     from tarmac.sources.tables import sales_view
 
     spark.range(1000).groupBy().count().collect()  # JVM warm-up, not timed
+    # one untimed load first (class loading and code generation), as every query below gets a warm-up
+    materialize_fact(sales_view(spark, sf_dir), scratch_path(spark, "bench-fact-warmup"))
     fact_path = scratch_path(spark, "bench-fact")
     t0 = time.perf_counter()
     materialize_fact(sales_view(spark, sf_dir), fact_path)
