@@ -146,6 +146,16 @@ def load_raw_sales(spark: SparkSession, path: str) -> DataFrame:
     return with_abc_class(fact).select(*SALES_COLUMNS, *[c for c in fact.columns if c not in SALES_COLUMNS])
 
 
+def load_and_save_raw(spark: SparkSession, path: str, out_path: str) -> DataFrame:
+    """S3 + S4-S7 + S8 + S6 in one pass over the raw file: conform it, write the
+    canonical fact (partitioned by Year) and its product classes under ``out_path``,
+    and return the stored fact with ``ABC_Class``. Unlike ``load_raw_sales`` the raw
+    text is parsed once, not once for the classes and once for the rows."""
+    from tarmac.sources.fact import materialize_fact, read_fact
+    materialize_fact(conform(read_raw(spark, path)).select(*SALES_COLUMNS), out_path)
+    return read_fact(spark, out_path)
+
+
 def require_min_rows(df: DataFrame, n: int = MIN_ROWS) -> bool:
     """True when the fact holds at least ``n`` rows (counts at most n)."""
     return df.limit(n).count() >= n

@@ -78,3 +78,17 @@ def test_star_write_read_roundtrip(spark, sales):
     assert sorted(flat.columns) == sorted(fact.columns)
     ids = back["fact_sales"].agg(F.min("txn_id"), F.max("txn_id"), F.count_distinct("txn_id")).first()
     assert (ids[0], ids[1], ids[2]) == (1, sales.count(), sales.count())
+
+
+def test_load_and_save_raw_single_pass(spark, sales):
+    raw_path = scratch_path(spark, "t-raw")
+    raw = sales.select(F.col("Transaction_ID").alias("txn_id"), F.col("Date").alias("date"),
+                       F.col("Product_Name").alias("product"), F.col("Category").alias("category"),
+                       F.col("Region").alias("region"), F.col("Customer").alias("client"),
+                       F.col("Units_Sold").alias("units"), F.col("Unit_Price").alias("price"))
+    sinks.write_csv(raw, raw_path)
+    stored = ingest.load_and_save_raw(spark, raw_path, scratch_path(spark, "t-raw-fact"))
+    lazy = ingest.load_raw_sales(spark, raw_path)
+    assert stored.count() == sales.count()
+    key = ["Transaction_ID", "Product_Name", "ABC_Class"]
+    assert sorted(stored.select(*key).collect()) == sorted(lazy.select(*key).collect())
