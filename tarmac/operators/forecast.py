@@ -105,17 +105,14 @@ def fit_series(ds: np.ndarray, y: np.ndarray, periods: int, n_changepoints: int
     rng = np.random.default_rng(seed)
     lam = float(np.mean(np.abs(deltas))) + 1e-8 if len(deltas) else 1e-8
     rate = len(cps)  # changepoints per unit of scaled time in the history
-    sims = np.empty((samples, periods))
     horizon = f_t[-1] - 1.0 if periods else 0.0
-    for s in range(samples):
-        k_changes = rng.poisson(rate * horizon) if horizon > 0 else 0
-        trend_shift = np.zeros(periods)
-        if k_changes:
-            at = 1.0 + rng.uniform(0, horizon, k_changes)
-            size = rng.laplace(0.0, lam, k_changes)
-            for a, d in zip(at, size):
-                trend_shift += d * np.maximum(f_t - a, 0.0)
-        sims[s] = yhat + trend_shift + rng.normal(0.0, np.sqrt(sigma2), periods)
+    sims = yhat[None, :] + rng.normal(0.0, np.sqrt(sigma2), (samples, periods))
+    if horizon > 0 and rate > 0:
+        counts = rng.poisson(rate * horizon, samples)  # future changepoints per simulated path
+        owner = np.repeat(np.arange(samples), counts)
+        at = 1.0 + rng.uniform(0, horizon, owner.size)
+        size = rng.laplace(0.0, lam, owner.size)
+        np.add.at(sims, owner, size[:, None] * np.maximum(f_t[None, :] - at[:, None], 0.0))
     lo_q, hi_q = (1 - interval_width) / 2 * 100, (1 + interval_width) / 2 * 100
     lower = np.percentile(sims, lo_q, axis=0) if periods else np.array([])
     upper = np.percentile(sims, hi_q, axis=0) if periods else np.array([])

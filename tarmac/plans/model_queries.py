@@ -235,3 +235,9 @@ def q_elasticity_t_stat(spark, d):
 @register("anomaly_customer_months")
 def q_anomaly_customer_months(spark, d):
     return an.customer_month_anomalies(sales_view(spark, d))
+
+
+@register("forecast_by_product")
+def q_forecast_by_product(spark, d):
+    """M3a for every product series at once (one applyInPandas group per product)."""
+    return fc.forecast(sales_view(spark, d), 12, by="Product_Name")
