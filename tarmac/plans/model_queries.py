@@ -241,3 +241,9 @@ def q_anomaly_customer_months(spark, d):
 def q_forecast_by_product(spark, d):
     """M3a for every product series at once (one applyInPandas group per product)."""
     return fc.forecast(sales_view(spark, d), 12, by="Product_Name")
+
+
+@register("forecast_by_region")
+def q_forecast_by_region(spark, d):
+    """M3a per region series."""
+    return fc.forecast(sales_view(spark, d), 12, by="Region")
