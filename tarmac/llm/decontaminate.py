@@ -166,7 +166,7 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
 
 def _merged(spans):
     out = []
-    for lo, hi in sorted(spans):
+    for lo, hi in sorted(map(list, spans)):
         if out and lo <= out[-1][1]:
             out[-1] = [out[-1][0], max(hi, out[-1][1])]
         else:

@@ -35,7 +35,7 @@ FORMS = {
             "|[0-3][0-9](?:-[01][0-9]-|\\.[01][0-9]\\.)(?:19|20)[0-9]{2}|[01][0-9]/[0-3][0-9]/(?:19|20)[0-9]{2})"
             + _R + "(?![-/.][0-9])",
     "ssn": _L + "(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}" + _R + "(?!-[0-9])",
-    "phone": "(?:(?<![0-9A-Za-z(])\\([0-9]{3}\\) ?|" + _L + "(?<![0-9][-. ])[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}" + _R
+    "phone": "(?:(?<![0-9A-Za-z])\\([0-9]{3}\\) ?|" + _L + "(?<![0-9][-. ])[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}" + _R
              + "(?![-.][0-9])",
     "ip": _L + "(?<![0-9]\\.)(?:[0-9]{1,3}\\.){3}[0-9]{1,3}" + _R + "(?!\\.[0-9])",
     "card": _L + "[2-6][0-9]{3}(?:[0-9]{9,15}|(?: [0-9]{2,7}){2,4}|(?:-[0-9]{2,7}){2,4})" + _R,

@@ -118,10 +118,10 @@ win AS (
   SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS g
   FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM b WHERE len(w) > 0)),
 lens AS (SELECT DISTINCT n FROM win),
-at AS (
+spots AS (
   SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)),
-hit AS (SELECT doc_id, at.n, i, item FROM at JOIN win USING (g) WHERE at.n = win.n),
+hit AS (SELECT doc_id, spots.n, i, item FROM spots JOIN win USING (g) WHERE spots.n = win.n),
 words AS (SELECT doc_id, count(DISTINCT j) AS n_hit
           FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names

@@ -41,7 +41,7 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str = "text", bits: int
     """``keys`` (which name a row each) plus fp, an array of bits / 64 longs, for every row."""
     words = bits // 64
     exploded = rows.select(*keys, F.explode_outer(terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
-    length = F.least(F.length("term"), F.lit(LONGEST))
+    length = F.when(F.col("term").isNull(), 0).otherwise(F.least(F.length("term"), F.lit(LONGEST)))
     voted = exploded.select(*keys, (length * length).cast("long").alias("w"),
                             *[h.alias(f"h{k}") for k, h in enumerate(_hashes(F.col("term"), bits))])
     sums = [F.sum(F.shiftrightunsigned(f"h{k}", i).bitwiseAND(F.lit(LANES)) * F.col("w")).alias(f"v{k}_{i}")
