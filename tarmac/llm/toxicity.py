@@ -46,6 +46,7 @@ SUBSTITUTE, DIGIT, DROP, COLLAPSE, COLLAPSE_PAIR, KEEP_RUN, JOIN, BREAK = 1.0, 3
 BEAM = 24
 _RUN = re.compile(r"(.)\1")
 _RUN3 = re.compile(r"(.)\1\1")
+_PAIRS = re.compile(r"(?!.*(.)\1\1)(?=.*(.)\2)[^\W\d_]+\Z")  # letters only, pairs of the same one but no longer runs
 
 
 def _letter(c: str) -> bool:
@@ -162,6 +163,14 @@ def restored(word: str, model: CharModel) -> str:
     return viterbi(word.lstrip("\"'([{<*_-").rstrip(EDGE) or core, model)
 
 
+def readings(word: str) -> list[str]:
+    """What the lattice of a word with letter pairs only can spell: each pair kept or made one letter."""
+    out = [""]
+    for part in re.findall(r"(?:(.)\1|(.))", word):
+        out = [x + y for x in out for y in ((part[0] * 2, part[0]) if part[0] else (part[1],))]
+    return out
+
+
 def spaced(words: list[str]) -> list[str]:
     """Runs of three and more words of one character, each joined by spaces."""
     if len(words) < 3:
@@ -373,7 +382,12 @@ def score(documents: DataFrame, model: ToxicityModel, limit: float = 0.7) -> Dat
         def word(w):
             if len(known) > 300_000:
                 known.clear()
-            out = known[w] = tuple(f for x in restored(w, chars).split() for f in m.useful(x))
+            # With letter pairs as the only doubt there are few readings: none useful, no search.
+            if _PAIRS.match(w.strip(EDGE)) and not any(map(m.useful, readings(w.strip(EDGE)))):
+                out = ()
+            else:
+                out = tuple(f for x in restored(w, chars).split() for f in m.useful(x))
+            known[w] = out
             return out
 
         for b in batches:

@@ -78,6 +78,16 @@ def test_words(model, noisy, want):
     assert X.restored(noisy, model) == want
 
 
+def test_readings_of_pairs(model):
+    assert X._PAIRS.match("idiiott") and not X._PAIRS.match("idiiiot") and not X._PAIRS.match("idiot")
+    assert not X._PAIRS.match("1diiot")
+    for w in ("idiiott", "happy", "balloon", "aabb"):
+        assert set(X.readings(w)) >= {X.viterbi(w, model), w} and len(X.readings(w)) <= 4
+    for noisy in ("balloon", "idiiott"):
+        for r in X.readings(noisy):
+            assert cost_of(noisy, model, r) < math.inf
+
+
 def test_spaced_and_text(model):
     assert X.spaced("you i d i o t a b see".split()) == ["i d i o t a b"]
     assert X.spaced("a b see a".split()) == []
