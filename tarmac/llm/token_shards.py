@@ -33,8 +33,8 @@ from tarmac.session import scratch_path
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the published split pattern of the byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LENGTH = 1024  # ids in a sequence
-PER_SHARD = 4096  # sequences in a shard: 8 MB
+LENGTH = 2048  # ids in a sequence
+PER_SHARD = 4096  # sequences in a shard: 16 MB
 KEY = "training-order"
 ROUNDS = 4
 CACHE = 400_000  # pieces remembered by a worker
@@ -98,7 +98,7 @@ def sequences(documents: DataFrame, length: int = LENGTH, vocabulary_path: str =
         task, place = TaskContext.get().partitionId(), 0
         tok = _tokenizer(vocabulary_path)
         end = np.array([tok.end], "<u2").tobytes()
-        press = zstandard.ZstdCompressor(level=3).compress
+        press = zstandard.ZstdCompressor(level=6).compress
         size = 2 * length
         held, owners = bytearray(), []  # owners: (offset in held where a document begins, doc_id)
 
