@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.functions.columns import money_double, money_total, truncate_label
+from tarmac.functions.columns import money_double, money_total, ratio, truncate_label
 from tarmac.operators.bi import filter_sales
 from tarmac.operators.scale import bounded, fits_broadcast, running_total
 from tarmac.schema import ABC_A_LIMIT, ABC_B_LIMIT
@@ -36,7 +36,7 @@ def product_revenue(sales: DataFrame) -> DataFrame:
 def _cumulative(prod: DataFrame, small: bool) -> DataFrame:
     order = [F.col("_rev").desc(), F.col("name").asc()]
     run = running_total(prod, order, "_rev", "_cum", "_tot", small=small)
-    return run.withColumn("_share", money_double("_cum") / money_double("_tot"))
+    return run.withColumn("_share", ratio(money_double("_cum"), money_double("_tot")))  # null when nothing was sold
 
 
 def abc_products(sales: DataFrame, year=None) -> DataFrame:
@@ -68,7 +68,7 @@ def abc_summary(sales: DataFrame, year=None) -> DataFrame:
         "abc",
         F.coalesce("count", F.lit(0)).cast("long").alias("count"),
         F.round(F.coalesce(F.col("_r").cast("double"), F.lit(0.0)), 2).alias("revenue"),
-        F.round(F.coalesce(F.col("_r").cast("double") / tot.cast("double") * 100, F.lit(0.0)), 1)
+        F.round(F.coalesce(ratio("_r", tot) * 100, F.lit(0.0)), 1)
         .alias("revenue_pct"),
     ).orderBy("abc")
 

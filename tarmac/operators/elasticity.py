@@ -60,8 +60,10 @@ def elasticity_fit(sales: DataFrame) -> DataFrame:
                 F.corr(y, x).alias("r"))
            .filter(F.col("months") >= ELASTICITY_MIN_MONTHS))
     nu = F.col("months") - 2
-    t = F.col("r") * F.sqrt(nu / (1 - F.col("r") * F.col("r")))
-    return fit.withColumn("t_stat", t).withColumn("p", t_two_sided_p(F.col("t_stat"), nu))
+    rest = 1 - F.col("r") * F.col("r")
+    t = F.col("r") * F.sqrt(F.try_divide(nu.cast("double"), rest))  # null on a perfect fit, whose p is 0
+    return (fit.withColumn("t_stat", t)
+            .withColumn("p", F.when(rest <= 0, F.lit(0.0)).otherwise(t_two_sided_p(F.col("t_stat"), nu))))
 
 
 def elasticity(sales: DataFrame) -> DataFrame:

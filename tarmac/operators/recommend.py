@@ -46,7 +46,7 @@ def train_recommender(sales: DataFrame, rank: int = 32, reg: float = 0.1, iterat
     data = inter.join(maybe_broadcast(users), "customer").join(maybe_broadcast(items), "product") \
         .select("user", "item", "rating", "customer", "product").persist()
     spark = sales.sparkSession
-    blocks = max(1, min(10, spark.sparkContext.defaultParallelism))
+    blocks = max(1, spark.sparkContext.defaultParallelism)  # as many as the cluster runs at once
     als = ALS(rank=rank, regParam=reg, maxIter=iterations, implicitPrefs=True, seed=seed,
               userCol="user", itemCol="item", ratingCol="rating", numUserBlocks=blocks, numItemBlocks=blocks,
               coldStartStrategy="drop")

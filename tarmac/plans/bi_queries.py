@@ -178,13 +178,17 @@ def q_abc_fact_class(spark, d):
     return s.groupBy("Product_Name", "ABC_Class").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("region_category_matrix", f"""
-SELECT region, coalesce(COLUMNS(* EXCLUDE (region)), 0.0) FROM (
-  PIVOT (SELECT Region AS region, Category, Revenue FROM sales
-         WHERE Region IS NOT NULL AND Category IS NOT NULL AND Year = {CUR_YEAR})
-  ON Category USING round(CAST(SUM(CAST(Revenue AS DECIMAL(18,2))) AS DOUBLE), 2) GROUP BY region)""")
+# The values that become columns: the categories and order years of the given tables.
+CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+YEARS = list(range(1995, 2002))
+_CELL = "round(CAST(SUM(CASE WHEN {c} THEN CAST(Revenue AS DECIMAL(18,2)) END) AS DOUBLE){scale}, 2)"
+
+
+@register("region_category_matrix", "SELECT Region AS region, " + ", ".join(
+    f"""coalesce({_CELL.format(c=f"Category = '{c}'", scale='')}, 0.0) AS "{c}\"""" for c in CATEGORIES) + f"""
+FROM sales WHERE Region IS NOT NULL AND Category IS NOT NULL AND Year = {CUR_YEAR} GROUP BY Region""")
 def q_region_category_matrix(spark, d):
-    return bi.region_category_matrix(_sales(spark, d), year=CUR_YEAR)
+    return bi.region_category_matrix(_sales(spark, d), year=CUR_YEAR, categories=CATEGORIES)
 
 
 @register("region_category_rollup", f"""
@@ -231,12 +235,11 @@ def q_popular_by_region(spark, d):
     return bi.popular_by_region(_sales(spark, d), n=5)
 
 
-@register("yoy_by_month", """
-PIVOT (SELECT strftime(Date, '%m') AS month, Year AS year, round(CAST(SUM(CAST(Revenue AS DECIMAL(18,2))) AS DOUBLE) / 1e6, 2) AS m
-       FROM sales GROUP BY 1, 2)
-ON year USING first(m) GROUP BY month""")
+@register("yoy_by_month", "SELECT strftime(Date, '%m') AS month, " + ", ".join(
+    f"""{_CELL.format(c=f"Year = {y}", scale=' / 1e6')} AS "{y}\"""" for y in YEARS) + """
+FROM sales WHERE Date IS NOT NULL GROUP BY 1""")
 def q_yoy_by_month(spark, d):
-    return bi.yoy_by_month(_sales(spark, d))
+    return bi.yoy_by_month(_sales(spark, d), years=YEARS)
 
 
 @register("customers_top10", f"""

@@ -32,6 +32,7 @@ def con():
 def test_matches_oracle(spark, con, name):
     sdf = QUERIES[name](spark, SF_SMALL)
     srows = [tuple(r) for r in sdf.collect()]
+    con.execute(f"CREATE OR REPLACE TEMP VIEW result AS {ORACLE[name]}")  # the SQL must work as a view
     rel = con.sql(ORACLE[name])
     dtypes = dict(zip(rel.columns, [str(t) for t in rel.types]))
     res = con.execute(ORACLE[name])
