@@ -1,6 +1,6 @@
 """Column-expression helpers (JVM-side, codegen-friendly)."""
 
 from tarmac.functions.columns import (  # noqa: F401
-    cents, money, money_double, money_sum, money_total, ratio, month_key, month_start, months_between_starts, round_money, quarter_label, truncate_label,
+    money_double, money_sum, money_total, ratio, month_key, month_start, months_between_starts, quarter_label, truncate_label,
 )
 from tarmac.functions.stats import t_two_sided_p  # noqa: F401,E402

@@ -1,10 +1,11 @@
 """Scalar and aggregate column expressions shared by the operators.
 
-Money is summed exactly, as whole cents in a DECIMAL(18,0) (``rint(x * 100)``;
-the sum widens to DECIMAL(28,0), so it cannot overflow), and only then turned
-into a double. The sum is independent of summation order, so results are
-reproducible across partitionings and equal to a SQL engine summing
-DECIMAL(18,2). Integer cents avoid the slow double -> decimal cast per row.
+Money is summed exactly at eight decimals and only the result is rounded, so
+prices below a cent are not lost. A row adds its whole units to a long and its
+fraction, as a whole number of 1e-8, to a DECIMAL; the two sums meet in a
+DECIMAL(28,8). The sum is independent of summation order, so results are
+reproducible across partitionings and equal to a SQL engine summing decimals of
+eight places. Whole numbers avoid the slow double -> decimal cast per row.
 """
 
 from __future__ import annotations
@@ -12,31 +13,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(28,8)"
+FRACTIONS = 100_000_000  # parts of a unit of money that a sum keeps
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money(c) -> Column:
-    """A money value as an exact decimal."""
-    return _c(c).cast(MONEY)
-
-
-def cents(c) -> Column:
-    """A money value as whole cents, DECIMAL(18,0)."""
-    return F.rint(_c(c) * 100).cast("long").cast("decimal(18,0)")
-
-
 def money_total(c) -> Column:
-    """Exact sum of a money column in cents (for shares and running sums)."""
-    return F.sum(cents(c))
+    """Exact sum of a money column as DECIMAL(28,8) (for shares and running sums)."""
+    whole = F.floor(_c(c))
+    part = F.rint((_c(c) - whole) * FRACTIONS).cast("long").cast("decimal(18,0)")
+    parts = F.sum(part) * F.lit("0.00000001").cast("decimal(8,8)")
+    return (F.sum(whole).cast(MONEY) + parts.cast(MONEY)).cast(MONEY)
 
 
 def money_double(total) -> Column:
-    """A cents total as a double amount (correctly rounded)."""
-    return _c(total).cast("double") / 100
+    """A money total as a double amount (correctly rounded)."""
+    return _c(total).cast("double")
 
 
 def money_sum(c) -> Column:
@@ -49,10 +44,6 @@ def ratio(num, den) -> Column:
     return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))
 
 
-def round_money(c, digits: int = 2) -> Column:
-    return F.round(_c(c), digits)
-
-
 def month_start(c) -> Column:
     """First day of the month of a date."""
     return F.trunc(_c(c), "MM")

@@ -83,10 +83,12 @@ def kpis(sales: DataFrame, year=None, category=None, region=None,
     if _given(region):
         cond = cond & (F.col("Region") == str(region))
     rev_in = F.when(cond, F.col("Revenue"))
-    agg = sales.agg(
+    # rows outside the filter count only for the two growth years; the scan drops the rest
+    agg = sales.filter(cond | F.col("Year").isin(current_year, base_year)).agg(
         F.coalesce(money_sum(rev_in), F.lit(0.0)).alias("_rev"),
         F.coalesce(F.sum(F.when(cond, F.col("Units_Sold").cast("long"))), F.lit(0)).cast("long").alias("total_units"),
         F.count(F.when(cond, F.lit(1))).alias("total_transactions"),
+        F.count(rev_in).alias("_sold"),  # the mean skips rows without revenue
         F.count_distinct(F.when(cond, F.col("Customer"))).alias("unique_customers"),
         F.coalesce(money_sum(F.when(F.col("Year") == current_year, F.col("Revenue"))), F.lit(0.0)).alias("_cur"),
         F.coalesce(money_sum(F.when(F.col("Year") == base_year, F.col("Revenue"))), F.lit(0.0)).alias("_prv"),
@@ -95,7 +97,7 @@ def kpis(sales: DataFrame, year=None, category=None, region=None,
         F.round("_rev", 2).alias("total_revenue"),
         "total_units",
         "total_transactions",
-        F.round(ratio("_rev", "total_transactions"), 2).alias("avg_order_value"),
+        F.round(ratio("_rev", "_sold"), 2).alias("avg_order_value"),
         "unique_customers",
         F.round(F.coalesce(ratio(F.col("_cur") - F.col("_prv"), "_prv"), F.lit(0.0)), 2).alias("yoy_growth"),
     )
@@ -114,7 +116,7 @@ def revenue_share(sales: DataFrame, key: str, year=None, category=None, region=N
         F.sum(F.col("Units_Sold").cast("long")).alias("units"),
     ).filter(F.col("name").isNotNull()).persist()
     total = grp.agg(F.sum("_rev")).first()[0]
-    total_lit = F.lit(total).cast("decimal(38,0)") if total is not None else F.lit(None).cast("decimal(38,0)")
+    total_lit = F.lit(total).cast("decimal(38,8)")
     return grp.select(
         "name",
         F.round(money_double("_rev"), 2).alias("revenue"),
@@ -194,7 +196,7 @@ def customers_table(sales: DataFrame, year=None, region=None) -> DataFrame:
     d = filter_sales(sales, year, None, region)
     return (d.groupBy(F.col("Customer").alias("customer"), F.col("Region").alias("region"))
             .agg(F.round(money_sum("Revenue"), 2).alias("revenue"),
-                 F.count(F.lit(1)).alias("transactions"),
+                 F.count("Transaction_ID").alias("transactions"),
                  F.sum(F.col("Units_Sold").cast("long")).alias("units"))
             .filter(F.col("customer").isNotNull() & F.col("region").isNotNull())
             .orderBy(F.desc("revenue"), "customer"))

@@ -23,8 +23,8 @@ from tarmac.functions.columns import money_sum, month_key, month_start, months_b
 from tarmac.operators.scale import average_rank_pct, bounded, exact_quantiles
 from tarmac.schema import SEGMENT_ELSE, SEGMENTS
 
-# (column, ascending-is-better?) -- Recency is reversed: small recency scores high.
-RFM_COLUMNS = [("Recency", True), ("Frequency", False), ("Monetary", False)]
+# Column -> scores of its bins from the lowest values up: recent buyers (few days) score high.
+RFM_LABELS = {"Recency": (4, 3, 2, 1), "Frequency": (1, 2, 3, 4), "Monetary": (1, 2, 3, 4)}
 
 
 def default_snapshot(sales: DataFrame) -> _dt.date:
@@ -44,21 +44,20 @@ def rfm_base(sales: DataFrame, snapshot=None) -> DataFrame:
             .groupBy("Customer")
             .agg(F.min_by("Region", first_seen).alias("Region"),
                  F.datediff(F.lit(snapshot), F.max("Date")).alias("Recency"),
-                 F.count(F.lit(1)).alias("Frequency"),
+                 F.count("Transaction_ID").alias("Frequency"),
                  money_sum("Revenue").alias("Monetary")))
 
 
-def _bin_score(c: str, edges: list[float], labels: list[int]) -> Column:
-    """Right-closed bins over ``edges``; the lowest edge is included."""
-    expr = F.lit(labels[len(edges) - 2])
-    for k in range(len(edges) - 2, 0, -1):
-        expr = F.when(F.col(c) <= F.lit(edges[k]), F.lit(labels[k - 1])).otherwise(expr)
-    return expr
+def _bin_score(c: str, edges: list[float], labels) -> Column:
+    """The label of the right-closed bin over ``edges``: one bin further for each inner edge below the value."""
+    passed = sum(((F.col(c) > F.lit(e)).cast("int") for e in edges[1:-1]), F.lit(0))
+    return F.element_at(F.array(*[F.lit(x) for x in labels[:len(edges) - 1]]), passed + 1)
 
 
-def _rank_score(pct: Column, reverse: bool) -> Column:
-    x = (1 - pct) if reverse else pct
-    return F.least(F.lit(4), F.greatest(F.lit(1), F.floor(x * 3.99).cast("int")))
+def _rank_score(pct: Column, labels) -> Column:
+    """Percent rank stretched over 1..4, counted from the end whose label is lowest."""
+    share = pct if labels[0] < labels[-1] else 1 - pct
+    return F.greatest(F.lit(1), F.least(F.lit(4), F.floor(share * 3.99).cast("int")))
 
 
 def rfm_scores(base: DataFrame, force_rank: bool = False) -> DataFrame:
@@ -72,23 +71,20 @@ def rfm_scores(base: DataFrame, force_rank: bool = False) -> DataFrame:
     """
     base = base.persist()
     small = bounded(base)
-    distinct = base.agg(*[F.count_distinct(c).alias(c) for c, _ in RFM_COLUMNS]).first()
-    qs = {c: min(4, int(distinct[c])) for c, _ in RFM_COLUMNS}
-    probs = {c: [k / q for k in range(q + 1)] for c, q in qs.items() if q >= 2 and not force_rank}
-    edges = exact_quantiles(base, probs, small=small)
+    levels = base.agg(*[F.count_distinct(c).alias(c) for c in RFM_LABELS]).first().asDict()
+    bins = {} if force_rank else {c: min(4, n) for c, n in levels.items()}
+    edges = exact_quantiles(base, {c: [k / q for k in range(q + 1)] for c, q in bins.items() if q >= 2}, small=small)
     out = base
-    for c, asc in RFM_COLUMNS:
-        labels = [4, 3, 2, 1] if asc else [1, 2, 3, 4]
-        q = qs[c]
-        score = f"{c}_Score"
-        e = edges.get(c)
-        if not force_rank and q <= 1:
-            out = out.withColumn(score, F.lit(labels[0]))
-        elif not force_rank and e and len(set(e)) == len(e):
-            out = out.withColumn(score, _bin_score(c, e, labels[:q]))
+    for c, labels in RFM_LABELS.items():
+        cut = edges.get(c, [])
+        if bins.get(c, 2) < 2:
+            score = F.lit(labels[0])
+        elif cut and len(cut) == len(set(cut)):
+            score = _bin_score(c, cut, labels)
         else:
-            out = average_rank_pct(out, c, "_pct", small=small) \
-                .withColumn(score, _rank_score(F.col("_pct"), asc)).drop("_pct")
+            out = average_rank_pct(out, c, "_pct", small=small)
+            score = _rank_score(F.col("_pct"), labels)
+        out = out.withColumn(f"{c}_Score", score).drop("_pct")
     total = F.col("Recency_Score") + F.col("Frequency_Score") + F.col("Monetary_Score")
     out = out.withColumn("RFM_Score", total)
     seg = F.lit(SEGMENT_ELSE)

@@ -11,8 +11,8 @@ in two phases over range partitions:
 2. per-partition totals (one row per partition), their prefix sums over that
    tiny frame, broadcast back and added to the in-partition running values.
 
-Range partitioning splits on the whole order key, so one hot value does not
-force all its rows into one task beyond what its own rows need.
+Quantiles and ranks run over (value, count) rows, which a partial aggregate makes
+before any shuffle, so a value that most rows share is one row there.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarmac.session import ensure_checkpoint_dir
 
@@ -42,10 +43,10 @@ def broadcast_rows(spark) -> int:
 
 
 def bounded(df: DataFrame, limit: int | None = None) -> bool:
-    """True when ``df`` has at most ``limit`` rows (stops counting after limit + 1)."""
+    """True when ``df`` has at most ``limit`` rows (a partial count; no row leaves its task)."""
     if limit is None:
         limit = small_rows(df.sparkSession)
-    return df.limit(limit + 1).count() <= limit
+    return df.count() <= limit
 
 
 def fits_broadcast(df: DataFrame) -> bool:
@@ -83,14 +84,20 @@ def running_total(df: DataFrame, order: list[Column], value: str, out: str,
             res = res.withColumn(total_out, F.sum(value).over(Window.partitionBy()))
         return res
     ranged = _ranged(df, order)
+    kind = df.schema[value].dataType  # a decimal sum widens; back to its own type, sums of two keep every digit
+
+    def summed(w=None):
+        s = F.sum(value) if w is None else F.sum(value).over(w)
+        return s.cast(kind) if isinstance(kind, T.DecimalType) else s
+
     local = ranged.withColumn("__rt_pid", F.spark_partition_id())
     w_local = Window.partitionBy("__rt_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = local.withColumn("__rt_local", F.sum(value).over(w_local))
-    totals = ranged.groupBy(F.spark_partition_id().alias("__rt_pid")).agg(F.sum(value).alias("__rt_ptot"))
+    local = local.withColumn("__rt_local", summed(w_local))
+    totals = ranged.groupBy(F.spark_partition_id().alias("__rt_pid")).agg(summed().alias("__rt_ptot"))
     w_off = Window.orderBy("__rt_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "__rt_pid",
-        F.coalesce(F.sum("__rt_ptot").over(w_off), F.lit(0).cast(totals.schema["__rt_ptot"].dataType)).alias("__rt_off"),
+        F.coalesce(F.sum("__rt_ptot").over(w_off), F.lit(0)).cast(totals.schema["__rt_ptot"].dataType).alias("__rt_off"),
         F.sum("__rt_ptot").over(Window.partitionBy()).alias("__rt_grand"),
     )
     res = local.join(F.broadcast(offsets), "__rt_pid").withColumn(out, F.col("__rt_off") + F.col("__rt_local"))
@@ -140,8 +147,9 @@ def exact_quantiles(df: DataFrame, probs: dict[str, list[float]],
     """Linear-interpolation quantiles (numpy's default) per column: ``{col: probs}``.
 
     Under the size bound one ``percentile`` aggregate computes all of them in a
-    single job; above it each column is ranked with ``ordered_row_id`` and only
-    the 2 x len(probs) rows at the needed positions come back to the driver.
+    single job; above it a running count over the distinct values of each column
+    finds the values at the 2 x len(probs) needed positions, which come back to
+    the driver.
     """
     probs = {c: p for c, p in probs.items() if p}
     if not probs:
@@ -154,14 +162,17 @@ def exact_quantiles(df: DataFrame, probs: dict[str, list[float]],
         return {c: [float(v) for v in row[c]] if row[c] is not None else [] for c in probs}
     result = {}
     for c, ps in probs.items():
-        vals = df.select(F.col(c).cast("double").alias("v")).filter(F.col("v").isNotNull())
-        n = vals.count()
-        if n == 0:
+        counts = (df.select(F.col(c).cast("double").alias("v")).filter(F.col("v").isNotNull())
+                  .groupBy("v").agg(F.count(F.lit(1)).alias("cnt")))
+        run = running_total(counts, [F.col("v").asc()], "cnt", "cum", small=False)
+        n = run.agg(F.max("cum")).first()[0]
+        if not n:
             result[c] = []
             continue
         wanted = sorted({p for q in ps for p in (math.floor((n - 1) * q), math.ceil((n - 1) * q))})
-        ranked = ordered_row_id(vals, [F.col("v").asc()], "pos", start=0, small=False)
-        picked = {r["pos"]: r["v"] for r in ranked.filter(F.col("pos").isin(wanted)).select("pos", "v").collect()}
+        hits = F.filter(F.array(*[F.lit(p).cast("long") for p in wanted]),
+                        lambda p: (p < F.col("cum")) & (p >= F.col("cum") - F.col("cnt")))
+        picked = {r["pos"]: r["v"] for r in run.select(F.explode(hits).alias("pos"), "v").collect()}
         result[c] = [_interp(picked, n, q) for q in ps]
     return result
 
@@ -177,5 +188,4 @@ def average_rank_pct(df: DataFrame, value: str, out: str, small: bool | None = N
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col(value).isNotNull())
     run = running_total(counts, [F.col(value).asc()], "_cnt", "_cum", "_all", small=small)
     ranks = run.select(value, ((F.col("_cum") - (F.col("_cnt") - 1) / 2.0) / F.col("_all")).alias(out))
-    joined = df.join(F.broadcast(ranks) if small else ranks, value, "left")
-    return joined
+    return df.join(ranks, value, "left")

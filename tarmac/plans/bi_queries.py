@@ -15,7 +15,7 @@ F_YEAR, F_CATEGORY, F_REGION = 1998, "PROMO", "ASIA"
 
 # S6 product classes in SQL (unrounded share), and the fact with its class.
 ABC_CTES = f"""
-prod AS (SELECT Product_Name AS name, SUM(CAST(Revenue AS DECIMAL(18,2))) AS rev
+prod AS (SELECT Product_Name AS name, SUM(CAST(Revenue AS DECIMAL(28,8))) AS rev
          FROM sales WHERE Product_Name IS NOT NULL GROUP BY 1),
 cum AS (SELECT name, CAST(SUM(rev) OVER (ORDER BY rev DESC, name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
                      / CAST(SUM(rev) OVER () AS DOUBLE) AS share FROM prod),
@@ -55,8 +55,8 @@ SELECT round(coalesce({msum()}, 0.0), 2) AS total_revenue,
 FROM sales WHERE {where}"""
 
 
-_YOY_CTE = f"""yoy AS (SELECT coalesce(CAST(SUM(CAST(Revenue AS DECIMAL(18,2))) FILTER (WHERE Year = {CUR_YEAR}) AS DOUBLE), 0.0) AS cur,
-                          coalesce(CAST(SUM(CAST(Revenue AS DECIMAL(18,2))) FILTER (WHERE Year = {BASE_YEAR}) AS DOUBLE), 0.0) AS prv
+_YOY_CTE = f"""yoy AS (SELECT coalesce(CAST(SUM(CAST(Revenue AS DECIMAL(28,8))) FILTER (WHERE Year = {CUR_YEAR}) AS DOUBLE), 0.0) AS cur,
+                          coalesce(CAST(SUM(CAST(Revenue AS DECIMAL(28,8))) FILTER (WHERE Year = {BASE_YEAR}) AS DOUBLE), 0.0) AS prv
                    FROM sales)"""
 
 
@@ -74,7 +74,7 @@ def _share_sql(key: str, where: str) -> str:
     return f"""
 SELECT name, round(CAST(r AS DOUBLE), 2) AS revenue, units,
        round(CAST(r AS DOUBLE) / NULLIF(CAST(SUM(r) OVER () AS DOUBLE), 0) * 100, 1) AS pct
-FROM (SELECT {key} AS name, SUM(CAST(Revenue AS DECIMAL(18,2))) AS r, CAST(SUM(Units_Sold) AS BIGINT) AS units
+FROM (SELECT {key} AS name, SUM(CAST(Revenue AS DECIMAL(28,8))) AS r, CAST(SUM(Units_Sold) AS BIGINT) AS units
       FROM sales WHERE {key} IS NOT NULL AND {where} GROUP BY 1) g"""
 
 
@@ -113,7 +113,7 @@ def q_trend_last_12(spark, d):
 def _products_sql(where: str, with_price: bool) -> str:
     price = ", round(avg(Unit_Price), 0) AS avg_price" if with_price else ""
     return f"""
-SELECT Product_Name AS name, Category AS category, ABC_Class AS abc, SUM(CAST(Revenue AS DECIMAL(18,2))) AS r,
+SELECT Product_Name AS name, Category AS category, ABC_Class AS abc, SUM(CAST(Revenue AS DECIMAL(28,8))) AS r,
        round({msum()}, 2) AS revenue, CAST(SUM(Units_Sold) AS BIGINT) AS units{price}
 FROM sales_abc WHERE Product_Name IS NOT NULL AND Category IS NOT NULL AND {where} GROUP BY 1, 2, 3"""
 
@@ -147,7 +147,7 @@ def q_products_sorted(spark, d):
 
 
 _ABC_PRODUCTS_SQL = """
-p AS (SELECT Product_Name AS name, SUM(CAST(Revenue AS DECIMAL(18,2))) AS rev FROM sales
+p AS (SELECT Product_Name AS name, SUM(CAST(Revenue AS DECIMAL(28,8))) AS rev FROM sales
       WHERE Product_Name IS NOT NULL AND {where} GROUP BY 1),
 c AS (SELECT name, rev, round(CAST(SUM(rev) OVER (ORDER BY rev DESC, name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
                           / CAST(SUM(rev) OVER () AS DOUBLE) * 100, 2) AS cumulative_pct FROM p),
@@ -181,7 +181,7 @@ def q_abc_fact_class(spark, d):
 # The values that become columns: the categories and order years of the given tables.
 CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 YEARS = list(range(1995, 2002))
-_CELL = "round(CAST(SUM(CASE WHEN {c} THEN CAST(Revenue AS DECIMAL(18,2)) END) AS DOUBLE){scale}, 2)"
+_CELL = "round(CAST(SUM(CASE WHEN {c} THEN CAST(Revenue AS DECIMAL(28,8)) END) AS DOUBLE){scale}, 2)"
 
 
 @register("region_category_matrix", "SELECT Region AS region, " + ", ".join(
@@ -218,7 +218,7 @@ def q_customers_region(spark, d):
 @register("customer_top_products", """
 SELECT customer, product, round(CAST(r AS DOUBLE), 2) AS revenue, rank FROM (
   SELECT customer, product, r, CAST(row_number() OVER (PARTITION BY customer ORDER BY r DESC, product) AS INTEGER) AS rank
-  FROM (SELECT Customer AS customer, Product_Name AS product, SUM(CAST(Revenue AS DECIMAL(18,2))) AS r FROM sales
+  FROM (SELECT Customer AS customer, Product_Name AS product, SUM(CAST(Revenue AS DECIMAL(28,8))) AS r FROM sales
         WHERE Customer IS NOT NULL AND Product_Name IS NOT NULL GROUP BY 1, 2) g) t
 WHERE rank <= 5""")
 def q_customer_top_products(spark, d):
@@ -228,7 +228,7 @@ def q_customer_top_products(spark, d):
 @register("popular_by_region", """
 SELECT region, product, round(CAST(r AS DOUBLE), 2) AS revenue, rank FROM (
   SELECT region, product, r, CAST(row_number() OVER (PARTITION BY region ORDER BY r DESC, product) AS INTEGER) AS rank
-  FROM (SELECT Region AS region, Product_Name AS product, SUM(CAST(Revenue AS DECIMAL(18,2))) AS r FROM sales
+  FROM (SELECT Region AS region, Product_Name AS product, SUM(CAST(Revenue AS DECIMAL(28,8))) AS r FROM sales
         WHERE Region IS NOT NULL AND Product_Name IS NOT NULL GROUP BY 1, 2) g) t
 WHERE rank <= 5""")
 def q_popular_by_region(spark, d):

@@ -13,7 +13,7 @@ _RFM_BASE = f"""
 base AS (SELECT Customer, arg_min(Region, strftime(Date, '%Y%m%d') || Transaction_ID) AS Region,
                 CAST(date_diff('day', max(Date), DATE '{SNAPSHOT}') AS INTEGER) AS Recency,
                 COUNT(*) AS Frequency,
-                CAST(SUM(CAST(Revenue AS DECIMAL(18,2))) AS DOUBLE) AS Monetary
+                CAST(SUM(CAST(Revenue AS DECIMAL(28,8))) AS DOUBLE) AS Monetary
          FROM sales WHERE Customer IS NOT NULL GROUP BY Customer),
 e AS (SELECT quantile_cont(Recency, [0, 0.25, 0.5, 0.75, 1]) AS er,
              quantile_cont(Frequency, [0, 0.25, 0.5, 0.75, 1]) AS ef,

@@ -142,14 +142,14 @@ SELECT * FROM (
   UNION ALL SELECT 3, 'Transactions', format('{{:,}}', n) FROM k
   UNION ALL SELECT 4, 'Avg Order Value', '$' || format('{{:,.0f}}', r / n) FROM k
   UNION ALL SELECT 5, 'Customers', CAST(c AS VARCHAR) FROM k)""",
-          """k AS (SELECT CAST(SUM(CAST(Revenue AS DECIMAL(18,2))) AS DOUBLE) AS r, CAST(SUM(Units_Sold) AS BIGINT) AS u,
+          """k AS (SELECT CAST(SUM(CAST(Revenue AS DECIMAL(28,8))) AS DOUBLE) AS r, CAST(SUM(Units_Sold) AS BIGINT) AS u,
                   COUNT(*) AS n, COUNT(DISTINCT Customer) AS c FROM sales)""")
 def q_kpi_export(spark, d):
     return sinks.kpi_export(sales_view(spark, d))
 
 
 @register("export_customers", """
-SELECT Customer, Region, round(CAST(SUM(CAST(Revenue AS DECIMAL(18,2))) AS DOUBLE), 2) AS Revenue,
+SELECT Customer, Region, round(CAST(SUM(CAST(Revenue AS DECIMAL(28,8))) AS DOUBLE), 2) AS Revenue,
        COUNT(*) AS Transactions FROM sales WHERE Year = 2000 GROUP BY 1, 2""")
 def q_export_customers(spark, d):
     from tarmac.operators.bi import filter_sales
@@ -157,7 +157,7 @@ def q_export_customers(spark, d):
 
 
 @register("export_products", """
-SELECT Product_Name, Category, ABC_Class, round(CAST(SUM(CAST(Revenue AS DECIMAL(18,2))) AS DOUBLE), 2) AS Revenue,
+SELECT Product_Name, Category, ABC_Class, round(CAST(SUM(CAST(Revenue AS DECIMAL(28,8))) AS DOUBLE), 2) AS Revenue,
        CAST(SUM(Units_Sold) AS BIGINT) AS Units, round(avg(Unit_Price), 4) AS AvgPrice
 FROM sales_abc GROUP BY 1, 2, 3""", ABC_CTES)
 def q_export_products(spark, d):
@@ -189,6 +189,19 @@ def q_csv_ingest(spark, d):
     return ingest.load_raw_sales(spark, path)
 
 
+@register("default_revenue", """
+SELECT l_returnflag AS category, COUNT(*) AS rows,
+       round(CAST(SUM(CAST(l_quantity * (38000.0 / 6) AS DECIMAL(28,8))) AS DOUBLE), 2) AS revenue
+FROM lineitem GROUP BY 1""")
+def q_default_revenue(spark, d):
+    """S5f + S5g + money: revenue from default prices, which have parts below a cent, sums to the cent."""
+    from tarmac.functions.columns import money_sum
+    sales = ingest.conform(_raw_lineitem(spark, d).drop("date").withColumn("date", F.lit("2024-01-01"))
+                           .withColumn("id", F.lit("-")))
+    return sales.groupBy(F.col("Category").alias("category")).agg(
+        F.count(F.lit(1)).alias("rows"), F.round(money_sum("Revenue"), 2).alias("revenue"))
+
+
 @register("star_schema")
 def q_star_schema(spark, d):
     """(table, column, type) of the star tables built from the given tables."""

@@ -126,7 +126,7 @@ def _recommender(spark, d):
 
 
 @register("interactions", """
-SELECT Customer AS customer, Product_Name AS product, round(ln(1 + CAST(SUM(CAST(Revenue AS DECIMAL(18,2))) AS DOUBLE)), 6) AS rating
+SELECT Customer AS customer, Product_Name AS product, round(ln(1 + CAST(SUM(CAST(Revenue AS DECIMAL(28,8))) AS DOUBLE)), 6) AS rating
 FROM sales WHERE Customer IS NOT NULL AND Product_Name IS NOT NULL GROUP BY 1, 2""")
 def q_interactions(spark, d):
     return rc.interactions(sales_view(spark, d)).withColumn("rating", F.round("rating", 6))

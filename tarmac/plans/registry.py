@@ -35,7 +35,7 @@ def with_sales(body: str, ctes: str = "") -> str:
 
 
 # SQL snippets shared by several oracle queries.
-MONEY_SUM = "CAST(SUM(CAST({c} AS DECIMAL(18,2))) AS DOUBLE)"
+MONEY_SUM = "CAST(SUM(CAST({c} AS DECIMAL(28,8))) AS DOUBLE)"
 
 
 def msum(c: str = "Revenue") -> str:

@@ -63,61 +63,51 @@ def parse_date(c) -> F.Column:
     return F.coalesce(F.try_to_date(col.cast("string")), F.to_date(F.try_to_timestamp(col.cast("string"))))
 
 
-def price_table(spark: SparkSession) -> DataFrame:
-    """S5f lookup table (category -> price), a fixed six-row table."""
-    return spark.createDataFrame(list(PRICE_TABLE.items()), "Category string, _price double")
+def _price(category: str) -> F.Column:
+    """S5f: the price of a category from the fixed table, else the mean of the table."""
+    entries = [F.lit(x) for pair in PRICE_TABLE.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*entries), F.col(category)), F.lit(PRICE_FALLBACK))
+
+
+# Column -> its default, in layers: the expressions of a layer may use the columns of the layers before it.
+_BY_POSITION = {
+    "Transaction_ID": lambda: F.format_string("TXN-%05d", F.col("_pos") + 1),
+    "Date": lambda: F.date_add(F.lit(DEFAULT_FIRST_DATE).cast("date"), F.col("_pos").cast("int")),
+}
+_DEFAULT_LAYERS = [
+    {
+        **{c: lambda text=text: F.lit(text) for c, text in [
+            ("Product_Name", DEFAULT_PRODUCT), ("Category", DEFAULT_CATEGORY), ("Region", DEFAULT_REGION),
+            ("Customer", DEFAULT_CUSTOMER)]},
+        "Units_Sold": lambda: F.lit(1),
+        "ABC_Class": lambda: F.lit(None).cast("string"),
+        "Year": lambda: F.year(parse_date("Date")),
+        "Month": lambda: F.month(parse_date("Date")),
+        "Month_Name": lambda: F.date_format(parse_date("Date"), "MMM"),
+        "Quarter": lambda: quarter_label(parse_date("Date")),
+    },
+    {"Unit_Price": lambda: _price("Category")},
+    {"Revenue": lambda: F.col("Units_Sold") * F.col("Unit_Price")},
+]
 
 
 def fill_defaults(df: DataFrame) -> DataFrame:
-    """Add missing canonical columns, in canonical order, each derived from
-    the ones before it: S5a Transaction_ID ``TXN-%05d`` and S5b Date (first
-    default date + position) from a dense distributed row id in read order (W8);
-    S5c Year/Month/Month_Name/Quarter from Date; S5d text defaults; S5e units 1;
-    S5f per-row price lookup (broadcast of the six-row price table, mean of the
-    table otherwise); S5g Revenue = units x price; S5h ABC_Class null.
+    """Missing canonical columns get their defaults; present ones stay as they are.
+
+    S5a id and S5b date follow a dense distributed row id in read order (W8);
+    S5c calendar columns follow Date; S5d text defaults; S5e units 1; S5f price
+    by category; S5g Revenue = units x price; S5h ABC_Class null.
     """
-    out = df
-    have = set(df.columns)
-    needs_pos = "Transaction_ID" not in have or "Date" not in have
-    if needs_pos:
-        out = ordered_row_id(out, None, "_pos", start=0)
-    for c in SALES_COLUMNS:
-        if c in have:
-            continue
-        if c == "Transaction_ID":
-            out = out.withColumn(c, F.format_string("TXN-%05d", F.col("_pos") + 1))
-        elif c == "Date":
-            out = out.withColumn(c, F.date_add(F.lit(DEFAULT_FIRST_DATE).cast("date"), F.col("_pos").cast("int")))
-        elif c == "Year":
-            out = out.withColumn(c, F.year(parse_date("Date")))
-        elif c == "Month":
-            out = out.withColumn(c, F.month(parse_date("Date")))
-        elif c == "Month_Name":
-            out = out.withColumn(c, F.date_format(parse_date("Date"), "MMM"))
-        elif c == "Quarter":
-            out = out.withColumn(c, quarter_label(parse_date("Date")))
-        elif c == "Product_Name":
-            out = out.withColumn(c, F.lit(DEFAULT_PRODUCT))
-        elif c == "Category":
-            out = out.withColumn(c, F.lit(DEFAULT_CATEGORY))
-        elif c == "Region":
-            out = out.withColumn(c, F.lit(DEFAULT_REGION))
-        elif c == "Customer":
-            out = out.withColumn(c, F.lit(DEFAULT_CUSTOMER))
-        elif c == "Units_Sold":
-            out = out.withColumn(c, F.lit(1))
-        elif c == "Unit_Price":
-            prices = F.broadcast(price_table(df.sparkSession))
-            out = out.join(prices, "Category", "left") \
-                .withColumn(c, F.coalesce(F.col("_price"), F.lit(PRICE_FALLBACK))).drop("_price")
-        elif c == "Revenue":
-            out = out.withColumn(c, F.col("Units_Sold") * F.col("Unit_Price"))
-        elif c == "ABC_Class":
-            out = out.withColumn(c, F.lit(None).cast("string"))
-        have.add(c)
-    if needs_pos:
-        out = out.drop("_pos")
-    return out
+    def absent(frame, layer):
+        return {c: make() for c, make in layer.items() if c not in frame.columns}
+
+    if any(c not in df.columns for c in _BY_POSITION):
+        numbered = ordered_row_id(df, None, "_pos", start=0)
+        df = numbered.withColumns(absent(numbered, _BY_POSITION)).drop("_pos")
+    for layer in _DEFAULT_LAYERS:
+        missing = absent(df, layer)
+        df = df.withColumns(missing) if missing else df
+    return df
 
 
 def conform(df: DataFrame) -> DataFrame:

@@ -78,10 +78,13 @@ def dim_date(sales: DataFrame, existing: DataFrame | None = None) -> DataFrame:
 
 def fact_sales(sales: DataFrame, products: DataFrame, customers: DataFrame,
                start_id: int = 1) -> DataFrame:
-    """S10 + J5: fact rows with foreign keys; txn_id dense in (Date, Transaction_ID) order."""
+    """S10 + J5: fact rows with foreign keys; txn_id dense in (Date, Transaction_ID) order.
+
+    A row without a product, customer or date stays, with a null key.
+    """
     p = maybe_broadcast(products.select(F.col("product_name").alias("Product_Name"), "product_id"))
     c = maybe_broadcast(customers.select(F.col("customer_name").alias("Customer"), "customer_id"))
-    f = sales.join(p, "Product_Name").join(c, "Customer")
+    f = sales.join(p, "Product_Name", "left").join(c, "Customer", "left")
     f = f.select(F.col("Transaction_ID").alias("txn_code"), date_key("Date").alias("date_id"),
                  "product_id", "customer_id", F.col("Units_Sold").alias("units_sold"),
                  F.col("Unit_Price").alias("unit_price"), F.col("Revenue").alias("revenue"),
@@ -136,12 +139,12 @@ def read_star_jdbc(spark: SparkSession, url: str, properties: dict | None = None
 
 
 def star_flat(star: dict[str, DataFrame]) -> DataFrame:
-    """S12 + J1: the flat fact from the star (three inner equi-joins)."""
+    """S12 + J1: the flat fact from the star (three equi-joins; a null key gives null attributes)."""
     f = star["fact_sales"]
     d = F.broadcast(star["dim_date"])  # one row per calendar day
     p = maybe_broadcast(star["dim_product"])
     c = maybe_broadcast(star["dim_customer"])
-    j = f.join(d, "date_id").join(p, "product_id").join(c, "customer_id")
+    j = f.join(d, "date_id", "left").join(p, "product_id", "left").join(c, "customer_id", "left")
     return j.select(
         F.col("txn_code").alias("Transaction_ID"), F.col("date").alias("Date"), F.col("year").alias("Year"),
         F.col("month").alias("Month"), F.col("month_name").alias("Month_Name"), F.col("quarter").alias("Quarter"),

@@ -3,17 +3,21 @@
 New batch files landing in a folder are picked up by a file-source stream; each
 file is one batch (its ``batch`` partition value). In ``foreachBatch`` every
 batch of the micro-batch is validated as a unit with the five batch rules (one
-grouped aggregate for all of them); passing batches are appended to the stored
+grouped aggregate for all of them); passing batches are added to the stored
 fact (partitioned by Year), failing ones are diverted whole to a quarantine
-folder with the micro-batch id, and the per-batch reports are appended to a
-report table. A trigger may take many files (``max_files``), so a backlog costs
+folder, and the per-batch reports are added to a report table. A trigger may take many files (``max_files``), so a backlog costs
 one commit, not one per file.
 
-Exactly-once: a replayed micro-batch (after a lost executor or driver restart)
-anti-joins its Transaction_IDs against the stored rows of the batch's own dates
-(partition-pruned by Year, so the check reads only the days it can collide
-with), so rows that were already appended are not appended again (ST2 also
-enforces id uniqueness across batches). Progress lives in the checkpoint folder.
+Ids are unique over the whole store (ST2): a row whose Transaction_ID is already
+stored, on whatever day, or that an earlier batch of the same trigger holds, goes
+to the quarantine with the reason ``repeated_id`` and is counted in the reports.
+Batches that arrive in the order of their ``batch`` values give the same fact and
+quarantine for any ``max_files``.
+
+Exactly-once: fact, quarantine and reports of a micro-batch live in folders of
+their own (``ingest_id=<micro-batch id>``) that a replay overwrites, and the id
+check looks at the other micro-batches only. So a replay after a lost executor or
+driver changes no table. Progress lives in the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -21,13 +25,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from tarmac.functions.columns import quarter_label
 from tarmac.schema import SALES_COLUMNS, SALES_SCHEMA
+from tarmac.session import path_exists
 from tarmac.sources.ingest import validate_batches
 from tarmac.sources.tables import read_table
 
+FAILED, REPEATED = "failed_rules", "repeated_id"  # why a row is in the quarantine
+
 
 def events_as_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchase events of the given ``events`` table in the canonical sales schema."""
@@ -44,30 +50,31 @@ def events_as_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_daily_batches(sales: DataFrame, folder: str) -> None:
-    """One batch file per day (``batch=YYYY-MM-DD`` sub-folders), as a nightly feed would land."""
-    (sales.withColumn("batch", F.date_format("Date", "yyyy-MM-dd"))
-     .repartition("batch").write.mode("overwrite").partitionBy("batch").parquet(folder))
+def write_daily_batches(sales: DataFrame, folder: str, prefix: str = "", mode: str = "overwrite") -> None:
+    """One batch per day (``batch=<prefix>YYYY-MM-DD`` sub-folders), as a nightly feed would land.
+
+    The rebalance hint lets AQE split a day that is too large for one task; its files share the batch value.
+    """
+    (sales.withColumn("batch", F.concat(F.lit(prefix), F.date_format("Date", "yyyy-MM-dd")))
+     .hint("rebalance", F.col("batch")).write.mode(mode).partitionBy("batch").parquet(folder))
+
+
+def read_ingested(spark: SparkSession, target: str) -> DataFrame:
+    """The stored fact in canonical columns, plus the micro-batch (``ingest_id``) of each row."""
+    return spark.read.schema(SALES_SCHEMA).parquet(target).withColumn("ingest_id", F.col("ingest_id").cast("long"))
 
 
-def _stored_ids(spark: SparkSession, target: str, batch: DataFrame) -> DataFrame | None:
-    """Transaction ids already stored for the batch's own days.
+def _stored_repeats(spark: SparkSession, target: str, ids: DataFrame, batch_id: int) -> DataFrame:
+    """The ids of ``ids`` that other micro-batches have stored.
 
-    The days of a micro-batch are few (a nightly batch has one), so they come
-    back as a list: Year prunes partitions and the Date filter is pushed into
-    the Parquet scan, where row-group statistics skip other days' files.
+    A semi join: the few ids of a micro-batch are the build side, so the store is
+    scanned for its id column alone and need not be shuffled.
     """
-    try:
-        stored = spark.read.schema(SALES_SCHEMA).parquet(target)
-    except AnalysisException:
-        return None
-    days = batch.select("Year", "Date").distinct().collect()
-    if not days:
-        return None
-    years = sorted({r["Year"] for r in days})
-    dates = sorted({r["Date"] for r in days})
-    return (stored.filter(F.col("Year").isin(years) & F.col("Date").isin(dates))
-            .select("Transaction_ID"))
+    schema = T.StructType([SALES_SCHEMA["Transaction_ID"], T.StructField("ingest_id", T.LongType())])
+    if not path_exists(spark, target):
+        return spark.createDataFrame([], schema).select("Transaction_ID")
+    stored = spark.read.schema(schema).parquet(target).filter(F.col("ingest_id") != batch_id)
+    return stored.join(ids, "Transaction_ID", "left_semi").select("Transaction_ID").distinct()
 
 
 def make_batch_handler(target: str, quarantine: str, reports: str):
@@ -78,25 +85,26 @@ def make_batch_handler(target: str, quarantine: str, reports: str):
         if "batch" not in batch.columns:
             batch = batch.withColumn("batch", F.lit(str(batch_id)))
         batch = batch.select(*SALES_COLUMNS, "batch").persist()
-        report = validate_batches(batch, "batch").withColumn("batch_id", F.lit(batch_id)).persist()
-        # one row per batch file in this trigger
-        status = report.groupBy("batch").agg(F.min(F.col("passed").cast("int")).alias("ok")).collect()
-        good = [r["batch"] for r in status if r["ok"] == 1]
-        bad = [r["batch"] for r in status if r["ok"] != 1]
-        if good:
-            rows = batch.filter(F.col("batch").isin(good))
-            # ids are unique inside a passing batch; across the batches of one trigger
-            # the earliest batch wins, as if the files were ingested one by one (ST2)
-            first = Window.partitionBy("Transaction_ID").orderBy("batch")
-            rows = rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") == 1).drop("_n", "batch")
-            ids = _stored_ids(spark, target, rows)
-            new = rows if ids is None else rows.join(ids, "Transaction_ID", "left_anti")
-            new.write.mode("append").partitionBy("Year").parquet(target)
-        if bad:
-            batch.filter(F.col("batch").isin(bad)).withColumn("batch_id", F.lit(batch_id)) \
-                .write.mode("append").parquet(quarantine)
-        report.write.mode("append").parquet(reports)
-        report.unpersist()
+        report = validate_batches(batch, "batch")
+        status = report.groupBy("batch").agg(F.min("passed").alias("_ok"))  # one row per batch file
+        # ids are unique inside a passing batch; of the batches of one trigger the earliest wins
+        first = Window.partitionBy("Transaction_ID").orderBy(F.desc("_ok"), "batch")
+        judged = batch.join(status, "batch").withColumn("_nth", F.row_number().over(first))
+        good_ids = judged.filter("_ok AND _nth = 1").select("Transaction_ID")
+        repeats = _stored_repeats(spark, target, good_ids, batch_id).withColumn("_stored", F.lit(True))
+        judged = judged.join(repeats, "Transaction_ID", "left").withColumn(
+            "reason", F.when(~F.col("_ok"), F.lit(FAILED))
+            .when((F.col("_nth") > 1) | F.col("_stored"), F.lit(REPEATED))).persist()
+
+        def write(df, folder, *parts):
+            df.write.mode("overwrite").partitionBy(*parts).parquet(f"{folder}/ingest_id={batch_id}")
+
+        write(judged.filter(F.col("reason").isNull()).select(*SALES_COLUMNS), target, "Year")
+        write(judged.filter(F.col("reason").isNotNull()).select(*SALES_COLUMNS, "batch", "reason"), quarantine)
+        dropped = judged.groupBy("batch").agg(F.count_if(F.col("reason") == REPEATED).alias("violations")).select(
+            "batch", F.lit(REPEATED).alias("rule"), "violations", (F.col("violations") == 0).alias("passed"))
+        write(report.unionByName(dropped), reports)
+        judged.unpersist()
         batch.unpersist()
 
     return handle
