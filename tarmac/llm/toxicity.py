@@ -105,7 +105,7 @@ def _arcs(noisy: str):
             plain.append((c, 0.0 if r < 3 and start or not start and run_end[i] == i + 1 else KEEP_RUN))
         else:
             plain += [(x, SUBSTITUTE) for x in LEET.get(c, "")]
-            if c.isdigit():
+            if c.isalnum():
                 plain.append((c, DIGIT))
         arcs = [(i + 1, e, w) for e, w in plain]
         if not c.isalnum():

@@ -131,3 +131,9 @@ def test_held_out_accuracy(spark):
     assert n.get((1, 1), 0) / (n.get((1, 1), 0) + n.get((1, 0), 0)) > 0.75
     assert n.get((0, 1), 0) / (n.get((0, 1), 0) + n.get((0, 0), 0)) < 0.01
     assert op1_toxicity(spark, SF).count() == 200
+
+
+def test_numerals_that_are_no_digits_are_read():
+    model = X.CharModel({"  a": 1})
+    for word in ("a½x", "abcⅷ", "x²y", "a①"):
+        assert X.restored(word, model).split()
