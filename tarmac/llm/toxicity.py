@@ -46,7 +46,8 @@ SUBSTITUTE, DIGIT, DROP, COLLAPSE, COLLAPSE_PAIR, KEEP_RUN, JOIN, BREAK = 1.0, 3
 BEAM = 24
 _RUN = re.compile(r"(.)\1")
 _RUN3 = re.compile(r"(.)\1\1")
-_PAIRS = re.compile(r"(?!.*(.)\1\1)(?=.*(.)\2)[^\W\d_]+\Z")  # letters only, pairs of the same one but no longer runs
+_FADING = re.compile(rf"(?:(?![{re.escape(''.join(LEET))}])[\W_])+\Z")  # closing signs that stand for no letter
+_HEAD = re.compile(r"([^\W\d_]{3,})([\W\d_]*)\Z")  # letters, then signs and digits
 
 
 def _letter(c: str) -> bool:
@@ -153,18 +154,26 @@ def viterbi(noisy: str, model: CharModel) -> str:
     return "".join(reversed(out))
 
 
-def restored(word: str, model: CharModel) -> str:
-    """Clean reading of one written word (lower case, without spaces)."""
+def _noisy(word: str) -> str:
+    """The part of a written word that is read by the lattice."""
     core = word.strip(EDGE)
     if core.isalpha():
-        return viterbi(core, model) if _RUN.search(core) else core
-    if not any(map(str.isalpha, word)):
         return core
-    return viterbi(word.lstrip("\"'([{<*_-").rstrip(EDGE) or core, model)
+    noisy = word.lstrip("\"'([{<*_-").rstrip(EDGE) or core
+    core = _FADING.sub("", noisy)  # at the end of letters every best path drops them
+    return core if core.isalpha() else noisy
+
+
+def restored(word: str, model: CharModel) -> str:
+    """Clean reading of one written word (lower case, without spaces)."""
+    noisy = _noisy(word)
+    if noisy.isalpha():
+        return viterbi(noisy, model) if _RUN.search(noisy) else noisy
+    return viterbi(noisy, model) if any(map(str.isalpha, word)) else word.strip(EDGE)
 
 
 def readings(word: str) -> list[str]:
-    """What the lattice of a word with letter pairs only can spell: each pair kept or made one letter."""
+    """What the lattice of letters without longer runs than pairs can spell: each pair kept or made one letter."""
     out = [""]
     for part in re.findall(r"(?:(.)\1|(.))", word):
         out = [x + y for x in out for y in ((part[0] * 2, part[0]) if part[0] else (part[1],))]
@@ -222,33 +231,50 @@ def _clean_words(text: str, model: CharModel, known: dict) -> set[str]:
     return out
 
 
+def _alphabet() -> tuple[list[str], np.ndarray]:
+    """The symbols of the trigrams, and the symbol of each code point (the last entry: of all higher ones)."""
+    symbols = [" ", "\u0001", *filter(_letter, map(chr, range(ord("a"), 0x180)))]
+    at = {c: i for i, c in enumerate(symbols)}
+    return symbols, np.array([at.get(chr(c), 1) for c in range(0x180)] + [1], np.int64)
+
+
+def gram_counts(words: Counter, place: np.ndarray, n_symbols: int) -> np.ndarray:
+    """Counts of the trigrams of padded words, by their code in base ``n_symbols``."""
+    cores, times = [], []
+    for w, n in words.items():
+        core = w.strip(EDGE)
+        if core.isalpha() and not _RUN3.search(core):
+            cores.append(core)
+            times.append(n)
+    text = np.frombuffer("".join([f"  {c} " for c in cores]).encode("utf-32-le"), "<u4")
+    each = np.repeat(np.array(times, float), [len(c) + 3 for c in cores])
+    at = place[np.minimum(text, len(place) - 1)]
+    inside = ~((at[1:-1] == 0) & (at[2:] == 0))  # of one word
+    code = ((at[:-2] * n_symbols + at[1:-1]) * n_symbols + at[2:])[inside]
+    return np.bincount(code, weights=each[:-2][inside], minlength=n_symbols ** 3).astype(np.int64)
+
+
 def char_grams(documents: DataFrame) -> dict[str, int]:
     """Trigram counts over the words of all documents; letters outside the Latin ranges count as one."""
-    def run(batches):
-        held = Counter()
-
-        def out():
-            grams = Counter()
-            for w, n in held.items():
-                core = w.strip(EDGE)
-                if core and core.isalpha() and not _RUN3.search(core):
-                    s = "  " + "".join([c if _letter(c) else "\u0001" for c in core]) + " "
-                    for i in range(len(s) - 2):
-                        grams[s[i:i + 3]] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(grams.keys()), pa.string()),
-                                               pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
+    symbols, place = _alphabet()
+    n = len(symbols)
 
+    def run(batches):
+        held, grams = Counter(), np.zeros(n ** 3, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
                 held.update(t.lower().split())
-                if len(held) > 300_000:
-                    yield out()
+                if len(held) > 100_000:
+                    grams += gram_counts(held, place, n)
                     held.clear()
-        yield out()
+        grams += gram_counts(held, place, n)
+        code = np.flatnonzero(grams)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(grams[code])], names=["code", "n"])
 
     text = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sums = text.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in sums.toLocalIterator()}
+    sums = text.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return {symbols[r["code"] // n ** 2] + symbols[r["code"] // n % n] + symbols[r["code"] % n]: r["n"]
+            for r in sums.toLocalIterator()}
 
 
 @dataclass
@@ -257,9 +283,33 @@ class ToxicityModel:
     weights: dict[str, float]  # of features
     bias: float
 
+    def __post_init__(self):
+        self.heads = {f[1:4] for f in self.weights}  # first letters of the words that matter
+
+    def barren(self, word: str) -> bool:
+        """No reading of a written word has a feature with a weight, as its letters before any sign show.
+
+        The first word of every reading begins with these letters (pairs kept or made one); further words can hold
+        only what the signs and digits after them stand for.
+        """
+        m = _HEAD.match(_noisy(word))
+        if not m or not m[1].isalpha() or _RUN3.search(m[1]):
+            return False
+        start = m[1][:6]
+        signs = set("".join([LEET.get(c, "") + c * c.isalnum() for c in m[2]]))
+        if any(x[:3] in self.heads or signs and len(x) < 3 for x in (readings(start) if _RUN.search(start) else [start])):
+            return False
+        return not signs or not any(map(signs.issuperset, self.heads))
+
+    def found(self, word: str) -> tuple[str, ...]:
+        """The features of a written word that have a weight."""
+        if self.barren(word):
+            return ()
+        return tuple(f for x in restored(word, self.chars).split() for f in self.useful(x))
+
     def useful(self, word: str) -> tuple[str, ...]:
         """The features of a restored word that have a weight."""
-        return tuple(f for f in features(word) if f in self.weights)
+        return tuple(f for f in features(word) if f in self.weights) if word[:3] in self.heads else ()
 
     def score(self, found) -> float:
         """Score of a text with these features (a set)."""
@@ -267,6 +317,25 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
+class _Among:
+    """The features of words that are among ``wanted``."""
+
+    def __init__(self, wanted):
+        self.wanted, self.heads, self.known = wanted, {f[1:4] for f in wanted}, {}
+
+    def of(self, words) -> set[str]:
+        out = set()
+        for w in words:
+            if w[:3] in self.heads:
+                got = self.known.get(w)
+                if got is None:
+                    if len(self.known) > 300_000:
+                        self.known.clear()
+                    got = self.known[w] = [f for f in features(w) if f in self.wanted]
+                out.update(got)
+        return out
+
+
 def significant(toxic: int, clean: int, share: float) -> bool:
     """More frequent in toxic documents, beyond chance."""
     n = toxic + clean
@@ -332,10 +401,10 @@ def fit(documents: DataFrame, labels: DataFrame, usable=None, fit_rows: int = FI
                 return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.string()),
                                                    pa.array(list(held.values()), pa.int64())], names=["f", "n"])
 
+            among = None if only is None else _Among(only.value)
             for b in batches:
                 for words in b.column(0).to_pylist():
-                    found = {f for w in words for f in features(w)}
-                    held.update(found if only is None else found & only.value.keys())
+                    held.update({f for w in words for f in features(w)} if among is None else among.of(words))
                     if len(held) > 400_000:
                         yield out()
                         held.clear()
@@ -352,9 +421,9 @@ def fit(documents: DataFrame, labels: DataFrame, usable=None, fit_rows: int = FI
 
     def found(batches):
         at = place.value
+        among = _Among(at)
         for b in batches:
-            got = [sorted({at[f] for w in words for f in features(w) if f in at})
-                   for words in b.column(1).to_pylist()]
+            got = [sorted(map(at.get, among.of(words))) for words in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["y", "at"])
 
     if not 0 < n_toxic < n_all:
@@ -379,17 +448,6 @@ def score(documents: DataFrame, model: ToxicityModel, limit: float = 0.7) -> Dat
         m = shared.value
         chars, known = m.chars, {}
 
-        def word(w):
-            if len(known) > 300_000:
-                known.clear()
-            # With letter pairs as the only doubt there are few readings: none useful, no search.
-            if _PAIRS.match(w.strip(EDGE)) and not any(map(m.useful, readings(w.strip(EDGE)))):
-                out = ()
-            else:
-                out = tuple(f for x in restored(w, chars).split() for f in m.useful(x))
-            known[w] = out
-            return out
-
         for b in batches:
             scores = []
             for t in b.column(b.num_columns - 1).to_pylist():
@@ -398,7 +456,9 @@ def score(documents: DataFrame, model: ToxicityModel, limit: float = 0.7) -> Dat
                 for w in set(words):
                     got = known.get(w)
                     if got is None:
-                        got = word(w)
+                        if len(known) > 300_000:
+                            known.clear()
+                        got = known[w] = m.found(w)
                     if got:
                         found.update(got)
                 for r in spaced(words):

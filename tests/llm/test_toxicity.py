@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import random
+from collections import Counter
 
 import pytest
 from conftest import SF
@@ -79,8 +81,6 @@ def test_words(model, noisy, want):
 
 
 def test_readings_of_pairs(model):
-    assert X._PAIRS.match("idiiott") and not X._PAIRS.match("idiiiot") and not X._PAIRS.match("idiot")
-    assert not X._PAIRS.match("1diiot")
     for w in ("idiiott", "happy", "balloon", "aabb"):
         assert set(X.readings(w)) >= {X.viterbi(w, model), w} and len(X.readings(w)) <= 4
     for noisy in ("balloon", "idiiott"):
@@ -137,3 +137,32 @@ def test_numerals_that_are_no_digits_are_read():
     model = X.CharModel({"  a": 1})
     for word in ("a½x", "abcⅷ", "x²y", "a①"):
         assert X.restored(word, model).split()
+
+
+def test_words_without_search_have_no_feature():
+    """Skipping the lattice search never loses a feature."""
+    rng = random.Random(5)
+    chars = X.CharModel({"  b": 3, " ba": 3, "bad": 2, "ad ": 2, "  s": 1, " so": 1, "so ": 1})
+    words = ["".join(rng.choice("abdos") for _ in range(rng.randint(1, 6)))
+             + "".join(rng.choice("$#1!7½&") for _ in range(rng.randint(0, 4))) for _ in range(3000)]
+    weights = {f: 1.0 for w in ("bad", "so", "ss", "ado", "bass", "1") for f in X.features(w)}
+    model = X.ToxicityModel(chars, weights, 0.0)
+    for w in words:
+        full = [f for x in X.restored(w, chars).split() for f in X.features(x) if f in weights]
+        assert list(model.found(w)) == full, w
+    assert any(model.barren(w) for w in words) and not all(model.barren(w) for w in words)
+
+
+def test_gram_counts_match_a_plain_count():
+    words = Counter({"straße.": 3, "ab": 2, "d'or": 5, "zoo": 1, "baaa": 9, "中文": 4, "ж": 1, "\U0001f600": 2})
+    symbols, place = X._alphabet()
+    n = len(symbols)
+    got = X.gram_counts(words, place, n)
+    want = Counter()
+    for s, times in (("  straße ", 3), ("  ab ", 2), ("  zoo ", 1), ("  \u0001\u0001 ", 4), ("  \u0001 ", 1)):
+        for i in range(len(s) - 2):
+            want[s[i:i + 3]] += times
+    at = {c: i for i, c in enumerate(symbols)}
+    assert {(at[g[0]] * n + at[g[1]]) * n + at[g[2]]: k for g, k in want.items()} == \
+        {int(i): int(got[i]) for i in got.nonzero()[0]}
+    assert not X.gram_counts(Counter(), place, n).any()
