@@ -38,6 +38,7 @@ LEAST_DOCS = 3  # toxic documents that must have a feature
 LEAST_RATIO = 10.8  # chi square at one in a thousand
 RIDGE = 0.1
 PREFIXES = (3, 4, 5, 6)
+REGRESSION_BLOCK = 1_000_000  # features of rows taken at once
 # Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y"}
@@ -345,22 +346,37 @@ def significant(toxic: int, clean: int, share: float) -> bool:
     return 2 * ratio >= LEAST_RATIO
 
 
-def _regression(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_cols: int, steps: int = 300):
-    """Bias and weights of a ridge logistic regression on 0/1 features given as (row, column) pairs.
+def _regression(cols: np.ndarray, sizes: np.ndarray, y: np.ndarray, n_cols: int, steps: int = 300):
+    """Bias and weights of a ridge logistic regression on 0/1 features: row i has the next ``sizes[i]`` of ``cols``.
 
-    Accelerated gradient descent, each weight with the inverse of its curvature bound.
+    Accelerated gradient descent, each weight with the inverse of its curvature bound. The rows are taken in blocks,
+    so that the memory besides ``cols`` stays small.
     """
     n = len(y)
-    size = np.bincount(rows, minlength=n) + 1.0  # features of a row, and the bias
-    bound = np.bincount(cols, weights=size[rows], minlength=n_cols) / 4 + RIDGE
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    cuts = np.unique(np.r_[np.searchsorted(ends[:-1], np.arange(0, ends[-1] + 1, REGRESSION_BLOCK)), n])
+    cuts = np.unique(np.r_[0, cuts])
+
+    def blocks():
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield (slice(lo, hi), np.repeat(np.arange(hi - lo), sizes[lo:hi]),
+                   cols[ends[lo]:ends[hi]].astype(np.int64))
+
+    size = sizes + 1.0  # features of a row, and the bias
+    bound = np.full(n_cols, RIDGE)
+    for at, row, col in blocks():
+        bound += np.bincount(col, weights=size[at][row], minlength=n_cols) / 4
     bias_bound = size.sum() / 4
     w, b = np.zeros(n_cols), math.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
     vw, vb, t = w, b, 1.0
     for _ in range(steps):
-        x = vb + np.bincount(rows, weights=vw[cols], minlength=n)
-        miss = y - 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        new_w = vw + (np.bincount(cols, weights=miss[rows], minlength=n_cols) - RIDGE * vw) / bound
-        new_b = vb + miss.sum() / bias_bound
+        slope, total = -RIDGE * vw, 0.0
+        for at, row, col in blocks():
+            x = vb + np.bincount(row, weights=vw[col], minlength=at.stop - at.start)
+            miss = y[at] - 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+            slope += np.bincount(col, weights=miss[row], minlength=n_cols)
+            total += miss.sum()
+        new_w, new_b = vw + slope / bound, vb + total / bias_bound
         turn = (1 + math.sqrt(1 + 4 * t * t)) / 2
         vw, vb = new_w + (t - 1) / turn * (new_w - w), new_b + (t - 1) / turn * (new_b - b)
         w, b, t = new_w, new_b, turn
@@ -401,7 +417,7 @@ def fit(documents: DataFrame, labels: DataFrame, usable=None, fit_rows: int = FI
                 return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.string()),
                                                    pa.array(list(held.values()), pa.int64())], names=["f", "n"])
 
-            among = None if only is None else _Among(only.value)
+            among = None if only is None else _Among(set(only.value.to_pylist()))
             for b in batches:
                 for words in b.column(0).to_pylist():
                     held.update({f for w in words for f in features(w)} if among is None else among.of(words))
@@ -412,30 +428,36 @@ def fit(documents: DataFrame, labels: DataFrame, usable=None, fit_rows: int = FI
 
         return rows.select("words").mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
 
-    toxic = {r["f"]: r["n"] for r in counted(read.filter("toxic = 1")).filter(F.col("n") >= LEAST_DOCS)
-             .toLocalIterator()}
-    only = spark.sparkContext.broadcast(toxic)
-    clean = {r["f"]: r["n"] for r in counted(read.filter("toxic = 0"), only).toLocalIterator()}
-    names = sorted(f for f, a in toxic.items() if share < 1 and significant(a, clean.get(f, 0), share))
+    if not 0 < n_toxic < n_all:
+        return ToxicityModel(chars, {}, math.log((n_toxic + 0.5) / (n_all - n_toxic + 0.5)))
+    # Features of at most fit_rows documents, kept as Arrow columns on the driver.
+    toxic = counted(read.filter("toxic = 1")).filter(F.col("n") >= LEAST_DOCS).toArrow()
+    only = spark.sparkContext.broadcast(toxic.column("f"))
+    clean = counted(read.filter("toxic = 0"), only).withColumnRenamed("n", "clean").toArrow()
+    names = []
+    for b in toxic.join(clean, "f").to_batches(max_chunksize=10_000):
+        for f, there, other in zip(*(b.column(c).to_pylist() for c in ("f", "n", "clean"))):
+            if significant(there, other or 0, share):
+                names.append(f)
+    names.sort()
+    del toxic, clean
     place = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def found(batches):
         at = place.value
         among = _Among(at)
         for b in batches:
-            got = [sorted(map(at.get, among.of(words))) for words in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["y", "at"])
+            got = [np.array(sorted(map(at.get, among.of(words))), "<i4").tobytes()
+                   for words in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["y", "at"])
 
-    if not 0 < n_toxic < n_all:
-        return ToxicityModel(chars, {}, math.log((n_toxic + 0.5) / (n_all - n_toxic + 0.5)))
     # At most fit_rows rows with the few features that are kept; sorted, as the order of rows may differ by run.
-    got = read.select("toxic", "words").mapInArrow(found, "y int, at array<int>").toArrow()
-    ys, ats = got.column("y").to_numpy(), got.column("at").to_pylist()
-    order = sorted(range(n_all), key=lambda i: (ys[i], ats[i]))
-    y = np.array([ys[i] for i in order], float)
-    rows = np.repeat(np.arange(n_all), [len(ats[i]) for i in order])
-    cols = np.array([c for i in order for c in ats[i]], np.int64)
-    bias, weights = _regression(rows, cols, y, len(names))
+    got = read.select("toxic", "words").mapInArrow(found, "y int, at binary").toArrow().sort_by(
+        [("y", "ascending"), ("at", "ascending")])
+    rows = got.column("at").to_pylist()
+    sizes = np.array([len(x) // 4 for x in rows], np.int64)
+    cols = np.frombuffer(b"".join(rows), "<i4")
+    bias, weights = _regression(cols, sizes, got.column("y").to_numpy().astype(float), len(names))
     return ToxicityModel(chars, {f: float(w) for f, w in zip(names, weights) if w}, float(bias))
 
 
