@@ -286,27 +286,36 @@ class ToxicityModel:
 
     def __post_init__(self):
         self.heads = {f[1:4] for f in self.weights}  # first letters of the words that matter
+        self.starts = {f[1:7] for f in self.weights if f[0] == "="}
+        self._spelled: dict = {}  # signs: can they spell such first letters
 
-    def barren(self, word: str) -> bool:
-        """No reading of a written word has a feature with a weight, as its letters before any sign show.
+    def without_search(self, word: str) -> tuple[str, ...] | None:
+        """The features of a written word that have a weight, if all its readings agree on them; else None.
 
-        The first word of every reading begins with these letters (pairs kept or made one); further words can hold
-        only what the signs and digits after them stand for.
+        The first word of every reading begins with the letters before any sign (pairs kept or made one); what the
+        signs and digits after them stand for can make it longer, or be further words.
         """
         m = _HEAD.match(_noisy(word))
         if not m or not m[1].isalpha() or _RUN3.search(m[1]):
-            return False
-        start = m[1][:6]
-        signs = set("".join([LEET.get(c, "") + c * c.isalnum() for c in m[2]]))
-        if any(x[:3] in self.heads or signs and len(x) < 3 for x in (readings(start) if _RUN.search(start) else [start])):
-            return False
-        return not signs or not any(map(signs.issuperset, self.heads))
+            return None
+        pairs = len(_RUN.findall(m[1]))
+        if pairs > 4:
+            return None
+        first = readings(m[1]) if pairs else [m[1]]
+        signs = frozenset("".join([LEET.get(c, "") + c * c.isalnum() for c in m[2]]))
+        if signs:
+            if signs not in self._spelled:
+                self._spelled[signs] = any(map(signs.issuperset, self.heads))
+            if self._spelled[signs] or any(len(x) < 3 or x[:3] in self.heads and (len(x) < 6 or x[:6] in self.starts)
+                                           for x in first):
+                return None
+        got = {self.useful(x) for x in first}
+        return got.pop() if len(got) == 1 else None
 
     def found(self, word: str) -> tuple[str, ...]:
         """The features of a written word that have a weight."""
-        if self.barren(word):
-            return ()
-        return tuple(f for x in restored(word, self.chars).split() for f in self.useful(x))
+        out = self.without_search(word)
+        return tuple(f for x in restored(word, self.chars).split() for f in self.useful(x)) if out is None else out
 
     def useful(self, word: str) -> tuple[str, ...]:
         """The features of a restored word that have a weight."""
