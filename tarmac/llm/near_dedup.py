@@ -12,6 +12,8 @@ by rounds of contraction, in which every node hooks to its least neighbour and e
 
 Cases: null text counts as empty; a null doc_id keeps its row and never names a component; equal texts share a
 fingerprint and so a component; an empty table gives an empty result; other input columns are ignored.
+Dropping near copies goes by row, not by doc_id: every group keeps exactly one row, so a group whose doc_ids are all
+null keeps one, and texts of different groups stay although they share a doc_id.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tarmac.llm.common import stored, utf8
+from tarmac.llm.common import add_arrays, extended, stored, utf8
 
 BITS = 64
 CHUNK = 4096  # fingerprints in one compared block side
@@ -49,15 +52,16 @@ def fingerprint_of(text: bytes, width: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp long) of every row; the long holds the 64 bits."""
+def fingerprints(documents: DataFrame, width: int = 3, *others) -> DataFrame:
+    """(doc_id, the ``others`` (named expressions), fp long) of every row; the long holds the 64 bits."""
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint_of(t, width) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint_of(t, width) for t in b.column(b.num_columns - 1).to_pylist()], np.uint64)
+            yield add_arrays(b.select(b.schema.names[:-1]), fp=pa.array(fps.view(np.int64)))
 
-    src = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    kept = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *others)
+    src = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *others, utf8().alias("__text"))
+    return src.mapInArrow(run, extended(kept.schema, fp=T.LongType()))
 
 
 def fp_hex(col: str = "fp"):
@@ -182,6 +186,13 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
+def _rooted(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
+    """``nodes`` (distinct fp) with the root of each one's group."""
+    roots = components(links(nodes.select("fp"), radius, segments))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root",
+                                                                                      F.coalesce("root", "fp"))
+
+
 def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 3, segments: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id): groups of documents linked at ``radius`` bits or fewer.
 
@@ -189,20 +200,29 @@ def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 3, segme
     """
     docs = stored(fingerprints(documents, width), "simhash")
     nodes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), radius, segments))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root",
-                                                                                       F.coalesce("root", "fp"))
+    rooted = _rooted(nodes, radius, segments)
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     names = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return docs.join(names, "fp").select("doc_id", fp_hex().alias("fingerprint"), "component_id")
 
 
+def row_hash(documents: DataFrame):
+    """Two 64-bit hashes of all columns, nulls told apart from values: rows with equal ones are interchangeable."""
+    cols = [F.col(f"`{c}`") for c in documents.columns]
+    nulls = [c.isNull() for c in cols]
+    return F.struct(F.xxhash64(*cols, *nulls).alias("a"), F.xxhash64(F.lit("b"), *nulls, *cols).alias("b"))
+
+
 def drop_near_duplicates(documents: DataFrame, width: int = 3, radius: int = 3, segments: int = 2) -> DataFrame:
-    """The documents without near copies: of each group the row with the least doc_id stays (one of repeated rows)."""
-    groups = near_duplicates(documents, width, radius, segments)
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    order = [F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns])]
-    from pyspark.sql import Window
-    one = documents.join(keep, "doc_id", "left_semi")
-    return (one.withColumn("__rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-            .filter("__rn = 1").drop("__rn").select(*[f"`{c}`" for c in documents.columns]))
+    """The documents without near copies: of each group the row with the least doc_id stays (nulls last, then by the
+    row's hash; one of repeated rows)."""
+    key = row_hash(documents)
+    rows = fingerprints(documents, width, key.alias("key"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    nodes = stored(rows.groupBy("fp").agg(F.min(first).alias("first")), "simhash-nodes")
+    keep = (_rooted(nodes, radius, segments).groupBy("root").agg(F.min("first").alias("first"))
+            .select(F.col("first.key.a").alias("__a"), F.col("first.key.b").alias("__b")))
+    keyed = documents.withColumns({"__a": key["a"], "__b": key["b"]})
+    repeats = Window.partitionBy("__a", "__b").orderBy("__a")
+    return (keyed.join(keep, ["__a", "__b"], "left_semi").withColumn("__rn", F.row_number().over(repeats))
+            .filter("__rn = 1").select(*[F.col(f"`{c}`") for c in documents.columns]))

@@ -104,6 +104,32 @@ def test_drop_keeps_one_of_each_group(documents, odd):
         assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+def test_drop_keeps_the_texts_of_every_group(spark, documents, odd):
+    """Also of groups whose doc_ids are all null or belong to another group too."""
+    extra = spark.createDataFrame([(None, "rows without an id that are no copy of others", None, "b", 1),
+                                   (None, "rows without an id that are no copy of others", "b", None, 1),
+                                   (4, None, None, None, None), (8, "a wholly different text of the eighth", "en", "c", 1),
+                                   (5, "no id at all here", "en", "b", 17)], odd.schema)
+    for df in (documents, odd, odd.union(extra).union(extra)):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        fps = [plain_fp(t) for _, t in rows]
+        group = list(range(len(rows)))
+        for i in range(len(rows)):
+            for j in range(i):
+                if (fps[i] ^ fps[j]).bit_count() <= 3 and group[i] != group[j]:
+                    group = [group[j] if g == group[i] else g for g in group]
+        want = {}
+        for (d, t), g in zip(rows, group):
+            want.setdefault(g, []).append((d is None, d or 0, t))
+        kept = [(r.doc_id is None, r.doc_id or 0, r.text) for r in N.drop_near_duplicates(df).collect()]
+        assert len(kept) == len(want)
+        for members in want.values():
+            got = [k for k in kept if k in members]
+            assert len(got) == 1 and got[0][:2] == min(m[:2] for m in members)
+    texts = {r.text for r in N.drop_near_duplicates(odd).collect()}
+    assert {"dup row of other words entirely", "dup row of some words"} <= texts
+
+
 def test_clashing_names(documents):
     df = documents.limit(20).withColumn("fp", F.lit(1)).withColumn("component_id", F.lit("x"))
     assert N.near_duplicates(df).columns == ["doc_id", "fingerprint", "component_id"]
