@@ -6,8 +6,10 @@ composite density: characters per tag, times a logarithm that falls as link text
 density sum adds the densities of its children. The threshold is the least density on the path from the body to
 the node with the largest density sum (descending, where a child's own sum is the largest); from the body down, a
 node whose density reaches it is followed, and the node with the largest density sum there is the content. Parts
-that are never text (scripts, styles, forms, menus, headers, footers, sidebars, and blocks whose class, id or role
-names them so, notices, adverts or comments of readers) weigh nothing and give no text.
+that are never text (scripts, styles, forms, menus, headers, footers, asides, hidden blocks) weigh nothing and give no
+text. So do blocks that a whole class, an id or a role names so (adverts, menus, notices, comments of readers), unless
+they hold an article or main element, or most of the page's text outside links with no such element beside them; what
+only mentions such a word (has-sidebar, page-with-toc, related-work) is left to the densities.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined
 by a line feed in page order; nothing else is dropped and nothing is capped.
@@ -31,9 +33,8 @@ from tarmac.llm.common import add_arrays, extended, replace_columns
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
                     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""",
-                   re.I | re.S)
-_NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+|\d+")
+_ATTR = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?|"[^"]*"|'[^']*'""", re.S)
+_PARTS = re.compile(r"[-_]+|(?<=[a-z0-9])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -43,13 +44,16 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
          "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
          "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search",
          "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-# Words in a class, id or role that name a part outside the text.
+# Words that name a part outside the text, as a whole class, id or role or in a compound of NOT_TEXT and BOX words.
 NOT_TEXT = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored",
             "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar",
             "side", "widget", "footer", "masthead", "cookie", "cookies", "consent", "gdpr", "notice", "alert",
             "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "comment", "comments",
             "disqus", "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended",
             "pagination", "pager", "toolbar", "skip", "complementary", "contentinfo", "search", "login", "toc"}
+BOX = {"box", "block", "bar", "list", "area", "section", "wrapper", "wrap", "container", "inner", "outer", "panel", "unit",
+       "slot", "links", "link", "buttons", "button", "item", "items", "form", "left", "right", "top", "bottom", "main",
+       "site", "page", "global", "primary", "secondary", "footer", "header", "content", "posts", "articles", "thread"}
 CLOSES = {  # an opening tag ends these open elements
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"},
@@ -59,29 +63,74 @@ HOLDS = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "html",
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "skip", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "skip", "named", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent, skip: bool = False):
-        self.tag, self.parent, self.kids, self.skip = tag, parent, [], skip
+    def __init__(self, tag: str, parent, skip: bool = False, named: bool = False):
+        self.tag, self.parent, self.kids, self.skip, self.named = tag, parent, [], skip, named
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _outside(tag: str, attrs: str) -> bool:
-    if tag in SKIP:
+def _names_no_text(name: str) -> bool:
+    """A class, id or role that as a whole names a part outside the text."""
+    low = name.lower()
+    if low in NOT_TEXT:
         return True
+    parts = [x.lower() for x in _PARTS.split(name) if x and not x.isdigit()]
+    return any(x in NOT_TEXT for x in parts) and all(x in NOT_TEXT or x in BOX for x in parts)
+
+
+def _outside(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Is an element never text or hidden; does its class, id or role name a part outside the text."""
+    if tag in SKIP:
+        return True, False
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    for name, a, b, c in _ATTR.findall(attrs):
-        name, value = name.lower(), a or b or c
+        return False, False
+    named, seen = False, set()
+    for m in _ATTR.finditer(attrs):
+        name = (m[1] or "").lower()
+        if not name or name in seen:  # the first of repeated attributes counts
+            continue
+        seen.add(name)
+        value = m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
-            return True
+            return True, False
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif any(w.lower() in NOT_TEXT for w in _NAME.findall(value)):
-            return True
-    return False
+                return True, False
+        elif name in ("class", "id", "role"):
+            named = named or any(map(_names_no_text, value.split()))
+    return False, named
+
+
+def _drop_named(root: Node) -> None:
+    """Skip the named blocks, but for those that hold an article or main element, or most of the text outside links
+    while no article or main element lies beside them."""
+    nodes = _ordered(root)
+    if not any(x.named for x in nodes):
+        return
+    plain, whole = {}, set()  # by node: characters outside links; holds an article or main element
+    for node in reversed(nodes):
+        n = 0
+        for k in node.kids:
+            if type(k) is str:
+                n += len("".join(k.split()))
+            elif not k.skip:
+                n += plain[id(k)]
+                if id(k) in whole or k.tag in ("article", "main"):
+                    whole.add(id(node))
+        plain[id(node)] = 0 if node.tag == "a" else n
+    articles = {id(x) for x in nodes if x.tag in ("article", "main") and plain[id(x)]}
+    for node in nodes:
+        if node.named and id(node) not in whole:
+            around, up = set(), node.parent
+            if 2 * plain[id(node)] > plain[id(root)]:
+                while up is not None:
+                    around.add(id(up))
+                    up = up.parent
+                node.skip = not articles <= around
+            else:
+                node.skip = True
 
 
 def parse(page: str) -> Node:
@@ -127,13 +176,14 @@ def parse(page: str) -> Node:
                 if node.tag in ends:
                     cur = node.parent
                 node = node.parent
-        child = Node(tag, cur, _outside(tag, m[3]))
+        child = Node(tag, cur, *_outside(tag, m[3]))
         cur.kids.append(child)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
         elif tag not in VOID and not m[0].endswith("/>"):
             cur = child
+    _drop_named(root)
     return root
 
 

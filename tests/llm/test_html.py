@@ -27,6 +27,20 @@ def test_hand_made(page, want):
     assert H.main_text(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    *((f"<body><div class='container {c}'><div>{BODY}{BODY}</div></div><div class='sidebar'>side words</div></body>",
+       f"{TEXT}\n{TEXT}") for c in ("has-sidebar", "no-sidebar", "page-with-toc", "comments-enabled", "notice")),
+    (f"<body><div id='search'><article>{BODY}</article></div></body>", TEXT),
+    (f"<body><article>{BODY}<section class='related-work'><p>Earlier work.</p></section></article>",
+     f"{TEXT}\nEarlier work."),
+    (f"<body><article>{BODY}<p title='The hidden valley'>one</p><p data-x='open hidden'>two</p>"
+     "<p data-class=ad alt=' class=ad hidden '>three</p></article>", f"{TEXT}\none\ntwo\nthree"),
+    (f"<body><article>{BODY}<p title='x' hidden>no</p><div class=\"x side-bar ad_box\">no</div>"
+     f"<div id=commentList>no</div><div role=search>no</div></article>", TEXT)])
+def test_only_whole_names_drop_blocks(page, want):
+    assert H.main_text(page) == want
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = H.extract(pages).collect()
