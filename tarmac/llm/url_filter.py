@@ -5,7 +5,8 @@ or the end; null or no ``://``: both empty. A rule (verdict, host suffix, path p
 if the path starts with the rule's path; the longest rule wins.
 
 Model: character n-grams (``GRAMS``) of the host, framed by dots, and of the path, each with its own prefix, hashed to
-``BUCKETS`` buckets (0/1 features). The labelled table is small; its rows become (url, bucket) pairs and batch
+``BUCKETS`` buckets (0/1 features). Host and path are evidence each: the built-in labelled table has neutral hosts with
+wanted and with unwanted paths, and unwanted hosts with neutral paths. The labelled table is small; its rows become (url, bucket) pairs and batch
 gradient descent runs as grouped sums over them. The weights, one for each bucket that the table touches, are
 broadcast: their number is bounded by BUCKETS. Hosts repeat, so scores are sums over the n-grams of each row itself.
 
@@ -45,12 +46,33 @@ WANTED = ("news.example", "www.daily-news.example", "blog.gardening.example", "m
           "school.example", "wiki.example", "forum.example", "www.photo.example", "code.example",
           "research.example", "theatre.example", "railway.example", "farming.example", "winter.example",
           "better.example", "trackside.example", "address.example", "blog.nature.example")
+ENDS = ("", ".com", ".org", ".net")  # of hosts; they say nothing
 PATHS = ("/en/1201", "/de/77.html", "/fr/5155", "/es/9123/")
+# Paths that are the evidence, whatever the host (1), and paths of ordinary pages (0), which do not clear a host.
+UNWANTED_PATHS = ("/casino/poker-bonus.html", "/en/online-casino/", "/free-slots/jackpot", "/poker/win-big.html",
+                  "/best-bets", "/sports-betting/odds", "/buy-cheap-pills.html", "/pharmacy/viagra",
+                  "/cheap-meds/list", "/adult/cams/live", "/xxx/videos.html", "/porn/tube", "/sex-chat/rooms",
+                  "/adult-video", "/payday-loans/apply", "/fast-loans.html", "/ads/click", "/track/popup-ads",
+                  "/free-crypto/claim", "/win-prize/now.html", "/warez/crack", "/torrent/keygen-crack.html",
+                  "/es/replica-watches/", "/spam/links.html")
+WANTED_PATHS = ("/news/2021/05/weather.html", "/en/history/museum", "/blog/gardening-tips", "/recipes/bread.html",
+                "/docs/api/index.html", "/science/article/12", "/de/wetter/heute", "/fr/musique/concert", "/about.html",
+                "/contact/", "/books/reviews/8", "/travel/city-guide", "/health/sleep.html", "/sports/football/results",
+                "/es/cocina/pan", "/school/library/hours", "/wiki/Railway", "/forum/thread/331", "/photo/album/5",
+                "/code/python/tutorial", "/research/papers.html", "/theatre/tickets/2", "/", "/index.html")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): the built-in labelled table, every host with every sample path, so that paths say nothing."""
-    rows = [f"('https://{h}{p}', {y})" for y, hosts in ((1, UNWANTED), (0, WANTED)) for h in hosts for p in PATHS]
+    """(url, label): the built-in labelled table. Host and path are told apart: an unwanted host stays unwanted with
+    sample and ordinary paths, and a wanted host is wanted with those and unwanted with unwanted paths."""
+    def dealt(paths, i, n):
+        return [paths[(5 * i + k) % len(paths)] for k in range(n)]
+
+    rows = [(h + e + p, 1) for i, h in enumerate(UNWANTED) for e in ENDS for p in (*PATHS, *dealt(WANTED_PATHS, i, 3))]
+    rows += [(h + e + p, 0) for i, h in enumerate(WANTED) for e in ENDS
+             for p in (*PATHS, *dealt(WANTED_PATHS, i, 16))]
+    rows += [(h + e + p, 1) for i, h in enumerate(WANTED) for e in ENDS for p in dealt(UNWANTED_PATHS, i, 4)]
+    rows = [f"('https://{url}', {y})" for url, y in rows]
     return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(url, label)")
 
 
@@ -91,26 +113,29 @@ def buckets_of(host: Column, path: Column) -> Column:
 def train(labelled: DataFrame, steps: int = STEPS) -> tuple[float, dict[int, float]]:
     """(intercept, weight by bucket): batch gradient descent with momentum on the log loss with a ridge.
 
-    A gradient is a grouped sum over the n-grams of the rows; the step follows from their mean number.
+    A gradient is a grouped sum over the n-grams of the rows; the step of a weight is the inverse of its curvature bound,
+    a quarter of the features of the rows that have it.
     """
     rows = (labelled.filter("url IS NOT NULL AND label IS NOT NULL").distinct()
             .select(F.col("label").cast("double").alias("y"),
                     buckets_of(host_of(F.col("url")), path_of(F.col("url"))).alias("b"))).persist()
     try:
-        n, grams, positive = rows.agg(F.count("*"), F.avg(F.size("b")), F.avg("y")).first()
+        n, positive = rows.agg(F.count("*"), F.avg("y")).first()
         if not n or not 0 < positive < 1:
             return (0.0 if not n else math.log((positive * n + 0.5) / ((1 - positive) * n + 0.5))), {}
-        rate = 4.0 / (grams + 1) / n
+        bounds = rows.select((F.size("b") + 1).alias("s"), F.explode(F.concat("b", F.array(F.lit(-1)))).alias("b"))
+        rate = {r["b"]: 1 / (r["s"] / 4 + (RIDGE * n if r["b"] >= 0 else 0.0))  # at most BUCKETS + 1 rows
+                for r in bounds.groupBy("b").agg(F.sum("s").alias("s")).collect()}
         bias, weights, moved, moved_bias = math.log(positive / (1 - positive)), {}, {}, 0.0
         for _ in range(steps):
             miss = rows.select((F.col("y") - 1 / (1 + F.exp(-logit(F.col("b"), bias, weights)))).alias("e"), "b")
             sums = (miss.select("e", F.explode(F.concat("b", F.array(F.lit(-1)))).alias("b")).groupBy("b")
                     .agg(F.sum("e").alias("g")))
             gain = {r["b"]: r["g"] for r in sums.collect()}  # at most BUCKETS + 1 rows
-            moved_bias = MOMENTUM * moved_bias + rate * gain.pop(-1, 0.0)
+            moved_bias = MOMENTUM * moved_bias + rate[-1] * gain.pop(-1, 0.0)
             bias += moved_bias
             for k in sorted(gain):
-                moved[k] = MOMENTUM * moved.get(k, 0.0) + rate * (gain[k] - RIDGE * n * weights.get(k, 0.0))
+                moved[k] = MOMENTUM * moved.get(k, 0.0) + rate[k] * (gain[k] - RIDGE * n * weights.get(k, 0.0))
                 weights[k] = weights.get(k, 0.0) + moved[k]
         return bias, weights
     finally:

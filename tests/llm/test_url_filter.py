@@ -43,6 +43,18 @@ def test_model_tells_kinds_apart_on_unseen_hosts(spark):
     assert [got[i] for i in range(len(bad), len(bad + good))] == ["allow"] * len(good)
 
 
+def test_verdicts_turn_on_the_path(spark):
+    hosts = ["site.test", "www.page.test", "blog.thing.test", "library.test"]
+    bad = ["/casino/poker-bonus.html", "/en/best-casino/9", "/cheap-pills/order", "/adult-video/3.html",
+           "/free-bets-today", "/payday-loans.html"]
+    good = ["/en/12", "/news/weather-today.html", "/de/museum/12", "/books/history.html", "/"]
+    cases = [(h + p, "block") for h in hosts for p in bad] + [(h + p, "allow") for h in hosts for p in good]
+    cases += [(h + p, "block") for h in ("best-casino.test", "cheap-meds-pills.test", "adult-video.test") for p in good]
+    df = spark.createDataFrame([(i, f"https://{u}") for i, (u, _) in enumerate(cases)], "page_id long, url string")
+    got = {r.page_id: r for r in U.filter_urls(df).collect()}
+    assert [(u, got[i].verdict, got[i].probability) for i, (u, v) in enumerate(cases) if got[i].verdict != v] == []
+
+
 def test_training_lowers_the_loss_like_plain_descent(spark):
     lab = U.labelled_urls(spark)
     rows = lab.select("label", U.buckets_of(U.host_of(F.col("url")), U.path_of(F.col("url"))).alias("b")).collect()
