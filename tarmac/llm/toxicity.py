@@ -4,7 +4,12 @@ Restoring: a written word is read as a noisy image of a clean one. Its character
 character itself, the letters that a digit or sign may stand for, one or two letters for a run of the same
 character, no letter for a separator, and a word break or nothing for the space between single characters. Viterbi
 search finds the path with the least sum of channel costs and code length under a character trigram model, which is
-counted over the words of all documents. Words whose lattice has one path only are their own restoration.
+counted over the words of all documents. Words whose lattice has one path only are their own restoration. A word
+without any letter can also be meant as it stands (a number, a price): that reading costs ``DIGIT`` once and the code
+length of its digits and signs, and the cheaper one counts; its signs that stand for letters and are no punctuation
+are not dropped. The search is exact: its states at a position are the last
+two characters read, at most the square of the number of characters that the word's lattice can emit. Punctuation at
+the edges of a word (``EDGE``) is stripped before, so a word of nothing else is empty.
 
 Scoring: the features of a text are its restored words and their prefixes of three to six letters, present or not.
 Features that at least ``LEAST_DOCS`` toxic documents have, and significantly more of the toxic than of the others
@@ -44,8 +49,11 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
         "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y"}
 EDGE = ".,;:!?\"'()[]{}<>*_~`-|/\\…«»„“”‘’¡¿"
 SUBSTITUTE, DIGIT, DROP, COLLAPSE, COLLAPSE_PAIR, KEEP_RUN, JOIN, BREAK = 1.0, 3.0, 1.5, 0.7, 6.0, 2.0, 0.5, 1.5
-BEAM = 24
+# Code lengths in a word without letters: a digit, a sign in a number, another sign.
+LITERAL_DIGIT, LITERAL_MARK, LITERAL_SIGN = math.log(10), math.log(13), math.log(50)
+MARKS = "+-.,:/%$€£¥#"
 _RUN = re.compile(r"(.)\1")
+_RUNS = re.compile(r"(.)\1*", re.S)
 _RUN3 = re.compile(r"(.)\1\1")
 _FADING = re.compile(rf"(?:(?![{re.escape(''.join(LEET))}])[\W_])+\Z")  # closing signs that stand for no letter
 _HEAD = re.compile(r"([^\W\d_]{3,})([\W\d_]*)\Z")  # letters, then signs and digits
@@ -92,6 +100,7 @@ class CharModel:
 def _arcs(noisy: str):
     """For each position the arcs (end, emitted, cost)."""
     n = len(noisy)
+    bare = not any(map(str.isalpha, noisy))  # a word without letters: its signs are its letters
     run_end = [0] * n
     for i in range(n - 1, -1, -1):
         run_end[i] = run_end[i + 1] if i + 1 < n and noisy[i + 1] == noisy[i] else i + 1
@@ -110,35 +119,32 @@ def _arcs(noisy: str):
             if c.isalnum():
                 plain.append((c, DIGIT))
         arcs = [(i + 1, e, w) for e, w in plain]
-        if not c.isalnum():
+        sign = not c.isalnum() and not (bare and c in LEET and c not in EDGE)  # can be a separator
+        if sign:
             arcs.append((i + 1, "", DROP))
             if 0 < i < n - 1:
                 arcs.append((i + 1, " ", BREAK))
         if start and r >= 2:
             for e, w in plain:
                 base = w if not c.isalpha() else 0.0
+                if bare and r > 2:
+                    base += 2 * math.log(r)
                 arcs.append((run_end[i], e, base + (COLLAPSE if r > 2 else COLLAPSE_PAIR)))
                 if r > 2:
                     arcs.append((run_end[i], e + e, base + COLLAPSE + 0.5))
-            if not c.isalnum():
+            if sign:
                 arcs.append((run_end[i], "", DROP))
         out.append(arcs)
     return out
 
 
-def viterbi(noisy: str, model: CharModel) -> str:
-    """The cheapest clean reading of ``noisy`` (lower case); it may hold spaces between words."""
+def cheapest(noisy: str, model: CharModel) -> tuple[float, str]:
+    """Cost and text of the cheapest clean reading of ``noisy`` (lower case); it may hold spaces between words."""
     arcs, n, cost_of = _arcs(noisy), len(noisy), model.cost
     cells: list[dict] = [{} for _ in range(n + 1)]
     cells[0]["  "] = (0.0, None, "")
     for i in range(n):
-        cell = cells[i]
-        if not cell:
-            continue
-        states = cell.items()
-        if len(cell) > BEAM:
-            states = sorted(states, key=lambda kv: (kv[1][0], kv[0]))[:BEAM]
-        for context, entry in list(states):
+        for context, entry in cells[i].items():
             for j, emitted, w in arcs[i]:
                 total, ctx = entry[0] + w, context
                 for e in emitted:
@@ -147,12 +153,17 @@ def viterbi(noisy: str, model: CharModel) -> str:
                 old = cells[j].get(ctx)
                 if old is None or total < old[0]:
                     cells[j][ctx] = (total, entry, emitted)
-    best = min(((e[0] + cost_of(ctx, " "), ctx, e) for ctx, e in cells[n].items()), key=lambda x: x[:2])[2]
+    total, _, best = min(((e[0] + cost_of(ctx, " "), ctx, e) for ctx, e in cells[n].items()), key=lambda x: x[:2])
     out = []
     while best is not None:
         out.append(best[2])
         best = best[1]
-    return "".join(reversed(out))
+    return total, "".join(reversed(out))
+
+
+def viterbi(noisy: str, model: CharModel) -> str:
+    """The cheapest clean reading of ``noisy``."""
+    return cheapest(noisy, model)[1]
 
 
 def _noisy(word: str) -> str:
@@ -165,12 +176,28 @@ def _noisy(word: str) -> str:
     return core if core.isalpha() else noisy
 
 
+def _literal(core: str) -> float:
+    """Cost of a word without letters as it stands; a run of more than two is its character and its length."""
+    number, out = any(map(str.isalnum, core)), DIGIT
+    for m in _RUNS.finditer(core):
+        c, r = m[1], len(m[0])
+        each = LITERAL_DIGIT if c.isalnum() else LITERAL_MARK if number and c in MARKS else LITERAL_SIGN
+        out += min(r * each, each + 2 * math.log(r)) if r > 2 else r * each
+    return out
+
+
 def restored(word: str, model: CharModel) -> str:
     """Clean reading of one written word (lower case, without spaces)."""
     noisy = _noisy(word)
     if noisy.isalpha():
         return viterbi(noisy, model) if _RUN.search(noisy) else noisy
-    return viterbi(noisy, model) if any(map(str.isalpha, word)) else word.strip(EDGE)
+    if any(map(str.isalpha, word)):
+        return viterbi(noisy, model)
+    core = word.strip(EDGE)
+    if not core:
+        return ""
+    cost, text = cheapest(noisy, model)
+    return core if _literal(core) <= cost else text
 
 
 def readings(word: str) -> list[str]:
@@ -295,6 +322,8 @@ class ToxicityModel:
         The first word of every reading begins with the letters before any sign (pairs kept or made one); what the
         signs and digits after them stand for can make it longer, or be further words.
         """
+        if not any(map(str.isalpha, word)):  # letters that no weighted word begins with give no feature
+            return None if self._spells(frozenset("".join([LEET.get(c, "") + c for c in word]))) else ()
         m = _HEAD.match(_noisy(word))
         if not m or not m[1].isalpha() or _RUN3.search(m[1]):
             return None
@@ -304,14 +333,21 @@ class ToxicityModel:
         first = readings(m[1]) if pairs else [m[1]]
         signs = frozenset("".join([LEET.get(c, "") + c * c.isalnum() for c in m[2]]))
         if signs:
-            if signs not in self._spelled:
-                self._spelled[signs] = any(map(signs.issuperset, self.heads))
-            if self._spelled[signs] or any(len(x) < 3 or x[:3] in self.heads and (len(x) < 6 or x[:6] in self.starts)
+            if self._spells(signs) or any(len(x) < 3 or x[:3] in self.heads and (len(x) < 6 or x[:6] in self.starts)
                                            for x in first):
                 return None
         got = {self.useful(x) for x in first}
         return got.pop() if len(got) == 1 else None
 
+    def _spells(self, signs: frozenset) -> bool:
+        """Can these characters spell the first letters of a word that matters?"""
+        out = self._spelled.get(signs)
+        if out is None:
+            if len(self._spelled) > 300_000:
+                self._spelled.clear()
+            out = self._spelled[signs] = any(map(signs.issuperset, self.heads))
+        return out
+
     def found(self, word: str) -> tuple[str, ...]:
         """The features of a written word that have a weight."""
         out = self.without_search(word)

@@ -156,6 +156,28 @@ def test_words_without_search_have_no_feature():
     assert None in skipped and any(skipped)
 
 
+@pytest.mark.parametrize("word,want", [("@$$", "ass"), ("5!+", "sit"), ("$0$", "sos"), ("455", "ass"), ("2021", "2021"), ("$100", "$100"),
+                                       ("3.14", "3.14"), ("12:30", "12:30"), ("4111111111111111", "4111111111111111"),
+                                       ("!!!", ""), ("+1", "+1")])
+def test_words_without_a_letter(word, want):
+    grams = X.Counter()
+    for w in [*CLEAN, "ass", "sit", "sos", "assist", "site"]:
+        for i in range(len(w) + 1):
+            grams[f"  {w} "[i:i + 3]] += 5
+    chars = X.CharModel(dict(grams))
+    assert X.restored(word, chars) == want
+    weights = {f: 1.0 for w in ("ass", "sit", "sos") for f in X.features(w)}
+    full = [f for x in X.restored(word, chars).split() for f in X.features(x) if f in weights]
+    assert list(X.ToxicityModel(chars, weights, 0.0).found(word)) == full and bool(full) == want.isalpha()
+
+
+def test_search_is_exact_on_ambiguous_words(model):
+    rng = random.Random(3)
+    for _ in range(20):
+        noisy = "".join(rng.choice("!|1l@$5+") for _ in range(7))
+        assert math.isclose(X.cheapest(noisy, model)[0], full_search(noisy, model), rel_tol=1e-9)
+
+
 def test_gram_counts_match_a_plain_count():
     words = Counter({"straße.": 3, "ab": 2, "d'or": 5, "zoo": 1, "baaa": 9, "中文": 4, "ж": 1, "\U0001f600": 2})
     symbols, place = X._alphabet()
