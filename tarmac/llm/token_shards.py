@@ -201,18 +201,19 @@ def write_shards(documents: DataFrame, path: str, length: int = LENGTH, per_shar
     spark = documents.sparkSession
     placed = slots(stored(sequences(documents, length, vocabulary_path), "sequences"), key, per_shard)
     # A sequence of the shard's number keeps a shard together; the number of shards follows the data.
-    dealt = placed.repartition("shard").sortWithinPartitions("shard", "slot")
+    dealt = placed.repartition("shard")
 
     def records(batches):
         expand = zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows = [expand(x, max_output_size=2 * length) + n.to_bytes(2, "little")
                     for x, n in zip(b.column("ids").to_pylist(), b.column("n_ids").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(rows, pa.binary())],
-                                             names=["shard", "record"])
+            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("slot"), pa.array(rows, pa.binary())],
+                                             names=["shard", "slot", "record"])
 
-    bins = dealt.select("shard", "slot", "n_ids", "ids").mapInArrow(records, "shard long, record binary")
-    bins.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(path)
+    bins = dealt.select("shard", "slot", "n_ids", "ids").mapInArrow(records, "shard long, slot long, record binary")
+    # Sorted after the Python step, whose output has no known order: the writer then adds no sort by shard alone.
+    bins.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(path)
     manifest = placed.select("slot", "shard", (F.col("slot") % per_shard * stride(length)).alias("byte_offset"),
                              "number", "n_ids", "doc_ids", "ids")
 

@@ -83,3 +83,21 @@ def test_doc_ids_name_the_documents(spark):
 def test_empty(spark, empty):
     path, man = run(spark, empty)
     assert man == []
+
+
+def test_written_bytes_keep_the_slots_when_sorts_spill(spark, documents, tmp_path):
+    conf = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().conf()
+    key, length, per_shard = "spark.shuffle.spill.numElementsForceSpillThreshold", 64, 1000
+    conf.set(key, "400")
+    try:
+        manifest = S.write_shards(documents, str(tmp_path / "shards"), length, per_shard).collect()
+    finally:
+        conf.remove(key)
+    assert len(manifest) > per_shard
+    step, bodies = S.stride(length), {}
+    for r in manifest:
+        if r.shard not in bodies:
+            (file,) = (tmp_path / "shards" / f"shard={r.shard}").glob("part-*")
+            bodies[r.shard] = file.read_bytes()
+        record = bodies[r.shard][r.byte_offset:r.byte_offset + step - 1]
+        assert zlib.crc32(record) == r.crc
