@@ -9,7 +9,7 @@ from tarmac.plans import ORACLE, QUERIES, load_all
 from tarmac.sources.tables import TABLES
 from tools.oracle_check import rows_key
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 load_all()
 

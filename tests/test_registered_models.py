@@ -5,7 +5,7 @@ import pytest
 
 from tarmac.plans import ORACLE, QUERIES, load_all
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 load_all()
 ROWS_ONLY = sorted(set(QUERIES) - set(ORACLE))
