@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarmac.llm import decontaminate as D
 from tarmac.llm.queries import op10_decontaminate
 
-from conftest import SF
+from samples import SF
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import SF
+from samples import SF
 from pyspark.sql import functions as F
 from tarmac.llm import html_density as H
 

@@ -4,7 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
-from conftest import WORD
+from samples import WORD
 from pyspark.sql import functions as F
 from tarmac.llm import mixing as M
 

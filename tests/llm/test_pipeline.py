@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SF
+from samples import SF
 from tarmac.llm.common import table
 from tarmac.llm.queries import ORACLE, QUERIES
 

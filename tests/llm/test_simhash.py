@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import xxhash
-from conftest import WORD
+from samples import WORD
 from pyspark.sql import functions as F
 from tarmac.llm import simhash as S
 

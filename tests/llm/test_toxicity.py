@@ -6,7 +6,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import SF
+from samples import SF
 from pyspark.sql import functions as F
 from tarmac.llm import toxicity as X
 from tarmac.llm.queries import op1_toxicity
