@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import (decontaminate, html_density, mixing, near_dedup, pii, ppm, simhash, token_shards, toxicity,
-                        url_filter)
+from tarmac.llm import (decontaminate, html_density, kmeans, mixing, near_dedup, pii, ppm, simhash, token_shards,
+                        toxicity, url_filter)
 from tarmac.llm.common import fold, table
 
 
@@ -66,8 +66,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       decontaminate.contaminated().alias("contaminated"))
 
 
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_url_filter, op4_near_dedup, op5_token_shards,
-                                   op6_mixing, op7_lm_score, op8_html_text, op9_pseudonyms, op10_decontaminate)}
+                                   op6_mixing, op7_lm_score, op8_html_text, op9_pseudonyms, op10_decontaminate,
+                                   op12_clusters)}
 
 # The blocks of the schedule cover each source's repeated stream up to its quota once, so what a document gives is
 # the overlap of its places in the stream with the quota.
@@ -132,4 +137,44 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE = {"op6_mixing": MIXING_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
+_ROUND_SQL = r"""
+d{n} AS MATERIALIZED (
+  SELECT rid, c, CAST(sum((v.q - t.q) * (v.q - t.q)) AS BIGINT) AS dist
+  FROM v JOIN c{n} t USING (pos) GROUP BY rid, c),
+a{n} AS MATERIALIZED (
+  SELECT rid, c, dist FROM d{n} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY dist, c) = 1)"""
+_MOVED_SQL = r"""
+c{m} AS MATERIALIZED (
+  SELECT t.c, t.pos, coalesce(g.q, t.q) AS q
+  FROM c{n} t LEFT JOIN (
+    SELECT c, pos, CAST((sum(q) - ((sum(q) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS q
+    FROM a{n} JOIN v USING (rid) GROUP BY c, pos) g ON g.c = t.c AND g.pos = t.pos)"""
+
+
+def clusters_sql(k: int = kmeans.K, rounds: int = kmeans.ROUNDS, seed: int = kmeans.SEED) -> str:
+    """The rounds written out one after the other; vectors as (row, place, integer)."""
+    steps = []
+    for n in range(rounds):
+        steps += [_ROUND_SQL.format(n=n), _MOVED_SQL.format(n=n, m=n + 1)]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = {kmeans.DIMS}
+    AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = {kmeans.DIMS}),
+v AS MATERIALIZED (
+  SELECT rid, pos, CAST(floor({int(kmeans.SCALE)} * CAST(embedding[pos] AS DOUBLE)) AS BIGINT) AS q
+  FROM kept, (SELECT unnest(range(1, {kmeans.DIMS + 1})) AS pos)),
+first AS (
+  SELECT rid, row_number() OVER (ORDER BY sha256('{seed}:' || CAST(vec_id AS VARCHAR))) - 1 AS c FROM kept
+  QUALIFY c < {k}),
+c0 AS MATERIALIZED (SELECT c, pos, q FROM first JOIN v USING (rid)),{",".join(steps)},{_ROUND_SQL.format(n=rounds)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, dist AS distance,
+       CAST(sum(dist) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(dist) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256
+FROM a{rounds} JOIN kept USING (rid) JOIN (
+  SELECT c, sha256(string_agg(CAST(q AS VARCHAR), ',' ORDER BY pos)) AS sha FROM c{rounds} GROUP BY c) USING (c)
+"""
+
+
+ORACLE = {"op6_mixing": MIXING_SQL, "op10_decontaminate": DECONTAMINATE_SQL,
+          "op12_clusters": clusters_sql()}

@@ -14,7 +14,7 @@ import corpus_pipeline
 def test_equals_sql(spark, name):
     con = duckdb.connect()
     sf = "/root/testdata/sf0.01"
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     con.execute(f"CREATE VIEW result AS {ORACLE[name]}")
     res = con.execute("SELECT * FROM result")
