@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import (decontaminate, html_density, kmeans, mixing, near_dedup, pii, ppm, simhash, token_shards,
-                        toxicity, url_filter)
+from tarmac.llm import (decontaminate, html_density, kmeans, mixing, near_dedup, phrases, pii, ppm, simhash,
+                        token_shards, toxicity, url_filter)
 from tarmac.llm.common import fold, table
 
 
@@ -70,9 +70,13 @@ def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_url_filter, op4_near_dedup, op5_token_shards,
                                    op6_mixing, op7_lm_score, op8_html_text, op9_pseudonyms, op10_decontaminate,
-                                   op12_clusters)}
+                                   op12_clusters, op13_phrases)}
 
 # The blocks of the schedule cover each source's repeated stream up to its quota once, so what a document gives is
 # the overlap of its places in the stream with the quota.
@@ -176,5 +180,37 @@ FROM a{rounds} JOIN kept USING (rid) JOIN (
 """
 
 
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS pid, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+spots AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS g
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i
+        FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m)),
+freq AS MATERIALIZED (SELECT lang, m, g, count(*) AS f FROM spots GROUP BY lang, m, g HAVING count(*) >= 100),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+longer AS (
+  SELECT lang, g, max(f) AS f FROM (
+    SELECT lang, f, array_to_string(string_split(g, ' ')[i:i + s - 1], ' ') AS g
+    FROM (SELECT *, unnest(range(1, m - s + 2)) AS i
+          FROM (SELECT *, unnest(range(2, m)) AS s FROM freq WHERE m > 2))) GROUP BY lang, g),
+cand AS (
+  SELECT c.lang, c.m, c.g, c.f AS a, n FROM freq c JOIN sizes USING (lang)
+  LEFT JOIN longer o ON o.lang = c.lang AND o.g = c.g
+  WHERE c.m > 1 AND (o.f IS NULL OR 100 * o.f < 100 * c.f)),
+cuts AS (
+  SELECT *, array_to_string(string_split(g, ' ')[:k], ' ') AS p, array_to_string(string_split(g, ' ')[k + 1:], ' ') AS q
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM cand)),
+valued AS (
+  SELECT c.*, x.f AS l, y.f AS r, CAST(1000::HUGEINT * a * n // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN freq x ON x.lang = c.lang AND x.g = c.p JOIN freq y ON y.lang = c.lang AND y.g = c.q),
+best AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank, g AS phrase,
+       CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
 ORACLE = {"op6_mixing": MIXING_SQL, "op10_decontaminate": DECONTAMINATE_SQL,
-          "op12_clusters": clusters_sql()}
+          "op12_clusters": clusters_sql(), "op13_phrases": PHRASES_SQL}
