@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import (decontaminate, html_density, kmeans, mixing, near_dedup, phrases, pii, ppm, simhash,
+from tarmac.llm import (decontaminate, html_density, kmeans, mixing, near_dedup, packing, phrases, pii, ppm, simhash,
                         token_shards, toxicity, url_filter)
 from tarmac.llm.common import fold, table
 
@@ -66,6 +66,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       decontaminate.contaminated().alias("contaminated"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -76,7 +80,7 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_url_filter, op4_near_dedup, op5_token_shards,
                                    op6_mixing, op7_lm_score, op8_html_text, op9_pseudonyms, op10_decontaminate,
-                                   op12_clusters, op13_phrases)}
+                                   op11_packing, op12_clusters, op13_phrases)}
 
 # The blocks of the schedule cover each source's repeated stream up to its quota once, so what a document gives is
 # the overlap of its places in the stream with the quota.
