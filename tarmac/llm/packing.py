@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 
 import numpy as np
@@ -38,7 +39,8 @@ from tarmac.llm.common import stored
 VOCABULARY = "word_bpe_49k.json"  # of public_tokenizers
 LENGTH = 2048
 END = 0
-CACHE = 300_000  # words a worker remembers
+CACHE = 400_000  # words a worker remembers as they stand in texts
+STEMS = 1_200_000  # words a worker remembers as they were encoded
 TOGETHER = 2000  # words encoded by one call
 ROUNDS = 120  # of multiplicative weights
 NEAR = 0.01  # configurations within this of the dearest gain weight
@@ -46,7 +48,9 @@ MOST = 20_000  # configurations kept of the program's solution
 # Control characters that Python takes for white space and the vocabulary's split pattern does not.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _POINTS = ".,;:!?"
+_SIGN_POINT = re.compile(r"(?:[^\w\s]|_)[.,;:!?]")
 _MARK = "\x01"
+_LATIN = "\u0250"  # the letters before it are composed ones
 
 _workers: dict[str, Tokenizer] = {}
 
@@ -55,57 +59,93 @@ class Tokenizer:
     """Ids of texts by the vocabulary's library, with a memory of words.
 
     The vocabulary drops white space and no token spans it, so a text's ids are those of its words. A letter or digit
-    and a point after it are apart as well: an unknown word ``end.`` is looked up as ``end`` and ``.``. Unknown words
-    are encoded together, a control character between them that is a token of its own. Texts with characters that
-    would break this are encoded as they are.
+    and a point after it are apart as well: an unknown word ``end.`` is looked up as ``end`` and ``.``, and ASCII letters
+    by their lower case, which the vocabulary takes anyway. Unknown words are encoded together, a token of its own
+    between them; those of Latin small letters only need no normalising or splitting and pass the bare model. Texts
+    with characters that would break this are encoded as they are.
     """
 
     def __init__(self, name: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer as Library
+        from tokenizers import pre_tokenizers as split
 
         self.library = Library.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
-        self.mark = self.library.encode(_MARK, add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
+        self.bare = Library(self.library.model)
+        self.bare.pre_tokenizer = split.Sequence([split.WhitespaceSplit(),
+                                                  split.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.known: dict[str, bytes] = {}  # words as they stand in texts
+        self.stems: dict[str, bytes] = {}  # what has been encoded
 
     def plain(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, stems: list[str]) -> None:
-        safe = [s for s in stems if _MARK not in s and "<" not in s]
-        for s in set(stems).difference(safe):
-            self.known[s] = self.plain(s)
-        for at in range(0, len(safe), TOGETHER):
-            some = safe[at:at + TOGETHER]
-            joined = f" {_MARK} ".join(some)
-            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else ()
+    def _together(self, library, mark: str, words: list[str]) -> None:
+        sign = library.encode(mark, add_special_tokens=False).ids
+        for at in range(0, len(words), TOGETHER):
+            some = words[at:at + TOGETHER]
+            joined = f" {mark} ".join(some)
+            ids = np.array(library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == sign[0]) if len(sign) == 1 else ()
             if len(cuts) != len(some) - 1:  # another vocabulary: the mark is not one token of its own
-                self.known.update((s, self.plain(s)) for s in some)
+                self.stems.update((s, self.plain(s)) for s in some)
                 continue
             body, ends = ids.tobytes(), (4 * cuts).tolist()
             for s, a, b in zip(some, [-4, *ends], [*ends, len(body)]):
-                self.known[s] = body[a + 4:b]
+                self.stems[s] = body[a + 4:b]
+
+    def _learn(self, stems) -> None:
+        bare, full = [], []
+        for s in stems:
+            if s.isalpha() and (s.isascii() or max(s) < _LATIN) and s == s.lower():
+                bare.append(s)
+            elif _MARK in s or "<" in s:
+                self.stems[s] = self.plain(s)
+            else:
+                full.append(s)
+        self._together(self.bare, "!", bare)
+        self._together(self.library, _MARK, full)
+
+    def _split(self, text: str) -> list[str] | None:
+        if any(c in text for c in _NOT_SPACE):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        # Without marks to compose and signs before a point, points can be set apart and letters made small at once.
+        if not _SIGN_POINT.search(text):
+            text = text.lower()
+            for p in _POINTS:
+                if p in text:
+                    text = text.replace(p, " " + p)
+        return text.split()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
-        split = [None if any(c in t for c in _NOT_SPACE) else t.split() for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = set().union(*(w for w in split if w)).difference(self.known)
-        halves, stems = {}, set()
-        for w in new:
+        split = list(map(self._split, texts))
+        known, stems = self.known, self.stems
+        if len(known) > CACHE:
+            known.clear()
+        if len(stems) > STEMS:
+            stems.clear()
+        whole, halves, missing = [], [], set()
+        for w in set().union(*(w for w in split if w)).difference(known):
             s = w.rstrip(_POINTS)
-            if len(s) < len(w) and s and s[-1].isascii() and s[-1].isalnum():
-                halves[w] = s, w[len(s):]
-                stems.update(halves[w])
+            low = s.lower() if s.isascii() else s
+            if low and low != w and (len(s) == len(w) or s[-1].isascii() and s[-1].isalnum()):
+                halves.append((w, low, w[len(s):]))
+                missing.add(low)
             else:
-                stems.add(w)
-        self._learn(sorted(stems.difference(self.known)))
-        known = self.known
-        for w, (a, b) in halves.items():
-            known[w] = known[a] + known[b]
+                whole.append(w)
+        missing.update(whole)
+        missing.update({p for _, _, p in halves if p})
+        self._learn(missing.difference(stems))
+        for w in whole:
+            known[w] = stems[w]
+        for w, a, b in halves:
+            known[w] = stems[a] + stems[b] if b else stems[a]
         return [self.plain(t) if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, split)]
 
 
