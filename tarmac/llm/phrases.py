@@ -5,15 +5,17 @@
 2. ``suffixes``: a phrase with ``least`` occurrences holds only words with as many, so a suffix (a word and up to four
    after it in its piece) ends before the first rarer word. Equal suffixes of a task are counted together. A suffix
    belongs to a prefix: its first word, or, where that has more occurrences than fit a group's memory budget, the
-   words up to the first that has not (vertical partitioning). Prefixes are dealt into groups of ``BUDGET`` suffixes
-   at most by the words' counts, and a task sends each group one packed block.
+   words up to the first that has not (vertical partitioning). Prefixes are dealt into groups of about half of ``BUDGET``
+   suffixes, and a task sends each group one packed block. A node above the prefixes, all of whose words are too
+   frequent for one group, is counted by the tasks and sent as a leaf of its own to the node's group.
 3. ``subtree``: each group is sorted and its depth-truncated suffix trees are cut out of the order: a node is a run of
-   equal first words and its count the sum of the leaves below. A node below its whole prefix is counted in full by
-   its group; the few above (all of whose words are too frequent for one group) are added over the groups.
+   equal first words and its count the sum of the leaves below; a node above the prefixes has its own leaf.
 4. ``score``: the cuts of each phrase meet the counts of both parts in joins; decimal arithmetic is exact.
 
 Which words are frequent, and which too frequent for a group, the tasks know from two bit maps of fixed size. A wrong
-hit there costs a few more suffixes or a longer prefix, never a count. Python workers hold one flush or one group.
+hit there costs a few more suffixes or a longer prefix, never a count. In a block the ``KNOWN`` most frequent words
+are numbers that all tasks know, the others numbers in the block's own list of hashes. Python workers hold one flush
+or one group.
 
 Cases: null text is empty; null lang is ``und``; null or repeated doc_ids do not matter, every row counts; an empty
 table or no phrase that often gives an empty result; long texts are read in parts cut at spaces; other columns are
@@ -37,6 +39,7 @@ BUDGET = 2_000_000  # suffixes a group may hold
 FLUSH = 1_000_000  # words a task gathers before it sends them
 HELD = 500_000  # distinct words a task remembers
 PART = 1 << 20  # bytes of a text split at once
+KNOWN = 1 << 17  # words whose numbers all tasks know
 BITS = 22  # bit maps of 2**BITS bits
 CODE = 21  # bits of a word's number within a flush; three words fill a sort key
 _TABLE = bytes.maketrans((UPPER + ".,;:!?\x0b\x0c\r\t").encode(), (LOWER + "\n" * 9 + " ").encode())
@@ -168,7 +171,30 @@ class _Codes(dict):
         return code
 
 
-def packed(codes: np.ndarray, hashes: list, hot: np.ndarray, groups: int, length: int):
+class Known:
+    """Numbers from 1 for the most frequent words, the most frequent first; 0 stands for the end of a suffix."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.concatenate([np.zeros(1, np.uint64), hashes])
+        self.order = np.argsort(self.hashes, kind="stable")
+        self.sorted = self.hashes[self.order]
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where it has none."""
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == h, self.order[at], -1)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """uint32 numbers byte by byte: the high ones, mostly zero, together."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(body: bytes, n: int, at: int) -> np.ndarray:
+    return np.frombuffer(body, np.uint8, 4 * n, at).reshape(4, n).T.copy().view("<u4")[:, 0].astype(np.int64)
+
+
+def packed(codes: np.ndarray, hashes: list, hot: np.ndarray, known: Known, groups: int, length: int):
     """(group, suffixes, words, block) of the suffixes of a run of word numbers."""
     codes = codes[codes >= 0]
     padded = np.concatenate([codes, np.zeros(length, codes.dtype)]).astype(np.int64)
@@ -181,37 +207,51 @@ def packed(codes: np.ndarray, hashes: list, hot: np.ndarray, groups: int, length
     rows, times = _sorted_runs(rows, np.ones(rows.shape[1], np.int64), len(hashes))
     h = np.array(hashes, np.uint64)
     often = _marked(hot, h)
+    often[0] = False
+    # Nodes whose words are all too frequent: each becomes one leaf, in place of the suffixes that end there.
+    over, tops = np.ones(rows.shape[1], bool), []
+    for i in range(length - 1):
+        over &= often[rows[i]]
+        if i and over.any():
+            part = rows[:, over].copy()
+            part[i + 1:] = 0
+            tops.append(_sorted_runs(part, times[over], len(hashes)))
+    ended = (often[rows] | (rows == 0)).all(axis=0) & (rows[-1] == 0)
+    rows = np.concatenate([rows[:, ~ended], *(r for r, _ in tops)], axis=1)
+    times = np.concatenate([times[~ended], *(t for _, t in tops)])
     key, longer = _mix(h[rows[0]]), often[rows[0]]
     for i in range(1, length):
         longer &= rows[i] > 0
         key[longer] = _mix(key[longer] ^ (h[rows[i][longer]] * np.uint64(0x9E3779B97F4A7C15)))
         longer &= often[rows[i]]
+    number = known.numbers(h)
     group = (key % np.uint64(groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
     ends = np.flatnonzero(np.diff(group[order], append=-1)) + 1
     press, at = zstandard.ZstdCompressor(level=3).compress, 0
     for end in ends.tolist():
         of = order[at:end]
-        known, places = np.unique(rows[:, of], return_inverse=True)
-        kind = "<u2" if len(known) < 1 << 16 else "<u4"
-        block = (np.where(known > 0, h[known], np.uint64(0)).astype("<u8").tobytes()
-                 + places.reshape(length, -1).astype(kind).tobytes() + times[of].astype("<u4").tobytes())
-        yield int(group[of[0]]), end - at, len(known), press(block)
+        places = number[rows[:, of]]
+        rare, at_rare = np.unique(rows[:, of][places < 0], return_inverse=True)
+        places[places < 0] = len(known.hashes) + at_rare
+        block = h[rare].astype("<u8").tobytes() + _planes(places.ravel()) + _planes(times[of])
+        yield int(group[of[0]]), end - at, len(rare), press(block)
         at = end
 
 
-def suffixes(documents: DataFrame, seed: int, frequent: np.ndarray, hot: np.ndarray, groups: int,
+def suffixes(documents: DataFrame, seed: int, frequent: np.ndarray, hot: np.ndarray, known: np.ndarray, groups: int,
              length: int = WORDS, flush: int = FLUSH) -> DataFrame:
     """(grp, n, m, block): the counted suffixes of each task, by group of prefixes."""
     sc = documents.sparkSession.sparkContext
-    maps = sc.broadcast((frequent, hot))
+    maps = sc.broadcast((frequent, hot, known))
 
     def run(batches):
-        often, over = maps.value
+        often, over, top = maps.value
+        top = Known(top)
         hashes, dicts, runs, size = [0], {}, [], 0
 
         def rows():
-            found = list(packed(np.concatenate(runs), hashes, over, groups, length)) if runs else []
+            found = list(packed(np.concatenate(runs), hashes, over, top, groups, length)) if runs else []
             cols = list(zip(*found)) or [[]] * 4
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
@@ -236,41 +276,45 @@ def suffixes(documents: DataFrame, seed: int, frequent: np.ndarray, hot: np.ndar
     return texts(documents).mapInArrow(run, "grp long, n long, m long, block binary")
 
 
-def subtree(blocks: list, hot: np.ndarray, least: int, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Nodes of a group's trees by depth from 2: (hashes, depth x nodes; counts).
-
-    Nodes that the group counts in full have ``least`` or more; the others are partial sums.
-    """
+def subtree(blocks: list, hot: np.ndarray, top: Known, least: int,
+            length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Nodes with ``least`` or more of a group's trees by depth from 2: (hashes, depth x nodes; counts)."""
     expand = zstandard.ZstdDecompressor().decompress
-    names, places, times, held = [], [], [], 0
+    names, places, times, held = [top.hashes], [], [], len(top.hashes)
     for n, m, block in blocks:
         body = expand(block)
         names.append(np.frombuffer(body, "<u8", m))
-        kind = "<u2" if m < 1 << 16 else "<u4"
-        places.append(np.frombuffer(body, kind, n * length, 8 * m).reshape(length, n).astype(np.int64) + held)
-        times.append(np.frombuffer(body, "<u4", n, len(body) - 4 * n).astype(np.int64))
+        at = _unplaned(body, n * length, 8 * m)
+        at[at >= len(top.hashes)] += held - len(top.hashes)
+        places.append(at.reshape(length, n))
+        times.append(_unplaned(body, n, 8 * m + 4 * n * length))
         held += m
-    known, number = np.unique(np.concatenate([*names, np.zeros(1, np.uint64)]), return_inverse=True)  # known[0] == 0
-    rows, total = _sorted_runs(number[np.concatenate(places, axis=1)], np.concatenate(times), len(known))
+    places, names = np.concatenate(places, axis=1), np.concatenate(names)
+    used, places = np.unique(places, return_inverse=True)
+    known, number = np.unique(np.concatenate([np.zeros(1, np.uint64), names[used]]), return_inverse=True)
+    rows, total = _sorted_runs(number[1:][places.reshape(length, -1)], np.concatenate(times), len(known))
     often = _marked(hot, known)
-    out, new, whole = [], np.zeros(rows.shape[1], bool), np.zeros(rows.shape[1], bool)
+    often[0] = False
+    out, new, over = [], np.zeros(rows.shape[1], bool), np.ones(rows.shape[1], bool)
     new[:1] = True
     for depth in range(1, length + 1):
         row = rows[depth - 1]
         new[1:] |= row[1:] != row[:-1]
-        whole |= ~often[row]
+        over &= often[row]
         if depth == 1:
             continue
         starts = np.flatnonzero(new)
         count = np.add.reduceat(total, starts)
-        real = row[starts] > 0
-        keep = real & ((count >= least) | (~whole[starts] & (depth < length)))
+        if depth < length:  # a node above the prefixes: its own leaf, first in order, if it is in this group
+            own = np.where(rows[depth, starts] == 0, total[starts], 0)
+            count = np.where(over[starts], own, count)
+        keep = (row[starts] > 0) & (count >= least)
         out.append((known[rows[:depth, starts[keep]]], count[keep]))
     return out
 
 
 def phrases(documents: DataFrame, seed: int, found: DataFrame, least: int = LEAST, length: int = WORDS,
-            budget: int = BUDGET, flush: int = FLUSH) -> DataFrame:
+            budget: int = BUDGET, flush: int = FLUSH, known: int = KNOWN) -> DataFrame:
     """(words array<long>, a): every phrase of 2 to ``length`` words with ``least`` occurrences, as word hashes."""
     often = found.filter(F.col("f") >= least)
     total = often.agg(F.sum("f")).first()[0] or 0
@@ -278,20 +322,21 @@ def phrases(documents: DataFrame, seed: int, found: DataFrame, least: int = LEAS
     groups = max(-(-2 * total // budget), int(spark.conf.get("spark.sql.shuffle.partitions")))
     frequent = bit_map(often)
     hot = bit_map(often.filter(F.col("f") > max(budget // 16, 1)))
-    blocks = suffixes(documents, seed, frequent, hot, groups, length, flush)
-    maps = spark.sparkContext.broadcast(hot)
+    top = often.orderBy(F.col("f").desc(), "h").limit(known).select("h").toArrow().column("h").to_numpy().view(np.uint64)
+    blocks = suffixes(documents, seed, frequent, hot, top, groups, length, flush)
+    maps = spark.sparkContext.broadcast((hot, top))
 
     def build(table):
-        nodes = subtree(list(zip(*(table.column(c).to_pylist() for c in ("n", "m", "block")))), maps.value, least,
-                        length)
+        over, words = maps.value
+        nodes = subtree(list(zip(*(table.column(c).to_pylist() for c in ("n", "m", "block")))), over, Known(words),
+                        least, length)
         lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, len(h)), pa.int32()),
                                           pa.array(np.ascontiguousarray(h.T).ravel().view(np.int64)))
                  for h, _ in nodes]
         return pa.table({"words": pa.chunked_array(lists, pa.list_(pa.int64())),
                          "a": pa.chunked_array([pa.array(c) for _, c in nodes], pa.int64())})
 
-    nodes = blocks.groupBy("grp").applyInArrow(build, "words array<long>, a long")
-    return nodes.groupBy("words").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
+    return blocks.groupBy("grp").applyInArrow(build, "words array<long>, a long")
 
 
 def score(found: DataFrame, counted: DataFrame, least: int = LEAST) -> DataFrame:
@@ -324,10 +369,10 @@ def score(found: DataFrame, counted: DataFrame, least: int = LEAST) -> DataFrame
 
 
 def mine(documents: DataFrame, least: int = LEAST, length: int = WORDS, top: int = TOP, budget: int = BUDGET,
-         flush: int = FLUSH) -> DataFrame:
+         flush: int = FLUSH, known: int = KNOWN) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` collocations of each lang."""
     found, seed = words(documents)
-    counted = stored(phrases(documents, seed, found, least, length, budget, flush), "phrase-counts")
+    counted = stored(phrases(documents, seed, found, least, length, budget, flush, known), "phrase-counts")
     scored = score(found, counted, least)
     spelled = (scored.select("*", F.posexplode("words").alias("at", "h"))
                .join(found.filter(F.col("f") >= least).select("h", F.col("word").cast("string").alias("word")), "h")

@@ -39,15 +39,15 @@ def got(df, **options):
     return sorted(tuple(r) for r in P.mine(df, **options).collect())
 
 
-@pytest.mark.parametrize("budget,flush", [(2_000_000, 1_000_000), (64, 500)])
-def test_given_texts(spark, documents, budget, flush):
+@pytest.mark.parametrize("budget,flush,known", [(2_000_000, 1_000_000, 1 << 17), (64, 500, 3), (4000, 5000, 40)])
+def test_given_texts(spark, documents, budget, flush, known):
     """Also with groups and flushes so small that prefixes are extended and trees span many blocks."""
     rows = [(r.lang, r.text) for r in documents.collect()]
-    assert got(documents, least=60, budget=budget, flush=flush) == plain(rows, 60)
+    assert got(documents, least=60, budget=budget, flush=flush, known=known) == plain(rows, 60)
 
 
-@pytest.mark.parametrize("budget,flush", [(2_000_000, 1_000_000), (32, 50)])
-def test_few_words_many_ties(spark, budget, flush):
+@pytest.mark.parametrize("budget,flush,known", [(2_000_000, 1_000_000, 1 << 17), (32, 50, 2), (800, 50, 0)])
+def test_few_words_many_ties(spark, budget, flush, known):
     """One word holds a third of all, runs of one word, phrases that overlap themselves, langs that share words."""
     rnd = random.Random(budget)
     rows = []
@@ -57,7 +57,7 @@ def test_few_words_many_ties(spark, budget, flush):
     rows += [("en", "a a a a a a a a"), ("en", "A b\nC d\rb c"), (None, None), ("en", None), ("x", "")] * 3
     df = spark.createDataFrame([(i, t, g) for i, (g, t) in enumerate(rows)], "doc_id long, text string, lang string")
     for least, top in ((3, 2000), (5, 4), (1, 50)):
-        assert got(df, least=least, top=top, budget=budget, flush=flush) == plain(rows, least, top=top)
+        assert got(df, least=least, top=top, budget=budget, flush=flush, known=known) == plain(rows, least, top=top)
 
 
 def test_long_texts_in_parts(spark, monkeypatch, documents):
