@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions.columns import money_double, money_total, ratio, truncate_label
 from tarmac.operators.bi import filter_sales
-from tarmac.operators.scale import bounded, fits_broadcast, running_total
+from tarmac.operators.scale import bounded, fits_broadcast, lookup_join, running_total
 from tarmac.schema import ABC_A_LIMIT, ABC_B_LIMIT
 
 CLASSES = ["A", "B", "C"]
@@ -87,13 +87,13 @@ def with_abc_class(sales: DataFrame) -> DataFrame:
     """S6 + J4: write the ABC class onto every fact row (overwrites any given class).
 
     The product-class table is broadcast only when the product count is under
-    the checked bound; otherwise it is a shuffle join (AQE splits skewed products).
+    the checked bound; otherwise the join is split by heavy products (``scale.lookup_join``).
     """
-    classes, small = product_classes(sales)
-    right = F.broadcast(classes) if small else classes
+    classes, _ = product_classes(sales)
     base = sales.drop("ABC_Class") if "ABC_Class" in sales.columns else sales
-    out = base.join(right, base.Product_Name == right._pname, "left").drop("_pname")
-    return out
+    names = base.columns
+    return lookup_join(base, classes.withColumnRenamed("_pname", "Product_Name"), "Product_Name").select(
+        *names, "ABC_Class")
 
 
 def pareto_chart(products: DataFrame) -> DataFrame:

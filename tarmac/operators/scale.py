@@ -58,6 +58,38 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
+def heavy_keys(df: DataFrame, key: str) -> DataFrame:
+    """The values of ``key`` that hold more than their even share of a task, as a one-column table ``key``.
+
+    With p shuffle partitions a value is heavy above 1/p of the rows, so there are fewer than p of them. The counts
+    are summed in each task before they meet.
+    """
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).persist()
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    heavy = counts.filter(F.col("__n") * _parts(df) > total).select(key)
+    rows = [r[0] for r in heavy.collect()]  # fewer than the shuffle partitions
+    counts.unpersist()
+    return df.sparkSession.createDataFrame([(r,) for r in rows], df.select(key).schema)
+
+
+def lookup_join(df: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``df`` left-joined to the table ``right`` by ``key``, of which ``right`` has each value once.
+
+    A table within the checked bound is broadcast. Beyond it the join is split: rows of heavy values (and of null,
+    which would all hash to one task) stay where they are and meet their few rows of ``right`` in a broadcast; the
+    others meet in a shuffle, in which no value has more than an even share. Both parts are put together.
+    """
+    if fits_broadcast(right):
+        return df.join(F.broadcast(right), key, "left")
+    heavy = heavy_keys(df, key)
+    hot_right = right.join(F.broadcast(heavy), key, "left_semi")
+    is_hot = heavy.withColumn("__hot", F.lit(True))
+    marked = df.join(F.broadcast(is_hot), key, "left")
+    hot = marked.filter(F.col("__hot") | F.col(key).isNull()).drop("__hot").join(F.broadcast(hot_right), key, "left")
+    rest = marked.filter(F.col("__hot").isNull() & F.col(key).isNotNull()).drop("__hot")
+    return hot.unionByName(rest.join(right.hint("shuffle_hash"), key, "left"))
+
+
 def _parts(df: DataFrame) -> int:
     spark = df.sparkSession
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

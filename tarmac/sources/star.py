@@ -8,8 +8,8 @@ dimension). Keys come from ``scale.ordered_row_id``: a single window under the
 size bound, two-phase range-partitioned ids above it.
 
 Joins: dimension sides are broadcast only when the dimension is within
-``spark.tarmac.broadcastRows`` (checked with a bounded count); otherwise Spark sort-merge
-joins them (AQE splits skewed keys). ``dim_date`` is bounded by the calendar
+``spark.tarmac.broadcastRows`` (checked with a bounded count); otherwise the join is split by
+heavy products and customers (``scale.lookup_join``). ``dim_date`` is bounded by the calendar
 (one row per day), so it is always broadcast.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.functions.columns import quarter_label
-from tarmac.operators.scale import maybe_broadcast, ordered_row_id
+from tarmac.operators.scale import lookup_join, ordered_row_id
 
 STAR_TABLES = ["dim_product", "dim_customer", "dim_date", "fact_sales"]
 
@@ -82,9 +82,9 @@ def fact_sales(sales: DataFrame, products: DataFrame, customers: DataFrame,
 
     A row without a product, customer or date stays, with a null key.
     """
-    p = maybe_broadcast(products.select(F.col("product_name").alias("Product_Name"), "product_id"))
-    c = maybe_broadcast(customers.select(F.col("customer_name").alias("Customer"), "customer_id"))
-    f = sales.join(p, "Product_Name", "left").join(c, "Customer", "left")
+    p = products.select(F.col("product_name").alias("Product_Name"), "product_id")
+    c = customers.select(F.col("customer_name").alias("Customer"), "customer_id")
+    f = lookup_join(lookup_join(sales, p, "Product_Name"), c, "Customer")
     f = f.select(F.col("Transaction_ID").alias("txn_code"), date_key("Date").alias("date_id"),
                  "product_id", "customer_id", F.col("Units_Sold").alias("units_sold"),
                  F.col("Unit_Price").alias("unit_price"), F.col("Revenue").alias("revenue"),
@@ -142,9 +142,8 @@ def star_flat(star: dict[str, DataFrame]) -> DataFrame:
     """S12 + J1: the flat fact from the star (three equi-joins; a null key gives null attributes)."""
     f = star["fact_sales"]
     d = F.broadcast(star["dim_date"])  # one row per calendar day
-    p = maybe_broadcast(star["dim_product"])
-    c = maybe_broadcast(star["dim_customer"])
-    j = f.join(d, "date_id", "left").join(p, "product_id", "left").join(c, "customer_id", "left")
+    j = lookup_join(lookup_join(f.join(d, "date_id", "left"), star["dim_product"], "product_id"),
+                    star["dim_customer"], "customer_id")
     return j.select(
         F.col("txn_code").alias("Transaction_ID"), F.col("date").alias("Date"), F.col("year").alias("Year"),
         F.col("month").alias("Month"), F.col("month_name").alias("Month_Name"), F.col("quarter").alias("Quarter"),

@@ -11,10 +11,12 @@ one commit, not one per file.
 Ids are unique over the whole store (ST2): a row whose Transaction_ID is already
 stored, on whatever day, or that an earlier batch of the same trigger holds, goes
 to the quarantine with the reason ``repeated_id`` and is counted in the reports.
+The check reads no fact: stored ids are kept in a table of their own
+(``streaming.id_index``), of which a trigger reads the parts its ids fall into.
 Batches that arrive in the order of their ``batch`` values give the same fact and
 quarantine for any ``max_files``.
 
-Exactly-once: fact, quarantine and reports of a micro-batch live in folders of
+Exactly-once: fact, ids, quarantine and reports of a micro-batch live in folders of
 their own (``ingest_id=<micro-batch id>``) that a replay overwrites, and the id
 check looks at the other micro-batches only. So a replay after a lost executor or
 driver changes no table. Progress lives in the checkpoint folder.
@@ -31,6 +33,7 @@ from tarmac.schema import SALES_COLUMNS, SALES_SCHEMA
 from tarmac.session import path_exists
 from tarmac.sources.ingest import validate_batches
 from tarmac.sources.tables import read_table
+from tarmac.streaming import id_index
 
 FAILED, REPEATED = "failed_rules", "repeated_id"  # why a row is in the quarantine
 
@@ -64,21 +67,12 @@ def read_ingested(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.schema(SALES_SCHEMA).parquet(target).withColumn("ingest_id", F.col("ingest_id").cast("long"))
 
 
-def _stored_repeats(spark: SparkSession, target: str, ids: DataFrame, batch_id: int) -> DataFrame:
-    """The ids of ``ids`` that other micro-batches have stored.
+def make_batch_handler(target: str, quarantine: str, reports: str, ids: str | None = None):
+    """The ``foreachBatch`` function: validate every batch, then append or divert.
 
-    A semi join: the few ids of a micro-batch are the build side, so the store is
-    scanned for its id column alone and need not be shuffled.
+    ``ids`` is the folder of the id index, by default ``<target>_ids``.
     """
-    schema = T.StructType([SALES_SCHEMA["Transaction_ID"], T.StructField("ingest_id", T.LongType())])
-    if not path_exists(spark, target):
-        return spark.createDataFrame([], schema).select("Transaction_ID")
-    stored = spark.read.schema(schema).parquet(target).filter(F.col("ingest_id") != batch_id)
-    return stored.join(ids, "Transaction_ID", "left_semi").select("Transaction_ID").distinct()
-
-
-def make_batch_handler(target: str, quarantine: str, reports: str):
-    """The ``foreachBatch`` function: validate every batch, then append or divert."""
+    ids = ids or f"{target.rstrip('/')}_ids"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -91,7 +85,9 @@ def make_batch_handler(target: str, quarantine: str, reports: str):
         first = Window.partitionBy("Transaction_ID").orderBy(F.desc("_ok"), "batch")
         judged = batch.join(status, "batch").withColumn("_nth", F.row_number().over(first))
         good_ids = judged.filter("_ok AND _nth = 1").select("Transaction_ID")
-        repeats = _stored_repeats(spark, target, good_ids, batch_id).withColumn("_stored", F.lit(True))
+        if not path_exists(spark, ids) and path_exists(spark, target):  # a store from before the index
+            id_index.rebuild(read_ingested(spark, target).filter(F.col("ingest_id") != batch_id), ids)
+        repeats = id_index.stored(spark, ids, good_ids, batch_id).withColumn("_stored", F.lit(True))
         judged = judged.join(repeats, "Transaction_ID", "left").withColumn(
             "reason", F.when(~F.col("_ok"), F.lit(FAILED))
             .when((F.col("_nth") > 1) | F.col("_stored"), F.lit(REPEATED))).persist()
@@ -99,7 +95,9 @@ def make_batch_handler(target: str, quarantine: str, reports: str):
         def write(df, folder, *parts):
             df.write.mode("overwrite").partitionBy(*parts).parquet(f"{folder}/ingest_id={batch_id}")
 
-        write(judged.filter(F.col("reason").isNull()).select(*SALES_COLUMNS), target, "Year")
+        kept = judged.filter(F.col("reason").isNull()).select(*SALES_COLUMNS)
+        id_index.add(kept, ids, batch_id)  # before the fact: a replay overwrites both
+        write(kept, target, "Year")
         write(judged.filter(F.col("reason").isNotNull()).select(*SALES_COLUMNS, "batch", "reason"), quarantine)
         dropped = judged.groupBy("batch").agg(F.count_if(F.col("reason") == REPEATED).alias("violations")).select(
             "batch", F.lit(REPEATED).alias("rule"), "violations", (F.col("violations") == 0).alias("passed"))

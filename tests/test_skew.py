@@ -6,8 +6,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tarmac.operators import bi, customers
+from pyspark.sql import functions as F
+
+from tarmac.operators import abc, bi, customers, scale
 from tarmac.schema import SALES_SCHEMA
+from tarmac.sources import star
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +58,66 @@ def test_cohorts_under_skew(skewed):
             sizes[r["cohort"]] = r["size"]
     assert sum(sizes.values()) == len(first)
     assert sum(r["active"] for r in got) == pdf.groupby(["Customer", "ym"]).ngroups
+
+
+@pytest.fixture
+def beyond_broadcast(spark):
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.tarmac.broadcastRows", "5")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.tarmac.broadcastRows")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
+def _hot_sales(spark, n=40_000):
+    """90 % of the rows on one product, a twentieth without any, the rest on 500."""
+    i = F.col("id")
+    product = (F.when(i % 20 < 18, F.lit("HOT")).when(i % 20 == 18, F.lit(None))
+               .otherwise(F.concat(F.lit("P"), (i % 500).cast("string"))))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (i % 300).cast("int"))
+    return spark.range(0, n, 1, 8).select(
+        F.concat(F.lit("T"), i).alias("Transaction_ID"), day.alias("Date"), F.year(day).alias("Year"),
+        F.month(day).alias("Month"), F.date_format(day, "MMM").alias("Month_Name"),
+        F.concat(F.lit("Q"), F.quarter(day)).alias("Quarter"), product.alias("Product_Name"), F.lit("K").alias("Category"),
+        F.lit("R").alias("Region"), F.concat(F.lit("C"), (i % 50)).alias("Customer"), F.lit(1).alias("Units_Sold"),
+        (i % 7 + 1).cast("double").alias("Unit_Price"), (i % 7 + 1).cast("double").alias("Revenue"),
+        F.lit(None).cast("string").alias("ABC_Class"))
+
+
+def _evenly(df):
+    sizes = sorted(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    return sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
+def test_hot_product_above_the_broadcast_bound(spark, beyond_broadcast):
+    sales = _hot_sales(spark)
+    classes, _ = abc.product_classes(sales)
+    want = {r[0]: r[1] for r in classes.collect()}
+    out = abc.with_abc_class(sales)
+    rows = out.select("Transaction_ID", "Product_Name", "ABC_Class").collect()
+    assert len(rows) == 40_000 and len({r[0] for r in rows}) == 40_000
+    assert all(r[2] == want.get(r[1]) for r in rows)
+    assert out.columns == sales.columns
+    assert _evenly(out)
+
+
+def test_star_round_trip_of_a_hot_product(spark, beyond_broadcast):
+    sales = _hot_sales(spark)
+    tables = star.build_star(sales)
+    flat = star.star_flat(tables)
+    cols = ["Transaction_ID", "Product_Name", "Customer", "Date", "Revenue"]
+    assert flat.select(*cols).exceptAll(sales.select(*cols)).count() == 0
+    assert flat.count() == 40_000
+    assert _evenly(scale.lookup_join(tables["fact_sales"].repartition(8), tables["dim_product"], "product_id"))
+
+
+def test_heavy_keys(spark, beyond_broadcast):
+    df = _hot_sales(spark)
+    assert [r[0] for r in scale.heavy_keys(df, "Product_Name").collect()] == ["HOT"]
+    assert scale.heavy_keys(df.limit(0), "Product_Name").count() == 0
+    right = df.select("Product_Name").distinct().filter("Product_Name IS NOT NULL").withColumn("x", F.lit(1))
+    joined = scale.lookup_join(df, right, "Product_Name")
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "broadcast" in plan
+    assert joined.filter("x IS NULL").count() == df.filter("Product_Name IS NULL").count()

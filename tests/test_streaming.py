@@ -97,3 +97,61 @@ def test_any_trigger_size_and_replay_give_the_same_tables(spark):
     assert seen[0] == seen[1]
     assert len(seen[0][0]) == 7
     assert [r for *_, r in seen[0][1]] == ["repeated_id"] + ["failed_rules"] * 3
+
+
+def _scan(df):
+    """(description, files, bytes) of the one file scan of ``df``, after it ran without adaptive stages."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    df = df.select("*")
+    df.collect()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    scans = [leaves.apply(i) for i in range(leaves.size()) if "FileScan" in leaves.apply(i).simpleString(9999)]
+    assert len(scans) == 1
+    metric = lambda name: scans[0].metrics().apply(name).value()
+    return scans[0].simpleString(9999), metric("numFiles"), metric("filesSize")
+
+
+def test_id_index_reads_only_touched_prefixes(spark):
+    """Partition filters reach the scan, and what a trigger reads does not grow with the store."""
+    from tarmac.streaming import id_index as ix
+    folder = f"{scratch_path(spark, 'test-ids')}/ids"
+    name = lambda lo, hi: spark.range(lo, hi).select(F.concat(F.lit("T"), F.col("id")).alias("Transaction_ID"))
+    spark.conf.set("spark.tarmac.idsPerPrefix", "50")
+    try:
+        sizes, at = [], 0
+        for n, rows in enumerate((100, 100, 200, 400, 800, 1600)):
+            ix.add(name(at, at + rows), folder, n)
+            at += rows
+            few = name(at - 1, at + 1)  # one stored, one new
+            text, files, size = _scan(ix.candidates(spark, folder, few, 99))
+            assert "PartitionFilters: [" in text and "prefix#" in text.split("PartitionFilters")[1]
+            sizes.append((files, size))
+            assert [r[0] for r in ix.stored(spark, folder, few, 99).collect()] == [f"T{at - 1}"]
+            whole = _scan(ix.read(spark, folder))
+        levels = len(sizes)
+        assert sizes[-1][0] <= 2 * levels and sizes[-1][1] < whole[2] / 10
+        assert ix.read(spark, folder).groupBy("level", "prefix").count().agg(F.max("count")).first()[0] <= 150
+        # the same micro-batch again: nothing twice, and its own ids do not count as stored
+        ix.add(name(at - 1600, at), folder, 5)
+        assert ix.read(spark, folder).count() == at
+        assert ix.stored(spark, folder, name(at - 3, at), 5).count() == 0
+        assert ix.stored(spark, folder, name(0, at + 10), 99).count() == at
+    finally:
+        spark.conf.unset("spark.tarmac.idsPerPrefix")
+
+
+def test_levels():
+    from tarmac.streaming import id_index as ix
+    assert [ix.level_for(n, 10) for n in (0, 1, 10, 11, 20, 21, 40, 41, 10 ** 9)] == [0, 0, 0, 1, 1, 2, 2, 3, 27]
+
+
+def test_store_without_an_index_gets_one(spark):
+    base = scratch_path(spark, "test-ingest-old")
+    st.write_daily_batches(_batch(spark, "2024-05-01", 12), f"{base}/landing")
+    paths = st.run_ingest_once(spark, f"{base}/landing", base)
+    handler = st.make_batch_handler(paths["fact"], paths["quarantine"], paths["reports"], f"{base}/new_ids")
+    handler(_batch(spark, "2024-05-01", 15).withColumn("batch", F.lit("again")), 7)
+    fact = spark.read.parquet(paths["fact"])
+    assert fact.count() == fact.select("Transaction_ID").distinct().count() == 15
