@@ -113,6 +113,7 @@ def q_churn_histogram(spark, d):
 def q_churn_risk_counts(spark, d):
     return ch.risk_counts(ch.churn_table(_churn(spark, d)["scores"]))
 
+from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from tarmac.operators import recommend as rc  # noqa: E402
@@ -163,6 +164,29 @@ def q_recommend_customer(spark, d):
     first = trained["users"].orderBy("user").select("customer").first()
     return rc.recommend_for(trained, first["customer"] if first else "", n=5)
 
+
+
+@register("recommend_check", """
+SELECT CAST(SUM(least(5, m - b)) AS BIGINT) AS rows, COUNT(*) AS customers, CAST(0 AS BIGINT) AS bought,
+       CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS misplaced
+FROM (SELECT customer, COUNT(*) AS b FROM inter GROUP BY 1), (SELECT COUNT(DISTINCT product) AS m FROM inter)
+WHERE m > b""", """
+inter AS (SELECT DISTINCT Customer AS customer, Product_Name AS product FROM sales
+          WHERE Customer IS NOT NULL AND Product_Name IS NOT NULL)""")
+def q_recommend_check(spark, d):
+    """Every customer gets five products, or all unseen ones; none of them bought, none twice, best first."""
+    trained = _recommender(spark, d)
+    recs = rc.recommend(trained, n=5)
+    bought = recs.join(trained["rated"].select("customer", "product"), ["customer", "product"], "left_semi")
+    order = Window.partitionBy("customer").orderBy("rank")
+    placed = recs.select("customer", "product", ((F.row_number().over(order) != F.col("rank"))
+                         | F.coalesce(F.col("score") > F.lag("score").over(order), F.lit(False))).alias("wrong"))
+    totals = placed.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("customer").alias("customers"),
+                        (F.count(F.lit(1)) - F.count_distinct("customer", "product")).alias("repeated"),
+                        F.count_if("wrong").alias("misplaced"))
+    return totals.join(F.broadcast(bought.agg(F.count(F.lit(1)).alias("bought")))).select(  # one row each
+        "rows", "customers", "bought", "repeated", "misplaced")
+
 from tarmac.operators import forecast as fc  # noqa: E402
 from tarmac.plans.bi_queries import _trend_sql  # noqa: E402
 

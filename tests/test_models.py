@@ -93,3 +93,24 @@ def test_recommend_unseen_and_bounded(spark, sales):
     bought = recommend.interactions(sales).select("customer", "product")
     assert recs.join(bought, ["customer", "product"]).count() == 0
     assert recommend.recommend_for(trained, "nobody").count() == 0
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_masked_top_n_equals_brute_force(spark, block):
+    """Ties, a user who bought everything, one who bought nothing, several blocks of items."""
+    rng = np.random.default_rng(block)
+    u, v = rng.integers(-2, 3, (30, 3)).astype(float), rng.integers(-2, 3, (40, 3)).astype(float)
+    bought = {(0, i) for i in range(40)} | {(a, b) for a in range(2, 30) for b in range(40) if rng.random() < 0.4}
+    frame = lambda m: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id int, features array<float>")
+    held = spark.createDataFrame(sorted(bought), "user int, item int")
+    got = recommend.masked_top_n(frame(u), frame(v), held, 4, block)
+    blocks = -(-40 // block)
+    assert got.count() <= 30 * 4 * blocks
+    best = {}
+    for r in got.collect():
+        best.setdefault(r.user, []).append((-r.score, r.item))
+    for a in range(30):
+        want = sorted((-float(u[a] @ v[b]), b) for b in range(40) if (a, b) not in bought)[:4]
+        assert sorted(best.get(a, []))[:4] == want
+    assert 0 not in best
+    assert recommend.masked_top_n(frame(u), frame(v).limit(0), held, 4).count() == 0
