@@ -41,6 +41,39 @@ def replace_columns(df: DataFrame, names) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def set_aside(df: DataFrame, names) -> tuple[DataFrame, list[Column]]:
+    """``df`` with columns of ``names`` (any case) renamed out of an operator's way, and the columns that restore it."""
+    taken, out, back = {n.lower() for n in names} | {c.lower() for c in df.columns}, [], []
+    clash = {n.lower() for n in names}
+    for c in df.columns:
+        own = c
+        while own.lower() in clash or own != c and own.lower() in taken:
+            own = f"given_{own}"
+        taken.add(own.lower())
+        out.append(F.col(f"`{c}`").alias(own))
+        back.append(F.col(f"`{own}`").alias(c))
+    return df.select(*out), back
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Two 64-bit hashes of all columns, nulls told apart from values: rows with equal ones are interchangeable.
+
+    Maps, which Spark does not hash, are taken as JSON.
+    """
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        cols.append(F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if _has_map(f.dataType) else c)
+    nulls = [F.col(f"`{c}`").isNull() for c in df.columns]
+    return F.struct(F.xxhash64(*cols, *nulls).alias("a"), F.xxhash64(F.lit("b"), *nulls, *cols).alias("b"))
+
+
 def extended(schema: T.StructType, **added: T.DataType) -> T.StructType:
     return T.StructType(list(schema.fields) + [T.StructField(k, v) for k, v in added.items()])
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.common import add_arrays, extended, replace_columns, utf8
+from tarmac.llm.common import add_arrays, extended, replace_columns, set_aside, utf8
 
 BLOCK_WORDS = 100_000  # item words in one broadcast automaton (some 50 MB in a worker)
 BLOCKS_A_PASS = 4
@@ -226,9 +226,9 @@ def items_digest():
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5) -> DataFrame:
-    """The documents that are not contaminated; columns as given."""
-    kept = mark(documents, benchmark, window).filter(~contaminated(percent))
-    return kept.select(*[f"`{c}`" for c in documents.columns if c.lower() not in OUT])
+    """The documents that are not contaminated; columns as given, also those named as the marks."""
+    given, back = set_aside(documents, [*OUT, "__utf8"])
+    return mark(given, benchmark, window).filter(~contaminated(percent)).select(*back)
 
 
 def cut_spans(documents: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:

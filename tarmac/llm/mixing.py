@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import WORD_RE, replace_columns, stored
+from tarmac.llm.common import WORD_RE, replace_columns, row_hash, stored
 
 WEIGHTS = (5, 2, 1)
 PHI = 0.6180339887498949
@@ -172,15 +172,18 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The mixed corpus with the columns of ``documents``: of each document and pass the words taken, one row each.
 
     A pass that takes all words gives the text as it is; the pass that the target cuts gives the words taken, from
-    the first to the last, as they stand in the text. n_chars, if there is such a column, is that text's.
+    the first to the last, as they stand in the text. n_chars, if there is such a column, is that text's. Rows are
+    told apart by all their columns.
     """
-    rows = sized(documents).select("doc_id", "source", "size", row_key().alias("tie"))
+    hashes = row_hash(documents)
+    key = F.concat_ws("|", row_key(), F.hex(hashes["a"]), F.hex(hashes["b"]))
+    rows = sized(documents.select("doc_id", "source", "text", key.alias("tie"))).select("doc_id", "source", "size", "tie")
     passes = (mix(rows, **options).filter("slot IS NOT NULL").groupBy("tie", "start", "size", "epoch")
               .agg(F.min("word_lo").alias("lo"), F.max("word_hi").alias("hi"))
               .groupBy("tie").agg(F.collect_list(F.struct("lo", "hi", "size")).alias("__passes"))
               .withColumnRenamed("tie", "__key"))
     cols = documents.columns
-    keyed = documents.withColumn("__key", row_key())
+    keyed = documents.withColumn("__key", key)
     one = keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
     both = one.filter("__copy = 1").join(passes, "__key").select(*[f"`{c}`" for c in cols], F.explode("__passes")
                                                                 .alias("__p"))

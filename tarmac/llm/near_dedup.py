@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.common import add_arrays, extended, stored, utf8
+from tarmac.llm.common import add_arrays, extended, row_hash, stored, utf8
 
 BITS = 64
 CHUNK = 4096  # fingerprints in one compared block side
@@ -206,13 +206,6 @@ def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 3, segme
     return docs.join(names, "fp").select("doc_id", fp_hex().alias("fingerprint"), "component_id")
 
 
-def row_hash(documents: DataFrame):
-    """Two 64-bit hashes of all columns, nulls told apart from values: rows with equal ones are interchangeable."""
-    cols = [F.col(f"`{c}`") for c in documents.columns]
-    nulls = [c.isNull() for c in cols]
-    return F.struct(F.xxhash64(*cols, *nulls).alias("a"), F.xxhash64(F.lit("b"), *nulls, *cols).alias("b"))
-
-
 def drop_near_duplicates(documents: DataFrame, width: int = 3, radius: int = 3, segments: int = 2) -> DataFrame:
     """The documents without near copies: of each group the row with the least doc_id stays (nulls last, then by the
     row's hash; one of repeated rows)."""

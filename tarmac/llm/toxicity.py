@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.common import add_arrays, extended, replace_columns, stored
+from tarmac.llm.common import add_arrays, extended, replace_columns, set_aside, stored
 
 FIT_ROWS = 60_000
 LEAST_DOCS = 3  # toxic documents that must have a feature
@@ -560,6 +560,7 @@ def training_rows(folds: int = 3, held: int = 1):
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFrame:
-    """The documents that score below ``limit``; columns as given."""
-    kept = score(documents.select("*"), fit(documents, labels, training_rows()), limit).filter("predicted = 0")
-    return kept.select(*[f"`{c}`" for c in documents.columns])
+    """The documents that score below ``limit``; columns as given, also those named as the model's."""
+    model = fit(documents, labels, training_rows())
+    given, back = set_aside(documents, ["score", "predicted", "__text"])
+    return score(given, model, limit).filter("predicted = 0").select(*back)

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from samples import SF
 from tarmac.llm.common import table
 from tarmac.llm.queries import ORACLE, QUERIES
@@ -46,3 +47,37 @@ def test_run(spark):
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     ids = {d for r in rows for d in r.doc_ids}
     assert ids <= {r.doc_id for r in table(spark, SF, "documents").collect()}
+
+
+def test_stages_keep_foreign_columns(spark, documents):
+    """Columns named as an operator's own, a map, and rows that differ in one column only come through unchanged."""
+    own = {"score": F.lit(7.5), "predicted": F.col("doc_id") + 100, "n_words": F.lit("w"), "n_hit": F.lit(1),
+           "n_items": F.lit(2), "hit_items": F.lit("i"), "hit_spans": F.lit(3), "size": F.lit(-1), "fp": F.lit("f"),
+           "tie": F.lit("t"), "given_score": F.lit(0), "component_id": F.lit(9),
+           "about": F.create_map(F.lit("k"), F.col("lang"), F.lit("n"), F.lit(None).cast("string"))}
+    few = documents.filter("doc_id < 40")
+    given = few.withColumns(own)
+    known = {r.doc_id: r for r in given.collect()}
+    docs = given
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        docs = f(spark, docs, SF)
+        assert docs.schema == given.schema, name
+        rows = docs.collect()
+        assert rows
+        for r in rows:
+            for c in own:
+                assert r[c] == known[r.doc_id][c], (name, c)
+
+
+def test_mixing_tells_rows_apart_by_all_columns(spark, documents):
+    same = documents.filter("doc_id = 3").drop("lang")
+    both = same.withColumn("lang", F.lit("en")).unionByName(same.withColumn("lang", F.lit("de")))
+    got = dict(corpus_pipeline.mixing_stage(spark, both, SF).groupBy("lang").count().collect())
+    assert set(got) == {"en", "de"}
+
+
+def test_near_dedup_of_rows_with_maps(spark, documents):
+    df = documents.limit(30).withColumn("m", F.create_map(F.lit("a"), F.col("doc_id")))
+    kept = corpus_pipeline.near_dedup_stage(spark, df.unionByName(df), SF)
+    assert kept.count() == corpus_pipeline.near_dedup_stage(spark, documents.limit(30), SF).count()
+    assert all(r.m == {"a": r.doc_id} for r in kept.collect())
