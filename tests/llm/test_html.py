@@ -69,3 +69,21 @@ def test_long_and_deep_pages():
     assert len(H.main_text("<body>" + "<div>" * 30_000 + "deep words")) == len("deep words")
     assert H.main_text("<p>" + "w " * 300_000 + "</p>").count("w") == 300_000
     assert H.main_text("<" * 20_000 + "x") is not None
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<body><p title=it's>First para..</p><p>Second para, don't lose it.</p></body>",
+     "First para..\nSecond para, don't lose it."),
+    ("<body><p alt=6\">One.</p><p>Two \"quoted\" words.</p></body>", "One.\nTwo \"quoted\" words."),
+    ("<body><p 'odd class=x>One.</p><p title = 'a > b'>Two.</p><p data-x=\"c > d\">Three.</p></body>", "One.\nTwo.\nThree."),
+    ("<body><article><p>Text.</p><div title=it's hidden>no</div><div alt=5' class=\"sidebar\">no</div></article></body>", "Text."),
+    ("<body><p title=\"open>Rest of it</p></body>", "Rest of it"),
+    ("<body><p title=>Empty.</p><p a=b=c'd>Two.</p></body>", "Empty.\nTwo.")])
+def test_quotes_outside_quoted_values(page, want):
+    assert H.main_text(page) == want
+
+
+def test_long_tags_without_an_end():
+    assert H.main_text("<p " + "a=\"b\" c='d' " * 40_000) == ""
+    assert H.main_text("<p " + "=" * 100_000 + ">x</p>") == "x"
+    assert H.main_text("<p " + "=\"" * 30_000 + ">x</p>") is not None
