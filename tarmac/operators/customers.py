@@ -30,7 +30,7 @@ RFM_LABELS = {"Recency": (4, 3, 2, 1), "Frequency": (1, 2, 3, 4), "Monetary": (1
 def default_snapshot(sales: DataFrame) -> _dt.date:
     """Day after the last sale (one scalar aggregate over the Date column)."""
     last = sales.agg(F.max("Date")).first()[0]
-    return last + _dt.timedelta(days=1)
+    return (last or _dt.date(1970, 1, 1)) + _dt.timedelta(days=1)  # no sale: any day will do
 
 
 def rfm_base(sales: DataFrame, snapshot=None) -> DataFrame:
@@ -73,7 +73,7 @@ def rfm_scores(base: DataFrame, force_rank: bool = False) -> DataFrame:
     small = bounded(base)
     levels = base.agg(*[F.count_distinct(c).alias(c) for c in RFM_LABELS]).first().asDict()
     bins = {} if force_rank else {c: min(4, n) for c, n in levels.items()}
-    edges = exact_quantiles(base, {c: [k / q for k in range(q + 1)] for c, q in bins.items() if q >= 2}, small=small)
+    edges = exact_quantiles(base, {c: [k / q for k in range(q + 1)] for c, q in bins.items() if q >= 2})
     out = base
     for c, labels in RFM_LABELS.items():
         cut = edges.get(c, [])

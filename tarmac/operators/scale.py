@@ -11,13 +11,15 @@ in two phases over range partitions:
 2. per-partition totals (one row per partition), their prefix sums over that
    tiny frame, broadcast back and added to the in-partition running values.
 
-Quantiles and ranks run over (value, count) rows, which a partial aggregate makes
-before any shuffle, so a value that most rows share is one row there.
+Ranks run over (value, count) rows, which a partial aggregate makes before any
+shuffle, so a value that most rows share is one row there. Quantiles are selected
+by rounds of counts over key prefixes (``select_ranks``), the same way at any size.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,39 +176,87 @@ def _interp(points: dict[int, float], n: int, q: float) -> float:
     return a + (h - lo) * (b - a)
 
 
-def exact_quantiles(df: DataFrame, probs: dict[str, list[float]],
-                    small: bool | None = None) -> dict[str, list[float]]:
-    """Linear-interpolation quantiles (numpy's default) per column: ``{col: probs}``.
+# Bits of the key that one round of the selection tells apart, and rows that the last round may bring to the driver.
+KEY_BITS, SELECT_ROWS = 16, 100_000
 
-    Under the size bound one ``percentile`` aggregate computes all of them in a
-    single job; above it a running count over the distinct values of each column
-    finds the values at the 2 x len(probs) needed positions, which come back to
-    the driver.
+
+def order_key(c: Column) -> Column:
+    """A long whose order is that of the double ``c``: its bits, those of negative numbers turned round."""
+    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"),
+                           F.coalesce(c.cast("double"), F.lit(0.0)) + F.lit(0.0)).cast("long")
+    key = F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
+    return F.when(c.isNotNull(), key)
+
+
+def _value(key: int) -> float:
+    bits = key if key >= 0 else key ^ ((1 << 63) - 1)
+    return struct.unpack("<d", struct.pack("<q", bits))[0]
+
+
+def select_ranks(df: DataFrame, wanted, keys: dict[str, Column]) -> dict[str, tuple[int, dict[int, float]]]:
+    """Per column: (rows, {0-based rank: value}) for the ranks that ``wanted(column, rows)`` names.
+
+    Radix selection: a round counts rows by the next ``KEY_BITS`` bits of the key (at most 2**KEY_BITS counts for each
+    rank reach the driver, summed in the tasks before they meet) and keeps, for each rank, the prefix it falls into.
+    Once the prefixes that are left hold at most ``SELECT_ROWS`` rows, or all bits are known, their values are counted
+    one by one. No row is sorted or stored, and the rounds are at most 64 / KEY_BITS.
     """
+    cols = list(keys)
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), k.alias("k"))
+                                         for i, k in enumerate(keys.values())])).alias("x")).select("x.c", "x.k")
+    long = long.filter(F.col("k").isNotNull())
+    rows: dict[int, int] = {}
+    ranks: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (column, prefix): [(rank, rank within the prefix)]
+    shift = 64
+    while shift:
+        held = None
+        if ranks:
+            held = F.lit(False)
+            for c in {c for c, _ in ranks}:
+                prefixes = [p for d, p in ranks if d == c]
+                held |= (F.col("c") == c) & F.shiftright("k", shift).isin(prefixes)
+        inside = long if held is None else long.filter(held)
+        if ranks and sum(sizes[at] for at in ranks) <= SELECT_ROWS:
+            step = shift  # the few rows that are left: all bits at once
+        else:
+            step = min(KEY_BITS, shift)
+        shift -= step
+        found = inside.groupBy("c", F.shiftright("k", shift).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        counts: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        above = shift + step
+        for r in found:
+            counts.setdefault((r.c, r.p >> step if above < 64 else 0), []).append((r.p, r.n))
+        if not ranks:
+            rows = {c: sum(n for _, n in v) for (c, _), v in counts.items()}
+            ranks = {(c, 0): [(k, k) for k in sorted(set(wanted(cols[c], n)))] for c, n in rows.items()}
+        inner: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        sizes = {}
+        for (c, p), targets in ranks.items():
+            before, left = 0, sorted(targets, key=lambda t: t[1])
+            for q, n in sorted(counts[c, p]):
+                while left and left[0][1] < before + n:
+                    rank, at = left.pop(0)
+                    inner.setdefault((c, q), []).append((rank, at - before))
+                    sizes[c, q] = n
+                before += n
+        ranks = inner
+    out = {c: (0, {}) for c in cols}
+    for c, n in rows.items():
+        out[cols[c]] = n, {rank: _value(p) for (d, p), t in ranks.items() if d == c for rank, _ in t}
+    return out
+
+
+def exact_quantiles(df: DataFrame, probs: dict[str, list[float]]) -> dict[str, list[float]]:
+    """Linear-interpolation quantiles (numpy's default) per column: ``{col: probs}``, by ``select_ranks``."""
     probs = {c: p for c, p in probs.items() if p}
     if not probs:
         return {}
-    if small is None:
-        small = bounded(df)
-    if small:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(q)) for q in ps]))
-                       .alias(c) for c, ps in probs.items()]).first()
-        return {c: [float(v) for v in row[c]] if row[c] is not None else [] for c in probs}
-    result = {}
-    for c, ps in probs.items():
-        counts = (df.select(F.col(c).cast("double").alias("v")).filter(F.col("v").isNotNull())
-                  .groupBy("v").agg(F.count(F.lit(1)).alias("cnt")))
-        run = running_total(counts, [F.col("v").asc()], "cnt", "cum", small=False)
-        n = run.agg(F.max("cum")).first()[0]
-        if not n:
-            result[c] = []
-            continue
-        wanted = sorted({p for q in ps for p in (math.floor((n - 1) * q), math.ceil((n - 1) * q))})
-        hits = F.filter(F.array(*[F.lit(p).cast("long") for p in wanted]),
-                        lambda p: (p < F.col("cum")) & (p >= F.col("cum") - F.col("cnt")))
-        picked = {r["pos"]: r["v"] for r in run.select(F.explode(hits).alias("pos"), "v").collect()}
-        result[c] = [_interp(picked, n, q) for q in ps]
-    return result
+
+    def wanted(c, n):
+        return {p for q in probs[c] for p in (math.floor((n - 1) * q), math.ceil((n - 1) * q))}
+
+    found = select_ranks(df, wanted, {c: order_key(F.col(c)) for c in probs})
+    return {c: [_interp(at, n, q) for q in probs[c]] if n else [] for c, (n, at) in found.items()}
 
 
 def average_rank_pct(df: DataFrame, value: str, out: str, small: bool | None = None) -> DataFrame:

@@ -40,15 +40,22 @@ def test_positional_row_id(frame):
     assert ids == list(range(1000))
 
 
-def test_exact_quantiles_both_paths(frame):
+@pytest.mark.parametrize("rows,bits", [(100_000, 16), (20, 16), (0, 7), (0, 16)])
+def test_exact_quantiles(spark, frame, monkeypatch, rows, bits):
+    """Also with so few rows for the last round that prefixes are refined to the end."""
+    monkeypatch.setattr(scale, "SELECT_ROWS", rows)
+    monkeypatch.setattr(scale, "KEY_BITS", bits)
     probs = [0.0, 0.25, 0.5, 0.6, 0.75, 1.0]
-    a = scale.exact_quantiles(frame, {"k": probs, "v": probs}, small=True)
-    b = scale.exact_quantiles(frame, {"k": probs, "v": probs}, small=False)
-    pdf = frame.toPandas()
-    for c in ["k", "v"]:
-        want = np.percentile(pdf[c].to_numpy(dtype=float), [p * 100 for p in probs])
-        assert a[c] == pytest.approx(want.tolist())
-        assert b[c] == pytest.approx(want.tolist())
+    wide = [-1e300, -2.5, -2.5, -1e-300, -0.0, 0.0, 5e-324, 1e-9, 3.0, 3.0, 3.0, 7e200, None, 1e308]
+    odd = spark.createDataFrame([(x, None, 4.0) for x in wide], "w double, e double, s double")
+    got = scale.exact_quantiles(odd, {"w": [0.0, 0.3, 0.5, 1.0], "e": probs, "s": [0.1, 0.9]})
+    want = np.percentile([x for x in wide if x is not None], [0, 30, 50, 100])
+    assert got == {"w": pytest.approx(want.tolist()), "e": [], "s": [4.0, 4.0]}
+    if bits == 16:
+        a = scale.exact_quantiles(frame, {"k": probs, "v": probs})
+        pdf = frame.toPandas()
+        for c in ["k", "v"]:
+            assert a[c] == pytest.approx(np.percentile(pdf[c].to_numpy(dtype=float), [p * 100 for p in probs]).tolist())
 
 
 def test_average_rank_pct(frame):

@@ -28,5 +28,5 @@ def test_two_phase_equals_python(spark, n, distinct, parts, seed):
     ids = scale.ordered_row_id(df, [F.col("k").desc(), F.col("name").asc()], "rid", start=1, small=False)
     want_ids = {r[1]: i + 1 for i, r in enumerate(order)}
     assert {r["name"]: r["rid"] for r in ids.collect()} == want_ids
-    q = scale.exact_quantiles(df, {"v": [0.0, 0.25, 0.5, 0.9, 1.0]}, small=False)["v"]
+    q = scale.exact_quantiles(df, {"v": [0.0, 0.25, 0.5, 0.9, 1.0]})["v"]
     assert np.allclose(q, np.percentile(np.array(vals, dtype=float), [0, 25, 50, 90, 100]))
