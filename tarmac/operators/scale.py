@@ -176,6 +176,28 @@ def _interp(points: dict[int, float], n: int, q: float) -> float:
     return a + (h - lo) * (b - a)
 
 
+def file_order_id(scan: DataFrame, out: str = "row_id", start: int = 0) -> DataFrame:
+    """Add dense ids in file order (path, then place in the file) to a frame as it was read from files.
+
+    Spark deals splits to tasks by size, so the order of tasks is not that of the files. A row's file, its split's
+    first byte and its place in the split come from the scan. The splits' row counts (one row for each) give every split
+    its offset; no row is sorted, stored or moved.
+    """
+    keyed = scan.select("*", F.col("_metadata.file_path").alias("__path"),
+                        F.col("_metadata.file_block_start").alias("__start"),
+                        F.monotonically_increasing_id().alias("__place"))
+    splits = keyed.groupBy("__path", "__start").agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__first"))
+    files = splits.groupBy("__path").agg(F.sum("__n").alias("__rows"))
+    before = Window.orderBy("__path").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    files = files.select("__path", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__files"))
+    inside = Window.partitionBy("__path").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(files, "__path")
+    offsets = offsets.select("__path", "__start", (F.col("__files") + F.col("__before") - F.col("__first") + start)
+                             .alias("__offset"))
+    return (keyed.join(offsets, ["__path", "__start"]).withColumn(out, F.col("__offset") + F.col("__place"))
+            .drop("__path", "__start", "__place", "__offset"))
+
+
 # Bits of the key that one round of the selection tells apart, and rows that the last round may bring to the driver.
 KEY_BITS, SELECT_ROWS = 16, 100_000
 

@@ -30,8 +30,8 @@ def q_map_columns(spark, d):
 
 def _raw_lineitem(spark, d):
     """A raw file with only date, product, category and quantity (read order = file order)."""
-    li = read_table(spark, d, "lineitem")
-    return li.select(F.col("l_shipdate").alias("date"),
+    li = ingest.numbered(read_table(spark, d, "lineitem"))
+    return li.select("_pos", F.col("l_shipdate").alias("date"),
                      F.format_string("Part %d", "l_partkey").alias("product"),
                      F.col("l_returnflag").alias("category"),
                      F.col("l_quantity").alias("quantity"))
@@ -55,6 +55,21 @@ def q_fill_defaults(spark, d):
     return ingest.conform(_raw_lineitem(spark, d))
 
 
+@register("raw_defaults", """
+SELECT printf('TXN-%05d', pos + 1) AS Transaction_ID, d AS Date, CAST(year(d) AS INTEGER) AS Year,
+       CAST(month(d) AS INTEGER) AS Month, strftime(d, '%b') AS Month_Name,
+       'Q' || CAST(quarter(d) AS VARCHAR) AS Quarter, printf('Part %d', l_partkey) AS Product_Name,
+       'Cabin' AS Category, 'Other' AS Region, 'Unknown Customer' AS Customer, 1 AS Units_Sold,
+       CAST(3000.0 AS DOUBLE) AS Unit_Price, CAST(3000.0 AS DOUBLE) AS Revenue, CAST(NULL AS VARCHAR) AS ABC_Class
+FROM (SELECT *, DATE '2022-01-01' + CAST(pos AS INTEGER) AS d
+      FROM (SELECT l_partkey, row_number() OVER () - 1 AS pos FROM lineitem))""")
+def q_raw_defaults(spark, d):
+    """S5a, S5b, S5e, S5f: a raw file without ids, dates and quantities; ids and dates follow the file, prices the table."""
+    rows = ingest.numbered(read_table(spark, d, "lineitem"))
+    return ingest.conform(rows.select(F.format_string("Part %d", "l_partkey").alias("product"),
+                                      F.lit("Cabin").alias("category"), "_pos"))
+
+
 @register("validate_batch", """
 SELECT rule, CAST(violations AS BIGINT) AS violations FROM (
   SELECT * FROM (VALUES ('required_columns', 0)) t(rule, violations)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.functions.columns import quarter_label
-from tarmac.operators.scale import ordered_row_id
+from tarmac.operators.scale import file_order_id, ordered_row_id
 from tarmac.schema import (
     BATCH_REQUIRED, COLUMN_ALIASES, DEFAULT_CATEGORY, DEFAULT_CUSTOMER, DEFAULT_FIRST_DATE, DEFAULT_PRODUCT,
     DEFAULT_REGION, MIN_ROWS, PRICE_FALLBACK, PRICE_TABLE, SALES_COLUMNS, SALES_SCHEMA,
@@ -94,7 +94,8 @@ _DEFAULT_LAYERS = [
 def fill_defaults(df: DataFrame) -> DataFrame:
     """Missing canonical columns get their defaults; present ones stay as they are.
 
-    S5a id and S5b date follow a dense distributed row id in read order (W8);
+    S5a id and S5b date follow a dense row id (W8): the one that ``numbered`` gave the raw rows, in file order, or
+    one in the order of the frame's partitions where the frame comes from elsewhere;
     S5c calendar columns follow Date; S5d text defaults; S5e units 1; S5f price
     by category; S5g Revenue = units x price; S5h ABC_Class null.
     """
@@ -102,8 +103,9 @@ def fill_defaults(df: DataFrame) -> DataFrame:
         return {c: make() for c, make in layer.items() if c not in frame.columns}
 
     if any(c not in df.columns for c in _BY_POSITION):
-        numbered = ordered_row_id(df, None, "_pos", start=0)
-        df = numbered.withColumns(absent(numbered, _BY_POSITION)).drop("_pos")
+        placed = df if "_pos" in df.columns else ordered_row_id(df, None, "_pos", start=0)
+        df = placed.withColumns(absent(placed, _BY_POSITION))
+    df = df.drop("_pos")
     for layer in _DEFAULT_LAYERS:
         missing = absent(df, layer)
         df = df.withColumns(missing) if missing else df
@@ -129,10 +131,16 @@ def conform(df: DataFrame) -> DataFrame:
     return out.select(*typed, *extra)
 
 
+def numbered(raw: DataFrame) -> DataFrame:
+    """``raw``, as read from its files, plus ``_pos``, the row's place in file order, if S5a or S5b will need it."""
+    names = map_columns(raw).columns
+    return file_order_id(raw, "_pos") if any(c not in names for c in _BY_POSITION) else raw
+
+
 def load_raw_sales(spark: SparkSession, path: str) -> DataFrame:
     """S3 + S4-S7 + S6: read any raw sales file and return the canonical fact with ABC classes."""
     from tarmac.operators.abc import with_abc_class
-    fact = conform(read_raw(spark, path))
+    fact = conform(numbered(read_raw(spark, path)))
     return with_abc_class(fact).select(*SALES_COLUMNS, *[c for c in fact.columns if c not in SALES_COLUMNS])
 
 
@@ -142,7 +150,7 @@ def load_and_save_raw(spark: SparkSession, path: str, out_path: str) -> DataFram
     and return the stored fact with ``ABC_Class``. Unlike ``load_raw_sales`` the raw
     text is parsed once, not once for the classes and once for the rows."""
     from tarmac.sources.fact import materialize_fact, read_fact
-    materialize_fact(conform(read_raw(spark, path)).select(*SALES_COLUMNS), out_path)
+    materialize_fact(conform(numbered(read_raw(spark, path))).select(*SALES_COLUMNS), out_path)
     return read_fact(spark, out_path)
 
 

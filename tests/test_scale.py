@@ -75,3 +75,30 @@ def test_window_free_of_single_partition_on_raw_rows(frame):
     plan = scale.running_total(frame, [F.col("k").asc(), F.col("name").asc()], "v", "c", small=False)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in text.split("BroadcastExchange")[0]
+
+
+@pytest.mark.parametrize("kind", ["csv", "parquet"])
+def test_file_order_ids(spark, tmp_path, kind):
+    """Files of unequal size in splits so small that one file is many tasks and tasks mix files: ids follow the files."""
+    from tarmac.sources import ingest
+    sizes, at = [3000, 1, 700, 0, 2500, 40], 0
+    for i, n in enumerate(sizes):
+        rows = pd.DataFrame({"product": [f"p{at + j:06d}" for j in range(n)], "note": "x" * 40})
+        if kind == "csv":
+            rows.to_csv(tmp_path / f"part-{i}.csv", index=False)
+        else:
+            rows.astype({"product": str, "note": str}).to_parquet(tmp_path / f"part-{i}.parquet", row_group_size=300)
+        at += n
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000" if kind == "csv" else "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "500")
+    try:
+        raw = spark.read.option("header", True).csv(str(tmp_path)) if kind == "csv" else spark.read.parquet(str(tmp_path))
+        assert raw.rdd.getNumPartitions() > 8
+        got = ingest.numbered(raw).select("product", "_pos").collect()
+        assert sorted((r._pos, r.product) for r in got) == [(i, f"p{i:06d}") for i in range(at)]
+        sales = ingest.conform(ingest.numbered(raw)).collect()
+        assert {r.Transaction_ID: r.Product_Name for r in sales} == {f"TXN-{i + 1:05d}": f"p{i:06d}" for i in range(at)}
+        assert {(r.Units_Sold, str(r.Date)) for r in sales if r.Transaction_ID == "TXN-00003"} == {(1, "2022-01-03")}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
