@@ -8,6 +8,8 @@ and in DuckDB (over CTEs that define the same views).
 from __future__ import annotations
 
 from tarmac.operators import abc
+from pyspark.sql import functions as F
+
 from tarmac.operators.adhoc import run_sql, sql_view
 from tarmac.plans.bi_queries import ABC_CTES
 from tarmac.plans.registry import register
@@ -59,6 +61,22 @@ def q_adhoc_sql(spark, d):
     return run_sql(spark, ADHOC_TEXT, max_rows=50)
 
 
+@register("adhoc_errors", """
+SELECT 'SELECT txn_code, units_sold / 0 FROM fact_sales' AS sql, 'DIVIDE_BY_ZERO' AS kind, (SELECT COUNT(*) FROM sales) AS rows
+UNION ALL SELECT 'DROP VIEW fact_sales', 'NOT_A_QUERY', (SELECT COUNT(*) FROM sales)
+UNION ALL SELECT 'SELECT nope FROM fact_sales', 'UNRESOLVED_COLUMN', (SELECT COUNT(*) FROM sales)""")
+def q_adhoc_errors(spark, d):
+    """Q1: an error of the run, a command and an unknown column give error rows; the view is still there afterwards."""
+    _flat(spark, d)
+    texts = ["SELECT txn_code, units_sold / 0 FROM fact_sales", "```sql\nDROP VIEW fact_sales\n```",
+             "SELECT nope FROM fact_sales"]
+    errors = [run_sql(spark, t) for t in texts]
+    rows = run_sql(spark, "SELECT COUNT(*) AS rows FROM fact_sales").first()[0]
+    found = errors[0].unionByName(errors[1]).unionByName(errors[2])
+    return found.select("sql", F.regexp_extract("error", r"\[([A-Z_]+)", 1).alias("kind"),
+                        F.lit(rows).cast("long").alias("rows"))
+
+
 # Q2a, Q2b, Q2c, Q2d, Q2e, Q2f: the UI's sample questions, written as SQL over
 # the view (the text-to-SQL step itself is a remote model and is not built).
 _flat_query("q_top_customers_region", """

@@ -92,3 +92,21 @@ def test_load_and_save_raw_single_pass(spark, sales):
     assert stored.count() == sales.count()
     key = ["Transaction_ID", "Product_Name", "ABC_Class"]
     assert sorted(stored.select(*key).collect()) == sorted(lazy.select(*key).collect())
+
+
+def test_sql_fences():
+    assert clean_sql("SELECT 1 AS `x`") == "SELECT 1 AS `x`"
+    assert clean_sql("```SQL\nSELECT 2\n```\n") == "SELECT 2"
+    assert clean_sql("sqlite") == "sqlite" and clean_sql("sql SELECT 3") == "SELECT 3"
+    assert clean_sql("``` SELECT `a` FROM t ```") == "SELECT `a` FROM t"
+
+
+@pytest.mark.parametrize("text", ["DROP VIEW fact_sales", "CREATE TABLE x AS SELECT 1", "INSERT INTO x SELECT 1", "SET a=1",
+                                  "CACHE TABLE fact_sales", "SELECT 1; SELECT 2", "", "SELECT 1/0",
+                                  "SELECT raise_error('no') FROM fact_sales", "SELECT CAST('x' AS INT)"])
+def test_run_sql_only_runs_queries(spark, sales, text):
+    sql_view(sales)
+    got = run_sql(spark, text)
+    assert got.columns == ["sql", "error"] and got.count() == 1
+    assert run_sql(spark, "WITH a AS (SELECT 1 AS x) SELECT x FROM a UNION ALL VALUES (2)").count() == 2
+    assert spark.catalog.tableExists("fact_sales")
