@@ -272,10 +272,18 @@ def top_customers(sales: DataFrame, n: int = 10, year=None, region=None) -> Data
 
 
 def schema_listing(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, column, type) rows for the given tables (metadata only, no job)."""
-    spark = next(iter(tables.values())).sparkSession
-    rows = [(t, f.name, f.dataType.simpleString()) for t, df in tables.items() for f in df.schema.fields]
-    return spark.createDataFrame(rows, "table string, column string, type string")
+    """(table, column, type, rows, nulls) for the given tables; one aggregate a table counts rows and nulls."""
+    out = None
+    for name, df in tables.items():
+        fields = df.schema.fields
+        counted = df.agg(F.count(F.lit(1)).alias("rows"),
+                         *[F.count_if(F.col(f.name).isNull()).alias(f"n{i}") for i, f in enumerate(fields)])
+        lines = F.array(*[F.struct(F.lit(name).alias("table"), F.lit(f.name).alias("column"),
+                                   F.lit(f.dataType.simpleString()).alias("type"), F.col("rows"),
+                                   F.col(f"n{i}").alias("nulls")) for i, f in enumerate(fields)])
+        listed = counted.select(F.inline(lines))
+        out = listed if out is None else out.unionByName(listed)
+    return out
 
 
 def top_customers_chart(sales: DataFrame, n: int = 10, year=None, region=None) -> DataFrame:

@@ -217,9 +217,35 @@ def q_default_revenue(spark, d):
         F.count(F.lit(1)).alias("rows"), F.round(money_sum("Revenue"), 2).alias("revenue"))
 
 
-@register("star_schema")
+_STAR_COLUMNS = {  # table -> (its row count, columns: type, nulls)
+    "dim_product": ("count(DISTINCT Product_Name)", [
+        ("product_id", "bigint"), ("product_name", "string"), ("category", "string"), ("base_price", "double"),
+        ("abc_class", "string")]),
+    "dim_customer": ("count(DISTINCT Customer)", [
+        ("customer_id", "bigint"), ("customer_name", "string"), ("region", "string")]),
+    "dim_date": ("count(DISTINCT Date)", [
+        ("date_id", "int"), ("date", "date"), ("year", "int"), ("month", "int"), ("quarter", "string"),
+        ("month_name", "string")]),
+    "fact_sales": ("count(*)", [
+        ("txn_id", "bigint"), ("txn_code", "string"), ("date_id", "int"), ("product_id", "bigint"),
+        ("customer_id", "bigint"), ("units_sold", "int"), ("unit_price", "double"), ("revenue", "double")]),
+}
+_FACT_NULLS = {"date_id": "Date", "product_id": "Product_Name", "customer_id": "Customer", "units_sold": "Units_Sold",
+               "unit_price": "Unit_Price", "revenue": "Revenue", "txn_code": "Transaction_ID"}
+
+
+def _star_schema_sql() -> str:
+    """One line for each column; of the fact the nulls of its source column, none in the dimensions."""
+    lines = [f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", '{kind}' AS type, {rows} AS rows, "
+             + (f"count_if({_FACT_NULLS[c]} IS NULL)" if t == "fact_sales" and c in _FACT_NULLS else "CAST(0 AS BIGINT)")
+             + " AS nulls FROM sales" for t, (rows, cols) in _STAR_COLUMNS.items() for c, kind in cols]
+    return "SELECT \"table\", \"column\", type, CAST(rows AS BIGINT) AS rows, CAST(nulls AS BIGINT) AS nulls FROM (\n" \
+        + "\nUNION ALL ".join(lines) + ") t"
+
+
+@register("star_schema", _star_schema_sql())
 def q_star_schema(spark, d):
-    """(table, column, type) of the star tables built from the given tables."""
+    """Columns, types, rows and nulls of the star tables built from the given tables."""
     from tarmac.operators.bi import schema_listing
     return schema_listing(star.build_star(abc.with_abc_class(sales_view(spark, d))))
 
