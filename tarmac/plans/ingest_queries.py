@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarmac.operators import abc
 from tarmac.plans.bi_queries import ABC_CTES
 from tarmac.plans.registry import register
-from tarmac.sources import ingest, sinks, star
+from tarmac.sources import ingest, sinks, star, star_store
 from tarmac.sources.tables import read_table, sales_view
 
 
@@ -150,6 +150,70 @@ def q_star_fact_keys(spark, d):
                  F.min("txn_id").alias("min_id"), F.max("txn_id").alias("max_id"))
 
 
+def _merged(spark, d, second):
+    """The star after two loads of the sales (rows for which ``second`` holds come later) and a replay of each."""
+    from tarmac.session import scratch_path
+    base = scratch_path(spark, "star-loads")
+    sales = abc.with_abc_class(sales_view(spark, d))
+    halves = [("first", sales.filter(~second)), ("second", sales.filter(second))]
+    for name, rows in [*halves, *halves]:
+        star_store.merge(rows, base, name)
+    return star_store.read(spark, base)
+
+
+# The first load has the even months, so later members and dates fall between earlier ones.
+_MERGE_CTES = """
+loaded AS (SELECT *, Month % 2 AS second, printf('%d|', Month % 2) || strftime(Date, '%Y%m%d') || '|' || Transaction_ID AS k
+           FROM sales_abc),
+mp AS (SELECT Product_Name AS product_name, min(k) AS k, arg_min(Category, k) AS category, arg_min(ABC_Class, k) AS abc_class
+       FROM loaded WHERE Product_Name IS NOT NULL GROUP BY 1),
+dmp AS (SELECT CAST(row_number() OVER (ORDER BY k, product_name) AS BIGINT) AS product_id, * FROM mp),
+mc AS (SELECT Customer AS customer_name, min(k) AS k, arg_min(Region, k) AS region
+       FROM loaded WHERE Customer IS NOT NULL GROUP BY 1),
+dmc AS (SELECT CAST(row_number() OVER (ORDER BY k, customer_name) AS BIGINT) AS customer_id, * FROM mc)"""
+
+
+@register("star_merge_facts", """
+SELECT CAST(row_number() OVER (ORDER BY l.k) AS BIGINT) AS txn_id, l.Transaction_ID AS txn_code,
+       CAST(strftime(l.Date, '%Y%m%d') AS INTEGER) AS date_id, p.product_id, c.customer_id,
+       l.Units_Sold AS units_sold, l.Unit_Price AS unit_price, l.Revenue AS revenue
+FROM loaded l LEFT JOIN dmp p ON l.Product_Name = p.product_name LEFT JOIN dmc c ON l.Customer = c.customer_name""",
+          ABC_CTES + "," + _MERGE_CTES)
+def q_star_merge_facts(spark, d):
+    """Every fact row of two merged loads, with all its keys."""
+    return _merged(spark, d, F.col("Month") % 2 == 1)["fact_sales"]
+
+
+@register("star_merge_members", """
+SELECT 'product' AS dimension, product_id AS id, product_name AS name, category AS attribute, abc_class FROM dmp
+UNION ALL SELECT 'customer', customer_id, customer_name, region, NULL FROM dmc
+UNION ALL SELECT DISTINCT 'date', CAST(strftime(Date, '%Y%m%d') AS BIGINT), strftime(Date, '%Y-%m-%d'),
+       strftime(Date, '%b'), NULL FROM sales WHERE Date IS NOT NULL""", ABC_CTES + "," + _MERGE_CTES)
+def q_star_merge_members(spark, d):
+    """The members of the three dimensions after two merged loads."""
+    s = _merged(spark, d, F.col("Month") % 2 == 1)
+    none = F.lit(None).cast("string").alias("abc_class")
+    return (s["dim_product"].select(F.lit("product").alias("dimension"), F.col("product_id").alias("id"),
+                                    F.col("product_name").alias("name"), F.col("category").alias("attribute"), "abc_class")
+            .unionByName(s["dim_customer"].select(F.lit("customer").alias("dimension"), F.col("customer_id").alias("id"),
+                                                  F.col("customer_name").alias("name"),
+                                                  F.col("region").alias("attribute"), none))
+            .unionByName(s["dim_date"].select(F.lit("date").alias("dimension"), F.col("date_id").cast("long").alias("id"),
+                                              F.col("date").cast("string").alias("name"),
+                                              F.col("month_name").alias("attribute"), none)))
+
+
+@register("star_merge_halves", """
+SELECT CAST(row_number() OVER (ORDER BY Date, Transaction_ID) AS BIGINT) AS txn_id, Transaction_ID AS txn_code,
+       CAST(strftime(Date, '%Y%m%d') AS INTEGER) AS date_id, p.product_id, c.customer_id,
+       Units_Sold AS units_sold, Unit_Price AS unit_price, Revenue AS revenue
+FROM sales s LEFT JOIN dp p ON s.Product_Name = p.product_name LEFT JOIN dc c ON s.Customer = c.customer_name""",
+          ABC_CTES + "," + _DIM_CTES)
+def q_star_merge_halves(spark, d):
+    """Two loads, one after the other in time, give the keys of a single load."""
+    return _merged(spark, d, F.col("Year") > 1998)["fact_sales"]
+
+
 @register("kpi_export", f"""
 SELECT * FROM (
   SELECT 1 AS position, 'Total Revenue' AS Metric, printf('$%.1fM', r / 1e6) AS Value FROM k

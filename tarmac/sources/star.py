@@ -31,33 +31,45 @@ def _first_seen():
 
 
 def _new_members(sales: DataFrame, name_col: str, attrs: dict[str, str], existing: DataFrame | None,
-                 key: str, dim_name_col: str) -> DataFrame:
-    """Distinct names with first-seen attributes, minus the stored ones, with new keys."""
+                 key: str, dim_name_col: str, mark: int | None = None) -> DataFrame:
+    """Distinct names with first-seen attributes, minus the stored ones, with keys after ``mark`` (by default the
+    largest stored key)."""
     first = (sales.filter(F.col(name_col).isNotNull())
              .groupBy(F.col(name_col).alias(dim_name_col))
              .agg(F.min(_first_seen()).alias("_seen"),
                   F.min_by(F.struct(*[F.col(src).alias(dst) for dst, src in attrs.items()]), _first_seen())
                   .alias("_attrs")))
-    offset = 0
+    offset = mark or 0
     if existing is not None:
         first = first.join(existing.select(dim_name_col), dim_name_col, "left_anti")
-        offset = existing.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+        if mark is None:
+            offset = existing.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
     ided = ordered_row_id(first, [F.col("_seen").asc(), F.col(dim_name_col).asc()], key, start=offset + 1)
     return ided.select(F.col(key).cast("long").alias(key), dim_name_col,
                        *[F.col(f"_attrs.{dst}").alias(dst) for dst in attrs])
 
 
+def new_products(sales: DataFrame, existing: DataFrame | None = None, mark: int | None = None) -> DataFrame:
+    """The products that ``existing`` lacks: product_id, product_name, category, base_price (0), abc_class."""
+    new = _new_members(sales, "Product_Name", {"category": "Category", "abc_class": "ABC_Class"},
+                       existing, "product_id", "product_name", mark)
+    return new.select("product_id", "product_name", "category", F.lit(0.0).alias("base_price"), "abc_class")
+
+
 def dim_product(sales: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """product_id, product_name, category, base_price (0), abc_class."""
-    new = _new_members(sales, "Product_Name", {"category": "Category", "abc_class": "ABC_Class"},
-                       existing, "product_id", "product_name")
-    new = new.select("product_id", "product_name", "category", F.lit(0.0).alias("base_price"), "abc_class")
+    new = new_products(sales, existing)
     return new if existing is None else existing.unionByName(new)
 
 
+def new_customers(sales: DataFrame, existing: DataFrame | None = None, mark: int | None = None) -> DataFrame:
+    """The customers that ``existing`` lacks: customer_id, customer_name, region (first seen)."""
+    return _new_members(sales, "Customer", {"region": "Region"}, existing, "customer_id", "customer_name", mark)
+
+
 def dim_customer(sales: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """customer_id, customer_name, region (first seen)."""
-    new = _new_members(sales, "Customer", {"region": "Region"}, existing, "customer_id", "customer_name")
+    new = new_customers(sales, existing)
     return new if existing is None else existing.unionByName(new)
 
 
@@ -65,14 +77,19 @@ def date_key(c) -> F.Column:
     return F.date_format(c, "yyyyMMdd").cast("int")
 
 
-def dim_date(sales: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """One row per distinct date with the int key YYYYMMDD."""
+def new_dates(sales: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """The dates that ``existing`` lacks, one row each with the int key YYYYMMDD."""
     d = sales.select("Date").filter(F.col("Date").isNotNull()).distinct()
     if existing is not None:
         d = d.join(existing.select(F.col("date").alias("Date")), "Date", "left_anti")
-    new = d.select(date_key("Date").alias("date_id"), F.col("Date").alias("date"),
-                   F.year("Date").alias("year"), F.month("Date").alias("month"),
-                   quarter_label("Date").alias("quarter"), F.date_format("Date", "MMM").alias("month_name"))
+    return d.select(date_key("Date").alias("date_id"), F.col("Date").alias("date"),
+                    F.year("Date").alias("year"), F.month("Date").alias("month"),
+                    quarter_label("Date").alias("quarter"), F.date_format("Date", "MMM").alias("month_name"))
+
+
+def dim_date(sales: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """One row per distinct date with the int key YYYYMMDD."""
+    new = new_dates(sales, existing)
     return new if existing is None else existing.unionByName(new)
 
 
