@@ -7,18 +7,18 @@
   trees (``pyspark.ml`` ``GBTClassifier``: 200 trees, depth 4, step 0.05,
   subsampling 0.8, seed 42) in a ``Pipeline``; in-sample probability. With one
   class only, the probability is Recency / max(Recency) (M1c).
-* attribution (M1e): exact Shapley values of the three features with
-  path-dependent conditional expectations (a split on a feature outside the
-  coalition averages both children by their training counts). The trees are read
-  from the saved model's node table (the public ML persistence format), broadcast,
-  and evaluated for all 2^3 coalitions in ``mapInPandas`` batches. Values are in
-  log-odds units: base + sum(phi) = logit(probability).
+* attribution (M1e): exact Shapley values of the features with path-dependent
+  conditional expectations (a split on a feature outside the coalition averages
+  both children by their training counts). The trees are read from the saved
+  model's node table (the public ML persistence format), cut into leaf paths,
+  broadcast, and evaluated in ``mapInPandas`` batches. A path costs the square of
+  its distinct features, at any number of features of the model (see
+  ``shapley``). Values are in log-odds units: base + sum(phi) = logit(probability).
 * importance (M1d): the model's gain importances and mean |phi| per feature.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -78,41 +78,80 @@ def _read_trees(spark, path: str) -> tuple[list[dict], np.ndarray]:
     return trees, weights
 
 
-def _expect(tree: dict, node: int, x: np.ndarray, coalition: frozenset):
-    """E[tree(x) | x_S] by path-dependent averaging; scalar when independent of x."""
-    f = tree["feat"][node]
-    if f < 0:
-        return tree["pred"][node]
-    lt, rt = tree["left"][node], tree["right"][node]
-    lv, rv = _expect(tree, lt, x, coalition), _expect(tree, rt, x, coalition)
-    if f in coalition:
-        return np.where(x[:, f] <= tree["thr"][node], lv, rv)
-    cl, cr = tree["count"][lt], tree["count"][rt]
-    tot = cl + cr
-    return (cl * lv + cr * rv) / tot if tot > 0 else 0.5 * (lv + rv)
-
-
-def shapley(x: np.ndarray, trees: list[dict], weights: np.ndarray) -> tuple[float, np.ndarray]:
-    """(base, phi[n, m]) of the weighted tree sum, in the model's margin units."""
-    m = x.shape[1]
-    values = {}
-    for r in range(m + 1):
-        for s in itertools.combinations(range(m), r):
-            s = frozenset(s)
-            total = np.zeros(len(x))
-            for w, tr in zip(weights, trees):
-                total = total + w * _expect(tr, 0, x, s)
-            values[s] = total
-    phi = np.zeros((len(x), m))
-    for i in range(m):
-        others = [j for j in range(m) if j != i]
-        for r in range(m):
-            wt = math.factorial(r) * math.factorial(m - r - 1) / math.factorial(m)
-            for s in itertools.combinations(others, r):
-                s = frozenset(s)
-                phi[:, i] += wt * (values[s | {i}] - values[s])
-    base = float(values[frozenset()][0]) if len(x) else 0.0
-    return base, phi
+def leaf_paths(tree: dict) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(value, features, shares, low, high) of each leaf: for each distinct feature on the way to it the product of the
+    training shares of the children taken, and the interval (low, high] that the splits leave."""
+    out = []
+    stack = [(0, {})]
+    while stack:
+        node, way = stack.pop()
+        f = int(tree["feat"][node])
+        if f < 0:
+            feats = sorted(way)
+            share, low, high = (np.array([way[k][i] for k in feats], dtype=float) for i in range(3))
+            out.append((float(tree["pred"][node]), np.array(feats, dtype=np.int64), share, low, high))
+            continue
+        kids = tree["left"][node], tree["right"][node]
+        counts = [tree["count"][k] for k in kids]
+        total = sum(counts)
+        thr = tree["thr"][node]
+        share, low, high = way.get(f, (1.0, -np.inf, np.inf))
+        for k, c, bounds in zip(kids, counts, [(low, min(high, thr)), (max(low, thr), high)]):
+            stack.append((k, {**way, f: (share * (c / total if total > 0 else 0.5), *bounds)}))
+    return out
+
+
+def _extend(poly: np.ndarray, share: float, inside: np.ndarray) -> np.ndarray:
+    """poly * (share + inside y), row by row; column k of poly is the coefficient of y^k."""
+    out = np.zeros((len(poly), poly.shape[1] + 1))
+    out[:, :-1] = share * poly
+    out[:, 1:] += inside[:, None] * poly
+    return out
+
+
+def _unwind(poly: np.ndarray, share: float, inside: np.ndarray) -> np.ndarray:
+    """poly / (share + inside y), row by row; ``share`` is above 0."""
+    out = np.empty((len(poly), poly.shape[1] - 1))
+    carry = np.zeros(len(poly))
+    for k in range(poly.shape[1] - 1, 0, -1):
+        carry = poly[:, k] - share * carry
+        out[:, k - 1] = np.where(inside, carry, poly[:, k - 1] / share)
+    return out
+
+
+def shapley(x: np.ndarray, trees: list[dict], weights: np.ndarray,
+            paths: list[list] | None = None) -> tuple[float, np.ndarray]:
+    """(base, phi[n, m]) of the weighted tree sum, in the model's margin units.
+
+    A leaf of value v is reached under a coalition with the weight prod over the features of its path: 1 or 0 for a
+    member (x in the interval or not), the training share for the others. The sum over all coalitions of one size is a
+    coefficient of prod(share_j + inside_j y), so the path's polynomial is extended by each feature once, and
+    each feature's value needs it unwound by that feature only. A share of 0 cannot be divided by; the product of the
+    others is then built anew.
+    """
+    phi = np.zeros(x.shape)
+    base = 0.0
+    for w, found in zip(weights, paths if paths is not None else [leaf_paths(t) for t in trees]):
+        for value, feats, shares, low, high in found:
+            d = len(feats)
+            base += w * value * float(np.prod(shares))
+            if not d or not len(x):
+                continue
+            inside = (x[:, feats] > low) & (x[:, feats] <= high)
+            poly = np.ones((len(x), 1))
+            for j in range(d):
+                poly = _extend(poly, shares[j], inside[:, j])
+            sizes = np.array([math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)])
+            for j in range(d):
+                if shares[j] > 0:
+                    rest = _unwind(poly, shares[j], inside[:, j])
+                else:
+                    rest = np.ones((len(x), 1))
+                    for k in range(d):
+                        if k != j:
+                            rest = _extend(rest, shares[k], inside[:, k])
+                phi[:, feats[j]] += w * value * (inside[:, j] - shares[j]) * (rest @ sizes)
+    return (base if len(x) else 0.0), phi
 
 
 def train_churn(rfm_table: DataFrame, max_iter: int = 200, max_depth: int = 4, step_size: float = 0.05,
@@ -147,7 +186,7 @@ def train_churn(rfm_table: DataFrame, max_iter: int = 200, max_depth: int = 4, s
     path = scratch_path(spark, "churn-gbt")
     gbt_model.write().overwrite().save(path)
     trees, weights = _read_trees(spark, path)
-    bc = spark.sparkContext.broadcast((trees, weights))
+    bc = spark.sparkContext.broadcast(([leaf_paths(t) for t in trees], weights))
 
     feat = scored.select("Customer", vector_to_array("features").alias("_x"))
     out_schema = T.StructType([T.StructField("Customer", T.StringType()),
@@ -155,10 +194,10 @@ def train_churn(rfm_table: DataFrame, max_iter: int = 200, max_depth: int = 4, s
                               + [T.StructField(f"shap_{f.lower()}", T.DoubleType()) for f in FEATURES])
 
     def attribute(batches):
-        tr, wt = bc.value
+        paths, wt = bc.value
         for pdf in batches:
             x = np.array(pdf["_x"].tolist(), dtype=float).reshape(len(pdf), len(FEATURES))
-            base_v, phi = shapley(x, tr, wt)
+            base_v, phi = shapley(x, [], wt, paths)
             out = pd.DataFrame({"Customer": pdf["Customer"], "base_value": 2.0 * base_v})
             for i, f in enumerate(FEATURES):
                 out[f"shap_{f.lower()}"] = 2.0 * phi[:, i]  # Spark's logistic margin is half the log-odds
@@ -198,6 +237,22 @@ def attribution_table(attribution: DataFrame, customer: str | None = None) -> Da
         .orderBy("customer")
 
 
+def churn_check(model: dict[str, DataFrame], digits: float = 1e-6) -> DataFrame:
+    """Counts over all customers: rows, and rows that break a rule (probability within 0 to 1; base + sum of the
+    attributions = logit of the probability; every customer attributed once)."""
+    scores, parts = model["scores"], model["attribution"]
+    p = F.col("churn_prob")
+    total = sum((F.col(f"shap_{f.lower()}") for f in FEATURES), F.col("base_value"))
+    each = parts.groupBy("Customer").agg(F.count(F.lit(1)).alias("parts"), F.max(total).alias("margin"))
+    rows = scores.select("Customer", p).join(each, "Customer", "left")
+
+    def broken(ok):
+        return F.count_if(~F.coalesce(ok, F.lit(False)))
+    return rows.agg(F.count(F.lit(1)).alias("customers"), broken(p.between(0, 1)).alias("bad_probability"),
+                    broken(F.col("parts") == 1).alias("bad_count"),
+                    broken(F.abs(F.col("margin") - F.ln(p / (1 - p))) <= digits).alias("bad_sum"))
+
+
 def importance_table(importance: DataFrame) -> DataFrame:
     """M1d: importance and mean |phi| (4 digits), importance descending."""
     return importance.select("feature", F.round("importance", 4).alias("importance"),

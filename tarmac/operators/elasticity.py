@@ -80,11 +80,11 @@ def elasticity(sales: DataFrame) -> DataFrame:
     ).orderBy(F.desc("elasticity"), "category")
 
 
-def elasticity_pvalue(sales: DataFrame) -> DataFrame:
-    """T statistic and two-sided p-value (4 digits) of each slope."""
+def elasticity_pvalue(sales: DataFrame, digits: int = 4) -> DataFrame:
+    """T statistic (6 digits) and two-sided p-value (``digits``) of each slope."""
     fit = elasticity_fit(sales)
     return fit.select(F.col("Category").alias("category"), F.round("t_stat", 6).alias("t_stat"),
-                      F.round("p", 4).alias("p_value"))
+                      F.round("p", digits).alias("p_value"))
 
 
 def elasticity_points(sales: DataFrame, category: str | None = None) -> DataFrame:

@@ -39,9 +39,28 @@ def q_elasticity_points_one(spark, d):
     return el.elasticity_points_for(sales_view(spark, d))
 
 
-@register("elasticity_pvalue")
+# The finite series of the t distribution in theta = atan(t / sqrt(nu)), by the parity of nu.
+_P_CTES = _EL_CTES + """,
+ts AS (SELECT Category AS category, months - 2 AS nu, r * sqrt((months - 2) / (1 - r * r)) AS t
+       FROM (SELECT Category, COUNT(*) AS months,
+                    corr(ln(greatest(CAST(total_units AS DOUBLE), 1.0)), ln(avg_price)) AS r
+             FROM mo GROUP BY Category HAVING COUNT(*) >= 6)),
+angle AS (SELECT *, atan(abs(t) / sqrt(nu)) AS theta, cos(atan(abs(t) / sqrt(nu))) ** 2 AS c2 FROM ts),
+coef AS (SELECT k, exp(sum(ln((2.0 * k - 1) / (2 * k))) OVER (ORDER BY k)) AS ev,
+                exp(sum(ln(2.0 * k / (2 * k + 1))) OVER (ORDER BY k)) AS od
+         FROM (SELECT unnest(range(1, (SELECT max(nu) FROM ts) + 1)) AS k)),
+series AS (SELECT a.category, any_value(a.nu) AS nu, any_value(a.t) AS t, any_value(a.theta) AS theta,
+                  1 + coalesce(sum(CASE WHEN a.nu % 2 = 0 THEN c.ev ELSE c.od END * a.c2 ** c.k), 0) AS s
+           FROM angle a LEFT JOIN coef c ON c.k <= CASE WHEN a.nu % 2 = 0 THEN (a.nu - 2) // 2 ELSE (a.nu - 3) // 2 END
+           GROUP BY a.category)"""
+
+
+@register("elasticity_pvalue", """
+SELECT category, round(t, 6) AS t_stat,
+       round(1 - CASE WHEN nu % 2 = 0 THEN sin(theta) * s ELSE 2 / pi() * (theta + sin(theta) * cos(theta) * s) END, 9)
+       AS p_value FROM series""", _P_CTES)
 def q_elasticity_pvalue(spark, d):
-    return el.elasticity_pvalue(sales_view(spark, d))
+    return el.elasticity_pvalue(sales_view(spark, d), digits=9)
 
 from tarmac.operators import anomaly as an  # noqa: E402
 
@@ -99,6 +118,14 @@ def q_churn_attribution(spark, d):
     return ch.attribution_table(_churn(spark, d)["attribution"])
 
 
+@register("churn_check", """
+SELECT COUNT(*) AS customers, CAST(0 AS BIGINT) AS bad_probability, CAST(0 AS BIGINT) AS bad_count,
+       CAST(0 AS BIGINT) AS bad_sum FROM base""", _RFM_BASE)
+def q_churn_check(spark, d):
+    """M1b, M1e: rules of the scores and attributions, counted over all customers."""
+    return ch.churn_check(_churn(spark, d))
+
+
 @register("churn_importance")
 def q_churn_importance(spark, d):
     return ch.importance_table(_churn(spark, d)["importance"])
@@ -251,7 +278,7 @@ FROM (SELECT Category, COUNT(*) AS months,
              corr(ln(greatest(CAST(total_units AS DOUBLE), 1.0)), ln(avg_price)) AS r
       FROM mo GROUP BY Category HAVING COUNT(*) >= 6) f""", _EL_CTES)
 def q_elasticity_t_stat(spark, d):
-    """The t statistic of each slope (its p-value is the rows-only ``elasticity_pvalue``)."""
+    """The t statistic of each slope."""
     fit = el.elasticity_fit(sales_view(spark, d))
     return fit.select(F.col("Category").alias("category"), "months", F.round("t_stat", 6).alias("t_stat"))
 

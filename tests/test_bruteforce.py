@@ -55,6 +55,54 @@ def test_shapley_equals_permutation_definition():
         assert base + phi[r].sum() == pytest.approx(f([0, 1, 2]), abs=1e-12)
 
 
+def _bushy(rng, features, depth):
+    """A tree with repeated features on a path; some children hold no training row."""
+    t = {k: [] for k in ["feat", "thr", "left", "right", "pred", "count"]}
+
+    def grow(level, count):
+        i = len(t["feat"])
+        for k, v in [("feat", -1), ("thr", 0.0), ("left", -1), ("right", -1), ("pred", rng.normal()), ("count", count)]:
+            t[k].append(v)
+        if level < depth and rng.random() < 0.9:
+            part = rng.choice([0.0, 0.25, 0.5, 1.0]) * count
+            t["feat"][i], t["thr"][i] = int(rng.integers(features)), rng.normal()
+            t["left"][i] = grow(level + 1, part)
+            t["right"][i] = grow(level + 1, count - part)
+        return i
+    grow(0, 64.0)
+    return {k: np.array(v) for k, v in t.items()}
+
+
+def _plain(t, x, s, i=0):
+    if t["feat"][i] < 0:
+        return t["pred"][i]
+    a, b, f = t["left"][i], t["right"][i], t["feat"][i]
+    if f in s:
+        return _plain(t, x, s, a if x[f] <= t["thr"][i] else b)
+    ca, cb = t["count"][a], t["count"][b]
+    wa = ca / (ca + cb) if ca + cb > 0 else 0.5
+    return wa * _plain(t, x, s, a) + (1 - wa) * _plain(t, x, s, b)
+
+
+@pytest.mark.parametrize("features, depth", [(1, 3), (3, 6), (12, 7)])
+def test_shapley_of_deep_trees_equals_all_coalitions(features, depth):
+    rng = np.random.default_rng(features)
+    trees = [_bushy(rng, features, depth) for _ in range(3)]
+    weights = np.array([1.0, 0.3, 0.3])
+    x = rng.normal(size=(2, features))
+    base, phi = churn.shapley(x, trees, weights)
+    for r in range(len(x)):
+        f = {s: sum(w * _plain(t, x[r], s) for w, t in zip(weights, trees))
+             for k in range(features + 1) for s in map(frozenset, itertools.combinations(range(features), k))}
+        want = np.zeros(features)
+        for s, v in f.items():
+            for i in set(range(features)) - s:
+                share = math.factorial(len(s)) * math.factorial(features - len(s) - 1) / math.factorial(features)
+                want[i] += share * (f[s | {i}] - v)
+        assert phi[r] == pytest.approx(want, abs=1e-9)
+        assert base == pytest.approx(f[frozenset()], abs=1e-9)
+
+
 def test_path_lengths_equal_plain_walk():
     rng = np.random.default_rng(5)
     x_train = rng.normal(size=(64, 2))

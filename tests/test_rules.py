@@ -1,6 +1,7 @@
 """Edge rules on small hand-made frames (FIXTURES.md section 7)."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,29 @@ def test_t_pvalue_matches_integration(spark):
         assert r["p"] == pytest.approx(p_numeric(t, nu), abs=2e-5)
 
 
+def test_t_p_value_equals_finite_series(spark):
+    """Any degrees of freedom, the far tails, t = 0 and values that are no numbers."""
+    def series(t, nu):
+        theta = math.atan2(abs(t), math.sqrt(nu))
+        term = total = 1.0
+        for k in range(1, (nu - 2 - nu % 2) // 2 + 1):
+            term *= ((2 * k - 1) / (2 * k) if nu % 2 == 0 else 2 * k / (2 * k + 1)) * math.cos(theta) ** 2
+            total += term
+        if nu % 2 == 0:
+            return 1 - math.sin(theta) * total
+        return 1 - 2 / math.pi * (theta + (math.sin(theta) * math.cos(theta) * total if nu > 1 else 0))
+
+    cases = [(t, nu) for nu in (1, 2, 3, 4, 9, 78, 79, 1001, 20000)
+             for t in (0.0, 1e-9, 0.01, 0.7, -1.0, 1.96, 4.0, -25.0, 1e6)]
+    odd = [(float("nan"), 5), (None, 5), (float("inf"), 5)]
+    df = spark.createDataFrame(cases + odd, "t double, nu int")
+    got = [r.p for r in df.select(t_two_sided_p(F.col("t"), F.col("nu")).alias("p")).collect()]
+    assert got[-3:] == [None, None, 0.0]
+    for (t, nu), p in zip(cases, got):
+        assert p == pytest.approx(series(t, nu), abs=1e-9), (t, nu)
+        assert 0 <= p <= 1 + 1e-12
+
+
 def test_map_columns_aliases(spark):
     df = spark.createDataFrame([("x1", None, "2022-01-02", 3, 9.5, "extra")],
                                "txn_id string, id string, date string, quantity int, price double, note string")
