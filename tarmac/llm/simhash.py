@@ -7,8 +7,9 @@ more than half of all. Two votes are summed in one long (32 bits each, enough fo
 in one text), so a fingerprint is a grouped sum of 32 longs for 64 bits: it combines in each task, and no Python runs.
 
 Search: a fingerprint is cut into ``blocks`` parts. Two fingerprints within ``radius`` bits agree in blocks - radius
-parts at least; for each choice of that many parts there is a table keyed by them. Queries meet the distinct
+parts at least; for each choice of that many parts there is a table keyed by their hash. Queries meet the distinct
 fingerprints in an equi-join on (table, key); the full distance is then checked and a pair counts in its first table.
+A row of a table is the fingerprint's longs and the key, nothing else is shuffled.
 
 Cases: null text counts as empty, which has fingerprint 0; a null doc_id comes first in the order; equal ids
 are ordered by text; repeated rows are rows; an empty table gives an empty result; other columns are ignored.
@@ -77,30 +78,37 @@ def likeness(a: Column, b: Column, bits: int = BITS) -> Column:
     return F.greatest(F.lit(0.0), F.cos(distance(a, b, bits) * F.lit(3.141592653589793 / bits)))
 
 
-def _tables(fp: Column, bits: int, blocks: int, radius: int) -> Column:
-    """Array of (table, key): the chosen parts of the fingerprint as text, one entry for each choice of parts."""
-    text = fp_hex(fp, bits)
-    digits = bits // 4
-    cuts = [digits * k // blocks for k in range(blocks + 1)]
-    parts = [F.substring(text, cuts[k] + 1, cuts[k + 1] - cuts[k]) for k in range(blocks)]
-    return F.array(*[F.struct(F.lit(t).alias("t"), F.concat(*[parts[k] for k in pick]).alias("key"))
-                     for t, pick in enumerate(combinations(range(blocks), blocks - radius))])
+def _table_keys(words: list[Column], bits: int, blocks: int, radius: int) -> list[Column]:
+    """The key of a fingerprint (its longs) in each table: a hash of the chosen parts, a long."""
+    cuts = [bits * k // blocks for k in range(blocks + 1)]
+    parts = [((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1) for k in range(blocks)]
+    keys = []
+    for pick in combinations(range(blocks), blocks - radius):
+        chosen = sum(parts[k] for k in pick)
+        masks = [(chosen >> (64 * w)) & 0xFFFFFFFFFFFFFFFF for w in range(len(words))]
+        keys.append(F.xxhash64(*[word.bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))
+                                 for word, m in zip(words, masks) if m]))
+    return keys
 
 
 def within(queries: DataFrame, table: DataFrame, radius: int = 3, blocks: int = 6, bits: int = BITS) -> DataFrame:
     """(fp, near_fp, bits_apart): for each distinct ``fp`` of queries all distinct ``fp`` of table within ``radius``."""
+    words = range(bits // 64)
+
     def listed(df, name):
-        return (df.select("fp").distinct().select(F.col("fp").alias(name), F.explode(
-            _tables(F.col("fp"), bits, blocks, radius)).alias("x")).select(name, "x.t", "x.key"))
-
-    met = listed(queries, "fp").join(listed(table, "near_fp"), ["t", "key"])
-    met = met.withColumn("bits_apart", distance(F.col("fp"), F.col("near_fp"), bits)).filter(
-        F.col("bits_apart") <= radius)
-    # The first table in which the two agree is the one that reports the pair.
-    same = F.arrays_zip(_tables(F.col("fp"), bits, blocks, radius).alias("a"),
-                        _tables(F.col("near_fp"), bits, blocks, radius).alias("b"))
-    first = F.array_position(F.transform(same, lambda x: x["a"]["key"] == x["b"]["key"]), F.lit(True)) - 1
-    return met.filter(F.col("t") == first).select("fp", "near_fp", "bits_apart")
+        longs = df.select("fp").distinct().select(*[F.col("fp")[k].alias(f"{name}{k}") for k in words])
+        keys = _table_keys([F.col(f"{name}{k}") for k in words], bits, blocks, radius)
+        return longs.select(*longs.columns, F.posexplode(F.array(*keys)).alias("t", "key"))
+
+    met = listed(queries, "a").join(listed(table, "b"), ["t", "key"])
+    one, two = ([F.col(f"{name}{k}") for k in words] for name in "ab")
+    met = met.withColumn("bits_apart", sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(one[1:], two[1:])),
+                                           F.bit_count(one[0].bitwiseXOR(two[0]))))
+    # The first table in which the two have one key is the one that reports the pair.
+    agree = zip(_table_keys(one, bits, blocks, radius), _table_keys(two, bits, blocks, radius))
+    first = F.coalesce(*[F.when(x == y, F.lit(t)) for t, (x, y) in enumerate(agree)])
+    return (met.filter(F.col("bits_apart") <= radius).filter(F.col("t") == first)
+            .select(F.array(*one).alias("fp"), F.array(*two).alias("near_fp"), "bits_apart"))
 
 
 def _ordered(documents: DataFrame, a_bucket: int = 1024) -> DataFrame:
