@@ -210,9 +210,10 @@ def readings(word: str) -> list[str]:
 
 def spaced(words: list[str]) -> list[str]:
     """Runs of three and more words of one character, each joined by spaces."""
-    if len(words) < 3:
+    sizes = list(map(len, words))
+    if sizes.count(1) < 3:
         return []
-    single = "".join(["1" if len(w) == 1 else "0" for w in words])
+    single = "".join(["1" if n == 1 else "0" for n in sizes])
     out, at = [], single.find("111")
     while at >= 0:
         end = single.find("0", at)
@@ -350,6 +351,12 @@ class ToxicityModel:
 
     def found(self, word: str) -> tuple[str, ...]:
         """The features of a written word that have a weight."""
+        core = word.strip(EDGE)
+        if core.isalpha():  # readings of letters differ in runs only
+            if core[:3] not in self.heads and not _RUN.search(core[:4]):
+                return ()
+            if not _RUN.search(core):
+                return self.useful(core)
         out = self.without_search(word)
         return tuple(f for x in restored(word, self.chars).split() for f in self.useful(x)) if out is None else out
 
@@ -513,21 +520,27 @@ def score(documents: DataFrame, model: ToxicityModel, limit: float = 0.7) -> Dat
 
     def run(batches):
         m = shared.value
-        chars, known = m.chars, {}
+        chars = m.chars
+        known, dull, older = {}, set(), set()  # features of words that have some; words without any, and those before
 
         for b in batches:
             scores = []
             for t in b.column(b.num_columns - 1).to_pylist():
                 words = t.lower().split()
                 found = set()
-                for w in set(words):
+                for w in set(words).difference(dull):
                     got = known.get(w)
                     if got is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        got = known[w] = m.found(w)
-                    if got:
-                        found.update(got)
+                        got = () if w in older else m.found(w)
+                        if got:
+                            if len(known) > 100_000:
+                                known.clear()
+                            known[w] = got
+                        else:
+                            if len(dull) > 150_000:
+                                dull, older = set(), dull
+                            dull.add(w)
+                    found.update(got)
                 for r in spaced(words):
                     for x in viterbi(r, chars).split():
                         found.update(m.useful(x))
