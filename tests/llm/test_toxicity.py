@@ -191,3 +191,18 @@ def test_gram_counts_match_a_plain_count():
     assert {(at[g[0]] * n + at[g[1]]) * n + at[g[2]]: k for g, k in want.items()} == \
         {int(i): int(got[i]) for i in got.nonzero()[0]}
     assert not X.gram_counts(Counter(), place, n).any()
+
+
+def test_words_of_letters_have_the_features_of_their_restored_reading():
+    """The short ways past the lattice give what the lattice gives."""
+    words = ["idiot", "stupid", "letter", "address", "hello", "moron", "eerie"]
+    chars = X.CharModel(dict(Counter(p[i:i + 3] for w in words for p in [f"  {w} "] for i in range(len(w) + 1))))
+    model = X.ToxicityModel(chars, {"=idiot": 1.0, "^stu": 0.5, "=moron": 1.0, "^eri": 0.3}, -1.0)
+    seen = ["idiot", "iidiot", "idioooot", "idddiot", "stupid", "sttupid", "stttupid", "letter", "leettter", "hello!!", "(moron)",
+            "moroon", "eerie", "eeerie", "erie", "a", "ii", "", "...", "1d10t", "stu", "st", "äääidiot", "idiöt"]
+    for w in seen:
+        want = tuple(f for x in X.restored(w, chars).split() for f in model.useful(x))
+        quick = model.without_search(w)
+        assert model.found(w) == (want if quick is None else quick), w
+        if quick is not None:
+            assert quick == want, w
