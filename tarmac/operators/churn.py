@@ -36,6 +36,8 @@ from tarmac.schema import RISK_HIGH, RISK_MEDIUM
 from tarmac.session import scratch_path
 
 FEATURES = ["Recency", "Frequency", "Monetary"]
+# Rows below which a further partition of the fit costs more than it saves, and that one partition may hold.
+FIT_ROWS, MOST_FIT_ROWS = 25_000, 500_000
 
 
 def churn_label(base: DataFrame) -> tuple[DataFrame, float]:
@@ -154,6 +156,12 @@ def shapley(x: np.ndarray, trees: list[dict], weights: np.ndarray,
     return (base if len(x) else 0.0), phi
 
 
+def fit_partitions(rows: int, cores: int) -> int:
+    """Partitions of the fit's ``rows``: ``FIT_ROWS`` rows each, at most one a core, unless they then exceed
+    ``MOST_FIT_ROWS``."""
+    return max(1, min(cores, -(-rows // FIT_ROWS)), -(-rows // MOST_FIT_ROWS))
+
+
 def train_churn(rfm_table: DataFrame, max_iter: int = 200, max_depth: int = 4, step_size: float = 0.05,
                 subsampling: float = 0.8, seed: int = 42) -> dict[str, DataFrame]:
     """Fit the churn model on an RFM table (``rfm_scores`` output); returns
@@ -162,7 +170,7 @@ def train_churn(rfm_table: DataFrame, max_iter: int = 200, max_depth: int = 4, s
     base = rfm_table.persist()
     labelled, _ = churn_label(base)
     labelled = labelled.persist()
-    classes = labelled.select("label").distinct().count()
+    rows, classes = labelled.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
     if classes < 2:  # M1c: no model can be fitted
         mx = labelled.agg(F.max("Recency")).first()[0] or 1
         scores = labelled.withColumn("churn_prob", F.col("Recency") / F.lit(float(mx)))
@@ -175,10 +183,9 @@ def train_churn(rfm_table: DataFrame, max_iter: int = 200, max_depth: int = 4, s
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
     gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step_size, subsamplingRate=subsampling, seed=seed)
-    # one row per customer; spread it over at least one partition per core (the
-    # customer aggregate may have been coalesced to a single partition by AQE)
-    cores = spark.sparkContext.defaultParallelism
-    train = labelled if labelled.rdd.getNumPartitions() >= cores else labelled.repartition(cores)
+    # a tree costs several jobs over all partitions, so there are no more than its rows are worth
+    parts = fit_partitions(rows, spark.sparkContext.defaultParallelism)
+    train = labelled.select(*FEATURES, "label").repartition(parts)
     model = Pipeline(stages=[assembler, scaler, gbt]).fit(train)
     scored = model.transform(labelled).withColumn("churn_prob", vector_to_array("probability")[1])
 

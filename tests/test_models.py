@@ -45,6 +45,24 @@ def test_attribution_is_additive(churn_result):
     assert churn.attribution_table(churn_result["attribution"], "nobody").count() == 0
 
 
+def test_churn_fit_has_partitions_by_rows(spark, sales, monkeypatch):
+    """The many partitions of the customer aggregate are not those of the fit, in which each costs tasks in every job."""
+    seen = []
+
+    class Spy(churn.Pipeline):
+        def fit(self, frame):
+            seen.append(frame.rdd.getNumPartitions())
+            return super().fit(frame)
+
+    monkeypatch.setattr(churn, "Pipeline", Spy)
+    table = customers.rfm_scores(customers.rfm_base(sales, SNAP)).repartition(64)
+    result = churn.train_churn(table, max_iter=2)
+    assert seen == [1]
+    assert churn.churn_check(result).first().asDict() == {
+        "customers": 150, "bad_probability": 0, "bad_count": 0, "bad_sum": 0}
+    assert [churn.fit_partitions(n, 12) for n in (0, 25_001, 900_000, 54_000_000)] == [1, 2, 12, 108]
+
+
 def test_churn_histogram_has_ten_bins(churn_result):
     h = churn.probability_histogram(churn.churn_table(churn_result["scores"])).collect()
     assert [r["bin"] for r in h] == list(range(10))
