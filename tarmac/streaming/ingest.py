@@ -63,8 +63,10 @@ def write_daily_batches(sales: DataFrame, folder: str, prefix: str = "", mode: s
 
 
 def read_ingested(spark: SparkSession, target: str) -> DataFrame:
-    """The stored fact in canonical columns, plus the micro-batch (``ingest_id``) of each row."""
-    return spark.read.schema(SALES_SCHEMA).parquet(target).withColumn("ingest_id", F.col("ingest_id").cast("long"))
+    """The stored fact in canonical columns, plus the micro-batch (``ingest_id``) of each row; without rows as long as
+    no batch has passed."""
+    schema = T.StructType(SALES_SCHEMA.fields + [T.StructField("ingest_id", T.LongType())])
+    return spark.read.schema(schema).parquet(target).select(*SALES_COLUMNS, "ingest_id")
 
 
 def make_batch_handler(target: str, quarantine: str, reports: str, ids: str | None = None):

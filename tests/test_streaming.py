@@ -34,6 +34,20 @@ def test_ingest_validates_and_is_idempotent(spark):
     assert fact.select("Transaction_ID").distinct().count() == 55
 
 
+def test_fact_is_empty_when_every_batch_fails(spark):
+    base = scratch_path(spark, "test-ingest-none")
+    bad = _batch(spark, "2024-01-03", 6, bad=True).unionByName(_batch(spark, "2024-01-04", 4, bad=True))
+    st.write_daily_batches(bad, f"{base}/landing")
+    paths = st.run_ingest_once(spark, f"{base}/landing", base)
+    fact = st.read_ingested(spark, paths["fact"])
+    assert fact.columns == [*SALES_SCHEMA.names, "ingest_id"] and fact.count() == 0
+    assert spark.read.parquet(paths["quarantine"]).count() == 10
+    # a later batch that passes is stored beside it
+    handler = st.make_batch_handler(paths["fact"], paths["quarantine"], paths["reports"])
+    handler(_batch(spark, "2024-01-05", 3).withColumn("batch", F.lit("2024-01-05")), 7)
+    assert {(r.Year, r.ingest_id) for r in st.read_ingested(spark, paths["fact"]).collect()} == {(2024, 7)}
+
+
 def test_ingest_archives_processed_batches(spark):
     import glob
     base = scratch_path(spark, "test-ingest-archive")
