@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.session import scratch_path
+from tarmac.session import stored  # noqa: F401
 
 # ASCII white space: the separators of the word contracts ([^\x20\x09-\x0D]+).
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
@@ -18,13 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n (0 where the key is null)."""
     return F.coalesce(F.crc32(key.cast("string")) % n, F.lit(0))

@@ -170,7 +170,7 @@ def train_churn(rfm_table: DataFrame, max_iter: int = 200, max_depth: int = 4, s
     base = rfm_table.persist()
     labelled, _ = churn_label(base)
     labelled = labelled.persist()
-    rows, classes = labelled.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
+    rows, classes = labelled.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce("label", F.lit(-1.0)))).first()
     if classes < 2:  # M1c: no model can be fitted
         mx = labelled.agg(F.max("Recency")).first()[0] or 1
         scores = labelled.withColumn("churn_prob", F.col("Recency") / F.lit(float(mx)))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.session import ensure_checkpoint_dir
+from tarmac.session import ensure_checkpoint_dir, stored
 
 # Rows a single task may hold for a global window / exact percentile map.
 SMALL_ROWS = 1_000_000
@@ -154,14 +154,16 @@ def ordered_row_id(df: DataFrame, order: list[Column] | None, out: str = "row_id
         mid = df.withColumn("__rt_mid", F.monotonically_increasing_id())
         return (mid.withColumn(out, F.row_number().over(Window.orderBy("__rt_mid")) + F.lit(start - 1))
                 .drop("__rt_mid"))
-    if order:
-        fixed = _ranged(df, order)
+    def placed(fixed):
+        return fixed.withColumn("__rt_pid", F.spark_partition_id()) \
+            .withColumn("__rt_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_BITS)))
+
+    if order:  # stored with their places, as sorted columns are far smaller than checkpointed rows
+        local = stored(placed(df.repartitionByRange(_parts(df), *order).sortWithinPartitions(*order)), "row-ids")
     else:
         ensure_checkpoint_dir(df.sparkSession)
-        fixed = df.checkpoint(eager=True)
-    local = fixed.withColumn("__rt_pid", F.spark_partition_id()) \
-        .withColumn("__rt_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_BITS)))
-    counts = fixed.groupBy(F.spark_partition_id().alias("__rt_pid")).agg(F.count(F.lit(1)).alias("__rt_n"))
+        local = placed(df.checkpoint(eager=True))
+    counts = local.groupBy("__rt_pid").agg(F.count(F.lit(1)).alias("__rt_n"))
     w_off = Window.orderBy("__rt_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__rt_pid", F.coalesce(F.sum("__rt_n").over(w_off), F.lit(0)).alias("__rt_off"))
     return (local.join(F.broadcast(offsets), "__rt_pid")

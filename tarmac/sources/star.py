@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.functions.columns import quarter_label
-from tarmac.operators.scale import lookup_join, ordered_row_id
+from tarmac.operators.scale import bounded, lookup_join, ordered_row_id
+from tarmac.session import stored
 
 STAR_TABLES = ["dim_product", "dim_customer", "dim_date", "fact_sales"]
 
@@ -38,7 +39,7 @@ def _new_members(sales: DataFrame, name_col: str, attrs: dict[str, str], existin
              .groupBy(F.col(name_col).alias(dim_name_col))
              .agg(F.min(_first_seen()).alias("_seen"),
                   F.min_by(F.struct(*[F.col(src).alias(dst) for dst, src in attrs.items()]), _first_seen())
-                  .alias("_attrs")))
+                  .alias("_attrs")).persist())  # counted, then numbered
     offset = mark or 0
     if existing is not None:
         first = first.join(existing.select(dim_name_col), dim_name_col, "left_anti")
@@ -106,13 +107,15 @@ def fact_sales(sales: DataFrame, products: DataFrame, customers: DataFrame,
                  "product_id", "customer_id", F.col("Units_Sold").alias("units_sold"),
                  F.col("Unit_Price").alias("unit_price"), F.col("Revenue").alias("revenue"),
                  "Date", "Transaction_ID")
-    ided = ordered_row_id(f, [F.col("Date").asc(), F.col("Transaction_ID").asc()], "txn_id", start=start_id)
+    ided = ordered_row_id(f, [F.col("Date").asc(), F.col("Transaction_ID").asc()], "txn_id", start=start_id,
+                          small=bounded(sales))  # the lookups add no rows
     return ided.select(F.col("txn_id").cast("long").alias("txn_id"), "txn_code", "date_id", "product_id",
                        "customer_id", "units_sold", "unit_price", "revenue")
 
 
 def build_star(sales: DataFrame) -> dict[str, DataFrame]:
-    """S10 + S11: the four star tables from the flat fact."""
+    """S10 + S11: the four star tables from the flat fact, which is worked out once and stored, as each table reads it."""
+    sales = stored(sales, "star-sales")
     products = dim_product(sales).persist()  # read by the key joins and returned
     customers = dim_customer(sales).persist()
     return {

@@ -22,7 +22,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.session import path_exists
+from tarmac.session import path_exists, stored
 from tarmac.sources import star
 
 SCHEMAS = {
@@ -72,6 +72,7 @@ def merge(sales: DataFrame, base: str, name: str) -> bool:
     number = 1 + (last.load if last else 0)
     marks = {k: last[k] if last else 0 for k in ("product_id", "customer_id", "txn_id")}
     old = read(spark, base, number - 1)
+    sales = stored(sales, "star-load")  # worked out once for all tables
     dims = {}
     for table, build, key in (("dim_product", star.new_products, "product_id"),
                               ("dim_customer", star.new_customers, "customer_id")):

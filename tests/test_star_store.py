@@ -1,11 +1,13 @@
 """The star that grows load by load: replays, broken loads, empty loads, null keys, and what a merge reads."""
 
+import datetime as dt
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from tarmac.operators import abc
+from tarmac.schema import SALES_SCHEMA
 from tarmac.session import path_exists, scratch_path
 from tarmac.sources import star, star_store
 
@@ -78,3 +80,25 @@ def test_a_merge_reads_no_stored_fact(spark, fact):
     got = rows(star_store.read(spark, base)["fact_sales"])
     first = fact.filter("Year <= 1998").count()
     assert got == [r for r in rows(star.build_star(fact)["fact_sales"]) if r[0] > first]
+
+
+def test_star_works_out_its_rows_once(spark):
+    """Every table of a build, and of a merged load, reads stored rows; the flat input is not worked out again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    day = dt.date(2024, 1, 1)
+    rows = [(f"T{i:02d}", day, 2024, 1, "Jan", "Q1", f"P{i % 3}", "E", "R", None if i == 4 else f"C{i % 5}", 1, 10.0,
+             10.0, "A") for i in range(20)]
+    flat = spark.createDataFrame(rows + rows[:1], SALES_SCHEMA)
+    frame = flat.mapInArrow(run, SALES_SCHEMA)
+    built = {n: sorted(map(tuple, df.collect()), key=str) for n, df in star.build_star(frame).items()}
+    assert seen.value == 21 and len(built["fact_sales"]) == 21 and len(built["dim_customer"]) == 5
+    base = scratch_path(spark, "test-star-once")
+    assert star_store.merge(frame, base, "one")
+    assert seen.value == 42
+    assert len(star_store.read(spark, base)["fact_sales"].collect()) == 21
