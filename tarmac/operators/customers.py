@@ -1,7 +1,8 @@
 """Customer analytics: RFM features, quartile scores and segments; cohort retention.
 
-RFM: one aggregate per customer (map-side combine, so a customer with a third of
-the rows is pre-aggregated before the shuffle). Quartile edges come from
+RFM: one aggregate per customer and region, whose buffers are numbers only, so Spark hashes and sorts no sales rows
+(map-side combine, so a customer with a third of the rows is pre-aggregated before the shuffle); its few rows are put
+together per customer. Only customers of several regions look at their first day's sales again. Quartile edges come from
 ``scale.exact_quantiles`` (one exact ``percentile`` job under the size bound,
 rank-based and distributed above it); scoring is a ``CASE`` over the broadcast
 edges (literals), so no join is needed in the normal case.
@@ -19,7 +20,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.functions.columns import money_sum, month_key, month_start, months_between_starts, ratio
+from tarmac.functions.columns import money_total, month_key, month_start, months_between_starts, ratio
 from tarmac.operators.scale import average_rank_pct, bounded, exact_quantiles
 from tarmac.schema import SEGMENT_ELSE, SEGMENTS
 
@@ -39,13 +40,24 @@ def rfm_base(sales: DataFrame, snapshot=None) -> DataFrame:
         snapshot = default_snapshot(sales)
     if isinstance(snapshot, str):
         snapshot = _dt.date.fromisoformat(snapshot)
-    first_seen = F.struct(F.col("Date"), F.col("Transaction_ID"))
-    return (sales.filter(F.col("Customer").isNotNull())
-            .groupBy("Customer")
-            .agg(F.min_by("Region", first_seen).alias("Region"),
-                 F.datediff(F.lit(snapshot), F.max("Date")).alias("Recency"),
-                 F.count("Transaction_ID").alias("Frequency"),
-                 money_sum("Revenue").alias("Monetary")))
+    known = sales.filter(F.col("Customer").isNotNull()).withColumn(
+        "_day", F.coalesce(F.unix_date("Date"), F.lit(-(1 << 31))))  # a missing day comes first
+    parts = known.groupBy("Customer", "Region").agg(
+        F.min("_day").alias("_day"), F.max("Date").alias("_last"), F.count("Transaction_ID").alias("Frequency"),
+        money_total("Revenue").alias("Monetary"))
+    each = parts.groupBy("Customer").agg(
+        F.min(F.struct("_day", "Region")).alias("_first"), F.count(F.lit(1)).alias("_regions"),
+        F.max("_last").alias("_last"), F.sum("Frequency").alias("Frequency"),
+        F.sum("Monetary").cast("double").alias("Monetary")).persist()  # asked for several regions, then returned
+    region = F.col("_first.Region")
+    several = each.filter(F.col("_regions") > 1).select("Customer", "_first._day")
+    if not several.isEmpty():  # the transaction id decides between regions of the first day
+        seen = known.join(several, ["Customer", "_day"], "left_semi").groupBy("Customer") \
+            .agg(F.min_by("Region", F.struct("Transaction_ID")).alias("_seen"), F.lit(True).alias("_decided"))
+        each = each.join(seen, "Customer", "left")
+        region = F.when(F.col("_decided"), F.col("_seen")).otherwise(region)
+    return each.select("Customer", region.alias("Region"), F.datediff(F.lit(snapshot), "_last").alias("Recency"),
+                       "Frequency", "Monetary")
 
 
 def _bin_score(c: str, edges: list[float], labels) -> Column:

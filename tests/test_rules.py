@@ -186,3 +186,20 @@ def test_top_products_rank_and_sort(spark):
     assert [r["name"] for r in top] == ["P3", "P2", "P1"]
     srt = bi.sort_table(bi.products_all(s), "units", ascending=True, tie_break="name").collect()
     assert [r["name"] for r in srt] == ["P0", "P1", "P2", "P3"]
+
+
+def test_rfm_base_sorts_no_sales_rows(spark):
+    """The region first seen: a missing date comes first, then the transaction id decides, a missing one first."""
+    rows = [("T2", "2022-01-01", "N", "C1"), ("T1", "2022-01-01", "S", "C1"), ("T0", "2022-01-02", "W", "C1"),
+            ("T5", None, "W", "C2"), ("T4", "2022-01-01", "N", "C2"), ("T6", "2022-03-01", None, "C3"),
+            ("T7", "2022-03-02", "N", "C3"), (None, "2022-01-05", "S", "C4"), ("T1", "2022-01-05", "N", "C4"),
+            ("T9", "2022-02-01", "N", "C5"), ("T8", "2022-02-01", "N", "C5"), ("T3", "2022-02-02", "N", "C5"),
+            ("T1", "2022-02-02", "N", None), ("T1", "2022-02-02", "N", "C6"), ("T2", "2022-02-02", "S", "C6")]
+    s = spark.createDataFrame([(t, d and dt.date.fromisoformat(d), r, c, 1.25) for t, d, r, c in rows],
+                              "Transaction_ID string, Date date, Region string, Customer string, Revenue double")
+    got = {r.Customer: tuple(r)[1:] for r in customers.rfm_base(s, "2022-04-01").collect()}
+    assert got == {"C1": ("S", 89, 3, 3.75), "C2": ("W", 90, 2, 2.5), "C3": (None, 30, 2, 2.5),
+                   "C4": ("S", 86, 1, 2.5), "C5": ("N", 58, 3, 3.75), "C6": ("N", 58, 2, 2.5)}
+    one = customers.rfm_base(s.filter("Customer IN ('C5')"), "2022-04-01")
+    assert "Transaction_ID" not in " ".join(
+        x for x in one._jdf.queryExecution().executedPlan().toString().splitlines() if "SortAggregate" in x)
