@@ -11,7 +11,8 @@
   conditional expectations (a split on a feature outside the coalition averages
   both children by their training counts). The trees are read from the saved
   model's node table (the public ML persistence format), cut into leaf paths,
-  broadcast, and evaluated in ``mapInPandas`` batches. A path costs the square of
+  broadcast, and evaluated in ``mapInPandas`` batches, once for all rows that
+  lie between the same thresholds (``attribute``). A path costs the square of
   its distinct features, at any number of features of the model (see
   ``shapley``). Values are in log-odds units: base + sum(phi) = logit(probability).
 * importance (M1d): the model's gain importances and mean |phi| per feature.
@@ -31,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.operators.scale import exact_quantiles
+from tarmac.operators.scale import exact_quantiles, maybe_broadcast
 from tarmac.schema import RISK_HIGH, RISK_MEDIUM
-from tarmac.session import scratch_path
+from tarmac.session import scratch_path, stored
 
 FEATURES = ["Recency", "Frequency", "Monetary"]
 # Rows below which a further partition of the fit costs more than it saves, and that one partition may hold.
@@ -162,6 +163,44 @@ def fit_partitions(rows: int, cores: int) -> int:
     return max(1, min(cores, -(-rows // FIT_ROWS)), -(-rows // MOST_FIT_ROWS))
 
 
+def attribute(rows: DataFrame, trees: list[dict], weights: np.ndarray) -> DataFrame:
+    """Customer, base_value, shap_*: the attributions of each row of ``rows`` (Customer, ``_x`` the model's features).
+
+    The trees tell rows apart only by the side of their thresholds. Rows that lie between the same thresholds (a model of
+    few features has few such cells: at most the bins of the fit to the power of the features) are attributed once, by
+    any of their values, and joined to the result.
+    """
+    spark = rows.sparkSession
+    bc = spark.sparkContext.broadcast(([leaf_paths(t) for t in trees], weights))
+    places, shaps = [f"_at_{i}" for i in range(len(FEATURES))], [f"shap_{f.lower()}" for f in FEATURES]
+    out_schema = T.StructType([T.StructField(c, T.IntegerType()) for c in places]
+                              + [T.StructField(c, T.DoubleType()) for c in ["base_value", *shaps]])
+
+    def values(batches):
+        paths, wt = bc.value
+        for pdf in batches:
+            x = np.array(pdf["_x"].tolist(), dtype=float).reshape(len(pdf), len(FEATURES))
+            base_v, phi = shapley(x, [], wt, paths)
+            out = pdf[places].assign(base_value=2.0 * base_v)
+            for i, c in enumerate(shaps):
+                out[c] = 2.0 * phi[:, i]  # Spark's logistic margin is half the log-odds
+            yield out
+
+    edges = [np.concatenate([t["thr"][t["feat"] == i] for t in trees]) for i in range(len(FEATURES))]
+    placed = rows.select("Customer", "_x", *[_passed(F.get("_x", i), edges[i]).alias(c)
+                                             for i, c in enumerate(places)]).persist()
+    cells = placed.groupBy(*places).agg(*[F.min(F.get("_x", i)).alias(f"_x_{i}") for i in range(len(FEATURES))]) \
+        .repartition(spark.sparkContext.defaultParallelism) \
+        .select(*places, F.array(*[f"_x_{i}" for i in range(len(FEATURES))]).alias("_x"))
+    found = cells.mapInPandas(values, out_schema).persist()  # counted, then joined
+    return placed.join(maybe_broadcast(found), places).select("Customer", "base_value", *shaps)
+
+
+def _passed(x: F.Column, thresholds: np.ndarray) -> F.Column:
+    """How many of the distinct ``thresholds`` lie below ``x``."""
+    return sum(((x > F.lit(float(t))).cast("int") for t in np.unique(thresholds)), F.lit(0))
+
+
 def train_churn(rfm_table: DataFrame, max_iter: int = 200, max_depth: int = 4, step_size: float = 0.05,
                 subsampling: float = 0.8, seed: int = 42) -> dict[str, DataFrame]:
     """Fit the churn model on an RFM table (``rfm_scores`` output); returns
@@ -193,24 +232,8 @@ def train_churn(rfm_table: DataFrame, max_iter: int = 200, max_depth: int = 4, s
     path = scratch_path(spark, "churn-gbt")
     gbt_model.write().overwrite().save(path)
     trees, weights = _read_trees(spark, path)
-    bc = spark.sparkContext.broadcast(([leaf_paths(t) for t in trees], weights))
-
     feat = scored.select("Customer", vector_to_array("features").alias("_x"))
-    out_schema = T.StructType([T.StructField("Customer", T.StringType()),
-                               T.StructField("base_value", T.DoubleType())]
-                              + [T.StructField(f"shap_{f.lower()}", T.DoubleType()) for f in FEATURES])
-
-    def attribute(batches):
-        paths, wt = bc.value
-        for pdf in batches:
-            x = np.array(pdf["_x"].tolist(), dtype=float).reshape(len(pdf), len(FEATURES))
-            base_v, phi = shapley(x, [], wt, paths)
-            out = pd.DataFrame({"Customer": pdf["Customer"], "base_value": 2.0 * base_v})
-            for i, f in enumerate(FEATURES):
-                out[f"shap_{f.lower()}"] = 2.0 * phi[:, i]  # Spark's logistic margin is half the log-odds
-            yield out
-
-    attribution = feat.mapInPandas(attribute, out_schema).persist()
+    attribution = stored(attribute(feat, trees, weights), "churn-attribution")  # worked out once, however often it is read
     mean_abs = attribution.agg(*[F.avg(F.abs(f"shap_{f.lower()}")).alias(f) for f in FEATURES]).first()
     importances = gbt_model.featureImportances.toArray().tolist()
     imp = spark.createDataFrame(

@@ -45,6 +45,40 @@ def test_attribution_is_additive(churn_result):
     assert churn.attribution_table(churn_result["attribution"], "nobody").count() == 0
 
 
+def test_attribution_is_worked_out_once_for_all_readers(spark, churn_result):
+    """Each reader ran the attribution anew, over its own partitions, once Spark's cache had let go of it."""
+    plan = churn_result["attribution"]._jdf.queryExecution().analyzed().toString()
+    assert "MapInPandas" not in plan
+
+
+def test_equal_places_between_thresholds_are_attributed_once(spark, monkeypatch):
+    leaf = {"left": -1, "right": -1, "feat": -1, "thr": 0.0}
+    tree = [{**leaf, "pred": 0.0, "count": 8.0, "left": 1, "right": 2, "feat": 0, "thr": 0.5},
+            {**leaf, "pred": -1.0, "count": 5.0},
+            {**leaf, "pred": 0.0, "count": 3.0, "left": 3, "right": 4, "feat": 2, "thr": -1.0},
+            {**leaf, "pred": 0.25, "count": 1.0}, {**leaf, "pred": 2.0, "count": 2.0}]
+    trees = [{k: np.array([n[k] for n in tree]) for k in tree[0]}]
+    weights = np.array([0.5])
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(size=(200, 3)), [[0.5, 0.0, -1.0], [0.5, 1.0, 3.0], [0.6, 0.0, -1.0]]])
+    rows = spark.createDataFrame([(f"c{i % 150}", v.tolist()) for i, v in enumerate(x)], "Customer string, _x array<double>")
+    asked = spark.sparkContext.accumulator(0)
+    whole = churn.shapley
+
+    def counted(x, *args):
+        asked.add(len(x))
+        return whole(x, *args)
+
+    monkeypatch.setattr(churn, "shapley", counted)
+    got = churn.attribute(rows, trees, weights).collect()
+    base, phi = whole(x, trees, weights)
+
+    def keys(found):
+        return sorted((c, *np.round(v, 9)) for c, *v in found)
+    assert keys(got) == keys((f"c{i % 150}", 2 * base, *(2 * p)) for i, p in enumerate(phi))
+    assert 0 < asked.value <= 4
+
+
 def test_churn_fit_has_partitions_by_rows(spark, sales, monkeypatch):
     """The many partitions of the customer aggregate are not those of the fit, in which each costs tasks in every job."""
     seen = []
