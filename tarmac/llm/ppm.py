@@ -1,6 +1,8 @@
 """Language-model scoring by word counts, with prediction by partial matching for the spelling of words only.
 
-This is not PPM over the running text: no context crosses a word boundary, and rare spelling contexts are cut (README).
+This is not PPM over the running text: no context crosses a word boundary, and rare spelling contexts are cut. That
+model, by which op7_lm_score scores, is in ``ppm_text``; ``score_documents`` here leads to it. The model of this module
+is no query's.
 
 A text is its ASCII-lower-cased words, each spelled as its bytes and a closing space, then one end symbol. The trie of
 byte contexts is pretrained on the training texts; a word's probability goes from long contexts to short ones:
@@ -45,6 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.llm import ppm_text
 from tarmac.llm.common import stored, utf8
 
 ORDER = 6
@@ -539,7 +542,7 @@ def _slices(data: np.ndarray, ends: np.ndarray, width: int) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, offsets, pa.py_buffer(data.tobytes())])
 
 
-def score_documents(documents: DataFrame, folds: int = 10, order: int = ORDER, keep: float = KEEP) -> DataFrame:
-    """Train on the rows whose crc32(doc_id) modulo ``folds`` is not 0, score all rows."""
-    out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
-    return score(documents, train(documents.filter(~out).select(utf8().alias("text")), order, keep), out)
+def score_documents(documents: DataFrame, folds: int = 10, order: int = ppm_text.ORDER) -> DataFrame:
+    """Train on the rows whose crc32(doc_id) modulo ``folds`` is not 0, score all rows: by PPM over the running text
+    (``ppm_text``), not by the model of this module."""
+    return ppm_text.score_documents(documents, folds, order)
