@@ -13,7 +13,7 @@ neighbours. Scale: documents are dealt into blocks of ``BLOCK_BYTES``. Each bloc
 counts in its training rows, to the task that its last three bytes of context name; there the counts of all blocks meet,
 so all longer contexts of a gram are in that task, and the costs go back to the block. Shorter contexts (at most 2 ** 24
 counts, whatever the input) are broadcast. What a task holds are the packed requests for its grams and their distinct
-ones. Words and their counts, for the base score, go the same way in a window over each word, one row a block at most.
+ones. Words and their counts, for the base score, go the same way, to the task that their crc32 names.
 
 Cases: null text counts as empty and is one end symbol; a null doc_id is a training row; repeated rows are scored
 each; with no training rows the end has probability one half, the other symbols share the rest and the base score is 0;
@@ -22,12 +22,13 @@ an empty table gives an empty result; other input columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import count
+from collections import Counter, defaultdict
+from itertools import compress, groupby
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import stored, utf8
@@ -39,8 +40,8 @@ BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 1 << 16
 CHUNK = 1 << 20  # bytes that are looked at together
 PART_BYTES = 16 << 20  # of text, for each task that counts grams
 BLOCKS = "block long, doc_id long, held_out boolean, text binary"
-GRAMS = "part int, block long, grams binary, counts binary"
-COSTS = "block long, grams binary, costs binary"
+REQUESTS = "part int, block long, grams binary, counts binary, words binary, word_counts binary"
+ANSWERS = "block long, grams binary, costs binary, words binary, word_counts binary"
 RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
           "score double")
 
@@ -136,24 +137,28 @@ def rows_of(batches, columns):
 
 def by_block(batches):
     """(block, its rows (held_out, text)) of neighbours; a block that was read in two tasks comes twice."""
-    from itertools import groupby
-
     for block, rows in groupby(rows_of(batches, ["block", "held_out", "text"]), key=lambda r: r[0]):
         yield block, (r[1:] for r in rows)
 
 
-def gram_requests(texts: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
-    """(part, block, grams, counts): the distinct grams of each block, with their counts in its training rows."""
+def requests_of(texts: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
+    """(part, block, grams, counts, words, word_counts): the distinct grams and words of each block, with their counts
+    in its training rows."""
     def run(batches):
         for block, rows in by_block(batches):
             found, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-            held = []
+            held, words = [], Counter()
             for some in chunks(rows):
                 for learn in (True, False):
-                    part = [t for out, t in some if out != learn]
-                    if part:
-                        uniq, n = np.unique(grams_of(part, order)[0], return_counts=True)
+                    texts = [t for out, t in some if out != learn]
+                    if texts:
+                        uniq, n = np.unique(grams_of(texts, order)[0], return_counts=True)
                         held.append((uniq, n if learn else np.zeros(len(n), np.int64)))
+                    for t in texts:
+                        if learn:
+                            words.update(t.split())
+                        else:
+                            words.update(dict.fromkeys(t.split(), 0))
                 if sum(len(h[0]) for h in held) > 4 * CHUNK:
                     found, counts = summed(*(np.concatenate(x) for x in zip((found, counts), *held)))
                     held = []
@@ -162,14 +167,43 @@ def gram_requests(texts: DataFrame, parts: int, order: int = ORDER) -> DataFrame
             part = (((found >> 32) * 0x9E3779B1 & 0xFFFFFFFF) * parts >> 32).astype(np.int32)
             at = np.argsort(part, kind="stable")
             found, counts, part = found[at], counts[at], part[at]
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            ends = np.r_[cuts[1:], len(part)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[cuts]), pa.array(np.full(len(cuts), block, np.int64)),
-                 pa.array([packed(np.diff(found[a:z], prepend=0), ORDER + 1) for a, z in zip(cuts, ends)], pa.binary()),
-                 pa.array([packed(counts[a:z], 4) for a, z in zip(cuts, ends)], pa.binary())], names=names(GRAMS))
+            spelled = defaultdict(list)
+            for w in words:
+                spelled[crc32(w) % parts].append(w)
+            for lo in range(0, parts, 256):  # parts of a batch
+                number = sorted({*np.unique(part[slice(*np.searchsorted(part, (lo, lo + 256)))]).tolist(),
+                                 *(p for p in range(lo, min(lo + 256, parts)) if p in spelled)})
+                begin, end = np.searchsorted(part, number), np.searchsorted(part, number, "right")
+                own = [sorted(spelled.get(p, ())) for p in number]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(number, pa.int32()), pa.array(np.full(len(number), block, np.int64)),
+                     pa.array([packed(np.diff(found[a:z], prepend=0), ORDER + 1) for a, z in zip(begin, end)],
+                              pa.binary()),
+                     pa.array([packed(counts[a:z], 4) for a, z in zip(begin, end)], pa.binary()),
+                     pa.array([b" ".join(ws) for ws in own], pa.binary()),
+                     pa.array([packed(np.array([words[w] for w in ws], np.int64), 4) for ws in own], pa.binary())],
+                    names=names(REQUESTS))
+
+    return stored(texts.mapInArrow(run, REQUESTS), "ppm-requests")
+
+
+def by_part(requests: DataFrame, parts: int) -> DataFrame:
+    return requests.repartition(parts, "part").sortWithinPartitions("part")
+
+
+def word_totals(requests: DataFrame, parts: int) -> tuple[int, int]:
+    """The words of the training rows: all and distinct ones."""
+    def run(batches):
+        for _, rows in groupby(rows_of(batches, ["part", "words", "word_counts"]), key=lambda r: r[0]):
+            seen, n = set(), 0
+            for _, words, counts in rows:
+                counts = unpacked(counts, 4)
+                n += int(counts.sum())
+                seen.update(compress(words.split(), (counts > 0).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([len(seen)])], names=["n", "kinds"])
 
-    return stored(texts.mapInArrow(run, GRAMS), "ppm-grams")
+    got = by_part(requests.select("part", "words", "word_counts"), parts).mapInArrow(run, "n long, kinds long")
+    return tuple(got.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "kinds")]).first())
 
 
 def shorter(pairs: np.ndarray) -> np.ndarray:
@@ -276,52 +310,32 @@ def gram_costs(grams: np.ndarray, counts: np.ndarray, low: list[Level]) -> np.nd
     return cost
 
 
-def priced(requests: DataFrame, low: list[Level], parts: int) -> DataFrame:
-    """(block, grams, costs): the requests with the costs of their grams."""
+def answers(requests: DataFrame, low: list[Level], parts: int) -> DataFrame:
+    """(block, grams, costs, words, word_counts): the requests with the costs of their grams and the words' counts in
+    all training rows."""
     shared = requests.sparkSession.sparkContext.broadcast(low)
 
     def run(batches):
-        from itertools import groupby
-
-        for _, rows in groupby(rows_of(batches, names(GRAMS)), key=lambda r: r[0]):
-            asked, held = [], []
+        for _, rows in groupby(rows_of(batches, names(REQUESTS)), key=lambda r: r[0]):
+            asked, held, known = [], [], Counter()
             grams, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-            for _, block, data, n in rows:
-                asked.append((block, data))
+            for _, block, data, n, words, times in rows:
+                asked.append((block, data, words))
+                known.update(dict(zip(words.split(), unpacked(times, 4).tolist())))
                 held.append((sorted_grams(data), unpacked(n, 4)))
                 if sum(len(h[0]) for h in held) > CHUNK + len(grams):
                     grams, counts = summed(*(np.concatenate(x) for x in zip((grams, counts), *held)))
                     held = []
             grams, counts = summed(*(np.concatenate(x) for x in zip((grams, counts), *held)))
             costs = gram_costs(grams, counts, shared.value)
-            for lo in range(0, len(asked), 64):
-                some = asked[lo:lo + 64]
+            for block, data, words in asked:
+                c = np.array([known[w] for w in words.split()], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, _ in some], pa.int64()), pa.array([d for _, d in some], pa.binary()),
-                     pa.array([costs[np.searchsorted(grams, sorted_grams(d))].tobytes() for _, d in some],
-                              pa.binary())], names=names(COSTS))
+                    [pa.array([block], pa.int64()), pa.array([data], pa.binary()),
+                     pa.array([costs[np.searchsorted(grams, sorted_grams(data))].tobytes()], pa.binary()),
+                     pa.array([words], pa.binary()), pa.array([packed(c, 8)], pa.binary())], names=names(ANSWERS))
 
-    return requests.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, COSTS)
-
-
-def word_totals(texts: DataFrame) -> DataFrame:
-    """(block, word, n, c): the words of each block, with their counts in its training rows and in all."""
-    def run(batches):
-        for block, rows in by_block(batches):
-            held: Counter = Counter()
-            for out, text in rows:
-                if out:
-                    for w in text.split():
-                        held.setdefault(w, 0)
-                else:
-                    held.update(text.split())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(held), block, np.int64)), pa.array(list(held.keys()), pa.binary()),
-                 pa.array(list(held.values()), pa.int64())], names=["block", "word", "n"])
-
-    every = Window.partitionBy("word")
-    return stored(texts.mapInArrow(run, "block long, word binary, n long").withColumn("c", F.sum("n").over(every)),
-                  "ppm-words")
+    return by_part(requests, parts).mapInArrow(run, ANSWERS)
 
 
 def score_documents(documents: DataFrame, folds: int = 10, order: int = ORDER) -> DataFrame:
@@ -334,11 +348,9 @@ def score_documents(documents: DataFrame, folds: int = 10, order: int = ORDER) -
     size, learnt = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)),
                              F.count_if(~F.col("held_out"))).first()
     parts = max(2 * documents.sparkSession.sparkContext.defaultParallelism, size // PART_BYTES)
-    requests = gram_requests(texts, parts, order)
-    costs = priced(requests, low_levels(requests), parts)
-    words = word_totals(texts)
-    n, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)),
-                         F.count_distinct(F.when(F.col("c") > 0, F.col("word")))).first()
+    requests = requests_of(texts, parts, order)
+    answered = answers(requests, low_levels(requests), parts)
+    n, kinds = word_totals(requests, parts)
     tokens, kinds = n + learnt, kinds + (learnt > 0)
 
     def base(c):
@@ -372,22 +384,17 @@ def score_documents(documents: DataFrame, folds: int = 10, order: int = ORDER) -
                      pa.array(np.bincount(where, weights=base(c), minlength=len(texts)) + base(learnt)),
                      pa.array(score)], names=names(RESULT))
 
-        from itertools import groupby
         for (number, is_text), rows in groupby(rows_of(batches, all_names), key=lambda r: r[:2]):
             if number != block:
                 block, known, found, grams = number, {}, [], None
             if is_text:
-                yield from scored((d, h, t) for _, _, d, h, t, _ in rows)
+                yield from scored(r[2:5] for r in rows)
             else:
-                for _, _, c, _, data, costs in rows:
-                    if costs is None:
-                        known[data] = c
-                    else:
-                        found.append((data, costs))
-
-    no_flag, no_bytes = F.lit(None).cast("boolean"), F.lit(None).cast("binary")
-    all_names = ["block", "is_text", "doc_id", "held_out", "text", "costs"]
-    sent = (texts.select("block", F.lit(True), "doc_id", "held_out", "text", no_bytes).toDF(*all_names)
-            .union(costs.select("block", F.lit(False), F.lit(None).cast("long"), no_flag, "grams", "costs"))
-            .union(words.select("block", F.lit(False), "c", no_flag, "word", no_bytes)))
+                for *_, data, costs, words, counts in rows:
+                    found.append((data, costs))
+                    known.update(zip(words.split(), unpacked(counts, 8).tolist()))
+
+    all_names = ["block", "is_text", "doc_id", "held_out", "text", "grams", "costs", "words", "word_counts"]
+    sent = texts.withColumn("is_text", F.lit(True)) \
+        .unionByName(answered.withColumn("is_text", F.lit(False)), allowMissingColumns=True)
     return sent.repartition(parts, "block").sortWithinPartitions("block", "is_text").mapInArrow(run, RESULT)
