@@ -93,12 +93,23 @@ def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return grams[first], np.add.reduceat(counts, first)
 
 
+def squeezed(data: bytes) -> bytes:
+    """Compressed, with the size before: shuffles need not compress."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def whole(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def packed(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of whole numbers, byte by byte, which compresses well."""
-    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    planes = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return squeezed(planes.tobytes())
 
 
 def unpacked(data: bytes, width: int) -> np.ndarray:
+    data = whole(data)
     out = np.zeros((len(data) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
     return out.reshape(-1).view("<i8")
@@ -180,7 +191,7 @@ def requests_of(texts: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
                      pa.array([packed(np.diff(found[a:z], prepend=0), ORDER + 1) for a, z in zip(begin, end)],
                               pa.binary()),
                      pa.array([packed(counts[a:z], 4) for a, z in zip(begin, end)], pa.binary()),
-                     pa.array([b" ".join(ws) for ws in own], pa.binary()),
+                     pa.array([squeezed(b" ".join(ws)) for ws in own], pa.binary()),
                      pa.array([packed(np.array([words[w] for w in ws], np.int64), 4) for ws in own], pa.binary())],
                     names=names(REQUESTS))
 
@@ -199,7 +210,7 @@ def word_totals(requests: DataFrame, parts: int) -> tuple[int, int]:
             for _, words, counts in rows:
                 counts = unpacked(counts, 4)
                 n += int(counts.sum())
-                seen.update(compress(words.split(), (counts > 0).tolist()))
+                seen.update(compress(whole(words).split(), (counts > 0).tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([len(seen)])], names=["n", "kinds"])
 
     got = by_part(requests.select("part", "words", "word_counts"), parts).mapInArrow(run, "n long, kinds long")
@@ -304,9 +315,9 @@ def gram_costs(grams: np.ndarray, counts: np.ndarray, low: list[Level]) -> np.nd
         below = cost[ups[i - 1]] if i else cost
         gone, taken = (rows[i - 1][2], rows[i - 1][3]) if i else (0, 0)
         left, new = total - taken, kinds - gone
-        whole = np.maximum(left + np.where(kinds < SYMBOLS, new, 0), 1)
-        escaped = np.where(new > 0, np.log10(np.maximum(new, 1) / whole), 0.0) + below
-        cost = np.where(n > 0, np.log10(np.maximum(n, 1) / whole), escaped)
+        weight = np.maximum(left + np.where(kinds < SYMBOLS, new, 0), 1)
+        escaped = np.where(new > 0, np.log10(np.maximum(new, 1) / weight), 0.0) + below
+        cost = np.where(n > 0, np.log10(np.maximum(n, 1) / weight), escaped)
     return cost
 
 
@@ -321,7 +332,7 @@ def answers(requests: DataFrame, low: list[Level], parts: int) -> DataFrame:
             grams, counts = np.empty(0, np.int64), np.empty(0, np.int64)
             for _, block, data, n, words, times in rows:
                 asked.append((block, data, words))
-                known.update(dict(zip(words.split(), unpacked(times, 4).tolist())))
+                known.update(dict(zip(whole(words).split(), unpacked(times, 4).tolist())))
                 held.append((sorted_grams(data), unpacked(n, 4)))
                 if sum(len(h[0]) for h in held) > CHUNK + len(grams):
                     grams, counts = summed(*(np.concatenate(x) for x in zip((grams, counts), *held)))
@@ -329,10 +340,10 @@ def answers(requests: DataFrame, low: list[Level], parts: int) -> DataFrame:
             grams, counts = summed(*(np.concatenate(x) for x in zip((grams, counts), *held)))
             costs = gram_costs(grams, counts, shared.value)
             for block, data, words in asked:
-                c = np.array([known[w] for w in words.split()], np.int64)
+                c = np.array([known[w] for w in whole(words).split()], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block], pa.int64()), pa.array([data], pa.binary()),
-                     pa.array([costs[np.searchsorted(grams, sorted_grams(data))].tobytes()], pa.binary()),
+                     pa.array([squeezed(costs[np.searchsorted(grams, sorted_grams(data))].tobytes())], pa.binary()),
                      pa.array([words], pa.binary()), pa.array([packed(c, 8)], pa.binary())], names=names(ANSWERS))
 
     return by_part(requests, parts).mapInArrow(run, ANSWERS)
@@ -365,7 +376,7 @@ def score_documents(documents: DataFrame, folds: int = 10, order: int = ORDER) -
             nonlocal grams, cost
             if grams is None:
                 grams, first = np.unique(np.concatenate([sorted_grams(g) for g, _ in found]), return_index=True)
-                cost = np.concatenate([np.frombuffer(c) for _, c in found])[first]
+                cost = np.concatenate([np.frombuffer(whole(c)) for _, c in found])[first]
                 found.clear()
             for some in chunks(rows):
                 texts = [t for _, _, t in some]
@@ -392,7 +403,7 @@ def score_documents(documents: DataFrame, folds: int = 10, order: int = ORDER) -
             else:
                 for *_, data, costs, words, counts in rows:
                     found.append((data, costs))
-                    known.update(zip(words.split(), unpacked(counts, 8).tolist()))
+                    known.update(zip(whole(words).split(), unpacked(counts, 8).tolist()))
 
     all_names = ["block", "is_text", "doc_id", "held_out", "text", "grams", "costs", "words", "word_counts"]
     sent = texts.withColumn("is_text", F.lit(True)) \
