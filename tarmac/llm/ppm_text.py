@@ -38,8 +38,10 @@ SYMBOLS = 256
 MARK = 10  # no word holds a line feed: in contexts the places before the text, as a symbol its end
 BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 1 << 16
 CHUNK = 1 << 20  # bytes that are looked at together
-PART_BYTES = 16 << 20  # of text, for each task that counts grams
-BLOCKS = "block long, doc_id long, held_out boolean, text binary"
+PART_BYTES = 6 << 20  # of compressed text, for each task that counts grams
+PACK_BYTES = 1 << 17  # of the texts that are compressed together
+ZSTD = 3
+BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, sizes binary, text binary"
 REQUESTS = "part int, block long, grams binary, counts binary, words binary, word_counts binary"
 ANSWERS = "block long, grams binary, costs binary, words binary, word_counts binary"
 RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
@@ -70,13 +72,13 @@ def grams_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.nda
     return out[use[ORDER:]], starts - ORDER * np.arange(len(texts))
 
 
-def chunks(rows, size=lambda r: len(r[-1])):
-    """Lists of ``rows`` of about ``CHUNK`` bytes."""
+def chunks(rows, most: int = CHUNK):
+    """Lists of ``rows``, whose last value is a text, of about ``most`` bytes and few rows."""
     held, n = [], 0
     for r in rows:
         held.append(r)
-        n += size(r)
-        if n >= CHUNK:
+        n += len(r[-1])
+        if n >= most or len(held) >= 4096:
             yield held
             held, n = [], 0
     if held:
@@ -95,7 +97,7 @@ def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def squeezed(data: bytes) -> bytes:
     """Compressed, with the size before: shuffles need not compress."""
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=ZSTD).compress(data, asbytes=True)
 
 
 def whole(data: bytes) -> bytes:
@@ -120,27 +122,33 @@ def sorted_grams(data: bytes) -> np.ndarray:
 
 
 def blocks(documents: DataFrame, held_out: Column) -> DataFrame:
-    """(block, doc_id, held_out, text): the running texts, in blocks of neighbours."""
+    """(block, doc_id, held_out, sizes, text): the running texts in blocks of neighbours, a row for some neighbours."""
     def run(batches):
         from pyspark import TaskContext
 
         place, size, docs = TaskContext.get().partitionId() << 32, 0, 0
-        for b in batches:
-            texts = [running(t) for t in b.column("text").to_pylist()]
-            number = []
-            for t in texts:
-                if size >= BLOCK_BYTES or docs >= BLOCK_DOCS:
-                    place, size, docs = place + 1, 0, 0
-                size, docs = size + len(t), docs + 1
-                number.append(place)
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), b.column("doc_id"), b.column("held_out"),
-                                              pa.array(texts, pa.binary())], names=names(BLOCKS))
+        for some in chunks(((d, h, running(t)) for d, h, t in rows_of(batches, ["doc_id", "held_out", "text"])),
+                           PACK_BYTES):
+            ids, flags, texts = zip(*some)
+            if size >= BLOCK_BYTES or docs >= BLOCK_DOCS:
+                place, size, docs = place + 1, 0, 0
+            sizes = np.array([len(t) for t in texts], np.int64)
+            size, docs = size + int(sizes.sum()), docs + len(texts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([place], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
+                 pa.array([flags], pa.list_(pa.bool_())), pa.array([packed(sizes, 8)], pa.binary()),
+                 pa.array([squeezed(b"".join(texts))], pa.binary())], names=names(BLOCKS))
 
     src = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"),
                            utf8().alias("text"))
     return stored(src.mapInArrow(run, BLOCKS), "ppm-blocks")
 
 
+def texts_of(sizes: bytes, data: bytes) -> list[bytes]:
+    ends, data = np.cumsum(unpacked(sizes, 8)).tolist(), whole(data)
+    return [data[a:z] for a, z in zip([0, *ends], ends)]
+
+
 def rows_of(batches, columns):
     for b in batches:
         yield from zip(*(b.column(c).to_pylist() for c in columns))
@@ -148,8 +156,8 @@ def rows_of(batches, columns):
 
 def by_block(batches):
     """(block, its rows (held_out, text)) of neighbours; a block that was read in two tasks comes twice."""
-    for block, rows in groupby(rows_of(batches, ["block", "held_out", "text"]), key=lambda r: r[0]):
-        yield block, (r[1:] for r in rows)
+    for block, rows in groupby(rows_of(batches, ["block", "held_out", "sizes", "text"]), key=lambda r: r[0]):
+        yield block, (x for _, out, sizes, data in rows for x in zip(out, texts_of(sizes, data)))
 
 
 def requests_of(texts: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
@@ -357,7 +365,7 @@ def score_documents(documents: DataFrame, folds: int = 10, order: int = ORDER) -
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
     texts = blocks(documents, out)
     size, learnt = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)),
-                             F.count_if(~F.col("held_out"))).first()
+                             F.coalesce(F.sum(F.size(F.filter("held_out", lambda out: ~out))), F.lit(0))).first()
     parts = max(2 * documents.sparkSession.sparkContext.defaultParallelism, size // PART_BYTES)
     requests = requests_of(texts, parts, order)
     answered = answers(requests, low_levels(requests), parts)
@@ -399,13 +407,13 @@ def score_documents(documents: DataFrame, folds: int = 10, order: int = ORDER) -
             if number != block:
                 block, known, found, grams = number, {}, [], None
             if is_text:
-                yield from scored(r[2:5] for r in rows)
+                yield from scored(x for r in rows for x in zip(r[2], r[3], texts_of(r[4], r[5])))
             else:
                 for *_, data, costs, words, counts in rows:
                     found.append((data, costs))
                     known.update(zip(whole(words).split(), unpacked(counts, 8).tolist()))
 
-    all_names = ["block", "is_text", "doc_id", "held_out", "text", "grams", "costs", "words", "word_counts"]
+    all_names = ["block", "is_text", "doc_id", "held_out", "sizes", "text", "grams", "costs", "words", "word_counts"]
     sent = texts.withColumn("is_text", F.lit(True)) \
         .unionByName(answered.withColumn("is_text", F.lit(False)), allowMissingColumns=True)
     return sent.repartition(parts, "block").sortWithinPartitions("block", "is_text").mapInArrow(run, RESULT)
