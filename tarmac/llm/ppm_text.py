@@ -40,7 +40,7 @@ BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 1 << 16
 CHUNK = 1 << 20  # bytes that are looked at together
 PART_BYTES = 6 << 20  # of compressed text, for each task that counts grams
 PACK_BYTES = 1 << 17  # of the texts that are compressed together
-ZSTD = 3
+ZSTD = 9
 BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, sizes binary, text binary"
 REQUESTS = "part int, block long, grams binary, counts binary, words binary, word_counts binary"
 ANSWERS = "block long, grams binary, costs binary, words binary, word_counts binary"

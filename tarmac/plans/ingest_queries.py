@@ -152,12 +152,12 @@ def q_star_fact_keys(spark, d):
 
 def _merged(spark, d, second):
     """The star after two loads of the sales (rows for which ``second`` holds come later) and a replay of each."""
-    from tarmac.session import scratch_path
+    from tarmac.session import scratch_path, stored
     base = scratch_path(spark, "star-loads")
-    sales = abc.with_abc_class(sales_view(spark, d))
+    sales = stored(abc.with_abc_class(sales_view(spark, d)), "star-flat")  # worked out once for both loads
     halves = [("first", sales.filter(~second)), ("second", sales.filter(second))]
     for name, rows in [*halves, *halves]:
-        star_store.merge(rows, base, name)
+        star_store.merge(rows, base, name, ready=True)
     return star_store.read(spark, base)
 
 

@@ -105,9 +105,9 @@ def fact_sales(sales: DataFrame, products: DataFrame, customers: DataFrame,
     f = lookup_join(lookup_join(sales, p, "Product_Name"), c, "Customer")
     f = f.select(F.col("Transaction_ID").alias("txn_code"), date_key("Date").alias("date_id"),
                  "product_id", "customer_id", F.col("Units_Sold").alias("units_sold"),
-                 F.col("Unit_Price").alias("unit_price"), F.col("Revenue").alias("revenue"),
-                 "Date", "Transaction_ID")
-    ided = ordered_row_id(f, [F.col("Date").asc(), F.col("Transaction_ID").asc()], "txn_id", start=start_id,
+                 F.col("Unit_Price").alias("unit_price"), F.col("Revenue").alias("revenue"))
+    # The key has the order of the date, so neither date nor id is sorted and stored twice.
+    ided = ordered_row_id(f, [F.col("date_id").asc(), F.col("txn_code").asc()], "txn_id", start=start_id,
                           small=bounded(sales))  # the lookups add no rows
     return ided.select(F.col("txn_id").cast("long").alias("txn_id"), "txn_code", "date_id", "product_id",
                        "customer_id", "units_sold", "unit_price", "revenue")

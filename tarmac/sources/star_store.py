@@ -62,8 +62,11 @@ def _insert(new: DataFrame, base: str, name: str, number: int) -> DataFrame:
     return new.sparkSession.read.schema(SCHEMAS[name]).parquet(path)
 
 
-def merge(sales: DataFrame, base: str, name: str) -> bool:
-    """Merge the flat batch ``sales`` as load ``name``; False if that load was finished before."""
+def merge(sales: DataFrame, base: str, name: str, ready: bool = False) -> bool:
+    """Merge the flat batch ``sales`` as load ``name``; False if that load was finished before.
+
+    A batch that is ``ready``, as it is read from files, is not stored again.
+    """
     spark = sales.sparkSession
     done = loads(spark, base)
     if not done.filter(F.col("name") == name).isEmpty():
@@ -72,7 +75,8 @@ def merge(sales: DataFrame, base: str, name: str) -> bool:
     number = 1 + (last.load if last else 0)
     marks = {k: last[k] if last else 0 for k in ("product_id", "customer_id", "txn_id")}
     old = read(spark, base, number - 1)
-    sales = stored(sales, "star-load")  # worked out once for all tables
+    if not ready:
+        sales = stored(sales, "star-load")  # worked out once for all tables
     dims = {}
     for table, build, key in (("dim_product", star.new_products, "product_id"),
                               ("dim_customer", star.new_customers, "customer_id")):
