@@ -5,8 +5,9 @@
 * index maps (J8): dense 0-based ids over the sorted distinct names
   (``scale.ordered_row_id``: a window under the size bound, range-partitioned
   two-phase ids above it); joined back with a broadcast only under the bound;
-* model (M2a): ``pyspark.ml.recommendation.ALS`` (rank 32, reg 0.1, 30
-  iterations, implicit preferences, seed 42), distributed over user/item blocks;
+* model (M2a): implicit ALS (rank 32, reg 0.1, 30 iterations, seed 42), see
+  ``als``: few items are solved from equations summed per task, many by
+  ``pyspark.ml.recommendation.ALS``;
 * recommendations (M2b, J7): the products' factors are dealt into blocks of
   ``spark.tarmac.broadcastRows`` at most; a task multiplies a batch of customers
   with a block, masks what each customer has bought and keeps that block's best
@@ -18,11 +19,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.columns import money_sum
+from tarmac.operators import als
 from tarmac.operators.scale import broadcast_rows, maybe_broadcast, ordered_row_id
 
 
@@ -48,12 +49,7 @@ def train_recommender(sales: DataFrame, rank: int = 32, reg: float = 0.1, iterat
     items = entity_index(inter, "product", "item").persist()
     data = inter.join(maybe_broadcast(users), "customer").join(maybe_broadcast(items), "product") \
         .select("user", "item", "rating", "customer", "product").persist()
-    spark = sales.sparkSession
-    blocks = max(1, spark.sparkContext.defaultParallelism)  # as many as the cluster runs at once
-    als = ALS(rank=rank, regParam=reg, maxIter=iterations, implicitPrefs=True, seed=seed,
-              userCol="user", itemCol="item", ratingCol="rating", numUserBlocks=blocks, numItemBlocks=blocks,
-              coldStartStrategy="drop")
-    model = als.fit(data.select("user", "item", "rating"))
+    model = als.fit(data.select("user", "item", "rating"), items.count(), rank, reg, iterations, seed)
     return {"model": model, "users": users, "items": items, "rated": data}
 
 
