@@ -75,3 +75,13 @@ def add_arrays(batch: pa.RecordBatch, **arrays) -> pa.RecordBatch:
     """``batch`` with more columns at its end."""
     return pa.RecordBatch.from_arrays(list(batch.columns) + list(arrays.values()),
                                       names=list(batch.schema.names) + list(arrays))
+
+
+def tidy(run):
+    """``run`` (batches to batches) that returns freed memory to the system at its end: an idle Python worker would keep it."""
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        pa.system_memory_pool().release_unused()
+
+    return tidied

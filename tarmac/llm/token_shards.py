@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import stored
+from tarmac.llm.common import stored, tidy
 from tarmac.session import scratch_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -134,7 +134,7 @@ def sequences(documents: DataFrame, length: int = LENGTH, vocabulary_path: str =
 
     src = documents.select(F.col("doc_id").cast("long").alias("doc_id"),
                            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return src.mapInArrow(run, SCHEMA)
+    return src.mapInArrow(tidy(run), SCHEMA)
 
 
 def _batch(rows):
@@ -211,7 +211,7 @@ def write_shards(documents: DataFrame, path: str, length: int = LENGTH, per_shar
             yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("slot"), pa.array(rows, pa.binary())],
                                              names=["shard", "slot", "record"])
 
-    bins = dealt.select("shard", "slot", "n_ids", "ids").mapInArrow(records, "shard long, slot long, record binary")
+    bins = dealt.select("shard", "slot", "n_ids", "ids").mapInArrow(tidy(records), "shard long, slot long, record binary")
     # Sorted after the Python step, whose output has no known order: the writer then adds no sort by shard alone.
     bins.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(path)
     manifest = placed.select("slot", "shard", (F.col("slot") % per_shard * stride(length)).alias("byte_offset"),
@@ -225,7 +225,7 @@ def write_shards(documents: DataFrame, path: str, length: int = LENGTH, per_shar
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(crc, pa.int64())],
                                              names=[*b.schema.names[:-1], "crc"])
 
-    return manifest.mapInArrow(sums, "slot long, shard long, byte_offset long, number long, n_ids int, "
+    return manifest.mapInArrow(tidy(sums), "slot long, shard long, byte_offset long, number long, n_ids int, "
                                      "doc_ids array<long>, crc long")
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.common import add_arrays, extended, replace_columns, set_aside, stored
+from tarmac.llm.common import add_arrays, extended, replace_columns, set_aside, stored, tidy
 
 FIT_ROWS = 60_000
 LEAST_DOCS = 3  # toxic documents that must have a feature
@@ -44,6 +44,7 @@ LEAST_RATIO = 10.8  # chi square at one in a thousand
 RIDGE = 0.1
 PREFIXES = (3, 4, 5, 6)
 REGRESSION_BLOCK = 1_000_000  # features of rows taken at once
+ROWS_AT_ONCE = 500  # rows of a batch that are Python objects at once
 # Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y"}
@@ -267,8 +268,15 @@ def _alphabet() -> tuple[list[str], np.ndarray]:
     return symbols, np.array([at.get(chr(c), 1) for c in range(0x180)] + [1], np.int64)
 
 
-def gram_counts(words: Counter, place: np.ndarray, n_symbols: int) -> np.ndarray:
-    """Counts of the trigrams of padded words, by their code in base ``n_symbols``."""
+def _pieces(batches):
+    """The batches in parts of few rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(at, ROWS_AT_ONCE)
+
+
+def gram_counts(words: Counter, place: np.ndarray, n_symbols: int, into: np.ndarray | None = None) -> np.ndarray:
+    """Counts of the trigrams of padded words, by their code in base ``n_symbols``; added to ``into`` if given."""
     cores, times = [], []
     for w, n in words.items():
         core = w.strip(EDGE)
@@ -276,11 +284,13 @@ def gram_counts(words: Counter, place: np.ndarray, n_symbols: int) -> np.ndarray
             cores.append(core)
             times.append(n)
     text = np.frombuffer("".join([f"  {c} " for c in cores]).encode("utf-32-le"), "<u4")
-    each = np.repeat(np.array(times, float), [len(c) + 3 for c in cores])
+    each = np.repeat(np.array(times, np.int64), np.array([len(c) + 3 for c in cores], np.int64))
     at = place[np.minimum(text, len(place) - 1)]
     inside = ~((at[1:-1] == 0) & (at[2:] == 0))  # of one word
     code = ((at[:-2] * n_symbols + at[1:-1]) * n_symbols + at[2:])[inside]
-    return np.bincount(code, weights=each[:-2][inside], minlength=n_symbols ** 3).astype(np.int64)
+    out = np.zeros(n_symbols ** 3, np.int64) if into is None else into
+    np.add.at(out, code, each[:-2][inside])  # in place: the table is large
+    return out
 
 
 def char_grams(documents: DataFrame) -> dict[str, int]:
@@ -290,18 +300,18 @@ def char_grams(documents: DataFrame) -> dict[str, int]:
 
     def run(batches):
         held, grams = Counter(), np.zeros(n ** 3, np.int64)
-        for b in batches:
+        for b in _pieces(batches):
             for t in b.column(0).to_pylist():
                 held.update(t.lower().split())
                 if len(held) > 100_000:
-                    grams += gram_counts(held, place, n)
+                    gram_counts(held, place, n, grams)
                     held.clear()
-        grams += gram_counts(held, place, n)
+        gram_counts(held, place, n, grams)
         code = np.flatnonzero(grams)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(grams[code])], names=["code", "n"])
 
     text = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sums = text.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    sums = text.mapInArrow(tidy(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     return {symbols[r["code"] // n ** 2] + symbols[r["code"] // n % n] + symbols[r["code"] % n]: r["n"]
             for r in sums.toLocalIterator()}
 
@@ -371,12 +381,12 @@ class ToxicityModel:
 
 
 class _Among:
-    """The features of words that are among ``wanted``."""
+    """The numbers of the features of words that are in ``wanted`` (feature: number)."""
 
-    def __init__(self, wanted):
+    def __init__(self, wanted: dict[str, int]):
         self.wanted, self.heads, self.known = wanted, {f[1:4] for f in wanted}, {}
 
-    def of(self, words) -> set[str]:
+    def of(self, words) -> set[int]:
         out = set()
         for w in words:
             if w[:3] in self.heads:
@@ -384,7 +394,7 @@ class _Among:
                 if got is None:
                     if len(self.known) > 300_000:
                         self.known.clear()
-                    got = self.known[w] = [f for f in features(w) if f in self.wanted]
+                    got = self.known[w] = tuple(self.wanted[f] for f in features(w) if f in self.wanted)
                 out.update(got)
         return out
 
@@ -449,7 +459,7 @@ def fit(documents: DataFrame, labels: DataFrame, usable=None, fit_rows: int = FI
 
     def run(batches):
         known: dict = {}
-        for b in batches:
+        for b in _pieces(batches):
             words = [sorted(_clean_words(t, model.value, known)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))],
                                              names=["toxic", "words"])
@@ -457,28 +467,38 @@ def fit(documents: DataFrame, labels: DataFrame, usable=None, fit_rows: int = FI
     # At most fit_rows ids and labels: a bounded broadcast.
     chosen = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")) \
         .join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    read = stored(chosen.mapInArrow(run, "toxic int, words array<string>"), "toxic-words")
+    read = stored(chosen.mapInArrow(tidy(run), "toxic int, words array<string>"), "toxic-words")
     n_all, n_toxic = read.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     share = n_toxic / n_all if n_all else 0.0
 
     def counted(rows, only=None):
+        def sums(names, numbers):
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(numbers, pa.int64())],
+                                              names=["f", "n"])
+
         def count(batches):
             held = Counter()
-
-            def out():
-                return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.string()),
-                                                   pa.array(list(held.values()), pa.int64())], names=["f", "n"])
-
-            among = None if only is None else _Among(set(only.value.to_pylist()))
-            for b in batches:
+            for b in _pieces(batches):
                 for words in b.column(0).to_pylist():
-                    held.update({f for w in words for f in features(w)} if among is None else among.of(words))
-                    if len(held) > 400_000:
-                        yield out()
+                    held.update({f for w in words for f in features(w)})
+                    if len(held) > 200_000:
+                        yield sums(list(held.keys()), list(held.values()))
                         held.clear()
-            yield out()
+            yield sums(list(held.keys()), list(held.values()))
+
+        def count_wanted(batches):
+            wanted = only.value.combine_chunks()
+            among = _Among({f: i for i, f in enumerate(wanted.to_pylist())})
+            held = [0] * len(wanted)
+            for b in _pieces(batches):
+                for words in b.column(0).to_pylist():
+                    for i in among.of(words):
+                        held[i] += 1
+            there = np.flatnonzero(held)
+            yield sums(wanted.take(pa.array(there)), np.array(held, np.int64)[there])
 
-        return rows.select("words").mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+        return rows.select("words").mapInArrow(tidy(count if only is None else count_wanted), "f string, n long") \
+            .groupBy("f").agg(F.sum("n").alias("n"))
 
     if not 0 < n_toxic < n_all:
         return ToxicityModel(chars, {}, math.log((n_toxic + 0.5) / (n_all - n_toxic + 0.5)))
@@ -496,15 +516,13 @@ def fit(documents: DataFrame, labels: DataFrame, usable=None, fit_rows: int = FI
     place = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def found(batches):
-        at = place.value
-        among = _Among(at)
-        for b in batches:
-            got = [np.array(sorted(map(at.get, among.of(words))), "<i4").tobytes()
-                   for words in b.column(1).to_pylist()]
+        among = _Among(place.value)
+        for b in _pieces(batches):
+            got = [np.array(sorted(among.of(words)), "<i4").tobytes() for words in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["y", "at"])
 
     # At most fit_rows rows with the few features that are kept; sorted, as the order of rows may differ by run.
-    got = read.select("toxic", "words").mapInArrow(found, "y int, at binary").toArrow().sort_by(
+    got = read.select("toxic", "words").mapInArrow(tidy(found), "y int, at binary").toArrow().sort_by(
         [("y", "ascending"), ("at", "ascending")])
     rows = got.column("at").to_pylist()
     sizes = np.array([len(x) // 4 for x in rows], np.int64)
@@ -523,7 +541,7 @@ def score(documents: DataFrame, model: ToxicityModel, limit: float = 0.7) -> Dat
         chars = m.chars
         known, dull, older = {}, set(), set()  # features of words that have some; words without any, and those before
 
-        for b in batches:
+        for b in _pieces(batches):
             scores = []
             for t in b.column(b.num_columns - 1).to_pylist():
                 words = t.lower().split()
@@ -550,7 +568,7 @@ def score(documents: DataFrame, model: ToxicityModel, limit: float = 0.7) -> Dat
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return base.withColumn("__text", text).mapInArrow(
-        run, extended(base.schema, score=T.DoubleType(), predicted=T.IntegerType()))
+        tidy(run), extended(base.schema, score=T.DoubleType(), predicted=T.IntegerType()))
 
 
 def restore(documents: DataFrame, model: CharModel) -> DataFrame:

@@ -5,6 +5,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from samples import SF
 from pyspark.sql import functions as F
@@ -206,3 +208,21 @@ def test_words_of_letters_have_the_features_of_their_restored_reading():
         assert model.found(w) == (want if quick is None else quick), w
         if quick is not None:
             assert quick == want, w
+
+
+def test_a_task_makes_few_objects_at_once():
+    """Grams are added in place, not by tables of their own; batches are taken in parts."""
+    import tracemalloc
+    symbols, place = X._alphabet()
+    grams = np.zeros(len(symbols) ** 3, np.int64)
+    words = Counter({"word": 2, "other": 1})
+    tracemalloc.start()
+    X.gram_counts(words, place, len(symbols), grams)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < grams.nbytes / 10
+    assert (grams == X.gram_counts(words, place, len(symbols))).all() and grams.sum() == 2 * 5 + 6
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1203))], names=["x"])
+    parts = list(X._pieces([batch]))
+    assert max(p.num_rows for p in parts) <= X.ROWS_AT_ONCE
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(1203))
