@@ -23,6 +23,7 @@ from tarmac.functions.columns import money_double, money_total, ratio, truncate_
 from tarmac.operators.bi import filter_sales
 from tarmac.operators.scale import bounded, fits_broadcast, lookup_join, running_total
 from tarmac.schema import ABC_A_LIMIT, ABC_B_LIMIT
+from tarmac.session import stored
 
 CLASSES = ["A", "B", "C"]
 
@@ -83,17 +84,23 @@ def product_classes(sales: DataFrame) -> tuple[DataFrame, bool]:
     return run.select(F.col("name").alias("_pname"), cls.alias("ABC_Class")), small
 
 
-def with_abc_class(sales: DataFrame) -> DataFrame:
+def with_abc_class(sales: DataFrame, store: str | None = None) -> DataFrame:
     """S6 + J4: write the ABC class onto every fact row (overwrites any given class).
 
     The product-class table is broadcast only when the product count is under
     the checked bound; otherwise the join is split by heavy products (``scale.lookup_join``).
+
+    ``store`` names a scratch table, for who reads the result several times: the rows are worked out once, for their
+    classes too. A broadcast of the classes is then repeated by each reader, a join beyond the bound is stored as well.
     """
-    classes, _ = product_classes(sales)
     base = sales.drop("ABC_Class") if "ABC_Class" in sales.columns else sales
+    if store:
+        base = stored(base, store)
+    classes, small = product_classes(base)
     names = base.columns
-    return lookup_join(base, classes.withColumnRenamed("_pname", "Product_Name"), "Product_Name").select(
+    classed = lookup_join(base, classes.withColumnRenamed("_pname", "Product_Name"), "Product_Name").select(
         *names, "ABC_Class")
+    return stored(classed, store) if store and not small else classed
 
 
 def pareto_chart(products: DataFrame) -> DataFrame:

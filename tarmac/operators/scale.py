@@ -63,15 +63,23 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
 def heavy_keys(df: DataFrame, key: str) -> DataFrame:
     """The values of ``key`` that hold more than their even share of a task, as a one-column table ``key``.
 
-    With p shuffle partitions a value is heavy above 1/p of the rows, so there are fewer than p of them. The counts
-    are summed in each task before they meet.
+    With p shuffle partitions a value is heavy above 1/p of the rows, so there are fewer than p of them. A sketch of
+    frequent items, of which each task sends one, names all that may be heavy: it counts a value too high by at most
+    1/(6p) of the rows and holds every one above that. Only their rows are counted exactly; no value is shuffled for it.
     """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).persist()
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    heavy = counts.filter(F.col("__n") * _parts(df) > total).select(key)
-    rows = [r[0] for r in heavy.collect()]  # fewer than the shuffle partitions
-    counts.unpersist()
-    return df.sparkSession.createDataFrame([(r,) for r in rows], df.select(key).schema)
+    spark, parts = df.sparkSession, _parts(df)
+    named = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("__k"))
+    items = min(16 * parts, 1_000_000)  # the most that the sketch takes
+    seen = named.agg(F.expr(f"approx_top_k(__k, {min(2 * parts, items)}, {items})").alias("top"),
+                     F.count(F.lit(1)).alias("n")).first()
+    schema = df.select(key).schema
+    maybe = [(t["item"],) for t in seen.top or [] if t["count"] * parts > seen.n]  # counts are never too low
+    if not maybe:
+        return spark.createDataFrame([], schema)
+    found = spark.createDataFrame(maybe, schema).withColumnRenamed(key, "__k")
+    counts = named.join(F.broadcast(found), "__k").groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
+    rows = [(r["__k"],) for r in counts.filter(F.col("__n") * parts > seen.n).collect()]
+    return spark.createDataFrame(rows, schema)
 
 
 def lookup_join(df: DataFrame, right: DataFrame, key: str) -> DataFrame:

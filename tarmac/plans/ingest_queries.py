@@ -11,6 +11,11 @@ from tarmac.sources import ingest, sinks, star, star_store
 from tarmac.sources.tables import read_table, sales_view
 
 
+def flat_sales(spark, d):
+    """The sales with their classes, worked out once and stored, for a star's tables to read."""
+    return abc.with_abc_class(sales_view(spark, d, by_order=True), store="star-sales")
+
+
 def raw_sales(spark, d):
     """The sales view under raw alias names, plus one unknown column."""
     s = sales_view(spark, d)
@@ -138,23 +143,23 @@ def q_dim_insert_absent(spark, d):
 SELECT Transaction_ID, Date, Year, Month, Month_Name, Quarter, Product_Name, Category, ABC_Class, Customer, Region,
        Units_Sold, Unit_Price, Revenue FROM sales_abc""", ABC_CTES)
 def q_star_flat(spark, d):
-    return star.star_flat(star.build_star(abc.with_abc_class(sales_view(spark, d))))
+    return star.star_flat(star.build_star(flat_sales(spark, d), ready=True))
 
 
 @register("star_fact_keys", """
 SELECT COUNT(*) AS rows, COUNT(DISTINCT txn_code) AS codes, min(txn_id) AS min_id, max(txn_id) AS max_id
 FROM (SELECT Transaction_ID AS txn_code, row_number() OVER (ORDER BY Date, Transaction_ID) AS txn_id FROM sales) f""")
 def q_star_fact_keys(spark, d):
-    f = star.build_star(abc.with_abc_class(sales_view(spark, d)))["fact_sales"]
+    f = star.build_star(flat_sales(spark, d), ready=True)["fact_sales"]
     return f.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("txn_code").alias("codes"),
                  F.min("txn_id").alias("min_id"), F.max("txn_id").alias("max_id"))
 
 
 def _merged(spark, d, second):
     """The star after two loads of the sales (rows for which ``second`` holds come later) and a replay of each."""
-    from tarmac.session import scratch_path, stored
+    from tarmac.session import scratch_path
     base = scratch_path(spark, "star-loads")
-    sales = stored(abc.with_abc_class(sales_view(spark, d)), "star-flat")  # worked out once for both loads
+    sales = flat_sales(spark, d)  # worked out once for both loads
     halves = [("first", sales.filter(~second)), ("second", sales.filter(second))]
     for name, rows in [*halves, *halves]:
         star_store.merge(rows, base, name, ready=True)
@@ -311,7 +316,7 @@ def _star_schema_sql() -> str:
 def q_star_schema(spark, d):
     """Columns, types, rows and nulls of the star tables built from the given tables."""
     from tarmac.operators.bi import schema_listing
-    return schema_listing(star.build_star(abc.with_abc_class(sales_view(spark, d))))
+    return schema_listing(star.build_star(flat_sales(spark, d), ready=True))
 
 
 @register("price_proxy", """

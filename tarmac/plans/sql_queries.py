@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarmac.operators.adhoc import run_sql, sql_view
 from tarmac.plans.bi_queries import ABC_CTES
+from tarmac.plans.ingest_queries import flat_sales
 from tarmac.plans.registry import register
 from tarmac.sources import star
 from tarmac.sources.tables import sales_view
@@ -36,7 +37,7 @@ def _flat(spark, d):
 
 
 def _star(spark, d):
-    star.register_star_views(star.build_star(abc.with_abc_class(sales_view(spark, d))))
+    star.register_star_views(star.build_star(flat_sales(spark, d), ready=True))
 
 
 def _flat_query(name: str, sql: str):

@@ -11,6 +11,9 @@ Joins: dimension sides are broadcast only when the dimension is within
 ``spark.tarmac.broadcastRows`` (checked with a bounded count); otherwise the join is split by
 heavy products and customers (``scale.lookup_join``). ``dim_date`` is bounded by the calendar
 (one row per day), so it is always broadcast.
+
+Disk: the fact is shuffled once for each dimension beyond the bound and once for its ids. Rows are stored between
+these (``session.stored``), which removes the shuffle files behind them.
 """
 
 from __future__ import annotations
@@ -21,33 +24,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.functions.columns import quarter_label
-from tarmac.operators.scale import bounded, lookup_join, ordered_row_id
+from tarmac.operators.scale import bounded, fits_broadcast, lookup_join, ordered_row_id
 from tarmac.session import stored
 
 STAR_TABLES = ["dim_product", "dim_customer", "dim_date", "fact_sales"]
 
 
-def _first_seen():
-    return F.struct(F.col("Date"), F.col("Transaction_ID"))
-
-
 def _new_members(sales: DataFrame, name_col: str, attrs: dict[str, str], existing: DataFrame | None,
                  key: str, dim_name_col: str, mark: int | None = None) -> DataFrame:
     """Distinct names with first-seen attributes, minus the stored ones, with keys after ``mark`` (by default the
     largest stored key)."""
-    first = (sales.filter(F.col(name_col).isNotNull())
-             .groupBy(F.col(name_col).alias(dim_name_col))
-             .agg(F.min(_first_seen()).alias("_seen"),
-                  F.min_by(F.struct(*[F.col(src).alias(dst) for dst, src in attrs.items()]), _first_seen())
-                  .alias("_attrs")).persist())  # counted, then numbered
+    seen = F.struct("Date", "Transaction_ID", *[F.col(src).alias(dst) for dst, src in attrs.items()])
+    first = stored(sales.filter(F.col(name_col).isNotNull())
+                   .groupBy(F.col(name_col).alias(dim_name_col))
+                   .agg(F.min(seen).alias("_seen")), "star-members")  # counted, then numbered
     offset = mark or 0
     if existing is not None:
         first = first.join(existing.select(dim_name_col), dim_name_col, "left_anti")
         if mark is None:
             offset = existing.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
-    ided = ordered_row_id(first, [F.col("_seen").asc(), F.col(dim_name_col).asc()], key, start=offset + 1)
+    order = [F.col("_seen.Date").asc(), F.col("_seen.Transaction_ID").asc(), F.col(dim_name_col).asc()]
+    ided = ordered_row_id(first, order, key, start=offset + 1)
     return ided.select(F.col(key).cast("long").alias(key), dim_name_col,
-                       *[F.col(f"_attrs.{dst}").alias(dst) for dst in attrs])
+                       *[F.col(f"_seen.{dst}").alias(dst) for dst in attrs])
 
 
 def new_products(sales: DataFrame, existing: DataFrame | None = None, mark: int | None = None) -> DataFrame:
@@ -106,6 +105,8 @@ def fact_sales(sales: DataFrame, products: DataFrame, customers: DataFrame,
     f = f.select(F.col("Transaction_ID").alias("txn_code"), date_key("Date").alias("date_id"),
                  "product_id", "customer_id", F.col("Units_Sold").alias("units_sold"),
                  F.col("Unit_Price").alias("unit_price"), F.col("Revenue").alias("revenue"))
+    if not (fits_broadcast(products) and fits_broadcast(customers)):
+        f = stored(f, "star-keyed")  # the sort reads its rows twice; the shuffles of the lookups are gone before its own
     # The key has the order of the date, so neither date nor id is sorted and stored twice.
     ided = ordered_row_id(f, [F.col("date_id").asc(), F.col("txn_code").asc()], "txn_id", start=start_id,
                           small=bounded(sales))  # the lookups add no rows
@@ -113,9 +114,13 @@ def fact_sales(sales: DataFrame, products: DataFrame, customers: DataFrame,
                        "customer_id", "units_sold", "unit_price", "revenue")
 
 
-def build_star(sales: DataFrame) -> dict[str, DataFrame]:
-    """S10 + S11: the four star tables from the flat fact, which is worked out once and stored, as each table reads it."""
-    sales = stored(sales, "star-sales")
+def build_star(sales: DataFrame, ready: bool = False) -> dict[str, DataFrame]:
+    """S10 + S11: the four star tables from the flat fact, which is worked out once and stored, as each table reads it.
+
+    A fact that is ``ready``, as it is read from files, is not stored again.
+    """
+    if not ready:
+        sales = stored(sales, "star-sales")
     products = dim_product(sales).persist()  # read by the key joins and returned
     customers = dim_customer(sales).persist()
     return {
@@ -159,11 +164,15 @@ def read_star_jdbc(spark: SparkSession, url: str, properties: dict | None = None
 
 
 def star_flat(star: dict[str, DataFrame]) -> DataFrame:
-    """S12 + J1: the flat fact from the star (three equi-joins; a null key gives null attributes)."""
-    f = star["fact_sales"]
-    d = F.broadcast(star["dim_date"])  # one row per calendar day
-    j = lookup_join(lookup_join(f.join(d, "date_id", "left"), star["dim_product"], "product_id"),
-                    star["dim_customer"], "customer_id")
+    """S12 + J1: the flat fact from the star (three equi-joins; a null key gives null attributes).
+
+    Dimensions beyond the broadcast bound come first, so what the others add is not shuffled.
+    """
+    j = star["fact_sales"]
+    for name, key in sorted([("dim_product", "product_id"), ("dim_customer", "customer_id")],
+                            key=lambda x: fits_broadcast(star[x[0]])):
+        j = lookup_join(j, star[name], key)
+    j = j.join(F.broadcast(star["dim_date"]), "date_id", "left")  # one row per calendar day
     return j.select(
         F.col("txn_code").alias("Transaction_ID"), F.col("date").alias("Date"), F.col("year").alias("Year"),
         F.col("month").alias("Month"), F.col("month_name").alias("Month_Name"), F.col("quarter").alias("Quarter"),

@@ -14,7 +14,8 @@ Join plan: customers are attached to orders first (orders are a quarter of the
 line items and narrow), then lineitem and orders -- the two fact-sized inputs --
 meet in one shuffle join on the order key, and only then part; written in this
 order (the cost-based reorder is off by default) the line items cross the
-network at most twice. Customer and part are dimension-sized and are
+network at most twice. Who stores all rows takes part first and orders last
+(``by_order``). Customer and part are dimension-sized and are
 broadcast by Spark only when their measured size is under
 ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at runtime), otherwise
 they are sort-merge joined. Nation and region are bounded by definition (25 and
@@ -55,23 +56,32 @@ def customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    return part.select(
-        "p_partkey",
-        F.concat_ws(" ", "p_brand", "p_type").alias("Product_Name"),
-        F.col("p_type").alias("Category"),
-    )
+    return _named(part).select("p_partkey", "Product_Name", "Category")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """Product_Name and Category of rows with the columns of a part."""
+    return rows.withColumns({"Product_Name": F.concat_ws(" ", "p_brand", "p_type"), "Category": F.col("p_type")})
+
 
+def sales_view(spark: SparkSession, sf_dir: str, by_order: bool = False) -> DataFrame:
+    """The canonical sales fact (without ABC_Class; see ``operators.abc.with_abc_class``).
 
-def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical sales fact (without ABC_Class; see ``operators.abc.with_abc_class``)."""
+    With ``by_order`` the line items meet their parts before their orders: for who stores all rows, as those of an order
+    then lie together, which compresses them, and narrower rows are shuffled.
+    """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     # customers meet orders first (an orders-sized shuffle on the customer key), so the
     # line items are shuffled once on the order key instead of twice (order key, then customer key)
     orders = orders.join(customer_regions(spark, sf_dir), orders.o_custkey == F.col("c_custkey"))
-    lo = li.join(orders, li.l_orderkey == orders.o_orderkey)
-    lo = lo.join(products(spark, sf_dir), lo.l_partkey == F.col("p_partkey"))
+    meets_order, meets_part = F.col("l_orderkey") == F.col("o_orderkey"), F.col("l_partkey") == F.col("p_partkey")
+    if by_order:
+        part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+        lo = _named(li.join(part, meets_part).join(orders, meets_order))
+    else:
+        lo = li.join(orders, meets_order).join(products(spark, sf_dir), meets_part)
     date = F.to_date("o_orderdate")
     return lo.select(
         F.format_string("TXN-%d-%d-%d-%d", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")

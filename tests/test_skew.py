@@ -121,3 +121,85 @@ def test_heavy_keys(spark, beyond_broadcast):
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan and "broadcast" in plan
     assert joined.filter("x IS NULL").count() == df.filter("Product_Name IS NULL").count()
+
+
+def _exchanges(df):
+    """The columns of the shuffles by a key in the plan of ``df``: {key: [names, ...]}."""
+    found = {}
+
+    def walk(plan):
+        if plan.nodeName() == "Exchange" and "hashpartitioning" in plan.toString().split("\n")[0]:
+            key = plan.toString().split("\n")[0].split("hashpartitioning(")[1].split("#")[0]
+            found.setdefault(key, []).append({a.name() for a in _items(plan.output())})
+        for c in _items(plan.children()):
+            walk(c)
+
+    walk(df._jdf.queryExecution().executedPlan().initialPlan())
+    return found
+
+
+def _items(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_flat_read_back_shuffles_no_dates(spark, beyond_broadcast):
+    """A dimension beyond the bound meets rows of keys and values, before the calendar is added to them."""
+    tables = star.build_star(_hot_sales(spark, 2000))
+    shuffled = _exchanges(star.star_flat(tables))["customer_id"]
+    assert any("txn_code" in names for names in shuffled)
+    assert not any({"date", "month_name", "quarter"} & names for names in shuffled)
+
+
+def test_heavy_keys_are_exact_among_many(spark):
+    """Values just above and below an even share, among thousands of rare ones; numbers, texts and nulls."""
+    n = 40_000
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = n // parts
+    i = F.col("id")
+    k = (F.when(i < share + 1, "above").when(i < 2 * share, "below").when(i < 2 * share + 500, F.lit(None))
+         .otherwise(F.concat(F.lit("r"), (i % 15_000))))
+    df = spark.range(0, n + 500, 1, 8).select(k.alias("k"), F.when(k == "above", 7).when(k.isNotNull(), F.hash(k))
+                                              .cast("long").alias("m")).repartition(8, F.hash("k") % 3, F.rand(1))
+    assert [r[0] for r in scale.heavy_keys(df, "k").collect()] == ["above"]
+    got = scale.heavy_keys(df, "m")
+    assert got.schema["m"].dataType == df.schema["m"].dataType
+    assert 7 in [r[0] for r in got.collect()] and got.count() <= 2
+    plan = df.filter("k IS NULL")
+    assert scale.heavy_keys(plan, "k").count() == 0
+
+
+def test_heavy_keys_group_no_rows_without_a_candidate(spark, monkeypatch):
+    """The sketch tells that none is heavy; no value is grouped, and so none is shuffled."""
+    group = type(spark.range(0)).groupBy
+    df = spark.range(0, 30_000, 1, 4).select(F.concat(F.lit("v"), F.col("id")).alias("k"))
+
+    def grouped(df, *keys):
+        assert not keys
+        return group(df)
+
+    monkeypatch.setattr(type(df), "groupBy", grouped)
+    assert scale.heavy_keys(df, "k").collect() == []
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    """What a stored table was shuffled through is gone with its write; the shuffles of others are not."""
+    import time
+
+    from tarmac.session import CLEANUP, stored
+
+    def files():
+        every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in every.mkString("\n").split("\n") if "shuffle_" in f}
+
+    df = spark.range(0, 1000, 1, 4).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    kept = df.repartition(3)
+    assert kept.count() == 7
+    before, setting = files(), spark.conf.get(CLEANUP, None)
+    table = stored(df, "t-stored")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(CLEANUP, None) == setting
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, kept.collect()))

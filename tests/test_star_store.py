@@ -102,3 +102,51 @@ def test_star_works_out_its_rows_once(spark):
     assert star_store.merge(frame, base, "one")
     assert seen.value == 42
     assert len(star_store.read(spark, base)["fact_sales"].collect()) == 21
+
+
+def test_star_queries_work_out_the_sales_once(spark, monkeypatch):
+    """The classes and the tables of a star read stored sales, small or large; the joins under them run once."""
+    from tarmac.plans import QUERIES, ingest_queries, load_all
+    load_all()
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    day = dt.date(2024, 1, 1)
+    base = [(f"T{i:02d}", day, 2024, 1, "Jan", "Q1", f"P{i % 3}", "E", "R", f"C{i % 5}", 1, 10.0, 10.0) for i in range(20)]
+    schema = type(SALES_SCHEMA)(SALES_SCHEMA.fields[:13])
+    monkeypatch.setattr(ingest_queries, "sales_view",
+                        lambda *a, **k: spark.createDataFrame(base, schema).mapInArrow(run, schema))
+    assert len(QUERIES["star_flat"](spark, "-").collect()) == 20
+    assert seen.value == 20
+    assert tuple(QUERIES["star_fact_keys"](spark, "-").first()) == (20, 20, 1, 20)
+    assert seen.value == 40
+    spark.conf.set("spark.tarmac.broadcastRows", "2")
+    try:
+        assert len(QUERIES["star_flat"](spark, "-").collect()) == 20
+    finally:
+        spark.conf.unset("spark.tarmac.broadcastRows")
+    assert seen.value == 60
+
+
+def test_sales_by_order_are_the_same_rows(spark, sales):
+    from paths import SF_SMALL
+    from tarmac.sources.tables import sales_view
+    other = sales_view(spark, SF_SMALL, by_order=True)
+    assert other.schema == sales.schema
+    assert rows(other) == rows(sales)
+
+
+def test_members_keep_their_first_row_and_order(spark):
+    """First by date, then by id; a name's later rows change neither its key nor its attributes."""
+    d = [dt.date(2024, 1, 2), dt.date(2024, 1, 1), None]
+    flat = spark.createDataFrame(
+        [("T2", d[0], 2024, 1, "Jan", "Q1", "P", "late", "Z", "C", 1, 1.0, 1.0, "A"),
+         ("T9", d[1], 2024, 1, "Jan", "Q1", "P", "early", "Y", "C", 1, 1.0, 1.0, "B"),
+         ("T1", d[1], 2024, 1, "Jan", "Q1", "Q", "one", "X", "D", 1, 1.0, 1.0, "C"),
+         ("T5", d[2], None, None, None, None, "Q", "none", None, None, 1, 1.0, 1.0, None)], SALES_SCHEMA)
+    assert rows(star.dim_product(flat)) == [(1, "Q", "none", 0.0, None), (2, "P", "early", 0.0, "B")]
+    assert rows(star.dim_customer(flat)) == [(1, "D", "X"), (2, "C", "Y")]
