@@ -150,6 +150,15 @@ def test_flat_read_back_shuffles_no_dates(spark, beyond_broadcast):
     assert not any({"date", "month_name", "quarter"} & names for names in shuffled)
 
 
+def test_counting_codes_shuffles_codes_only(spark, monkeypatch):
+    from tarmac.plans import QUERIES, ingest_queries, load_all
+    load_all()
+    monkeypatch.setattr(ingest_queries, "sales_view", lambda *a, **k: _hot_sales(spark, 2000).drop("ABC_Class"))
+    out = QUERIES["star_fact_keys"](spark, "-")
+    assert tuple(out.first()) == (2000, 2000, 1, 2000)
+    assert _exchanges(out)["txn_code"] == [{"txn_code"}]
+
+
 def test_heavy_keys_are_exact_among_many(spark):
     """Values just above and below an even share, among thousands of rare ones; numbers, texts and nulls."""
     n = 40_000
