@@ -15,6 +15,7 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.maxMetadataStringLength": "1000",  # a plan names its partition filters in full
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
